@@ -22,7 +22,7 @@ def _since_last(cfg: FeatureConfig) -> Column:
     if cfg.since_last == "reference":
         return F.lit(0.0)
     gap = (F.col("ts_us") - F.col("_prev_us")) / F.lit(float(US))
-    return F.coalesce(F.greatest(F.lit(0.0), gap), F.lit(float("inf")))
+    return F.when(gap.isNull(), F.lit(float("inf"))).otherwise(F.greatest(F.lit(0.0), gap))
 
 
 def _rate(count: Column, first_us: Column) -> Column:

@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidegauge.config import ModelConfig
 from tidegauge.functions.scalar import guard, squash, vector_norm
@@ -151,7 +152,7 @@ class FittedForest:
         names = self.features
         guarded = rows.select("*", *[guard(F.col(c)).alias(f"_x_{c}") for c in names])
         xs = [f"_x_{c}" for c in names]
-        schema = rows.schema.add("raw_score", "double")
+        schema = T.StructType([*rows.schema.fields, T.StructField("raw_score", T.DoubleType())])
         keep = rows.columns
         if fits(self.forest, BROADCAST_TREES):
             table = {k: _as_trees(g) for k, g in self.forest.toPandas().groupby(KEY)}

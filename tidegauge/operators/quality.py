@@ -171,7 +171,7 @@ def drift_segments(rows: DataFrame, position: str, ts_us: str, truth: str, pred:
     return segments.select(
         "first_pos", "last_pos", "start_us", F.col("found.p").alias("detected_pos"),
         F.col("found.ts").alias("detected_us"), F.col("found").isNotNull().alias("detected"),
-        F.greatest(F.lit(0.0), (F.col("found.ts") - F.col("start_us")) / 1e6).alias("latency_s"),
+        F.when(F.col("found").isNotNull(), F.greatest(F.lit(0.0), (F.col("found.ts") - F.col("start_us")) / 1e6)).alias("latency_s"),
         (F.col("found.p") - F.col("first_pos")).alias("latency_windows"),
     )
 

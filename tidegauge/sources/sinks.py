@@ -45,7 +45,8 @@ def append_alerts(alerts: DataFrame, path: str, id_col: str = "alert_id") -> Non
 
 
 def fixed(c: Column, decimals: int) -> Column:
-    return F.format_string(f"%.{decimals}f", c)
+    """Fixed-point text, rounded from the exact binary value as C and Python do."""
+    return F.call_function("format_number", c, F.lit("0." + "0" * decimals))
 
 
 def with_decimals(df: DataFrame, decimals: dict[str, int]) -> DataFrame:
