@@ -390,8 +390,8 @@ RAW["a14_alert_quality"] = f"""SELECT merchant_category, alerts, denominator, tp
  round(CASE WHEN alerts > 0 THEN fp / alerts::DOUBLE ELSE 0.0 END, 6) AS false_alert_rate, round(CASE WHEN drift_events > 0 THEN tp / drift_events::DOUBLE ELSE 0.0 END, 6) AS alert_rate_drift,
  round(CASE WHEN non_drift_events > 0 THEN fp / non_drift_events::DOUBLE ELSE 0.0 END, 6) AS alert_rate_non_drift, TRUE AS labels_available
 FROM (SELECT merchant_category, count(*) FILTER (is_anomaly) AS alerts, count(*) AS denominator, {_confusion('drift', 'is_anomaly')}, count(*) FILTER (drift) AS drift_events, count(*) FILTER (NOT drift) AS non_drift_events FROM judged99 GROUP BY 1)"""
-_N, _ND = "NULL::BIGINT", "NULL::DOUBLE"
-RAW["a14_alert_quality_unlabelled"] = f"""SELECT merchant_category, count(*) FILTER (is_anomaly) AS alerts, count(*) AS denominator, {_N} AS tp, {_N} AS fp, {_N} AS fn, {_N} AS tn, {_N} AS drift_events, {_N} AS non_drift_events,
+_T, _ND = "TRUE", "NULL::DOUBLE"
+RAW["a14_alert_quality_unlabelled"] = f"""SELECT merchant_category, count(*) FILTER (is_anomaly) AS alerts, count(*) AS denominator, {_T} AS tp, {_T} AS fp, {_T} AS fn, {_T} AS tn, {_T} AS drift_events, {_T} AS non_drift_events,
  round(count(*) FILTER (is_anomaly) / count(*)::DOUBLE, 6) AS anomaly_rate, {_ND} AS false_alert_rate, {_ND} AS alert_rate_drift, {_ND} AS alert_rate_non_drift, FALSE AS labels_available FROM judged99 GROUP BY 1"""
 for _name, _key in (("a15_confusion", "endpoint"), ("a16_phase_confusion", "phase")):
     RAW[_name] = f"SELECT {_key}, points, tp, fp, fn, tn, {_rates()} FROM (SELECT {_key}, count(*) AS points, {_confusion('ground_truth_drift = 1', 'critical_alert = 1')} FROM req GROUP BY 1)"
@@ -447,7 +447,7 @@ RAW["w1_entity_features_range"] = RAW["w1_entity_features"]
 CTES["capped8"] = _capped(8)
 RAW["w1_entity_features_capped"] = f"SELECT {_FEAT_OUT} FROM capped8"
 RAW["w2_time_since_last"] = "SELECT event_id, round(least(coalesce((ts_us - lag(ts_us) OVER (PARTITION BY entity_id ORDER BY ts_us, event_id)) / 1e6, 1e6), 1e6), 6) AS gap_s FROM ev"
-RAW["w3_window_contents"] = f"SELECT event_id, count(*) OVER w AS n, round(coalesce(max(amount) OVER w, 0.0), 6) AS top, min(ts_us) OVER w AS oldest_us FROM ev WINDOW w AS {_FRAME}"
+RAW["w3_window_contents"] = f"SELECT event_id, count(*) OVER w AS n, round(coalesce(max(amount) OVER w, 0.0), 6) AS top, coalesce(min(ts_us) OVER w, -1) AS oldest_us FROM ev WINDOW w AS {_FRAME}"
 RAW["w4_event_index"] = "SELECT event_id, idx, CASE WHEN idx <= 1500 THEN 'warming_up' WHEN idx <= 3500 THEN 'reference' ELSE 'current' END AS phase FROM feat"
 RAW["w6_count_windows"] = """SELECT w AS window_id, count(*) AS n, min(idx) AS first, round(avg(feature_1), 4) AS mean
 FROM ftabx JOIN (SELECT unnest(range(0, (SELECT max(idx) FROM ftabx) // 250 + 1)) AS w) ON idx > 5000 + w * 250 AND idx <= 5000 + w * 250 + 1000 GROUP BY w"""
@@ -456,7 +456,7 @@ RAW["w8_trailing_threshold"] = "SELECT window_id, round(max_psi, 6) AS max_psi,
 CTES["trail"] = "SELECT ts_us, 1 AS now, count(*) OVER (ORDER BY ts_us RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) AS n FROM judged99 WHERE is_anomaly"
 RAW["w9_trailing_alerts"] = "SELECT ts_us, now::BIGINT AS alerts_now, n AS alerts_trailing FROM trail"
 RAW["w9_alert_rate_summary"] = "SELECT 'main' AS stream_id, round(avg(n), 6) AS avg_alerts_per_minute, max(n)::DOUBLE AS max_alerts_per_minute, max(n) > 5 AS cap_breached FROM trail"
-RAW["w10_drift_segments"] = "SELECT * EXCLUDE (latency_windows) REPLACE (round(latency_s, 6) AS latency_s) FROM reqseg"
+RAW["w10_drift_segments"] = "SELECT * EXCLUDE (latency_windows) REPLACE (round(latency_s, 6) AS latency_s, coalesce(detected_pos, -1) AS detected_pos, coalesce(detected_us, -1) AS detected_us) FROM reqseg"
 RAW["w10_segment_summary"] = f"SELECT {_found('reqseg')}, round(coalesce((SELECT quantile_cont(latency_s, 0.95) FROM reqseg WHERE detected), 0.0), 3) AS p95_latency_s"
 RAW["w11_rolling_latency"] = "SELECT idx, round(p, 6) AS rolling_p95_ms FROM latseries"
 RAW["l1_newest_alerts"] = "SELECT alert_id, ts_us, severity FROM al ORDER BY ts_us DESC, alert_id DESC LIMIT 200"
@@ -586,14 +586,14 @@ CTES["path2"] = _path("ticks2", CC)
 RAW["t9_controlled_run"] = "SELECT t, round(thr, 6) AS threshold, thr <> old AS changed FROM path2 WHERE i > 0"
 CTES["refreshes"] = f"""SELECT at_u, row_number() OVER (ORDER BY at_u) AS profile_id, lead(at_u) OVER (ORDER BY at_u) AS to_u FROM (
  SELECT DISTINCT at_u FROM (SELECT a.ts_us, max(s.t - {DC.reference_events}) AS at_u FROM acts a JOIN scored s ON s.ts_us <= a.ts_us AND s.t > {DC.reference_events} WHERE a.action = 'refresh_reference' GROUP BY 1) WHERE at_u >= {DC.min_samples})"""
-RAW["t9_refreshed_profiles"] = f"""SELECT 0::BIGINT AS profile_id, 0::BIGINT AS from_u, (SELECT min(at_u) FROM refreshes) AS to_u, n, round(mean, 6) AS mean, round(std, 6) AS std FROM prof WHERE feature = 'score'
-UNION ALL SELECT any_value(profile_id), at_u, any_value(to_u), count(*), round(avg(s.score), 6), round(stddev_pop(s.score) + 1e-9, 6) FROM refreshes JOIN scored s ON s.t - {DC.reference_events} <= at_u AND s.t - {DC.reference_events} > at_u - {min(DC.window_size, DC.reference_events)} AND s.t > {DC.reference_events} GROUP BY at_u"""
+RAW["t9_refreshed_profiles"] = f"""SELECT 0::BIGINT AS profile_id, 0::BIGINT AS from_u, coalesce((SELECT min(at_u) FROM refreshes), -1) AS to_u, n, round(mean, 6) AS mean, round(std, 6) AS std FROM prof WHERE feature = 'score'
+UNION ALL SELECT any_value(profile_id), at_u, coalesce(any_value(to_u), -1), count(*), round(avg(s.score), 6), round(stddev_pop(s.score) + 1e-9, 6) FROM refreshes JOIN scored s ON s.t - {DC.reference_events} <= at_u AND s.t - {DC.reference_events} > at_u - {min(DC.window_size, DC.reference_events)} AND s.t > {DC.reference_events} GROUP BY at_u"""
 RAW["w13_running_quality"] = """SELECT u, tp::BIGINT AS run_tp, fp::BIGINT AS run_fp, tr::BIGINT AS run_true, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE ELSE 0.0 END, 6) AS run_precision, round(CASE WHEN tr > 0 THEN tp / tr::DOUBLE ELSE 0.0 END, 6) AS run_recall
 FROM (SELECT u, count(*) FILTER (fixed AND drift_tag IS NOT NULL) OVER w AS tp, count(*) FILTER (fixed AND drift_tag IS NULL) OVER w AS fp, count(*) FILTER (drift_tag IS NOT NULL) OVER w AS tr FROM stateout WINDOW w AS (ORDER BY u))"""
 RAW["a28_state_summary"] = f"""SELECT 'main' AS stream_id, count(*) AS scored_events, max_by(con, t) AS drift_active, max_by(won, t) AS drift_warning_active, round(max_by(ds, t), 6) AS drift_score, round(max_by(thr, t), 6) AS threshold,
  round((SELECT avg((s.score >= e.th)::INT) FROM scored s, (SELECT max(t) AS mt, max_by(thr, t) AS th FROM judged) e WHERE s.t > e.mt - {CC.history}), 6) AS recent_rate FROM judged"""
 RAW["c1_scored_output"] = """SELECT event_id, 'scored' AS status, round(score, 5) AS score, round(thr, 5) AS threshold, is_anomaly, evaluated AS drift_evaluated, con AS drift_active, won AS drift_warning_active, round(ds, 5) AS drift_score, round(vr, 5) AS vote_ratio FROM judged
-UNION ALL SELECT event_id, 'warming_up', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM feat WHERE idx <= 1500"""
+UNION ALL SELECT event_id, 'warming_up', NULL, NULL, FALSE, FALSE, FALSE, FALSE, NULL, NULL FROM feat WHERE idx <= 1500"""
 RAW["c1_alerts"] = "SELECT event_id, ts_us, round(thr, 5) AS threshold, CASE WHEN score >= least(0.99, thr + 0.10) THEN 'high' WHEN score >= least(0.95, thr + 0.05) THEN 'medium' ELSE 'low' END AS severity, round(ds, 5) AS drift_score FROM judged WHERE is_anomaly"
 RAW["c5_replay_confusion"] = f"""SELECT points, tp, fp, fn, tn, {_rates()} FROM (SELECT count(*) AS points, {_confusion('truth', 'pred')} FROM (
  SELECT f.drift_tag IS NOT NULL AS truth, coalesce(s.con, FALSE) AS pred FROM feat f LEFT JOIN states s ON s.i > 0 AND s.u = f.idx - 1500 - {DC.reference_events}))"""

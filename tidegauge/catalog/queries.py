@@ -249,7 +249,7 @@ def _odd_values(spark, sf) -> DataFrame:
 
 @query
 def p2_vector_guard(spark, sf):
-    return rounded(_odd_values(spark, sf).select("event_id", S.guard(F.col("x")).alias("guarded")))
+    return rounded(_odd_values(spark, sf).select("event_id", S.guard("x").alias("guarded")))
 
 
 @query
@@ -479,7 +479,7 @@ def a1_exact_quantiles_distributed(spark, sf):
 def a2_histogram(spark, sf):
     ref, cur = I.halves(spark, sf)
     edges = profile.decile_edges(ref, ["feature"]).select("feature", "edges")
-    rows = cur.join(small(edges), "feature").withColumn("bin", D.bin_of(F.col("value"), F.col("edges")))
+    rows = cur.join(small(edges), "feature").withColumn("bin", D.bin_of("value", "edges"))
     return rows.groupBy("feature", F.col("bin").cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -548,7 +548,8 @@ def a14_alert_quality(spark, sf):
 
 @query
 def a14_alert_quality_unlabelled(spark, sf):
-    return rounded(quality.alert_quality(_fixed_judged(spark, sf), F.col("is_anomaly"), None, ["merchant_category"]))
+    rows = quality.alert_quality(_fixed_judged(spark, sf), F.col("is_anomaly"), None, ["merchant_category"])
+    return rounded(rows.withColumns({c: F.col(c).isNull() for c in ("tp", "fp", "fn", "tn", "drift_events", "non_drift_events")}))
 
 
 @query
@@ -722,7 +723,7 @@ def w1_entity_features_range(spark, sf):
 def w2_time_since_last(spark, sf):
     cfg = replace(I.CONFIG.features, since_last="lag", enabled=("time_since_last",))
     rows = features.entity_features(I.events(spark, sf), cfg)
-    return rounded(rows.select("event_id", S.guard(F.col("time_since_last")).alias("gap_s")))
+    return rounded(rows.select("event_id", S.guard("time_since_last").alias("gap_s")))
 
 
 @query
@@ -731,7 +732,7 @@ def w3_window_contents(spark, sf):
     return rounded(
         rows.select(
             "event_id", F.size("window").cast("long").alias("n"), F.coalesce(F.array_max(F.transform("window", lambda x: x["amount"])), F.lit(0.0)).alias("top"),
-            F.element_at(F.transform("window", lambda x: x["ts_us"]), F.when(F.size("window") > 0, 1)).alias("oldest_us"),
+            F.coalesce(F.get("window", F.lit(0))["ts_us"], F.lit(-1)).alias("oldest_us"),
         )
     )
 
@@ -785,7 +786,7 @@ def _numbered_requests(spark, sf) -> DataFrame:
 @query
 def w10_drift_segments(spark, sf):
     rows = quality.drift_segments(_numbered_requests(spark, sf), "idx", "ts_us", "ground_truth_drift", "critical_alert")
-    return rounded(rows.drop("latency_windows"))
+    return rounded(rows.drop("latency_windows").na.fill(-1, ["detected_pos", "detected_us"]))
 
 
 @query
@@ -895,7 +896,7 @@ def t9_refreshed_profiles(spark, sf):
     run = I.run(spark, sf)
     asked = I.controls(spark, sf).filter(F.col("action") == control.REFRESH)
     table = profile.refreshed_profiles(run.scored, run.profile, asked, I.CONFIG.drift, FEATURES)
-    return rounded(table.filter(F.col("feature") == SCORE).select("profile_id", "from_u", "to_u", "n", "mean", "std"))
+    return rounded(table.filter(F.col("feature") == SCORE).select("profile_id", "from_u", F.coalesce("to_u", F.lit(-1)).alias("to_u"), "n", "mean", "std"))
 
 
 def _sharing(base: ScoringRun, run: ScoringRun, *names: str) -> ScoringRun:
@@ -978,7 +979,8 @@ def m3_scorer_lifecycle(spark, sf):
 @query
 def c1_scored_output(spark, sf):
     cols = ("event_id", "status", "score", "threshold", "is_anomaly", "drift_evaluated", "drift_active", "drift_warning_active", "drift_score", "vote_ratio")
-    return rounded(I.run(spark, sf).output.select(*cols), 5)
+    rows = I.run(spark, sf).output.select(*cols)
+    return rounded(rows.na.fill(False, ["is_anomaly", "drift_evaluated", "drift_active", "drift_warning_active"]), 5)
 
 
 @query

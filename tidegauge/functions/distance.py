@@ -15,46 +15,41 @@ SHARE_FLOOR = 1e-6
 EDGE_PAD = 1e-9
 
 
-def bin_of(value: Column, edges: Column, bins: int = BINS) -> Column:
+def bin_of(value: str, edges: str, bins: int = BINS) -> Column:
     """Bin 1..bins of a value: the last edge not above it, last bin closed; 0 when outside.
 
-    Plain comparisons on array items, so it stays inside generated code. Repeated edges give
-    empty bins.
+    ``value`` and ``edges`` are column references. Plain comparisons on array items, so it stays
+    inside generated code. Repeated edges give empty bins.
     """
-    passed = F.lit(0)
-    for i in range(bins + 1):
-        passed = passed + (value >= edges[i]).cast("int")
-    outside = value.isNull() | F.isnan(value) | (value < edges[0]) | (value > edges[bins])
-    return F.when(outside, F.lit(0)).otherwise(F.least(passed, F.lit(bins)))
+    passed = " + ".join(f"CAST({value} >= {edges}[{i}] AS INT)" for i in range(bins + 1))
+    outside = f"{value} IS NULL OR isnan({value}) OR {value} < {edges}[0] OR {value} > {edges}[{bins}]"
+    return F.expr(f"CASE WHEN {outside} THEN 0 ELSE least({passed}, {bins}) END")
 
 
-def clipped_share(count: Column, total: Column) -> Column:
-    share = count.cast("double") / F.greatest(F.lit(1), total)
-    return F.least(F.greatest(share, F.lit(SHARE_FLOOR)), F.lit(1.0))
+def clipped_share(count: str, total: str) -> str:
+    return f"least(greatest({count} / CAST(greatest(1, {total}) AS DOUBLE), {SHARE_FLOOR}D), 1D)"
 
 
-def zero_floored_share(count: Column, total: Column) -> Column:
-    share = count.cast("double") / F.greatest(F.lit(1), total)
-    return F.when(share == 0.0, F.lit(SHARE_FLOOR)).otherwise(share)
+def zero_floored_share(count: str, total: str) -> str:
+    return f"CASE WHEN {count} = 0 THEN {SHARE_FLOOR}D ELSE {count} / CAST(greatest(1, {total}) AS DOUBLE) END"
 
 
-def psi(cur: Sequence[Column], ref: Sequence[Column]) -> Column:
-    """Population stability index of two lists of shares."""
-    total = F.lit(0.0)
-    for c, r in zip(cur, ref, strict=True):
-        total = total + (c - r) * F.log(c / r)
-    return total
+def psi(cur: Sequence[str], ref: Sequence[str]) -> Column:
+    """Population stability index of two lists of shares, given as array expressions' items.
+
+    The shares are put into arrays first, so each is computed once.
+    """
+    terms = "zip_with(array({}), array({}), (c, r) -> (c - r) * ln(c / r))".format(", ".join(cur), ", ".join(ref))
+    return F.expr(f"aggregate({terms}, 0D, (a, x) -> a + x)")
 
 
-def ks_of_bins(counts: Sequence[Column], total: Column, ref: Sequence[Column]) -> Column:
+def ks_of_bins(counts: Sequence[str], total: str, ref: Sequence[str]) -> Column:
     """Largest gap between the two cumulated histograms."""
     gaps = []
-    cum_cur, cum_ref = F.lit(0.0), F.lit(0.0)
-    for c, r in zip(counts, ref, strict=True):
-        cum_cur = cum_cur + c.cast("double") / F.greatest(F.lit(1), total)
-        cum_ref = cum_ref + r
-        gaps.append(F.abs(cum_ref - cum_cur))
-    return F.greatest(*gaps)
+    for i in range(1, len(counts) + 1):
+        cum = f"({' + '.join(counts[:i])}) / CAST(greatest(1, {total}) AS DOUBLE)"
+        gaps.append(f"abs(({' + '.join(ref[:i])}) - {cum})")
+    return F.expr(f"greatest({', '.join(gaps)})")
 
 
 def ks_critical(n_ref: Column, n_cur: Column, p: float) -> Column:
@@ -71,10 +66,8 @@ def kolmogorov_p(d: Column, n_ref: Column, n_cur: Column, terms: int = 40) -> Co
     """Asymptotic two-sided p-value of a two-sample distance (Kolmogorov's series)."""
     n, m = n_ref.cast("double"), n_cur.cast("double")
     x = d * F.sqrt(n * m / (n + m))
-    series = F.lit(0.0)
-    for j in range(1, terms + 1):
-        sign = 2.0 if j % 2 else -2.0
-        series = series + F.lit(sign) * F.exp(F.lit(-2.0 * j * j) * x * x)
+    signs = F.expr(f"transform(sequence(1, {terms}), j -> named_struct('j', CAST(j AS DOUBLE), 's', IF(j % 2 = 1, 2D, -2D)))")
+    series = F.aggregate(signs, F.lit(0.0), lambda a, t: a + t["s"] * F.exp(-2.0 * t["j"] * t["j"] * x * x))
     bounded = F.least(F.greatest(series, F.lit(0.0)), F.lit(1.0))
     # The alternating series does not settle near zero, where the p-value is 1.
     return F.when(x < 0.2, F.lit(1.0)).otherwise(bounded)

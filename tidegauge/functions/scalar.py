@@ -43,17 +43,19 @@ def is_finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
 
 
-def guard(x: Column) -> Column:
+def _guard_sql(x: str) -> str:
+    clipped = f"greatest(least({x}, {VALUE_LIMIT}D), -{VALUE_LIMIT}D)"
+    return f"CASE WHEN {x} IS NULL OR isnan({x}) THEN 0D ELSE {clipped} END"
+
+
+def guard(x: str) -> Column:
     """NaN and null become 0, everything else is clipped to the value limit."""
-    clipped = F.greatest(F.least(x, F.lit(VALUE_LIMIT)), F.lit(-VALUE_LIMIT))
-    return F.when(x.isNull() | F.isnan(x), F.lit(0.0)).otherwise(clipped)
+    return F.expr(_guard_sql(x))
 
 
-def vector_norm(cols: Sequence[Column]) -> Column:
-    total = F.lit(0.0)
-    for c in cols:
-        total = total + guard(c) * guard(c)
-    return F.sqrt(total)
+def vector_norm(cols: Sequence[str]) -> Column:
+    """Euclidean norm of guarded columns."""
+    return F.expr("sqrt(" + " + ".join(f"pow({_guard_sql(c)}, 2)" for c in cols) + ")")
 
 
 def squash(raw: Column, mean: Column, std: Column) -> Column:

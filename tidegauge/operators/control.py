@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.config import ControlConfig
 from tidegauge.functions.scalar import hash_sampled, is_finite
-from tidegauge.operators.folding import Step, ordered_fold
+from tidegauge.operators.folding import ordered_fold
 from tidegauge.operators.ordering import asof_join, running_totals, with_halo
 from tidegauge.session import small
 
@@ -100,52 +100,51 @@ CONTROL_SCHEMA = (
     "threshold double, last_change_us long, changed boolean, bounds_limited boolean, "
     "step_limited boolean, feedback_blocked boolean, audit_due boolean"
 )
+CONTROL_COLUMNS = [field.split()[0] for field in CONTROL_SCHEMA.split(", ")]
+
+
+class ThresholdFold:
+    """Threshold of one stream, advanced by ticks in order; the state is four numbers."""
+
+    def __init__(self, cfg: ControlConfig) -> None:
+        self.cfg = cfg
+        self.threshold, self.changed_us = cfg.initial_threshold, 0
+        self.logged, self.logged_us = cfg.initial_threshold, 0
+
+    def advance(self, row) -> tuple:
+        cfg, old = self.cfg, self.threshold
+        bounded = stepped = blocked = audit = False
+        cooling = self.changed_us and (row.ts_us - self.changed_us) / 1e6 < cfg.cooldown_seconds
+        open_ = cfg.enabled and not row.frozen and (cfg.adapt_during_drift or not row.drift_active)
+        if open_ and not cooling and row.n_history >= max(1, cfg.min_history):
+            target = min(cfg.max_threshold, max(cfg.min_threshold, row.proposal))
+            bounded = target != row.proposal
+            if abs(target - old) > cfg.max_step:
+                target = old + math.copysign(cfg.max_step, target - old)
+                stepped = True
+            if cfg.rate_feedback and row.over_mark >= old and target < old:
+                target, blocked = old + cfg.max_step, True
+            elif cfg.rate_feedback and row.under_mark < old and target > old:
+                target, blocked = old - cfg.max_step, True
+            if target != old:
+                self.threshold, self.changed_us = target, int(row.ts_us)
+                waited = (row.ts_us - self.logged_us) / 1e6 >= cfg.audit_cooldown_seconds
+                audit = abs(target - self.logged) >= cfg.audit_min_delta or waited
+                if audit:
+                    self.logged, self.logged_us = target, int(row.ts_us)
+        return (
+            row.stream_id, row.t, row.ts_us, row.event_id, row.proposal, old, self.threshold, self.changed_us,
+            self.threshold != old, bounded, stepped, blocked, audit,
+        )
 
+    def step(self, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([self.advance(row) for row in pdf.itertuples(index=False)], columns=CONTROL_COLUMNS)
 
-def threshold_path(ticks: DataFrame, cfg: ControlConfig) -> DataFrame:
-    """Threshold after every tick: ticks (with ``drift_active`` and ``frozen``) folded per stream.
 
-    The state is three numbers; the fold sees one row per ``cfg.interval`` events.
-    """
-
-    def make_step() -> Step:
-        threshold, changed_us = cfg.initial_threshold, 0
-        logged, logged_us = cfg.initial_threshold, 0
-
-        def step(pdf: pd.DataFrame) -> pd.DataFrame:
-            nonlocal threshold, changed_us, logged, logged_us
-            out = []
-            for row in pdf.itertuples(index=False):
-                old = threshold
-                bounded = stepped = blocked = audit = False
-                cooling = changed_us and (row.ts_us - changed_us) / 1e6 < cfg.cooldown_seconds
-                open_ = cfg.enabled and not row.frozen and (cfg.adapt_during_drift or not row.drift_active)
-                if open_ and not cooling and row.n_history >= max(1, cfg.min_history):
-                    target = min(cfg.max_threshold, max(cfg.min_threshold, row.proposal))
-                    bounded = target != row.proposal
-                    if abs(target - old) > cfg.max_step:
-                        target = old + math.copysign(cfg.max_step, target - old)
-                        stepped = True
-                    if cfg.rate_feedback and row.over_mark >= old and target < old:
-                        target, blocked = old + cfg.max_step, True
-                    elif cfg.rate_feedback and row.under_mark < old and target > old:
-                        target, blocked = old - cfg.max_step, True
-                    if target != old:
-                        threshold, changed_us = target, row.ts_us
-                        waited = (row.ts_us - logged_us) / 1e6 >= cfg.audit_cooldown_seconds
-                        audit = abs(target - logged) >= cfg.audit_min_delta or waited
-                        if audit:
-                            logged, logged_us = target, row.ts_us
-                out.append(
-                    (row.stream_id, row.t, row.ts_us, row.event_id, row.proposal, old, threshold, changed_us,
-                     threshold != old, bounded, stepped, blocked, audit)
-                )
-            names = [field.split()[0] for field in CONTROL_SCHEMA.split(", ")]
-            return pd.DataFrame(out, columns=names)
-
-        return step
-
-    return ordered_fold(ticks, ["stream_id"], "t", make_step, CONTROL_SCHEMA)
+def threshold_path(ticks: DataFrame, cfg: ControlConfig) -> DataFrame:
+    """Threshold after every tick: ticks (with ``drift_active`` and ``frozen``) folded per stream,
+    one row per ``cfg.interval`` events."""
+    return ordered_fold(ticks, ["stream_id"], "t", lambda: ThresholdFold(cfg).step, CONTROL_SCHEMA)
 
 
 def with_threshold(scored: DataFrame, path: DataFrame, cfg: ControlConfig) -> DataFrame:

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 def first_per_id(df: DataFrame, id_col: str = "event_id", order: Sequence[str] = ("ts_us",)) -> DataFrame:
     """Earliest row of each id. An aggregate, not a window: copies collapse before the shuffle,
     so an id that makes up much of the table does not land in one task."""
-    lead = [id_col, *order]
-    rest = [c for c in df.columns if c not in lead]
-    picked = df.groupBy(id_col).agg(F.min(F.struct(*order, *rest)).alias("_row"))
+    rest = [c for c in df.columns if c != id_col]
+    # Rows of one instant are told apart by a hash, so the choice is repeatable.
+    hashable = [name for name, kind in df.dtypes if "map<" not in kind]
+    first = F.min_by(F.struct(*rest), F.struct(*order, F.xxhash64(*hashable)))
+    picked = df.groupBy(id_col).agg(first.alias("_row"))
     return picked.select(*[F.col(id_col) if c == id_col else F.col(f"_row.{c}") for c in df.columns])
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.config import SCORE, DriftConfig
 from tidegauge.functions.scalar import damped
-from tidegauge.operators.folding import Step, ordered_fold
+from tidegauge.operators.folding import ordered_fold
 
 # Weights of the per-feature fusion and the vote share that keeps a state.
 FUSION_PSI, FUSION_KS, FUSION_SHIFT = 0.55, 0.30, 0.15
@@ -73,13 +73,17 @@ def fused_at_fixed_limits(distances: DataFrame, cfg: DriftConfig, n_features: in
 
 
 class _History:
-    """Last ``size`` rows of a table of calibration values, one column per tracked limit."""
+    """Last ``size`` rows of calibration values, one column per tracked limit."""
 
     def __init__(self, size: int, width: int) -> None:
-        self.rows = np.empty((size, width))
+        self.rows = np.empty((min(size, 64), width))
         self.size, self.seen = size, 0
 
     def add(self, row: np.ndarray) -> None:
+        if self.seen >= len(self.rows) < self.size:
+            grown = np.empty((min(self.size, 2 * len(self.rows)), self.rows.shape[1]))
+            grown[: len(self.rows)] = self.rows
+            self.rows = grown
         self.rows[self.seen % self.size] = row
         self.seen += 1
 
@@ -88,17 +92,6 @@ class _History:
         return self.rows[: min(self.seen, self.size)]
 
 
-class _Streak:
-    """Two-level state with enter and keep conditions and a run length before it switches on."""
-
-    def __init__(self, needed: int) -> None:
-        self.needed, self.run, self.on = max(1, needed), 0, False
-
-    def count(self, hit: bool) -> bool:
-        self.run = self.run + 1 if hit else 0
-        return self.run >= self.needed
-
-
 EVALUATION_SCHEMA = (
     "stream_id string, u long, t long, profile_id int, drift_score double, drift_threshold double, "
     "psi_component double, ks_component double, prediction_component double, vote_ratio double, "
@@ -116,107 +109,112 @@ def _mean(x: np.ndarray) -> float:
     return float(np.mean(x)) if x.size else 0.0
 
 
+class DriftFold:
+    """Warning and critical state of one stream, advanced by evaluation rows in order.
+
+    Holds calibration histories of bounded length, two run lengths and two flags, so it can be
+    stored between micro-batches.
+    """
+
+    def __init__(self, cfg: DriftConfig) -> None:
+        self.cfg = cfg
+        self.scores = _History(cfg.history_evals, 1)
+        self.limits: dict[str, np.ndarray] = {}
+        self.history: dict[str, _History] = {}
+        self.warning_run = self.critical_run = 0
+        self.warning = self.critical = False
+        self.last_alert = -(10**9)
+
+    def _learn(self, score: float, psi: np.ndarray, ks_ratio: np.ndarray) -> None:
+        cfg = self.cfg
+        self.scores.add(np.array([score]))
+        for name, row, floor in (("psi", psi, cfg.feature_psi), ("ks", ks_ratio, 1.0)):
+            self.history[name].add(row)
+            past = self.history[name].values
+            if len(past) >= cfg.baseline_min_evals:
+                top = np.quantile(past, cfg.adaptive_quantile, axis=0)
+                self.limits[name] = np.maximum(floor, top + cfg.feature_threshold_k * past.std(axis=0))
+
+    def _limit(self) -> float:
+        cfg = self.cfg
+        if cfg.threshold_method != "adaptive" or self.scores.seen < cfg.baseline_min_evals:
+            return cfg.fixed_score_threshold
+        return max(cfg.fixed_score_threshold, float(np.quantile(self.scores.values, cfg.adaptive_quantile)))
+
+    def advance(self, row) -> dict:
+        cfg = self.cfg
+        psi = np.asarray(row.psi, dtype=float)
+        ks = np.asarray(row.ks, dtype=float)
+        ks_ratio = ks / np.maximum(1e-9, np.asarray(row.ks_critical, dtype=float))
+        shift = np.asarray(row.mean_shift_z, dtype=float)
+        if not self.limits:
+            self.limits = {"psi": np.full(psi.size, cfg.feature_psi), "ks": np.ones(psi.size)}
+            self.history = {n: _History(cfg.history_evals, psi.size) for n in self.limits}
+        used = {n: v.copy() for n, v in self.limits.items()}
+        psi_norm = _norm(psi / np.maximum(1e-9, used["psi"]), cfg.norm_cap)
+        ks_norm = _norm(ks_ratio / np.maximum(1e-9, used["ks"]), cfg.norm_cap)
+        shift_norm = _norm(shift / max(1e-9, cfg.mean_shift_z), cfg.norm_cap)
+        fusion = FUSION_PSI * psi_norm + FUSION_KS * ks_norm + FUSION_SHIFT * shift_norm
+        vote = float(np.sum(fusion >= cfg.feature_alert_score)) / max(1, psi.size)
+        pred = _norm(
+            np.array([row.score_psi / max(1e-9, cfg.pred_psi), row.score_ks / max(1e-9, row.score_ks_critical)]),
+            cfg.norm_cap,
+        )
+        parts = (
+            cfg.weight_psi * _mean(psi_norm),
+            cfg.weight_ks * _mean(ks_norm),
+            cfg.weight_pred * float(0.5 * pred[0] + 0.5 * pred[1]),
+        )
+        score, limit, mean_fusion = sum(parts), self._limit(), _mean(fusion)
+
+        # Flags are forgotten between evaluations in reference mode, unless there is no gap.
+        remembers = cfg.mode == "latched" or cfg.interval <= 1
+        was_warning, was_critical = self.warning and remembers, self.critical and remembers
+        keep_warning = vote >= cfg.warning_vote * KEEP_VOTE
+        if was_warning:
+            hit = score >= limit * cfg.warning_exit and keep_warning
+        else:
+            full = vote >= cfg.warning_vote and mean_fusion >= cfg.feature_alert_score * WARNING_FUSION
+            hit = full and score >= limit * cfg.warning_enter
+        hit = hit or (bool(row.adwin_detected) and keep_warning)
+        self.warning_run = self.warning_run + 1 if hit else 0
+        self.warning = self.warning_run >= max(1, cfg.warning_consecutive)
+
+        if was_critical:
+            hit = score >= limit * cfg.critical_exit and vote >= cfg.critical_vote * KEEP_VOTE
+        else:
+            full = vote >= cfg.critical_vote and mean_fusion >= cfg.feature_alert_score
+            hit = self.warning and full and score >= limit * cfg.critical_enter
+        self.critical_run = self.critical_run + 1 if hit else 0
+        ready = self.critical_run >= max(1, cfg.critical_consecutive)
+        stays = was_critical and hit
+        enters = not stays and ready and row.u - self.last_alert >= cfg.alert_cooldown_events
+        if enters:
+            self.last_alert = int(row.u)
+        self.critical = stays or enters
+
+        calm = vote <= cfg.warning_vote * KEEP_VOTE and not was_critical
+        if calm or min(self.scores.seen, self.scores.size) < max(50, cfg.baseline_min_evals * 3):
+            self._learn(score, psi, ks_ratio)
+        return {
+            "stream_id": row.stream_id, "u": row.u, "t": row.t, "profile_id": row.profile_id,
+            "drift_score": score, "drift_threshold": limit, "psi_component": parts[0],
+            "ks_component": parts[1], "prediction_component": parts[2], "vote_ratio": vote,
+            "mean_fusion": mean_fusion,
+            "drift_fixed_active": score >= cfg.fixed_score_threshold and vote >= cfg.critical_vote,
+            "drift_warning_active": self.warning, "drift_active": self.critical,
+            "adwin_detected": bool(row.adwin_detected), "psi": psi, "ks": ks, "mean_shift_z": shift,
+            "psi_limits": used["psi"], "ks_limits": used["ks"],
+        }
+
+    def step(self, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([self.advance(row) for row in pdf.itertuples(index=False)])
+
+
 def drift_states(evaluations: DataFrame, cfg: DriftConfig) -> DataFrame:
     """Adaptive limits and warning / critical states, folded over the evaluation table.
 
     ``evaluations``: rows of ``evaluation_rows`` with ``adwin_detected``; one row per
-    ``cfg.interval`` scored events. In "reference" mode the flags of the last evaluation are
-    forgotten between evaluations unless every event is evaluated; "latched" keeps them.
+    ``cfg.interval`` scored events.
     """
-    keeps_flags = cfg.mode == "latched" or cfg.interval <= 1
-
-    def make_step() -> Step:
-        warning, critical = _Streak(cfg.warning_consecutive), _Streak(cfg.critical_consecutive)
-        scores = _History(cfg.history_evals, 1)
-        limits: dict[str, np.ndarray] = {}
-        history: dict[str, _History] = {}
-        last_alert = -(10**9)
-
-        def learn(score: float, psi: np.ndarray, ks_ratio: np.ndarray) -> None:
-            scores.add(np.array([score]))
-            for name, row, floor in (("psi", psi, cfg.feature_psi), ("ks", ks_ratio, 1.0)):
-                history[name].add(row)
-                past = history[name].values
-                if len(past) >= cfg.baseline_min_evals:
-                    top = np.quantile(past, cfg.adaptive_quantile, axis=0)
-                    limits[name] = np.maximum(floor, top + cfg.feature_threshold_k * past.std(axis=0))
-
-        def judge(row) -> dict:
-            nonlocal last_alert
-            psi = np.asarray(row.psi, dtype=float)
-            ks = np.asarray(row.ks, dtype=float)
-            ks_ratio = ks / np.maximum(1e-9, np.asarray(row.ks_critical, dtype=float))
-            shift = np.asarray(row.mean_shift_z, dtype=float)
-            if not limits:
-                limits.update(psi=np.full(psi.size, cfg.feature_psi), ks=np.ones(psi.size))
-                history.update({n: _History(cfg.history_evals, psi.size) for n in limits})
-            used = {n: v.copy() for n, v in limits.items()}
-            psi_norm = _norm(psi / np.maximum(1e-9, used["psi"]), cfg.norm_cap)
-            ks_norm = _norm(ks_ratio / np.maximum(1e-9, used["ks"]), cfg.norm_cap)
-            shift_norm = _norm(shift / max(1e-9, cfg.mean_shift_z), cfg.norm_cap)
-            fusion = FUSION_PSI * psi_norm + FUSION_KS * ks_norm + FUSION_SHIFT * shift_norm
-            vote = float(np.sum(fusion >= cfg.feature_alert_score)) / max(1, psi.size)
-            pred = _norm(
-                np.array([row.score_psi / max(1e-9, cfg.pred_psi), row.score_ks / max(1e-9, row.score_ks_critical)]),
-                cfg.norm_cap,
-            )
-            parts = (
-                cfg.weight_psi * _mean(psi_norm),
-                cfg.weight_ks * _mean(ks_norm),
-                cfg.weight_pred * float(0.5 * pred[0] + 0.5 * pred[1]),
-            )
-            score = sum(parts)
-            limit = cfg.fixed_score_threshold
-            if cfg.threshold_method == "adaptive" and scores.seen >= cfg.baseline_min_evals:
-                limit = max(limit, float(np.quantile(scores.values, cfg.adaptive_quantile)))
-
-            was_warning = warning.on and keeps_flags
-            was_active = critical.on and keeps_flags
-            mean_fusion = _mean(fusion)
-            if was_warning:
-                hit = score >= limit * cfg.warning_exit and vote >= cfg.warning_vote * KEEP_VOTE
-            else:
-                hit = (
-                    score >= limit * cfg.warning_enter
-                    and vote >= cfg.warning_vote
-                    and mean_fusion >= cfg.feature_alert_score * WARNING_FUSION
-                )
-            adwin = bool(row.adwin_detected)
-            warning.on = warning.count(hit or (adwin and vote >= cfg.warning_vote * KEEP_VOTE))
-            if was_active:
-                hit = score >= limit * cfg.critical_exit and vote >= cfg.critical_vote * KEEP_VOTE
-            else:
-                hit = (
-                    warning.on
-                    and score >= limit * cfg.critical_enter
-                    and vote >= cfg.critical_vote
-                    and mean_fusion >= cfg.feature_alert_score
-                )
-            ready = critical.count(hit)
-            if was_active and hit:
-                critical.on = True
-            elif ready and row.u - last_alert >= cfg.alert_cooldown_events:
-                critical.on, last_alert = True, row.u
-            else:
-                critical.on = False
-
-            calm = vote <= cfg.warning_vote * KEEP_VOTE and not was_active
-            if calm or min(scores.seen, scores.size) < max(50, cfg.baseline_min_evals * 3):
-                learn(score, psi, ks_ratio)
-            return {
-                "stream_id": row.stream_id, "u": row.u, "t": row.t, "profile_id": row.profile_id,
-                "drift_score": score, "drift_threshold": limit, "psi_component": parts[0],
-                "ks_component": parts[1], "prediction_component": parts[2], "vote_ratio": vote,
-                "mean_fusion": mean_fusion,
-                "drift_fixed_active": score >= cfg.fixed_score_threshold and vote >= cfg.critical_vote,
-                "drift_warning_active": warning.on, "drift_active": critical.on, "adwin_detected": adwin,
-                "psi": psi, "ks": ks, "mean_shift_z": shift,
-                "psi_limits": used["psi"], "ks_limits": used["ks"],
-            }
-
-        def step(pdf: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame([judge(row) for row in pdf.itertuples(index=False)])
-
-        return step
-
-    return ordered_fold(evaluations, ["stream_id"], "u", make_step, EVALUATION_SCHEMA)
+    return ordered_fold(evaluations, ["stream_id"], "u", lambda: DriftFold(cfg).step, EVALUATION_SCHEMA)

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from tidegauge.config import ModelConfig
 from tidegauge.functions.scalar import guard, squash, vector_norm
-from tidegauge.session import fits, small, stage
+from tidegauge.session import hinted, stage
 
 KEY = "stream_id"
 TREE_BLOCKS = 8
@@ -38,8 +38,8 @@ class FittedZScore:
         self.params, self.features = params, list(features)
 
     def transform(self, rows: DataFrame) -> DataFrame:
-        norm = vector_norm([F.col(c) for c in self.features])
-        joined = rows.join(small(self.params), KEY)
+        norm = vector_norm(self.features)
+        joined = rows.join(hinted(self.params), KEY)
         raw = (norm - F.col("norm_mean")) / F.col("norm_scale")
         scored = joined.withColumn("raw_score", raw)
         score = squash(F.col("raw_score"), F.col("raw_mean"), F.col("raw_std"))
@@ -54,7 +54,7 @@ class ZScoreModel:
     """
 
     def fit(self, warm: DataFrame, features: Sequence[str]) -> FittedZScore:
-        norm = vector_norm([F.col(c) for c in features]).alias("norm")
+        norm = vector_norm(features).alias("norm")
         stats = warm.select(KEY, norm).groupBy(KEY).agg(
             F.avg("norm").alias("norm_mean"),
             F.var_pop("norm").alias("_var"),
@@ -68,7 +68,7 @@ class ZScoreModel:
             KEY, "n", "norm_mean", "norm_scale", F.lit(0.0).alias("raw_mean"),
             F.when(raw_std == 0.0, F.lit(1.0)).otherwise(raw_std).alias("raw_std"),
         )
-        return FittedZScore(params, features)
+        return FittedZScore(stage(params, "model"), features)
 
 
 def average_path(n: float) -> float:
@@ -150,11 +150,11 @@ class FittedForest:
 
     def raw(self, rows: DataFrame) -> DataFrame:
         names = self.features
-        guarded = rows.select("*", *[guard(F.col(c)).alias(f"_x_{c}") for c in names])
+        guarded = rows.select("*", *[guard(c).alias(f"_x_{c}") for c in names])
         xs = [f"_x_{c}" for c in names]
         schema = T.StructType([*rows.schema.fields, T.StructField("raw_score", T.DoubleType())])
         keep = rows.columns
-        if fits(self.forest, BROADCAST_TREES):
+        if self.forest.count() <= BROADCAST_TREES:
             table = {k: _as_trees(g) for k, g in self.forest.toPandas().groupby(KEY)}
             shipped = rows.sparkSession.sparkContext.broadcast(table)
 
@@ -184,7 +184,7 @@ class FittedForest:
 
     def transform(self, rows: DataFrame) -> DataFrame:
         assert self.norms is not None
-        scored = self.raw(rows).join(small(self.norms), KEY)
+        scored = self.raw(rows).join(hinted(self.norms), KEY)
         score = squash(F.col("raw_score"), F.col("raw_mean"), F.col("raw_std"))
         return scored.withColumn("score", score).select(*rows.columns, "raw_score", "score")
 
@@ -198,7 +198,7 @@ class IsolationForestModel:
     def fit(self, warm: DataFrame, features: Sequence[str]) -> FittedForest:
         cfg, names = self.cfg, list(features)
         blocks = min(TREE_BLOCKS, cfg.n_trees)
-        rows = warm.select(KEY, "idx", *[guard(F.col(c)).alias(c) for c in names]).withColumn(
+        rows = warm.select(KEY, "idx", *[guard(c).alias(c) for c in names]).withColumn(
             "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
         )
 
@@ -219,9 +219,8 @@ class IsolationForestModel:
         raw = fitted.raw(warm).groupBy(KEY).agg(
             F.avg("raw_score").alias("raw_mean"), F.stddev_pop("raw_score").alias("_std")
         )
-        fitted.norms = raw.select(
-            KEY, "raw_mean", F.when(F.col("_std") == 0.0, F.lit(1.0)).otherwise(F.col("_std")).alias("raw_std")
-        )
+        raw_std = F.when(F.col("_std") == 0.0, F.lit(1.0)).otherwise(F.col("_std"))
+        fitted.norms = stage(raw.select(KEY, "raw_mean", raw_std.alias("raw_std")), "model")
         return fitted
 
 

@@ -72,6 +72,8 @@ def slice_rows(
         first = _cut_label(k, F.lit(head.lo), F.lit(head.hi), F.lit(ways))
     rows = df.withColumn("_s0", first)
     columns = ["_s0"]
+    if ways == 1:
+        return Slices(rows, columns, 1, 1)
     tie_is_text = tie is not None and dict(df.dtypes)[tie] == "string"
     while True:
         stats = [

@@ -5,13 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.config import BINS, SCORE, DriftConfig
 from tidegauge.functions import distance as D
 from tidegauge.operators.ordering import with_halo
-from tidegauge.session import small
+from tidegauge.session import hinted, small
 
 # Quantile positions of the bin edges.
 DECILES = (0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
@@ -20,16 +20,20 @@ PANE_CHUNK = 256
 
 def long_form(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """(keys..., feature, value), one row per column."""
-    items = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])
-    return df.select(*keys, F.explode(items).alias("_i")).select(*keys, "_i.feature", "_i.value")
+    items = ", ".join(f"named_struct('feature', '{c}', 'value', CAST({c} AS DOUBLE))" for c in columns)
+    return df.select(*keys, F.expr(f"inline(array({items}))"))
 
 
-def bin_counts(bin_col: str = "bin") -> list:
-    return [F.count_if(F.col(bin_col) == i).alias(f"b{i}") for i in range(1, BINS + 1)]
+def bin_counts() -> list[Column]:
+    return [F.expr(f"count_if(bin = {i}) AS b{i}") for i in range(1, BINS + 1)]
 
 
-def count_columns(prefix: str = "b") -> list:
-    return [F.col(f"{prefix}{i}") for i in range(1, BINS + 1)]
+def count_names(prefix: str = "b") -> list[str]:
+    return [f"{prefix}{i}" for i in range(1, BINS + 1)]
+
+
+def total_of(prefix: str = "b") -> str:
+    return "(" + " + ".join(count_names(prefix)) + ")"
 
 
 def decile_edges(values: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -57,13 +61,12 @@ def build_profile(reference: DataFrame, keys: Sequence[str]) -> DataFrame:
     """
     group = [*keys, "feature"]
     edges = decile_edges(reference, group)
-    binned = reference.join(small(edges), group).withColumn("bin", D.bin_of(F.col("value"), F.col("edges")))
+    binned = reference.join(small(edges), group).withColumn("bin", D.bin_of("value", "edges"))
     counts = binned.groupBy(*group).agg(
         *bin_counts(), F.first("edges").alias("edges"), F.first("n").alias("n"),
         F.first("mean").alias("mean"), F.first("std").alias("std"),
     )
-    total = sum(count_columns()[1:], count_columns()[0])
-    shares = F.array(*[D.clipped_share(c, total) for c in count_columns()])
+    shares = F.expr("array(" + ", ".join(D.clipped_share(c, total_of()) for c in count_names()) + ")")
     return counts.select(*group, "edges", shares.alias("ref_perc"), "n", "mean", "std")
 
 
@@ -121,36 +124,23 @@ def refreshed_profiles(
 def pane_stats(scored: DataFrame, profile: DataFrame, cfg: DriftConfig, features: Sequence[str]) -> DataFrame:
     """Binned counts and sums per (stream, profile version, pane, feature).
 
-    The profile joins as one row per stream before columns turn into rows, and panes are
-    pre-aggregated on the map side, so the shuffle carries summaries only.
+    Columns turn into rows, meet the stored profile (broadcast if its size allows) and are
+    pre-aggregated per pane on the map side, so the shuffle carries summaries only.
     """
-    names = [*features, SCORE]
     pane = math.gcd(cfg.window_size, cfg.interval)
-    wide = profile.groupBy("stream_id", "profile_id", "from_u", "to_u").agg(
-        *[F.first(F.when(F.col("feature") == f, F.col("edges")), ignorenulls=True).alias(f"_e_{f}") for f in names]
-    )
-    u = F.col("t") - cfg.reference_events
-    rows = scored.filter(F.col("t") > cfg.reference_events).select(
-        "stream_id", u.alias("u"), *[F.col(f).cast("double").alias(f) for f in names]
-    )
+    rows = scored.filter(F.col("t") > cfg.reference_events).withColumn("u", F.col("t") - cfg.reference_events)
+    edges = profile.select("stream_id", "feature", "profile_id", "from_u", "to_u", "edges")
     in_force = (F.col("u") > F.col("from_u") - cfg.window_size) & (
         F.col("to_u").isNull() | (F.col("u") <= F.col("to_u"))
     )
-    items = F.array(
-        *[
-            F.struct(F.lit(f).alias("feature"), D.bin_of(F.col(f), F.col(f"_e_{f}")).alias("bin"), F.col(f).alias("value"))
-            for f in names
-        ]
-    )
-    long = rows.join(small(wide), "stream_id").filter(in_force).select(
-        "stream_id", "profile_id", "from_u", "to_u",
-        F.ceil(F.col("u") / pane).cast("long").alias("pane"), F.explode(items).alias("_i"),
-    )
-    return (
-        long.select("stream_id", "profile_id", "from_u", "to_u", "pane", "_i.*")
-        .groupBy("stream_id", "profile_id", "from_u", "to_u", "pane", "feature")
-        .agg(*bin_counts(), F.sum("value").alias("total"), F.count(F.lit(1)).alias("rows"))
+    keys = ["stream_id", "profile_id", "from_u", "to_u", "pane", "feature"]
+    binned = (
+        long_form(rows, ["stream_id", "u"], [*features, SCORE])
+        .join(hinted(edges), ["stream_id", "feature"])
+        .filter(in_force)
+        .withColumns({"bin": D.bin_of("value", "edges"), "pane": F.ceil(F.col("u") / pane).cast("long")})
     )
+    return binned.groupBy(*keys).agg(*bin_counts(), F.sum("value").alias("total"), F.count(F.lit(1)).alias("rows"))
 
 
 def windowed_distances(panes: DataFrame, profile: DataFrame, cfg: DriftConfig) -> DataFrame:
@@ -163,7 +153,7 @@ def windowed_distances(panes: DataFrame, profile: DataFrame, cfg: DriftConfig) -
         .orderBy("pane")
         .rowsBetween(-(span - 1), 0)
     )
-    sums = [F.sum(f"b{i}").over(frame).alias(f"w{i}") for i in range(1, BINS + 1)]
+    sums = [F.sum(b).over(frame).alias(w) for b, w in zip(count_names(), count_names("w"), strict=True)]
     rows = with_halo(panes, "pane", chunk, span - 1).select(
         "stream_id", "profile_id", "from_u", "to_u", "pane", "feature", "_core",
         F.col("rows").alias("_full"), *sums, F.sum("total").over(frame).alias("total"),
@@ -178,11 +168,10 @@ def windowed_distances(panes: DataFrame, profile: DataFrame, cfg: DriftConfig) -
         & (F.col("u") > F.col("from_u"))
         & (F.col("to_u").isNull() | (F.col("u") <= F.col("to_u")))
     )
-    ref = profile.select("stream_id", "profile_id", "feature", "ref_perc", "n", "mean", "std")
-    joined = ticks.join(small(ref), ["stream_id", "profile_id", "feature"])
-    counts = count_columns("w")
-    inside = sum(counts[1:], counts[0])
-    shares = [F.col("ref_perc")[i] for i in range(BINS)]
+    ref = hinted(profile).select("stream_id", "profile_id", "feature", "ref_perc", "n", "mean", "std")
+    joined = ticks.join(ref, ["stream_id", "profile_id", "feature"])
+    counts, inside = count_names("w"), total_of("w")
+    shares = [f"ref_perc[{i}]" for i in range(BINS)]
     crit = F.when(
         F.col("feature") == SCORE, D.ks_critical(F.col("n"), F.col("n_cur"), cfg.pred_ks_p)
     ).otherwise(D.ks_critical(F.col("n"), F.col("n_cur"), cfg.feature_ks_p))

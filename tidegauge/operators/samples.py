@@ -11,7 +11,7 @@ from tidegauge.config import BINS
 from tidegauge.functions import distance as D
 from tidegauge.functions.scalar import is_finite
 from tidegauge.operators.ordering import exact_quantiles, running_totals
-from tidegauge.operators.profile import DECILES, bin_counts, count_columns
+from tidegauge.operators.profile import DECILES, bin_counts, count_names, total_of
 from tidegauge.session import small
 
 Q = [f"q{i}" for i in range(BINS + 1)]
@@ -22,15 +22,15 @@ def _deciles(ref: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _binned(sample: DataFrame, edges: DataFrame, keys: Sequence[str], prefix: str) -> DataFrame:
-    rows = sample.join(small(edges), list(keys)).withColumn("bin", D.bin_of(F.col("value"), F.col("edges")))
+    rows = sample.join(small(edges), list(keys)).withColumn("bin", D.bin_of("value", "edges"))
     counted = rows.groupBy(*keys).agg(*bin_counts(), F.count("value").alias("n"))
     return counted.select(
-        *keys, F.col("n").alias(f"n_{prefix}"), *[c.alias(f"{prefix}{i + 1}") for i, c in enumerate(count_columns())]
+        *keys, F.col("n").alias(f"n_{prefix}"), *[F.col(b).alias(p) for b, p in zip(count_names(), count_names(prefix), strict=True)]
     )
 
 
-def _shares(prefix: str, rule, total) -> list:
-    return [rule(c, total) for c in count_columns(prefix)]
+def _shares(prefix: str, rule, total: str) -> list[str]:
+    return [rule(c, total) for c in count_names(prefix)]
 
 
 def psi_widened(ref: DataFrame, cur: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -46,8 +46,7 @@ def psi_widened(ref: DataFrame, cur: DataFrame, keys: Sequence[str]) -> DataFram
         ).alias("edges"),
     )
     both = _binned(ref, edges, keys, "r").join(_binned(cur, edges, keys, "c"), keys)
-    ref_total, cur_total = sum(count_columns("r")[1:], F.col("r1")), sum(count_columns("c")[1:], F.col("c1"))
-    value = D.psi(_shares("c", D.clipped_share, cur_total), _shares("r", D.clipped_share, ref_total))
+    value = D.psi(_shares("c", D.clipped_share, total_of("c")), _shares("r", D.clipped_share, total_of("r")))
     return both.select(*keys, "n_r", "n_c", value.alias("psi"))
 
 
@@ -55,21 +54,20 @@ def psi_verdict(distances: DataFrame, threshold: float) -> DataFrame:
     return distances.withColumn("triggered", F.col("psi") >= threshold)
 
 
-def open_edges(ref: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Decile edges with infinite ends from the finite rows of a sample."""
+def open_edges(deciles: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner deciles between infinite ends."""
     inf = F.lit(float("inf"))
-    q = _deciles(ref.filter(is_finite(F.col("value"))), keys)
-    return q.select(*keys, F.array(-inf, *[F.col(c) for c in Q[1:-1]], inf).alias("edges"))
+    return deciles.select(*keys, F.array(-inf, *[F.col(c) for c in Q[1:-1]], inf).alias("edges"))
 
 
 def psi_open(ref: DataFrame, cur: DataFrame, keys: Sequence[str]) -> DataFrame:
     """PSI with infinite outer edges over finite rows; 0 where a sample has none."""
     keys = list(keys)
     finite = is_finite(F.col("value"))
-    edges = open_edges(ref, keys)
+    edges = open_edges(_deciles(ref.filter(finite), keys), keys)
     counted = _binned(ref.filter(finite), edges, keys, "r").join(_binned(cur.filter(finite), edges, keys, "c"), keys)
     value = D.psi(
-        _shares("c", D.zero_floored_share, F.col("n_c")), _shares("r", D.zero_floored_share, F.col("n_r"))
+        _shares("c", D.zero_floored_share, "n_c"), _shares("r", D.zero_floored_share, "n_r")
     )
     groups = ref.select(*keys).distinct().unionByName(cur.select(*keys).distinct()).distinct()
     return groups.join(counted.select(*keys, value.alias("psi")), keys, "left").na.fill(0.0, ["psi"])

@@ -11,9 +11,9 @@ from tidegauge.config import BINS
 from tidegauge.functions import distance as D
 from tidegauge.functions.scalar import is_finite
 from tidegauge.operators.ordering import with_halo
-from tidegauge.operators.profile import bin_counts, count_columns, long_form
-from tidegauge.operators.samples import open_edges
-from tidegauge.session import small
+from tidegauge.operators.profile import DECILES, bin_counts, count_names, long_form
+from tidegauge.operators.samples import Q, open_edges
+from tidegauge.session import stage
 
 SERIES_CHUNK = 4096
 
@@ -38,35 +38,29 @@ def window_psi(
 ) -> DataFrame:
     """One row per whole window: bounds, label share, and the largest PSI over the columns."""
     columns = [*features, *([pred] if pred else [])]
+    values = [F.col(c).cast("double").alias(c) for c in columns]
+    indexed = stage(indexed.select("idx", "ts_us", label, *values), "indexed")
     ref = long_form(indexed.filter(F.col("idx") <= reference_size), [], columns).filter(is_finite(F.col("value")))
-    edges = open_edges(ref, ["feature"])
-    per_column = [F.first(F.when(F.col("feature") == c, F.col("edges")), ignorenulls=True).alias(c) for c in columns]
-    all_edges = edges.agg(*per_column).select(F.struct(*columns)).scalar()
-    binned_ref = ref.join(small(edges), "feature").withColumn("bin", D.bin_of(F.col("value"), F.col("edges")))
+    # The reference is bounded by its size, its summaries have one row per column.
+    deciles = ref.groupBy("feature").agg(*[F.percentile("value", F.lit(p)).alias(q) for q, p in zip(Q, DECILES, strict=True)])
+    edges = stage(open_edges(deciles, ["feature"]), "edges")
+    binned_ref = ref.join(F.broadcast(edges), "feature").withColumn("bin", D.bin_of("value", "edges"))
     shares = binned_ref.groupBy("feature").agg(*bin_counts(), F.count(F.lit(1)).alias("n_ref")).select(
-        "feature", "n_ref", *[c.alias(f"r{i + 1}") for i, c in enumerate(count_columns())]
+        "feature", "n_ref", *[F.col(b).alias(r) for b, r in zip(count_names(), count_names("r"), strict=True)]
     )
-    rows = count_windows(indexed.select("idx", "ts_us", label, *columns), reference_size, size, step)
+    rows = count_windows(indexed, reference_size, size, step)
     bounds = rows.groupBy("window_id").agg(
         F.min("idx").alias("_first"), F.max("idx").alias("_last"), F.count(F.lit(1)).alias("_n"),
         F.min_by("ts_us", "idx").alias("start_us"), F.max_by("ts_us", "idx").alias("end_us"),
         F.avg(F.col(label).cast("double")).alias("label_share"),
     ).filter(F.col("_n") == size)
-    items = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("feature"),
-                F.when(is_finite(F.col(c).cast("double")), D.bin_of(F.col(c).cast("double"), F.col(f"_e.{c}"))).alias("bin"),
-            )
-            for c in columns
-        ]
-    )
-    long = rows.withColumn("_e", all_edges).select("window_id", F.explode(items).alias("_i")).select("window_id", "_i.*")
-    counts = long.groupBy("window_id", "feature").agg(*bin_counts(), F.count("bin").alias("n_cur"))
-    joined = counts.join(small(shares), "feature")
+    long = long_form(rows, ["window_id"], columns).join(F.broadcast(edges), "feature")
+    finite_bin = F.when(is_finite(F.col("value")), D.bin_of("value", "edges"))
+    counts = long.withColumn("bin", finite_bin).groupBy("window_id", "feature").agg(*bin_counts(), F.count("bin").alias("n_cur"))
+    joined = counts.join(F.broadcast(shares), "feature")
     value = D.psi(
-        [D.zero_floored_share(c, F.col("n_cur")) for c in count_columns()],
-        [D.zero_floored_share(c, F.col("n_ref")) for c in count_columns("r")],
+        [D.zero_floored_share(c, "n_cur") for c in count_names()],
+        [D.zero_floored_share(c, "n_ref") for c in count_names("r")],
     )
     psi = joined.select("window_id", F.when(F.col("n_cur") > 0, value).otherwise(F.lit(0.0)).alias("psi"))
     top = psi.groupBy("window_id").agg(F.max("psi").alias("max_psi"))

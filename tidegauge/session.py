@@ -56,11 +56,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def fits(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``limit`` rows; reads no more than needed to tell."""
-    return df.limit(limit + 1).count() <= limit
+def hinted(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A stored table with a broadcast hint if it has at most ``limit`` rows, else as it is."""
+    return F.broadcast(df) if df.count() <= limit else df
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if its size is proven small, else as it is."""
-    return F.broadcast(df) if fits(df, limit) else df
+    """A join side that should be small: computed once into a stored table, whose row count then
+    decides about the broadcast hint."""
+    return hinted(stage(df, "side"), limit)
