@@ -3,11 +3,12 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from tests.naive import naive_features
 from tidegauge.catalog import inputs as I
-from tidegauge.config import FEATURES
+from tidegauge.config import FEATURES, FeatureConfig
 from tidegauge.operators.features import entity_features
 from tidegauge.plans.scoring import ScoringRun
-from tidegauge.sources.events import normalized, parse_events, replay_stream
+from tidegauge.sources.events import parse_events, replay_stream
 from tidegauge.streaming import ingest, monitor
 
 CFG = I.SMALL_CONFIG
@@ -96,18 +97,17 @@ def test_broker_stream_splits_dead_letters(spark, tmp_path):
 
 
 def test_late_rows_take_their_place(spark, tmp_path):
-    from tests.naive import naive_features
-
     ingest.use_state_store(spark)
     schema = "event_id string, ts double, entity_id string, amount double, merchant_id string, merchant_category string, country string, channel string, device_type string, drift_tag string"
-    rows = [(f"e{i:02d}", float(i), "x", float(10 + i % 7), f"m{i % 4}", "c", ("US", "IN", "CA")[i % 3], "web", "ios", None) for i in range(20)]
+    rows = [(f"e{i:02d}", 1000.0 + i, "x", float(10 + i % 7), f"m{i % 4}", "c", ("US", "IN", "CA")[i % 3], "web", "ios", None) for i in range(20)]
     source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     for part in (rows[:8] + rows[10:12], rows[8:10] + rows[12:]):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").json(source)
-        stream = ingest.feature_stream(replay_stream(spark, source), CFG.features.__class__(window_seconds=6, max_events=8), "1 hour")
+        stream = ingest.feature_stream(replay_stream(spark, source), FeatureConfig(window_seconds=6, max_events=8), "1 hour")
         ingest.write_table(stream, out, state).awaitTermination()
     got = feature_rows(spark.read.parquet(out))
     want = naive_features([(r[0], int(r[1] * 1e6), r[2], r[3], r[4], r[6]) for r in rows], 6, 8)
-    # Rows after the late ones see them; rows emitted before they came do not.
-    assert all(got[f"e{i:02d}"] == want[f"e{i:02d}"] for i in [*range(10), *range(13, 20)])
-    assert normalized is not None
+    # Rows after the late ones see them. The late rows themselves see what the state still holds:
+    # one window back from the newest event.
+    assert all(got[f"e{i:02d}"] == want[f"e{i:02d}"] for i in [*range(8), *range(12, 20)])
+    assert len(got) == 20 and got["e08"][0] == 3.0

@@ -170,8 +170,8 @@ class FittedForest:
             return guarded.mapInPandas(score_batches, schema).filter(~F.isnan("raw_score"))
 
         chunked = guarded.withColumn("_part", F.floor(F.col("idx") / SCORE_CHUNK))
-        parts = chunked.select(KEY, "_part").distinct()
-        trees_by_part = self.forest.join(parts, KEY)
+        parts = chunked.select(F.col(KEY).alias("_key"), F.col("_part").alias("_tree_part")).distinct()
+        trees_by_part = self.forest.join(parts, F.col(KEY) == F.col("_key"))
 
         def score_part(pdf: pd.DataFrame, trees_pdf: pd.DataFrame) -> pd.DataFrame:
             if len(trees_pdf) == 0 or len(pdf) == 0:
@@ -180,7 +180,7 @@ class FittedForest:
             return pdf[keep].assign(raw_score=_anomaly(pdf[xs].to_numpy(), trees, psi))
 
         left = chunked.groupBy(KEY, "_part")
-        return left.cogroup(trees_by_part.groupBy(KEY, "_part")).applyInPandas(score_part, schema)
+        return left.cogroup(trees_by_part.groupBy("_key", "_tree_part")).applyInPandas(score_part, schema)
 
     def transform(self, rows: DataFrame) -> DataFrame:
         assert self.norms is not None
