@@ -81,3 +81,15 @@ def test_previous_row_over_range_borders(spark):
     df = spark.createDataFrame([("a", t, t * 2) for t in (1, 2, 35, 36, 99)] + [("b", 7, 0)], "k string, ts long, v long")
     got = {(r.k, r.ts): r._prev.v if r._prev else None for r in O.with_previous(df, ["k"], ["ts"], ["v"], 10).collect()}
     assert got == {("a", 1): None, ("a", 2): 2, ("a", 35): 4, ("a", 36): 70, ("a", 99): 72, ("b", 7): None}
+
+
+def test_slices_planned_from_the_input_of_a_deduplication(spark):
+    from tidegauge.operators.dedupe import first_per_id, opening_events
+
+    raw = skewed(spark)
+    doubled = raw.unionByName(raw).unionByName(raw.withColumn("ts_us", F.col("ts_us") + 1))
+    got = {r.event_id: r.idx for r in O.event_index(first_per_id(doubled), target_rows=100, plan_from=doubled).collect()}
+    want = {r.event_id: i + 1 for i, r in enumerate(sorted(raw.collect(), key=lambda r: (r.ts_us, r.event_id)))}
+    assert got == want
+    opening = {r.event_id: r.idx for r in opening_events(doubled, 400).collect()}
+    assert opening == {e: i for e, i in want.items() if i <= 400}

@@ -922,7 +922,7 @@ def t9_controlled_run(spark, sf):
 def t9_refreshed_distances(spark, sf):
     """Distances against the profile version in force at each evaluation."""
     run = ScoringRun(I.events(spark, sf), I.CONFIG, I.controls(spark, sf))
-    run = _sharing(I.run(spark, sf), run, "features", "model", "scored")
+    run = _sharing(I.run(spark, sf), run, "model", "features", "scored")
     return rounded(run.distances.select("u", "profile_id", "feature", "n_cur", "psi", "ks", "mean_shift_z"), 5)
 
 
@@ -963,7 +963,7 @@ def m2_isolation_forest(spark, sf):
     warmup = I.CONFIG.model.warmup_events
     model = IsolationForestModel(replace(I.CONFIG.model, kind="isolation_forest"))
     fitted = model.fit(run.features.filter(F.col("idx") <= warmup), FEATURES)
-    rows = run.features.filter(F.col("idx") > warmup).select("stream_id", "event_id", "idx", *FEATURES)
+    rows = run.scored.select("stream_id", "event_id", "idx", *FEATURES)
     return fitted.transform(rows).select("event_id", "raw_score", "score")
 
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegauge.session import stage
+
 
 def first_per_id(df: DataFrame, id_col: str = "event_id", order: Sequence[str] = ("ts_us",)) -> DataFrame:
     """Earliest row of each id. An aggregate, not a window: copies collapse before the shuffle,
@@ -23,3 +25,23 @@ def duplicate_counts(df: DataFrame, by: Sequence[str], id_col: str = "event_id")
     """Surplus occurrences per source: an id seen n times counts n - 1."""
     per_id = df.groupBy(*by, id_col).agg(F.count(F.lit(1)).alias("_n"))
     return per_id.groupBy(*by).agg(F.sum(F.col("_n") - 1).alias("duplicates"))
+
+
+def opening_events(events: DataFrame, n: int, dedupe: bool = True) -> DataFrame:
+    """First ``n`` distinct events of every stream with their position ``idx``.
+
+    Reads a prefix of each stream through a ranked limit, which Spark applies before the shuffle,
+    and lengthens the prefix only if copies left it short.
+    """
+    order = Window.partitionBy("stream_id").orderBy("ts_us", "event_id")
+    length = 2 * n if dedupe else n
+    while True:
+        prefix = events.withColumn("idx", F.row_number().over(order).cast("long")).filter(F.col("idx") <= length)
+        prefix = stage(prefix, "opening")
+        if not dedupe:
+            return prefix
+        read = prefix.groupBy("stream_id").agg(F.count(F.lit(1)).alias("r"), F.count_distinct("event_id").alias("d"))
+        if read.filter((F.col("r") == length) & (F.col("d") < n)).isEmpty():
+            rows = first_per_id(prefix.drop("idx")).withColumn("idx", F.row_number().over(order).cast("long"))
+            return rows.filter(F.col("idx") <= n)
+        length *= 2

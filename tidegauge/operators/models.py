@@ -25,7 +25,7 @@ SCORE_CHUNK = 100_000
 
 class FittedModel(Protocol):
     def transform(self, rows: DataFrame) -> DataFrame:
-        """Rows of fitted streams with ``raw_score`` and ``score`` added."""
+        """Rows with ``raw_score`` and ``score`` added, null for streams without a model."""
 
 
 class AnomalyModel(Protocol):
@@ -39,7 +39,7 @@ class FittedZScore:
 
     def transform(self, rows: DataFrame) -> DataFrame:
         norm = vector_norm(self.features)
-        joined = rows.join(hinted(self.params), KEY)
+        joined = rows.join(hinted(self.params), KEY, "left")
         raw = (norm - F.col("norm_mean")) / F.col("norm_scale")
         scored = joined.withColumn("raw_score", raw)
         score = squash(F.col("raw_score"), F.col("raw_mean"), F.col("raw_std"))
@@ -167,7 +167,7 @@ class FittedForest:
                             raw[at] = _anomaly(pdf[xs].to_numpy()[at], trees, psi)
                     yield pdf[keep].assign(raw_score=raw)
 
-            return guarded.mapInPandas(score_batches, schema).filter(~F.isnan("raw_score"))
+            return self._nulls(guarded.mapInPandas(score_batches, schema))
 
         chunked = guarded.withColumn("_part", F.floor(F.col("idx") / SCORE_CHUNK))
         parts = chunked.select(F.col(KEY).alias("_key"), F.col("_part").alias("_tree_part")).distinct()
@@ -175,16 +175,20 @@ class FittedForest:
 
         def score_part(pdf: pd.DataFrame, trees_pdf: pd.DataFrame) -> pd.DataFrame:
             if len(trees_pdf) == 0 or len(pdf) == 0:
-                return pdf.iloc[:0][keep].assign(raw_score=pd.Series(dtype=float))
+                return pdf[keep].assign(raw_score=np.nan)
             trees, psi = _as_trees(trees_pdf)
             return pdf[keep].assign(raw_score=_anomaly(pdf[xs].to_numpy(), trees, psi))
 
         left = chunked.groupBy(KEY, "_part")
-        return left.cogroup(trees_by_part.groupBy("_key", "_tree_part")).applyInPandas(score_part, schema)
+        return self._nulls(left.cogroup(trees_by_part.groupBy("_key", "_tree_part")).applyInPandas(score_part, schema))
+
+    @staticmethod
+    def _nulls(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("raw_score", F.when(~F.isnan("raw_score"), F.col("raw_score")))
 
     def transform(self, rows: DataFrame) -> DataFrame:
         assert self.norms is not None
-        scored = self.raw(rows).join(hinted(self.norms), KEY)
+        scored = self.raw(rows).join(hinted(self.norms), KEY, "left")
         score = squash(F.col("raw_score"), F.col("raw_mean"), F.col("raw_std"))
         return scored.withColumn("score", score).select(*rows.columns, "raw_score", "score")
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tidegauge.session import BROADCAST_ROWS, small
 
 SLICE_ROWS = 250_000
+SMALL_SLICE_ROWS = 100_000
 HOT_FACTOR = 4
 MAX_CUTS = 6
 
@@ -56,21 +57,28 @@ def slice_rows(
     by: Sequence[str],
     key: str,
     tie: str | None = None,
-    target_rows: int = SLICE_ROWS,
+    target_rows: int | None = None,
+    plan_from: DataFrame | None = None,
 ) -> Slices:
     """Cut rows into ranges of ``key`` (then of ``tie``) with about ``target_rows`` rows each.
 
-    The driver reads a handful of totals per cut, never rows.
+    The driver reads a handful of totals per cut, never rows. By default slices are small enough
+    to keep all cores busy on small tables. ``plan_from``: a cheaper table with the same keys and at
+    least the same rows, for instance the input of a deduplication, to take the totals from.
     """
     by = list(by)
     k = F.col(key)
-    head = df.agg(F.min(k).alias("lo"), F.max(k).alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    plan = df if plan_from is None else plan_from
+    head = plan.agg(F.min(k).alias("lo"), F.max(k).alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    if target_rows is None:
+        per_core = head.n // (2 * df.sparkSession.sparkContext.defaultParallelism)
+        target_rows = max(SMALL_SLICE_ROWS, min(SLICE_ROWS, per_core))
     ways = max(1, math.ceil(head.n / target_rows))
     if head.n == 0 or head.lo == head.hi:
         first = F.lit(0).cast("long")
     else:
         first = _cut_label(k, F.lit(head.lo), F.lit(head.hi), F.lit(ways))
-    rows = df.withColumn("_s0", first)
+    rows, plan = df.withColumn("_s0", first), plan.withColumn("_s0", first)
     columns = ["_s0"]
     if ways == 1:
         return Slices(rows, columns, 1, 1)
@@ -83,7 +91,7 @@ def slice_rows(
         ]
         if tie is not None:
             stats += [F.min(tie).alias("_tlo"), F.max(tie).alias("_thi")]
-        counts = rows.groupBy(*by, *columns).agg(*stats)
+        counts = plan.groupBy(*by, *columns).agg(*stats)
         divisible = F.col("_lo") < F.col("_hi")
         if tie is not None:
             divisible = divisible | (F.col("_tlo") < F.col("_thi"))
@@ -107,10 +115,9 @@ def slice_rows(
                 by_tie = _cut_label(F.col(tie), F.col("_tlo"), F.col("_thi"), F.col("_ways"))
             label = F.when(F.col("_lo") < F.col("_hi"), by_key).otherwise(by_tie)
         name = f"_s{len(columns)}"
-        joined = rows.join(hot, [*by, *columns], "left")
-        rows = joined.select(
-            *rows.columns,
-            F.when(F.col("_ways").isNotNull(), label).otherwise(F.lit(0)).cast("long").alias(name),
+        cut = F.when(F.col("_ways").isNotNull(), label).otherwise(F.lit(0)).cast("long").alias(name)
+        rows, plan = (
+            side.join(hot, [*by, *columns], "left").select(*side.columns, cut) for side in (rows, plan)
         )
         columns.append(name)
 
@@ -120,13 +127,14 @@ def running_totals(
     by: Sequence[str],
     order: Sequence[str],
     totals: dict[str, Column],
-    target_rows: int = SLICE_ROWS,
+    target_rows: int | None = None,
+    plan_from: DataFrame | None = None,
 ) -> DataFrame:
     """Inclusive running sums of ``totals`` in ``order`` within ``by``; order[0] is numeric."""
     by, order = list(by), list(order)
     tie = order[1] if len(order) > 1 else None
     work = df.select("*", *[c.alias(f"_w_{n}") for n, c in totals.items()])
-    cut = slice_rows(work, by, order[0], tie, target_rows)
+    cut = slice_rows(work, by, order[0], tie, target_rows, plan_from)
     within = (
         Window.partitionBy(*by, *cut.columns).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     )
@@ -157,10 +165,11 @@ def event_index(
     by: Sequence[str] = ("stream_id",),
     order: Sequence[str] = ("ts_us", "event_id"),
     name: str = "idx",
-    target_rows: int = SLICE_ROWS,
+    target_rows: int | None = None,
+    plan_from: DataFrame | None = None,
 ) -> DataFrame:
     """1-based position of each row in the canonical order of its stream."""
-    return running_totals(df, by, order, {name: F.lit(1).cast("long")}, target_rows)
+    return running_totals(df, by, order, {name: F.lit(1).cast("long")}, target_rows, plan_from)
 
 
 def with_halo(
@@ -201,7 +210,7 @@ def exact_quantiles(
     value: str,
     probs: dict[str, float],
     group_limit: int = 2_000_000,
-    target_rows: int = SLICE_ROWS,
+    target_rows: int | None = None,
 ) -> DataFrame:
     """Linear-interpolated quantiles per group; null and NaN values are left out.
 

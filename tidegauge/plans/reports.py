@@ -33,14 +33,18 @@ def psi_windows(
     return trailing_threshold(scored, fixed_threshold, history, quantile)
 
 
+def _named(row: DataFrame, detector: str) -> DataFrame:
+    return row.withColumn("detector", F.lit(detector))
+
+
 def detector_report(windows: DataFrame, alert: str) -> DataFrame:
     """Confusion and detection latency of one alert column over the windows."""
     counts = quality.confusion(windows, F.col("true_drift") == 1, F.col(alert) == 1)
     segments = quality.drift_segments(windows, "window_id", "start_us", "true_drift", alert)
-    found = quality.segment_summary(segments)
-    return counts.select(
-        F.lit(alert).alias("detector"), "points", "tp", "fp", "fn", "precision", "recall", "f1",
-        *[found.select(c).scalar().alias(c) for c in ("segments_total", "segments_detected", "avg_latency_s", "avg_latency_windows")],
+    both = _named(counts, alert).join(_named(quality.segment_summary(segments), alert), "detector")
+    return both.select(
+        "detector", "points", "tp", "fp", "fn", "precision", "recall", "f1",
+        "segments_total", "segments_detected", "avg_latency_s", "avg_latency_windows",
     )
 
 
@@ -60,11 +64,12 @@ def evaluate_run(requests: DataFrame) -> dict[str, DataFrame]:
     detectors = []
     for name, column in (("fixed_baseline", "fixed_alert"), ("adaptive", "critical_alert")):
         counts = quality.confusion(numbered, truth, F.col(column) == 1)
-        found = quality.segment_summary(quality.drift_segments(numbered, "idx", "ts_us", "ground_truth_drift", column))
+        segments = quality.drift_segments(numbered, "idx", "ts_us", "ground_truth_drift", column)
+        both = _named(counts, name).join(_named(quality.segment_summary(segments), name), "detector")
         detectors.append(
-            counts.select(
-                F.lit(name).alias("detector"), "points", "tp", "fp", "fn", "tn", "precision", "recall", "f1", "false_alert_rate",
-                *[found.select(c).scalar().alias(c) for c in ("segments_total", "segments_detected", "avg_latency_s", "p95_latency_s")],
+            both.select(
+                "detector", "points", "tp", "fp", "fn", "tn", "precision", "recall", "f1", "false_alert_rate",
+                "segments_total", "segments_detected", "avg_latency_s", "p95_latency_s",
             )
         )
     both = detectors[0].unionByName(detectors[1])

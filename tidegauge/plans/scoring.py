@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidegauge.config import EngineConfig
 from tidegauge.operators import adwin, control, drift, profile
 from tidegauge.operators.alerts import alerts_of, circuit_alerts
-from tidegauge.operators.dedupe import first_per_id
+from tidegauge.operators.dedupe import first_per_id, opening_events
 from tidegauge.operators.features import entity_features
 from tidegauge.operators.models import AnomalyModel, model_for
 from tidegauge.operators.ordering import event_index
@@ -44,33 +44,38 @@ class ScoringRun:
     def names(self) -> tuple[str, ...]:
         return self.cfg.features.enabled
 
-    @cached_property
-    def features(self) -> DataFrame:
-        """Deduplicated events with their position in the stream and their features; staged."""
-        events = first_per_id(self.events) if self.cfg.dedupe else self.events
-        return stage(entity_features(event_index(events), self.cfg.features), "features")
-
     @cached_property
     def model(self):
+        """Model of every stream that finishes its warm-up, fitted on the warm-up rows only."""
         warmup = self.cfg.model.warmup_events
-        warm = self.features.filter(F.col("idx") <= warmup)
-        ready = self.features.filter(F.col("idx") == warmup).select("stream_id")
+        opening = opening_events(self.events, warmup, self.cfg.dedupe)
+        warm = stage(entity_features(opening, self.cfg.features), "warmup")
+        ready = warm.filter(F.col("idx") == warmup).select("stream_id")
         model = self.custom_model or model_for(self.cfg.model)
         return model.fit(warm.join(ready, "stream_id", "left_semi"), self.names)
 
+    @cached_property
+    def features(self) -> DataFrame:
+        """Deduplicated events with their position, features and, after the warm-up, scores.
+
+        One pass writes the table everything after reads from.
+        """
+        warmup = self.cfg.model.warmup_events
+        events = first_per_id(self.events) if self.cfg.dedupe else self.events
+        rows = self.model.transform(entity_features(event_index(events, plan_from=self.events), self.cfg.features))
+        scored = {c: F.when(F.col("idx") > warmup, F.col(c)) for c in ("raw_score", "score")}
+        return stage(rows.withColumns(scored), "features")
+
     @cached_property
     def scored(self) -> DataFrame:
         """Rows after the warm-up with position ``t`` among scored rows, raw score and score."""
-        warmup = self.cfg.model.warmup_events
-        rows = self.features.filter(F.col("idx") > warmup).withColumn("t", F.col("idx") - warmup)
-        scored = self.model.transform(rows)
-        # Python-scored rows are kept; expression scores are cheaper to redo than to store.
-        return scored if self.cfg.model.kind == "zscore" else stage(scored, "scored")
+        rows = self.features.filter(F.col("score").isNotNull())
+        return rows.withColumn("t", F.col("idx") - self.cfg.model.warmup_events)
 
     @cached_property
     def warming_up(self) -> DataFrame:
         """Rows without a score: the warm-up, and streams that never finish it."""
-        return self.features.join(self.scored.select("stream_id", "event_id"), ["stream_id", "event_id"], "left_anti")
+        return self.features.filter(F.col("score").isNull())
 
     @cached_property
     def profile(self) -> DataFrame:
