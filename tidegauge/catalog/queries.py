@@ -962,7 +962,8 @@ def m2_isolation_forest(spark, sf):
     run = I.run(spark, sf)
     warmup = I.CONFIG.model.warmup_events
     model = IsolationForestModel(replace(I.CONFIG.model, kind="isolation_forest"))
-    fitted = model.fit(run.features.filter(F.col("idx") <= warmup), FEATURES)
+    warm = run.features.filter(F.col("idx") <= warmup).select("stream_id", "event_id", "idx", *FEATURES)
+    fitted = model.fit(warm, FEATURES)
     rows = run.scored.select("stream_id", "event_id", "idx", *FEATURES)
     return fitted.transform(rows).select("event_id", "raw_score", "score")
 

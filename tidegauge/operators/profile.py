@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from tidegauge.config import BINS, SCORE, DriftConfig
 from tidegauge.functions import distance as D
-from tidegauge.operators.ordering import with_halo
+from tidegauge.operators.ordering import asof_join, with_halo
 from tidegauge.session import hinted, small
 
 # Quantile positions of the bin edges.
 DECILES = (0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
 PANE_CHUNK = 256
+ACTION_CHUNK_US = 3_600_000_000
 
 
 def long_form(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -87,40 +88,50 @@ def refreshed_profiles(
     ``refreshes`` (stream_id, ts_us) is an operator action log. A refresh with fewer than
     ``min_samples`` current rows has no effect.
     """
-    acts = refreshes.select("stream_id", F.col("ts_us").alias("act_us"))
     current = scored.filter(F.col("t") > cfg.reference_events).select(
         "stream_id", "ts_us", (F.col("t") - cfg.reference_events).alias("u"), *features, SCORE
     )
-    same_stream = small(acts)
+    # Position of the last row at or before each action: an as-of join, no pairing of rows and actions.
     at = (
-        current.select("stream_id", "ts_us", "u")
-        .join(same_stream, "stream_id")
-        .filter("ts_us <= act_us")
-        .groupBy("stream_id", "act_us")
-        .agg(F.max("u").alias("at_u"))
-        .filter(F.col("at_u") >= cfg.min_samples)
-        .groupBy("stream_id", "at_u")
-        .agg(F.min("act_us").alias("act_us"))
+        asof_join(refreshes.select("stream_id", "ts_us"), current.select("stream_id", "ts_us", "u"), ["stream_id"], "ts_us", ACTION_CHUNK_US, "u")
+        .filter(F.col("u") >= cfg.min_samples)
+        .groupBy(F.col("stream_id"), F.col("u").alias("at_u"))
+        .agg(F.min("ts_us").alias("act_us"))
     )
     order = Window.partitionBy("stream_id").orderBy("at_u")
     versions = at.withColumn("profile_id", F.row_number().over(order)).withColumn(
         "to_u", F.lead("at_u").over(order)
     )
+    versions = small(versions)
     kept = min(cfg.window_size, cfg.reference_events)
-    rows = current.join(small(versions), "stream_id").filter(
-        (F.col("u") <= F.col("at_u")) & (F.col("u") > F.col("at_u") - kept)
-    )
+    # A version draws on the last `kept` rows, which lie in its own or the preceding range.
+    slot = F.floor(F.col("at_u") / kept)
+    near = versions.withColumn("_slot", F.explode(F.array(slot - 1, slot)))
+    rows = current.withColumn("_slot", F.floor(F.col("u") / kept)).join(near, ["stream_id", "_slot"])
+    rows = rows.filter((F.col("u") <= F.col("at_u")) & (F.col("u") > F.col("at_u") - kept))
     keys = ["stream_id", "profile_id"]
-    built = build_profile(long_form(rows, keys, [*features, SCORE]), keys).join(small(versions), keys)
+    built = build_profile(long_form(rows, keys, [*features, SCORE]), keys).join(versions, keys)
     later = built.select(
         "stream_id", "feature", "edges", "ref_perc", "n", "mean", "std", "profile_id",
         F.col("at_u").alias("from_u"), "to_u",
     )
     first = versions.filter("profile_id = 1").select("stream_id", F.col("at_u").alias("_first"))
-    opened = base.join(small(first), "stream_id", "left").withColumn("to_u", F.col("_first")).drop("_first")
+    opened = base.join(first, "stream_id", "left").withColumn("to_u", F.col("_first")).drop("_first")
     return opened.unionByName(later)
 
 
+def _with_versions(rows: DataFrame, profile: DataFrame, cfg: DriftConfig) -> DataFrame:
+    """Rows with the profile version(s) whose windows they fall in: the one in force, and later
+    ones that take over within a window."""
+    if profile.filter(F.col("profile_id") > 0).isEmpty():
+        return rows.withColumn("profile_id", F.lit(0))
+    starts = profile.filter(F.col("feature") == SCORE).groupBy("stream_id").agg(F.collect_list("from_u").alias("_starts"))
+    joined = rows.join(small(starts), "stream_id")
+    in_force = F.size(F.filter("_starts", lambda f: f < F.col("u"))) - 1
+    latest = F.size(F.filter("_starts", lambda f: f - cfg.window_size < F.col("u"))) - 1
+    return joined.withColumn("profile_id", F.explode(F.sequence(in_force, latest))).drop("_starts")
+
+
 def pane_stats(scored: DataFrame, profile: DataFrame, cfg: DriftConfig, features: Sequence[str]) -> DataFrame:
     """Binned counts and sums per (stream, profile version, pane, feature).
 
@@ -129,16 +140,11 @@ def pane_stats(scored: DataFrame, profile: DataFrame, cfg: DriftConfig, features
     """
     pane = math.gcd(cfg.window_size, cfg.interval)
     rows = scored.filter(F.col("t") > cfg.reference_events).withColumn("u", F.col("t") - cfg.reference_events)
+    long = long_form(_with_versions(rows, profile, cfg), ["stream_id", "u", "profile_id"], [*features, SCORE])
     edges = profile.select("stream_id", "feature", "profile_id", "from_u", "to_u", "edges")
-    in_force = (F.col("u") > F.col("from_u") - cfg.window_size) & (
-        F.col("to_u").isNull() | (F.col("u") <= F.col("to_u"))
-    )
     keys = ["stream_id", "profile_id", "from_u", "to_u", "pane", "feature"]
-    binned = (
-        long_form(rows, ["stream_id", "u"], [*features, SCORE])
-        .join(hinted(edges), ["stream_id", "feature"])
-        .filter(in_force)
-        .withColumns({"bin": D.bin_of("value", "edges"), "pane": F.ceil(F.col("u") / pane).cast("long")})
+    binned = long.join(hinted(edges), ["stream_id", "profile_id", "feature"]).withColumns(
+        {"bin": D.bin_of("value", "edges"), "pane": F.ceil(F.col("u") / pane).cast("long")}
     )
     return binned.groupBy(*keys).agg(*bin_counts(), F.sum("value").alias("total"), F.count(F.lit(1)).alias("rows"))
 
