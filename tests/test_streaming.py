@@ -58,7 +58,17 @@ def test_stream_features_equal_batch_with_duplicates_and_restart(spark, sf, run,
     assert got == want
 
 
-def test_monitor_stream_equals_batch(spark, run, tmp_path):
+def test_monitor_stream_equals_batch(spark, sf, run, tmp_path):
+    plain = run
+    acts = spark.createDataFrame(
+        [("main", 1_705_000_000_000_000, "freeze_adaptation", "ann", None), ("main", 1_705_600_000_000_000, "unfreeze_adaptation", None, None)],
+        "stream_id string, ts_us long, action string, actor string, reason string",
+    )
+    run = ScoringRun(I.events(spark, sf), CFG, acts)
+    for name in ("model", "features", "scored", "profile", "distances", "evaluations"):
+        run.__dict__[name] = getattr(plain, name)
+    assert run.thresholds.filter("changed AND ts_us BETWEEN 1705000000000000 AND 1705599999999999").isEmpty()
+    assert run.thresholds.filter("changed").count() < plain.thresholds.filter("changed").count()
     base, source = str(tmp_path / "base"), str(tmp_path / "scored")
     columns = ["stream_id", "event_id", "ts_us", "entity_id", "merchant_category", "country", "channel", "score", *FEATURES]
     rows = run.scored.select(*columns)
@@ -66,7 +76,7 @@ def test_monitor_stream_equals_batch(spark, run, tmp_path):
     for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
         rows.filter((F.col("ts_us") >= a) & (F.col("ts_us") < b)).coalesce(2).write.mode("append").parquet(source)
         stream = spark.readStream.schema(rows.schema).parquet(source)
-        monitor.catch_up(spark, stream, base, CFG, run.profile)
+        monitor.catch_up(spark, stream, base, CFG, run.profile, acts)
     decided = spark.read.parquet(f"{base}/decisions")
     got = {r.t: (round(r.drift_score, 9), round(r.drift_threshold, 9), r.drift_warning_active, r.drift_active, r.adwin_detected)
            for r in decided.filter(F.col("kind") == monitor.EVALUATION).collect()}

@@ -32,6 +32,7 @@ SUMMARY = {
     "ks_critical": _ARRAY, "mean_shift_z": _ARRAY, "score_psi": "double", "score_ks": "double",
     "score_ks_critical": "double", "n": "long", "mean": "double", "squares": "double", "ts_us": "long",
     "event_id": _TEXT, "n_history": "long", "proposal": "double", "over_mark": "double", "under_mark": "double",
+    "frozen": "boolean",
 }
 DECISION = {
     "stream_id": _TEXT, "t": "long", "kind": "int", "drift_score": "double", "drift_threshold": "double",
@@ -48,11 +49,12 @@ class Indexer:
     """``foreachBatch`` function; every write replaces its own batch, so replays are harmless.
 
     ``base``: folder of the tables. ``reference``: frozen profile. Positions go on from those of
-    earlier batches; rows of one batch are numbered in event order.
+    earlier batches; rows of one batch are numbered in event order. ``controls``: table of operator
+    actions, read again for every batch.
     """
 
-    def __init__(self, base: str, cfg: EngineConfig, reference: DataFrame) -> None:
-        self.base, self.cfg, self.reference = base, cfg, reference
+    def __init__(self, base: str, cfg: EngineConfig, reference: DataFrame, controls: DataFrame | None = None) -> None:
+        self.base, self.cfg, self.reference, self.controls = base, cfg, reference, controls
 
     def _earlier(self, spark: SparkSession, table: str, batch_id: int) -> DataFrame | None:
         try:
@@ -97,6 +99,10 @@ class Indexer:
         # A tail cut inside a window must not produce evaluations of old rows.
         evaluations = drift.evaluation_rows(distances, names).join(ends, "stream_id").filter(due)
         ticks = control.tick_quantiles(rows, c).join(ends, "stream_id").filter(due)
+        if self.controls is None:
+            ticks = ticks.withColumn("frozen", F.lit(False))
+        else:
+            ticks = control.latest_action(ticks, self.controls)
         out = [evaluations.withColumn("kind", F.lit(EVALUATION)), ticks.withColumn("kind", F.lit(TICK))]
         if d.adwin_enabled:
             blocks = adwin.score_blocks(rows, d.reference_events, d.adwin_clock).join(ends, "stream_id").filter(due)
@@ -131,7 +137,7 @@ class Decisions(StatefulProcessor):
         changed_at = -1
         out = []
         pdf = pd.concat(list(rows), ignore_index=True).sort_values(["t", "kind"])
-        for row in pdf.assign(adwin_detected=False, drift_active=False, frozen=False).itertuples(index=False):
+        for row in pdf.assign(adwin_detected=False, drift_active=False).itertuples(index=False):
             decision = dict.fromkeys(DECISION) | {"stream_id": row.stream_id, "t": row.t, "kind": row.kind}
             if row.kind == BLOCK:
                 if window.add(float(row.n), float(row.mean), float(row.squares)):
@@ -153,9 +159,11 @@ class Decisions(StatefulProcessor):
         pass
 
 
-def index_stream(scored: DataFrame, base: str, cfg: EngineConfig, reference: DataFrame) -> StreamingQuery:
+def index_stream(
+    scored: DataFrame, base: str, cfg: EngineConfig, reference: DataFrame, controls: DataFrame | None = None
+) -> StreamingQuery:
     """First query: number and store scored rows, write due summaries."""
-    writer = scored.writeStream.foreachBatch(Indexer(base, cfg, reference)).trigger(availableNow=True)
+    writer = scored.writeStream.foreachBatch(Indexer(base, cfg, reference, controls)).trigger(availableNow=True)
     return writer.option("checkpointLocation", f"{base}/checkpoints/index").start()
 
 
@@ -184,9 +192,11 @@ def emit_alerts(spark: SparkSession, base: str, cfg: EngineConfig) -> None:
     append_alerts(alerts_of(judged_rows(spark, base, cfg)), f"{base}/alerts")
 
 
-def catch_up(spark: SparkSession, scored: DataFrame, base: str, cfg: EngineConfig, reference: DataFrame) -> None:
+def catch_up(
+    spark: SparkSession, scored: DataFrame, base: str, cfg: EngineConfig, reference: DataFrame, controls: DataFrame | None = None
+) -> None:
     """Process everything available: index, decide, alert."""
-    index_stream(scored, base, cfg, reference).awaitTermination()
+    index_stream(scored, base, cfg, reference, controls).awaitTermination()
     decisions = decision_stream(spark, base, cfg).writeStream.format("parquet").outputMode("append")
     decisions = decisions.option("checkpointLocation", f"{base}/checkpoints/decide").trigger(availableNow=True)
     decisions.start(f"{base}/decisions").awaitTermination()
