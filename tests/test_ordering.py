@@ -93,3 +93,13 @@ def test_slices_planned_from_the_input_of_a_deduplication(spark):
     assert got == want
     opening = {r.event_id: r.idx for r in opening_events(doubled, 400).collect()}
     assert opening == {e: i for e, i in want.items() if i <= 400}
+
+
+def test_first_rows_order_a_bounded_part_only(spark):
+    df = skewed(spark)
+    want = [r.event_id for r in sorted(df.collect(), key=lambda r: (r.ts_us, r.event_id))]
+    for n in (1, 60, 1100, 5000):
+        got = O.first_rows(df, ["stream_id"], ("ts_us", "event_id"), n, target_rows=50)
+        assert {r.event_id: r.idx for r in got.collect()} == {e: i + 1 for i, e in enumerate(want[:n])}
+    plan = O.first_rows(df, ["stream_id"], ("ts_us", "event_id"), 60, target_rows=50)._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in plan

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge.operators.ordering import first_rows
 from tidegauge.session import stage
 
 
@@ -30,18 +31,15 @@ def duplicate_counts(df: DataFrame, by: Sequence[str], id_col: str = "event_id")
 def opening_events(events: DataFrame, n: int, dedupe: bool = True) -> DataFrame:
     """First ``n`` distinct events of every stream with their position ``idx``.
 
-    Reads a prefix of each stream through a ranked limit, which Spark applies before the shuffle,
-    and lengthens the prefix only if copies left it short.
+    Reads a bounded prefix of each stream and lengthens it only if copies left it short.
     """
-    order = Window.partitionBy("stream_id").orderBy("ts_us", "event_id")
-    length = 2 * n if dedupe else n
+    order = ("ts_us", "event_id")
+    if not dedupe:
+        return first_rows(events, ["stream_id"], order, n)
+    length = 2 * n
     while True:
-        prefix = events.withColumn("idx", F.row_number().over(order).cast("long")).filter(F.col("idx") <= length)
-        prefix = stage(prefix, "opening")
-        if not dedupe:
-            return prefix
+        prefix = stage(first_rows(events, ["stream_id"], order, length), "opening")
         read = prefix.groupBy("stream_id").agg(F.count(F.lit(1)).alias("r"), F.count_distinct("event_id").alias("d"))
         if read.filter((F.col("r") == length) & (F.col("d") < n)).isEmpty():
-            rows = first_per_id(prefix.drop("idx")).withColumn("idx", F.row_number().over(order).cast("long"))
-            return rows.filter(F.col("idx") <= n)
+            return first_rows(first_per_id(prefix.drop("idx")), ["stream_id"], order, n)
         length *= 2

@@ -172,6 +172,29 @@ def event_index(
     return running_totals(df, by, order, {name: F.lit(1).cast("long")}, target_rows, plan_from)
 
 
+def first_rows(
+    df: DataFrame, by: Sequence[str], order: Sequence[str], n: int, name: str = "idx", target_rows: int | None = None
+) -> DataFrame:
+    """First ``n`` rows per group with their position.
+
+    Only ranges that open before position ``n`` are kept, so what gets ordered per group is bounded
+    by ``n`` and one range, not by the group.
+    """
+    by, order = list(by), list(order)
+    cut = slice_rows(df, by, order[0], order[1] if len(order) > 1 else None, target_rows)
+    rows = cut.rows
+    if cut.n_slices > cut.n_groups:
+        earlier = (
+            Window.partitionBy(*by).orderBy(*cut.columns).rowsBetween(Window.unboundedPreceding, -1)
+        )
+        totals = rows.groupBy(*by, *cut.columns).agg(F.count(F.lit(1)).alias("_n"))
+        opens = totals.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+        near = small(opens.filter(F.col("_before") < n).select(*by, *cut.columns))
+        rows = rows.join(near, [*by, *cut.columns], "left_semi")
+    position = F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")
+    return rows.select(*df.columns, position.alias(name)).filter(F.col(name) <= n)
+
+
 def with_halo(
     df: DataFrame, position: str, size: int, halo: int, chunk: str = "_chunk", core: str = "_core"
 ) -> DataFrame:
