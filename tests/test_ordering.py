@@ -70,10 +70,11 @@ def test_halo_copies_rows_forward_once(spark):
     assert sum(r._core for r in rows) == 20
 
 
-def test_asof_carries_over_empty_chunks(spark):
+@pytest.mark.parametrize("options", [{}, {"salts": 4}, {"sparse_left": True}], ids=["plain", "salted", "sparse"])
+def test_asof_carries_over_empty_chunks(spark, options):
     left = spark.createDataFrame([("s", t) for t in (1, 5, 50, 51, 999, 1000)], "k string, ts long")
     right = spark.createDataFrame([("s", 5, "a"), ("s", 50, "b"), ("s", 50, "c"), ("other", 1, "z")], "k string, ts long, v string")
-    got = {r.ts: (r.v, r.right_ts) for r in O.asof_join(left, right, ["k"], "ts", 10, "v").collect()}
+    got = {r.ts: (r.v, r.right_ts) for r in O.asof_join(left, right, ["k"], "ts", 10, "v", **options).collect()}
     assert got == {1: (None, None), 5: ("a", 5), 50: ("c", 50), 51: ("c", 50), 999: ("c", 50), 1000: ("c", 50)}
 
 

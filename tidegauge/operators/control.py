@@ -16,7 +16,8 @@ from tidegauge.operators.ordering import asof_join, running_totals, with_halo
 from tidegauge.session import small
 
 TICK_CHUNK = 20_000
-CONTROL_CHUNK_US = 3_600_000_000
+CONTROL_CHUNK_US = 600_000_000
+CONTROL_SALTS = 16
 
 # Operator actions.
 FREEZE, UNFREEZE, REFRESH = "freeze_adaptation", "unfreeze_adaptation", "refresh_reference"
@@ -219,7 +220,7 @@ def circuit_openings(lags: DataFrame, releases: DataFrame, cfg: ControlConfig) -
     """
     late = lags.filter(F.col("lag_s") > cfg.lag_limit_seconds)
     marks = releases.select("stream_id", "ts_us", F.lit(True).alias("released"))
-    tagged = asof_join(late.select("stream_id", "ts_us", "event_id", "lag_s"), marks, ["stream_id"], "ts_us", CONTROL_CHUNK_US)
+    tagged = asof_join(late.select("stream_id", "ts_us", "event_id", "lag_s"), marks, ["stream_id"], "ts_us", CONTROL_CHUNK_US, salts=CONTROL_SALTS)
     first = tagged.groupBy("stream_id", "right_ts_us").agg(
         F.min(F.struct("ts_us", "event_id", "lag_s")).alias("_first")
     )
@@ -229,7 +230,7 @@ def circuit_openings(lags: DataFrame, releases: DataFrame, cfg: ControlConfig) -
 def latest_action(rows: DataFrame, controls: DataFrame) -> DataFrame:
     """Rows with the last freeze or unfreeze at or before them, and whether that means frozen."""
     switches = controls.filter(F.col("action").isin(FREEZE, UNFREEZE)).select("stream_id", "ts_us", "action")
-    joined = asof_join(rows, switches, ["stream_id"], "ts_us", CONTROL_CHUNK_US, right_tie="action")
+    joined = asof_join(rows, switches, ["stream_id"], "ts_us", CONTROL_CHUNK_US, "action", CONTROL_SALTS)
     frozen = F.coalesce(F.col("action") == FREEZE, F.lit(False))
     return joined.withColumn("frozen", frozen).withColumnRenamed("action", "last_action").drop("right_ts_us")
 

@@ -276,11 +276,15 @@ def asof_join(
     ts: str,
     chunk_us: int,
     right_tie: str | None = None,
+    salts: int = 1,
+    sparse_left: bool = False,
 ) -> DataFrame:
     """Each left row with the latest right row at or before it, right columns null where none.
 
     Both sides are cut into time chunks; the row in force when a chunk opens is carried in from a
-    per-chunk summary of the right side, so no stream is ordered in one task.
+    per-chunk summary of the right side, so no stream is ordered in one task. ``salts`` splits the
+    left rows of a chunk further (for a short right side, which is repeated per salt);
+    ``sparse_left`` orders only the chunks that hold left rows (for a long right side).
     """
     by = list(by)
     payload = [c for c in right.columns if c not in (*by, ts)]
@@ -288,7 +292,8 @@ def asof_join(
     newest = F.struct(F.col(ts), *([F.col(right_tie)] if right_tie else []))
     chunk = F.floor(F.col(ts) / F.lit(chunk_us)).cast("long")
     right_rows = right.select(*by, F.col(ts), chunk.alias("_chunk"), bundle.alias("_r"), newest.alias("_o"))
-    left_rows = left.withColumn("_chunk", chunk)
+    salt = F.pmod(F.xxhash64(*by, ts), F.lit(salts)).cast("int") if salts > 1 else F.lit(0)
+    left_rows = left.withColumns({"_chunk": chunk, "_salt": salt})
 
     closing = right_rows.groupBy(*by, "_chunk").agg(F.max_by("_r", "_o").alias("_r"))
     wanted = left_rows.select(*by, "_chunk").distinct().withColumn("_r", F.lit(None).cast(closing.schema["_r"].dataType))
@@ -298,9 +303,12 @@ def asof_join(
 
     # Right rows sort before left rows of the same instant, later right rows win.
     empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in left.schema if f.name not in (*by, ts)]
-    marks = right_rows.select(
-        *by, ts, "_chunk", *empty, "_r", F.lit(0).alias("_side"),
-        (F.col(f"_o.{right_tie}") if right_tie else F.lit(0)).alias("_rt"),
+    near = right_rows
+    if sparse_left:
+        near = near.join(small(left_rows.select(*by, "_chunk").distinct()), [*by, "_chunk"], "left_semi")
+    marks = near.select(
+        *by, ts, "_chunk", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"), *empty, "_r",
+        F.lit(0).alias("_side"), (F.col(f"_o.{right_tie}") if right_tie else F.lit(0)).alias("_rt"),
     )
     rows = left_rows.withColumns(
         {
@@ -310,7 +318,7 @@ def asof_join(
         }
     )
     inside = (
-        Window.partitionBy(*by, "_chunk")
+        Window.partitionBy(*by, "_chunk", "_salt")
         .orderBy(ts, "_side", "_rt")
         .rowsBetween(Window.unboundedPreceding, 0)
     )

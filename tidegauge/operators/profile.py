@@ -16,7 +16,7 @@ from tidegauge.session import hinted, small
 # Quantile positions of the bin edges.
 DECILES = (0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
 PANE_CHUNK = 256
-ACTION_CHUNK_US = 3_600_000_000
+ACTION_CHUNK_US = 600_000_000
 
 
 def long_form(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -93,7 +93,7 @@ def refreshed_profiles(
     )
     # Position of the last row at or before each action: an as-of join, no pairing of rows and actions.
     at = (
-        asof_join(refreshes.select("stream_id", "ts_us"), current.select("stream_id", "ts_us", "u"), ["stream_id"], "ts_us", ACTION_CHUNK_US, "u")
+        asof_join(refreshes.select("stream_id", "ts_us"), current.select("stream_id", "ts_us", "u"), ["stream_id"], "ts_us", ACTION_CHUNK_US, "u", sparse_left=True)
         .filter(F.col("u") >= cfg.min_samples)
         .groupBy(F.col("stream_id"), F.col("u").alias("at_u"))
         .agg(F.min("ts_us").alias("act_us"))
