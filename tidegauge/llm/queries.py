@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import exact_dedup, packing, token_files, url_filter
+from tidegauge.llm import exact_dedup, fingerprint, mixing, packing, token_files, url_filter
 from tidegauge.llm.common import Scratch, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,18 @@ def op6_token_files(spark, sf):
     )
 
 
+@query
+def op7_mixing(spark, sf):
+    rows = mixing.plan(read(spark, sf, "documents"))
+    rows = rows.withColumn("first_position", F.get("pieces", F.lit(0))["position"]).drop("pieces")
+    return rows.repartitionByRange("first_position", "doc_id").sortWithinPartitions("first_position", "doc_id")
+
+
+@query
+def op8_fingerprints(spark, sf):
+    return fingerprint.with_edits(read(spark, sf, "documents").select("doc_id", "text"))
+
+
 @query
 def op10_packing(spark, sf):
     pieces = packing.pack(read(spark, sf, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=0)
