@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import exact_dedup, fingerprint, mixing, packing, token_files, url_filter
+from tidegauge.llm import exact_dedup, fingerprint, line_dedup, mixing, ngram_join, packing, token_files, url_filter
 from tidegauge.llm.common import Scratch, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,11 @@ def op2_exact_dedup(spark, sf):
     return exact_dedup.exact_dedup(read(spark, sf, "documents")).drop("_row")
 
 
+@query
+def op4_ngram_join(spark, sf):
+    return ngram_join.ngram_join(read(spark, sf, "documents")).drop("_row", "_keep")
+
+
 @query
 def op6_token_files(spark, sf):
     docs = read(spark, sf, "documents")
@@ -62,6 +67,12 @@ def op8_fingerprints(spark, sf):
     return fingerprint.with_edits(read(spark, sf, "documents").select("doc_id", "text"))
 
 
+@query
+def op9_line_dedup(spark, sf):
+    rows = line_dedup.line_dedup(read(spark, sf, "documents").select("doc_id", "text"))
+    return rows.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+
+
 @query
 def op10_packing(spark, sf):
     pieces = packing.pack(read(spark, sf, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=0)
