@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import exact_dedup, fingerprint, line_dedup, mixing, ngram_join, packing, token_files, url_filter
+from tidegauge.llm import class_lm, exact_dedup, fingerprint, line_dedup, mixing, ngram_join, packing, token_files, url_filter
 from tidegauge.llm.common import Scratch, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +44,11 @@ def op4_ngram_join(spark, sf):
     return ngram_join.ngram_join(read(spark, sf, "documents")).drop("_row", "_keep")
 
 
+@query
+def op5_class_lm(spark, sf):
+    return class_lm.class_lm(read(spark, sf, "documents"))
+
+
 @query
 def op6_token_files(spark, sf):
     docs = read(spark, sf, "documents")
