@@ -108,11 +108,12 @@ def signatures(df: DataFrame, key: str, text: str, n: int, bands: int, rows: int
 
 
 def ngram_join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """One row per document: key, class_id, n_links, n_text_links, class_size, and ``_row`` and ``_keep``.
+    """One row per document: key, class_id, n_links, n_text_links, class_size, and ``_tid`` and ``_keep``.
 
     ``n_text_links`` counts the other texts (distinct word sequences) it is linked to, ``n_links`` the other
     documents: those with such texts, and its own copies. ``class_id`` is the smallest key of all that links
-    lead to, ``class_size`` their number. ``_keep`` marks one document of each class.
+    lead to, ``class_size`` their number. ``_keep`` marks one document of each class, ``_tid`` is the md5 of its
+    text, which with the key tells documents apart.
     """
     scratch = Scratch(df.sparkSession, "ngram-join")
     bands, rows = minhash.choose_bands(threshold, recall)
@@ -147,13 +148,13 @@ def ngram_join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int =
     )
     classes = member.groupBy("class").agg(F.min("first").alias("keep"), F.sum("copies").alias("class_size"))
     member = member.join(classes, "class")
-    out = docs.select("row", "id", "words").join(member, "words")
+    out = docs.select("row", "id", "tid", "words").join(member, "words")
     return out.select(
         F.col("id").cast(df.schema[key].dataType).alias(key),
         F.col("keep.id").cast(df.schema[key].dataType).alias("class_id"),
         (F.col("linked") + F.col("copies") - 1).cast("long").alias("n_links"),
         F.col("links").cast("long").alias("n_text_links"),
         F.col("class_size").cast("long").alias("class_size"),
-        F.col("row").alias("_row"),
+        F.col("tid").alias("_tid"),
         (F.col("row") == F.col("keep.row")).alias("_keep"),
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import class_lm, exact_dedup, fingerprint, line_dedup, mixing, ngram_join, packing, token_files, url_filter
+from tidegauge.llm import class_lm, exact_dedup, fingerprint, line_dedup, mixing, ngram_join, packing, quality, token_files, url_filter
 from tidegauge.llm.common import Scratch, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,9 +39,16 @@ def op2_exact_dedup(spark, sf):
     return exact_dedup.exact_dedup(read(spark, sf, "documents")).drop("_row")
 
 
+@query
+def op3_quality(spark, sf):
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    rows = quality.classify(docs, read(spark, sf, "labels"), "quality")
+    return rows.select("doc_id", "held_out", "score", "predicted")
+
+
 @query
 def op4_ngram_join(spark, sf):
-    return ngram_join.ngram_join(read(spark, sf, "documents")).drop("_row", "_keep")
+    return ngram_join.ngram_join(read(spark, sf, "documents")).drop("_tid", "_keep")
 
 
 @query
