@@ -19,7 +19,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Parts a worker remembers, in two generations of this size, and the longest part it remembers.
 REMEMBERED = 400_000
 LONGEST = 64
-#: New parts go to the tokenizer in strings of so many, separated by its own special token.
+#: New parts go to the tokenizer in strings of so many.
 JOINED = 1000
 SEPARATOR = "<|endoftext|>"
 
@@ -48,6 +48,14 @@ class PartEncoder:
         self.parts, self.folds = parts, folds
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        # Words of letters alone are joined as they stand: each has one token that marks its edge, the first
+        # with a space before it or the last with a word end.
+        self.spaced = parts is LEADING_SPACE
+        self.word = re.compile(f" [{_LETTER}]+" if self.spaced else f"[{_LETTER}]+")
+        vocabulary = self.joined.get_vocab()
+        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            self.edge[i] = token.startswith("\u0120") if self.spaced else token.endswith("</w>")
 
     def ids(self, texts: Sequence[str]) -> list[np.ndarray]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
@@ -81,25 +89,39 @@ class PartEncoder:
                 new.append(p)
             else:
                 young[p] = hit
-        odd = [p for p in new if "<|" in p or len(p) > LONGEST]
-        if odd:
-            rest = set(odd)
-            new = [p for p in new if p not in rest]
-            for p, e in zip(odd, self.plain.encode_batch_fast(odd, add_special_tokens=False)):
-                (once if len(p) > LONGEST else young)[p] = np.array(e.ids, "<u4").tobytes()
-        strings = [SEPARATOR.join(new[i : i + JOINED]) for i in range(0, len(new), JOINED)]
-        for k, e in enumerate(self.joined.encode_batch_fast(strings, add_special_tokens=False)):
-            ids = np.array(e.ids, "<u4")
-            ends = np.flatnonzero(ids == self.separator)
-            raw, at = ids.tobytes(), 0
-            for p, end in zip(new[k * JOINED : (k + 1) * JOINED], [*ends.tolist(), len(ids)]):
-                young[p] = raw[4 * at : 4 * end]
-                at = end + 1
+        words, rest, odd = [], [], []
+        whole = self.word.fullmatch
+        for p in new:
+            (odd if "<|" in p or len(p) > LONGEST else words if whole(p) else rest).append(p)
+        for p, e in zip(odd, self.plain.encode_batch_fast(odd, add_special_tokens=False)):
+            (once if len(p) > LONGEST else young)[p] = np.array(e.ids, "<u4").tobytes()
+        self._joined(words, "" if self.spaced else " ", young)
+        self._joined(rest, SEPARATOR, young)
         for p, low in folded.items():
             if p not in young and p not in once:
                 young[p] = young[low] if low in young else once[low]
         return once
 
+    def _joined(self, parts: list[str], glue: str, out: dict[str, bytes]) -> None:
+        """Encode many parts as one string and cut its ids at separators or edges of words."""
+        strings = [glue.join(parts[i : i + JOINED]) for i in range(0, len(parts), JOINED)]
+        for k, e in enumerate(self.joined.encode_batch_fast(strings, add_special_tokens=False)):
+            some = parts[k * JOINED : (k + 1) * JOINED]
+            ids = np.array(e.ids, "<u4")
+            if glue == SEPARATOR:
+                ends = np.append(np.flatnonzero(ids == self.separator), len(ids))
+                begins = np.append(0, ends[:-1] + 1)
+            elif self.spaced:
+                begins = np.flatnonzero(self.edge[ids])
+                ends = np.append(begins[1:], len(ids))
+            else:
+                ends = np.flatnonzero(self.edge[ids]) + 1
+                begins = np.append(0, ends[:-1])
+            if len(ends) != len(some):
+                raise ValueError("the tokenizer merged across the edge of a part")
+            raw = ids.tobytes()
+            out.update(zip(some, [raw[a:b] for a, b in zip((4 * begins).tolist(), (4 * ends).tolist())]))
+
 
 _encoders: dict[tuple, PartEncoder] = {}
 
