@@ -88,7 +88,8 @@ def likeness(a: Column, b: Column) -> Column:
 
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``df``: the key, its digest and sign lanes."""
-    rows = df.select(F.col(key).alias("_key"), F.monotonically_increasing_id().alias("_row"), F.explode(paragraphs(whole_text(text))).alias("_p"))
+    rows = df.select(F.col(key).alias("_key"), whole_text(text).alias("_t"), F.monotonically_increasing_id().alias("_row"))
+    rows = rows.select("_key", "_row", F.explode(paragraphs(F.col("_t"))).alias("_p"))
     sums = lane_sums(F.col("_p"))
     summed = rows.groupBy("_key", "_row").agg(*[s.alias(f"_{i}") for i, s in enumerate(sums)])
     digest, signs = lanes([F.col(f"_{i}") for i in range(len(sums))])
