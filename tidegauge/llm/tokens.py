@@ -50,7 +50,7 @@ class PartEncoder:
         self.old: dict[str, bytes] = {}
         # Words of letters alone are joined as they stand: each has one token that marks its edge, the first
         # with a space before it or the last with a word end.
-        self.spaced = parts is LEADING_SPACE
+        self.spaced = parts.pattern == LEADING_SPACE.pattern
         self.word = re.compile(f" [{_LETTER}]+" if self.spaced else f"[{_LETTER}]+")
         vocabulary = self.joined.get_vocab()
         self.edge = np.zeros(max(vocabulary.values()) + 1, bool)

@@ -94,10 +94,10 @@ def judge(df: DataFrame, url: str, block: Sequence[tuple[str, str]], allow: Sequ
     for some in blocks:
         found += _parts(out, some)
     # Of one longest rule per trie, the longest; block before allow when equal.
-    best = found[0] if len(found) == 1 else F.sort_array(
-        F.filter(F.array(*[F.struct(F.length(x["rule"]).alias("n"), (x["verdict"] == "block").alias("b"), x["rule"].alias("rule"), x["verdict"].alias("verdict")) for x in found]), lambda x: x["n"].isNotNull()),
-        asc=False,
-    )[0]
+    best = found[0]
+    if len(found) > 1:
+        ranked = [F.struct(F.length(x["rule"]).alias("n"), (x["verdict"] == "block").alias("b"), x["rule"].alias("rule"), x["verdict"].alias("verdict")) for x in found]
+        best = F.get(F.sort_array(F.filter(F.array(*ranked), lambda x: x["n"].isNotNull()), asc=False), F.lit(0))
     out = out.withColumn("_hit", best)
     return out.withColumns({"rule": F.col("_hit.rule"), "verdict": F.coalesce("_hit.verdict", F.lit(default))}).drop("_hit")
 
