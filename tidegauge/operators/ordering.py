@@ -14,12 +14,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.session import BROADCAST_ROWS, small
+from tidegauge.session import BROADCAST_ROWS, small, stage
 
 SLICE_ROWS = 250_000
 SMALL_SLICE_ROWS = 100_000
 HOT_FACTOR = 4
-MAX_CUTS = 6
+#: Ranges that a dense range is cut into at once.
+CUT_WAYS = 64
 
 
 @dataclass
@@ -31,8 +32,28 @@ class Slices:
 
 
 def _cut_label(x: Column, lo: Column, hi: Column, ways: Column) -> Column:
+    """Range of equal width between finite bounds; infinities and NaN fall in the outer ranges."""
     share = (x - lo).cast("double") / F.greatest((hi - lo).cast("double"), F.lit(1e-300))
-    return F.least(F.floor(share * ways), ways.cast("long") - 1).cast("long")
+    return F.greatest(F.lit(0.0), F.least(share * ways, ways - 1.0)).cast("long")
+
+
+def _edge_label(x: Column, edges: Column) -> Column:
+    """Twice the number of edges below the value, one more for each it equals: ties get a range of their own."""
+    return (F.size(F.filter(edges, lambda e: e < x)) + F.size(F.filter(edges, lambda e: e <= x))).cast("long")
+
+
+def _edges(key: str, dtype: str) -> Column:
+    """Approximate quantiles of the finite values of a numeric key, and infinity."""
+    shares = [i / CUT_WAYS for i in range(CUT_WAYS)]
+    if dtype not in ("double", "float"):
+        return F.percentile_approx(F.col(key), shares, 20 * CUT_WAYS)
+    value = F.col(key).cast("double")
+    found = F.percentile_approx(F.when(_finite(value), value), shares, 20 * CUT_WAYS)
+    return F.concat(F.coalesce(found, F.array().cast("array<double>")), F.array(F.lit(float("inf"))))
+
+
+def _finite(x: Column) -> Column:
+    return ~F.isnan(x) & (F.abs(x) != float("inf"))
 
 
 def _text_label(text: Column, skip: Column) -> Column:
@@ -62,19 +83,23 @@ def slice_rows(
 ) -> Slices:
     """Cut rows into ranges of ``key`` (then of ``tie``) with about ``target_rows`` rows each.
 
-    The driver reads a handful of totals per cut, never rows. By default slices are small enough
-    to keep all cores busy on small tables. ``plan_from``: a cheaper table with the same keys and at
-    least the same rows, for instance the input of a deduplication, to take the totals from.
+    The first cut is by equal widths. Ranges that turn out dense are cut at their own quantiles, and again
+    until each is bounded or holds one key and one tie. Infinities and NaN do not disturb the widths. The
+    driver reads a handful of totals per cut, never rows. By default slices are small enough to keep all
+    cores busy on small tables. ``plan_from``: a cheaper table with the same keys and at least the same
+    rows, for instance the input of a deduplication, to take the totals from.
     """
     by = list(by)
     k = F.col(key)
+    types = dict(df.dtypes)
     plan = df if plan_from is None else plan_from
-    head = plan.agg(F.min(k).alias("lo"), F.max(k).alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    measured = F.when(_finite(k.cast("double")), k) if types[key] in ("double", "float") else k
+    head = plan.agg(F.min(measured).alias("lo"), F.max(measured).alias("hi"), F.count(F.lit(1)).alias("n")).first()
     if target_rows is None:
         per_core = head.n // (2 * df.sparkSession.sparkContext.defaultParallelism)
         target_rows = max(SMALL_SLICE_ROWS, min(SLICE_ROWS, per_core))
     ways = max(1, math.ceil(head.n / target_rows))
-    if head.n == 0 or head.lo == head.hi:
+    if head.lo is None or head.lo == head.hi:
         first = F.lit(0).cast("long")
     else:
         first = _cut_label(k, F.lit(head.lo), F.lit(head.hi), F.lit(ways))
@@ -82,7 +107,7 @@ def slice_rows(
     columns = ["_s0"]
     if ways == 1:
         return Slices(rows, columns, 1, 1)
-    tie_is_text = tie is not None and dict(df.dtypes)[tie] == "string"
+    tie_is_text = tie is not None and types[tie] == "string"
     while True:
         stats = [
             F.count(F.lit(1)).alias("_n"),
@@ -101,21 +126,25 @@ def slice_rows(
             F.count_distinct(F.struct(*by)).alias("g") if by else F.lit(1).alias("g"),
             F.count_if(hot_test).alias("hot"),
         ).first()
-        if head.hot == 0 or len(columns) > MAX_CUTS:
+        if head.hot == 0:
             return Slices(rows, columns, head.n, head.g)
-        hot = counts.filter(hot_test).withColumn("_ways", F.ceil(F.col("_n") / target_rows))
-        if head.hot <= BROADCAST_ROWS:
-            hot = F.broadcast(hot)
-        by_key = _cut_label(k, F.col("_lo"), F.col("_hi"), F.col("_ways"))
-        label = by_key
+        hot = counts.filter(hot_test).withColumn("_hot", F.lit(True))
+        hot = F.broadcast(hot) if head.hot <= BROADCAST_ROWS else hot
+        edges = [_edges(key, types[key]).alias("_edges")]
+        if tie is not None and not tie_is_text:
+            edges.append(_edges(tie, types[tie]).alias("_tie_edges"))
+        cuts = plan.join(hot.select(*by, *columns), [*by, *columns], "left_semi").groupBy(*by, *columns).agg(*edges)
+        hot = stage(hot.join(cuts, [*by, *columns]), "cuts")
+        hot = F.broadcast(hot) if head.hot <= BROADCAST_ROWS // CUT_WAYS else hot
+        label = by_key = _edge_label(k, F.col("_edges"))
         if tie is not None:
             if tie_is_text:
                 by_tie = _text_label(F.col(tie), _shared_prefix(F.col("_tlo"), F.col("_thi")))
             else:
-                by_tie = _cut_label(F.col(tie), F.col("_tlo"), F.col("_thi"), F.col("_ways"))
+                by_tie = _edge_label(F.col(tie), F.col("_tie_edges"))
             label = F.when(F.col("_lo") < F.col("_hi"), by_key).otherwise(by_tie)
         name = f"_s{len(columns)}"
-        cut = F.when(F.col("_ways").isNotNull(), label).otherwise(F.lit(0)).cast("long").alias(name)
+        cut = F.when(F.col("_hot"), label).otherwise(F.lit(0)).cast("long").alias(name)
         rows, plan = (
             side.join(hot, [*by, *columns], "left").select(*side.columns, cut) for side in (rows, plan)
         )
@@ -228,31 +257,20 @@ def with_previous(
 
 
 def exact_quantiles(
-    df: DataFrame,
-    by: Sequence[str],
-    value: str,
-    probs: dict[str, float],
-    group_limit: int = 2_000_000,
-    target_rows: int | None = None,
+    df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float], target_rows: int | None = None
 ) -> DataFrame:
-    """Linear-interpolated quantiles per group; null and NaN values are left out.
+    """Linear-interpolated quantiles per group; null and NaN values are left out, infinities are not.
 
-    Groups within ``group_limit`` rows use the built-in percentile. Beyond it, equal values are
-    counted before the shuffle and the ranks are read off a distributed running count.
+    Equal values are counted before the shuffle, and the ranks are read off a distributed running count,
+    whatever the size of a group.
     """
     by = list(by)
     v = F.col(value).cast("double")
     data = df.select(*by, v.alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    largest = data.groupBy(*by).count().agg(F.max("count").alias("m")).first().m or 0
-    if largest <= group_limit:
-        return data.groupBy(*by).agg(*[F.percentile("_v", F.lit(p)).alias(n) for n, p in probs.items()])
-    counted = data.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    counted = stage(data.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c")), "counted")
     ranked = running_totals(counted, by, ["_v"], {"_cum": F.col("_c")}, target_rows)
     sizes = counted.groupBy(*by).agg(F.sum("_c").alias("_n"))
-    if by:
-        ranked = ranked.join(small(sizes), by)
-    else:
-        ranked = ranked.withColumn("_n", F.lit(sizes.first()._n))
+    ranked = ranked.join(sizes, by) if by else ranked.withColumn("_n", F.lit(sizes.first()._n))
     picks = []
     for n, p in probs.items():
         pos = F.lit(float(p)) * (F.col("_n") - 1)
@@ -260,13 +278,12 @@ def exact_quantiles(
         picks.append(F.min(F.when(F.col("_cum") > F.ceil(pos), F.col("_v"))).alias(f"_hi_{n}"))
         picks.append(F.max(pos - F.floor(pos)).alias(f"_f_{n}"))
     picked = ranked.groupBy(*by).agg(*picks)
-    return picked.select(
-        *by,
-        *[
-            (F.col(f"_lo_{n}") * (1 - F.col(f"_f_{n}")) + F.col(f"_hi_{n}") * F.col(f"_f_{n}")).alias(n)
-            for n in probs
-        ],
-    )
+
+    def between(n: str) -> Column:
+        lo, hi, f = (F.col(f"_{c}_{n}") for c in ("lo", "hi", "f"))
+        return F.when((f == 0) | (lo == hi), lo).otherwise(lo * (1 - f) + hi * f)
+
+    return picked.select(*by, *[between(n).alias(n) for n in probs])
 
 
 def asof_join(

@@ -12,7 +12,7 @@ from tidegauge.functions import distance as D
 from tidegauge.functions.scalar import is_finite
 from tidegauge.operators.ordering import exact_quantiles, running_totals
 from tidegauge.operators.profile import DECILES, bin_counts, count_names, total_of
-from tidegauge.session import small
+from tidegauge.session import small, stage
 
 Q = [f"q{i}" for i in range(BINS + 1)]
 
@@ -86,6 +86,7 @@ def ks_distances(ref: DataFrame, cur: DataFrame, keys: Sequence[str], p: float)
         .groupBy(*keys, "value")
         .agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
     )
+    merged = stage(merged, "merged")
     cum = running_totals(merged, keys, ["value"], {"cum_r": F.col("r"), "cum_c": F.col("c")})
     sizes = merged.groupBy(*keys).agg(F.sum("r").alias("n"), F.sum("c").alias("m"))
     if keys:
