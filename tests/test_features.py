@@ -1,6 +1,5 @@
 from __future__ import annotations
 
-from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -49,13 +48,15 @@ def test_current_event_is_excluded_and_border_event_kept(spark):
     assert got["c"][:2] == (1.0, 7.0)
 
 
-def test_range_frame_equals_exact_where_it_applies(spark):
-    cfg = FeatureConfig(window_seconds=6)
-    df = frame(spark, series())
-    assert features.range_frame_is_exact(df, cfg)
-    assert collected(features.entity_features_range(df, cfg)) == collected(features.entity_features(df, cfg))
-    assert not features.range_frame_is_exact(df, replace(cfg, max_events=4))
-    assert not features.range_frame_is_exact(df.unionByName(df), cfg)
+@pytest.mark.parametrize("cap", [2, 4, 500])
+def test_frames_equal_arrays_with_a_binding_cap_and_ties(spark, cap):
+    cfg = FeatureConfig(window_seconds=6, max_events=cap)
+    tied = [(f"{e}-again", t, *rest) for e, t, *rest in series()[::5]]
+    for rows in (series(), series() + tied):
+        df = frame(spark, rows)
+        want = collected(features.entity_features(df, cfg))
+        got = collected(features.entity_features_range(df, cfg))
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
 
 
 def test_lag_mode_carries_across_days(spark):

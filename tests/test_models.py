@@ -69,13 +69,14 @@ def test_forest_is_repeatable_and_kept_per_stream(spark, forest):
     assert np.median(wrong) > np.median(again)
 
 
-def test_large_forests_are_shipped_by_cogroup(spark, forest, monkeypatch):
+def test_forests_of_many_streams_are_scored_in_passes(spark, forest, monkeypatch):
+    """One stream a pass, on rows without a position, as a stream of rows has them."""
     fitted, calm = forest
     rows = frame(spark, calm[:100]).unionByName(frame(spark, calm[:100] + 50, "far"))
     small = {(r.stream_id, r.idx): r.raw_score for r in fitted.raw(rows).collect()}
     monkeypatch.setattr(models, "BROADCAST_TREES", 0)
-    monkeypatch.setattr(models, "SCORE_CHUNK", 30)
-    big = {(r.stream_id, r.idx): r.raw_score for r in fitted.raw(rows).collect()}
+    assert len(fitted._blocks()) == 2
+    big = {(r.stream_id, r.place): r.raw_score for r in fitted.raw(rows.withColumnRenamed("idx", "place")).collect()}
     assert big.keys() == small.keys() and all(big[k] == pytest.approx(small[k]) for k in big)
 
 

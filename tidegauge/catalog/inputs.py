@@ -113,7 +113,7 @@ def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = raw.select(
         F.lit(DEFAULT_STREAM).alias("stream_id"),
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("row_id"),
-        "l_partkey", "l_suppkey",
+        "l_partkey", "l_suppkey", "l_returnflag",
         (day.cast("long") * 86_400 * US).alias("ts_us"),
         F.col("l_quantity").cast("double").alias("feature_1"),
         F.col("l_extendedprice").cast("double").alias("feature_2"),
@@ -135,6 +135,11 @@ FEATURE_COLUMNS = ("feature_1", "feature_2", "feature_3")
 FEATURE_ORDER = ("ts_us", "row_id", "l_partkey", "l_suppkey", *FEATURE_COLUMNS, "pred_score")
 
 
+def feature_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature rows as three streams, by the return flag of their order line."""
+    return feature_table(spark, sf_dir).withColumn("stream_id", F.col("l_returnflag"))
+
+
 def indexed_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_index(feature_table(spark, sf_dir), order=FEATURE_ORDER)
 

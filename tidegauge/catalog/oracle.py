@@ -174,10 +174,10 @@ CTES: dict[str, str] = {
  FROM ev WHERE k IN (7, 13, 29)""",
     "ranked": "SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY ts_us, event_id) AS rn FROM ev",
     "ftab0": f"""
- SELECT (l_orderkey * 8 + l_linenumber) AS row_id, l_partkey, l_suppkey, {_DAY} AS day, {_DAY} * 86400000000 AS ts_us, l_quantity AS f1, l_extendedprice AS f2,
+ SELECT (l_orderkey * 8 + l_linenumber) AS row_id, l_partkey, l_suppkey, l_returnflag, {_DAY} AS day, {_DAY} * 86400000000 AS ts_us, l_quantity AS f1, l_extendedprice AS f2,
   l_discount AS f3, l_tax * 10.0 AS p FROM lineitem""",
     "ftab": f"""
- SELECT row_id, l_partkey, l_suppkey, ts_us, CASE WHEN {_IN1} THEN f1 + 15.0 WHEN {_IN3} THEN f1 - 12.0 ELSE f1 END AS feature_1,
+ SELECT row_id, l_partkey, l_suppkey, l_returnflag, ts_us, CASE WHEN {_IN1} THEN f1 + 15.0 WHEN {_IN3} THEN f1 - 12.0 ELSE f1 END AS feature_1,
   CASE WHEN {_IN2} THEN f2 * 1.35 WHEN {_IN3} THEN f2 + 9000.0 ELSE f2 END AS feature_2, CASE WHEN {_IN2} THEN f3 - 0.03 ELSE f3 END AS feature_3,
   CASE WHEN {_IN1} THEN least(greatest(p + 0.25, 0.0), 1.0) WHEN {_IN3} THEN least(greatest(p - 0.2, 0.0), 1.0) ELSE p END AS pred_score,
   CASE WHEN {_IN1} OR {_IN2} OR {_IN3} THEN 1 ELSE 0 END AS drift_label FROM ftab0""",
@@ -236,6 +236,18 @@ CTES["runseg_f"] = _segments("runreq", "idx", "ts_us", "ground_truth_drift", "fi
 CTES["bseg_f"] = _segments("b_alerts", "window_id", "start_us", "true_drift", "alert_fixed")
 CTES["bseg_a"] = _segments("b_alerts", "window_id", "start_us", "true_drift", "alert_adaptive")
 
+# The windows of each of three streams alone.
+for _s in "anr":
+    CTES[f"ftab_{_s}"] = CTES["ftabx"] + f" WHERE l_returnflag = '{_s.upper()}'"
+    CTES.update({k: v.replace("ftabx", f"ftab_{_s}") for k, v in _window_psi(500, 500, f"{_s}3_").items()})
+    CTES[f"{_s}3_hist"] = CTES["b_hist"].replace("b_rows", f"{_s}3_rows")
+    CTES[f"{_s}3_alerts"] = CTES["b_alerts"].replace("b_hist", f"{_s}3_hist")
+    CTES[f"{_s}3seg_f"] = _segments(f"{_s}3_alerts", "window_id", "start_us", "true_drift", "alert_fixed")
+    CTES[f"{_s}3seg_a"] = _segments(f"{_s}3_alerts", "window_id", "start_us", "true_drift", "alert_adaptive")
+for _e in ("score", "predict", "detect_drift"):
+    CTES[f"req_{_e}"] = f"SELECT *, row_number() OVER (ORDER BY ts_us, request_id) AS idx FROM req WHERE endpoint = '/{_e}'"
+    CTES[f"reqseg_{_e}"] = _segments(f"req_{_e}", "idx", "ts_us", "ground_truth_drift", "critical_alert")
+
 
 def compose(sql: str) -> str:
     """Prefix a statement with the expressions it needs, in order of use."""
@@ -446,6 +458,7 @@ RAW["w1_entity_features"] = f"SELECT {_FEAT_OUT} FROM feat"
 RAW["w1_entity_features_range"] = RAW["w1_entity_features"]
 CTES["capped8"] = _capped(8)
 RAW["w1_entity_features_capped"] = f"SELECT {_FEAT_OUT} FROM capped8"
+RAW["w1_entity_features_range_capped"] = RAW["w1_entity_features_capped"]
 RAW["w2_time_since_last"] = "SELECT event_id, round(least(coalesce((ts_us - lag(ts_us) OVER (PARTITION BY entity_id ORDER BY ts_us, event_id)) / 1e6, 1e6), 1e6), 6) AS gap_s FROM ev"
 RAW["w3_window_contents"] = f"SELECT event_id, count(*) OVER w AS n, round(coalesce(max(amount) OVER w, 0.0), 6) AS top, coalesce(min(ts_us) OVER w, -1) AS oldest_us FROM ev WINDOW w AS {_FRAME}"
 RAW["w4_event_index"] = "SELECT event_id, idx, CASE WHEN idx <= 1500 THEN 'warming_up' WHEN idx <= 3500 THEN 'reference' ELSE 'current' END AS phase FROM feat"
@@ -453,6 +466,16 @@ RAW["w6_count_windows"] = """SELECT w AS window_id, count(*) AS n, min(idx) AS f
 FROM ftabx JOIN (SELECT unnest(range(0, (SELECT max(idx) FROM ftabx) // 250 + 1)) AS w) ON idx > 5000 + w * 250 AND idx <= 5000 + w * 250 + 1000 GROUP BY w"""
 RAW["w7_window_psi"] = "SELECT window_id, start_idx, end_idx, start_us, end_us, true_drift::BIGINT AS true_drift, round(max_psi, 6) AS max_psi FROM a_rows"
 RAW["w8_trailing_threshold"] = "SELECT window_id, round(max_psi, 6) AS max_psi, round(adaptive_threshold, 6) AS adaptive_threshold, alert_fixed::BIGINT AS alert_fixed, alert_adaptive::BIGINT AS alert_adaptive FROM b_alerts"
+RAW["w8_trailing_threshold_streams"] = " UNION ALL ".join(
+    f"SELECT '{s.upper()}' AS stream_id, window_id, start_us, true_drift::BIGINT AS true_drift, round(max_psi, 6) AS max_psi, round(adaptive_threshold, 6) AS adaptive_threshold, "
+    f"alert_fixed::BIGINT AS alert_fixed, alert_adaptive::BIGINT AS alert_adaptive FROM {s}3_alerts"
+    for s in "anr"
+)
+RAW["w10_drift_segments_streams"] = " UNION ALL ".join(
+    f"SELECT '/{e}' AS stream_id, first_pos, last_pos, start_us, detected, coalesce(detected_pos, -1) AS detected_pos FROM reqseg_{e}" for e in ("score", "predict", "detect_drift")
+)
+RAW["a13_percentiles_odd_values"] = """SELECT feature, round(min(value), 6) AS low, round(quantile_cont(value, 0.5), 6) AS mid, round(max(value), 6) AS top
+FROM (SELECT feature, CASE WHEN value > 200.0 THEN 'inf'::DOUBLE ELSE value END AS value FROM ref WHERE value >= 1.0) GROUP BY feature"""
 CTES["trail"] = "SELECT ts_us, 1 AS now, count(*) OVER (ORDER BY ts_us RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) AS n FROM judged99 WHERE is_anomaly"
 RAW["w9_trailing_alerts"] = "SELECT ts_us, now::BIGINT AS alerts_now, n AS alerts_trailing FROM trail"
 RAW["w9_alert_rate_summary"] = "SELECT 'main' AS stream_id, round(avg(n), 6) AS avg_alerts_per_minute, max(n)::DOUBLE AS max_alerts_per_minute, max(n) > 5 AS cap_breached FROM trail"
@@ -476,6 +499,11 @@ RAW["c2_drift_report"] = f"""SELECT d AS detector, points, tp, fp, fn, round(p,
  SELECT 'alert_fixed' AS d, count(*) AS points, {_confusion('true_drift = 1', 'alert_fixed = 1')}, {_found('bseg_f', 4)}, round(coalesce((SELECT avg(latency_windows) FROM bseg_f WHERE detected), 0.0), 4) AS avg_latency_windows FROM b_alerts
  UNION ALL SELECT 'alert_adaptive', count(*), {_confusion('true_drift = 1', 'alert_adaptive = 1')}, {_found('bseg_a', 4)}, round(coalesce((SELECT avg(latency_windows) FROM bseg_a WHERE detected), 0.0), 4) FROM b_alerts))"""
 
+RAW["c2_drift_report_streams"] = " UNION ALL ".join(
+    f"SELECT '{s.upper()}' AS stream_id, * FROM (" + RAW["c2_drift_report"].replace("b_alerts", f"{s}3_alerts").replace("bseg_f", f"{s}3seg_f").replace("bseg_a", f"{s}3seg_a") + ")"
+    for s in "anr"
+)
+
 
 def _run_eval(name: str, column: str, seg: str) -> str:
     return f"""SELECT '{name}' AS detector, points, tp, fp, fn, tn, {_rates().replace(', 6)', ', 3)')}, {_found(seg)}, round(coalesce((SELECT quantile_cont(latency_s, 0.95) FROM {seg} WHERE detected), 0.0), 3) AS p95_latency_s

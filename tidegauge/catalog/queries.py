@@ -719,6 +719,13 @@ def w1_entity_features_range(spark, sf):
     return _features_out(features.entity_features_range(I.events(spark, sf), I.CONFIG.features))
 
 
+@query
+def w1_entity_features_range_capped(spark, sf):
+    """The frames with a cap small enough to bind for most rows."""
+    cfg = replace(I.CONFIG.features, max_events=8)
+    return _features_out(features.entity_features_range(I.events(spark, sf), cfg))
+
+
 @query
 def w2_time_since_last(spark, sf):
     cfg = replace(I.CONFIG.features, since_last="lag", enabled=("time_since_last",))
@@ -767,6 +774,42 @@ def w8_trailing_threshold(spark, sf):
     return rounded(_psi_windows(spark, sf).select("window_id", "max_psi", "adaptive_threshold", "alert_fixed", "alert_adaptive"))
 
 
+STREAMS = ("stream_id",)
+
+
+def _stream_windows(spark, sf) -> DataFrame:
+    """Windows over three streams of feature rows at once."""
+    rows = event_index(I.feature_streams(spark, sf), order=I.FEATURE_ORDER)
+    return reports.psi_windows(rows, I.FEATURE_COLUMNS, "pred_score", window_size=500, step_size=500, by=STREAMS)
+
+
+@query
+def w8_trailing_threshold_streams(spark, sf):
+    rows = _stream_windows(spark, sf)
+    return rounded(rows.select("stream_id", "window_id", "start_us", "true_drift", "max_psi", "adaptive_threshold", "alert_fixed", "alert_adaptive"))
+
+
+@query
+def c2_drift_report_streams(spark, sf):
+    return rounded(reports.psi_report(_stream_windows(spark, sf), STREAMS), 4)
+
+
+@query
+def w10_drift_segments_streams(spark, sf):
+    rows = I.requests(spark, sf).withColumn("stream_id", F.col("endpoint"))
+    numbered = event_index(rows, order=("ts_us", "request_id"))
+    found = quality.drift_segments(numbered, "idx", "ts_us", "ground_truth_drift", "critical_alert", STREAMS)
+    return rounded(found.select("stream_id", "first_pos", "last_pos", "start_us", "detected", F.coalesce("detected_pos", F.lit(-1)).alias("detected_pos")))
+
+
+@query
+def a13_percentiles_odd_values(spark, sf):
+    """Infinite and NaN values, in slices small enough that they would fill some."""
+    odd = F.when(F.col("value") > 200.0, F.lit(float("inf"))).when(F.col("value") < 1.0, F.lit(float("nan"))).otherwise(F.col("value"))
+    rows = I.halves(spark, sf)[0].withColumn("value", odd)
+    return rounded(exact_quantiles(rows, ["feature"], "value", {"low": 0.0, "mid": 0.5, "top": 1.0}, target_rows=200))
+
+
 @query
 def w9_trailing_alerts(spark, sf):
     rates = windows.trailing_alert_rate(_fixed_judged(spark, sf).filter("is_anomaly"), ["stream_id"], 3600)
@@ -1021,7 +1064,7 @@ def c4_compare_passes(spark, sf):
     row = reports.compare_passes(
         reports.pass_summary(baseline, "baseline"), reports.pass_summary(tuned, "tuned"), tuned.counters, I.CONFIG.control.target_rate
     )
-    return rounded(row.drop("hard_limit_message", "target_message"))
+    return rounded(row.drop("stream_id", "hard_limit_message", "target_message"))
 
 
 @query
@@ -1031,7 +1074,7 @@ def c5_replay_confusion(spark, sf):
 
 @query
 def c5_replay_summary(spark, sf):
-    return rounded(reports.replay_summary(I.run(spark, sf)), 3)
+    return rounded(reports.replay_summary(I.run(spark, sf)).drop("stream_id"), 3)
 
 
 @query

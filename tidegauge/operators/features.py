@@ -37,11 +37,13 @@ def _previous(events: DataFrame) -> DataFrame:
 
 
 def window_contents(events: DataFrame, cfg: FeatureConfig) -> DataFrame:
-    """Each event with the array of prior events its window holds, oldest first.
+    """Each event with the array of prior events its window holds, oldest first."""
+    return _contents(_sliced(events, cfg), cfg)
 
-    A ROWS frame bounds the array by the event cap whatever the entity's rate; the time bound is
-    then applied to the array, which is exact for ties and for a binding cap.
-    """
+
+def _contents(sliced: DataFrame, cfg: FeatureConfig) -> DataFrame:
+    """A ROWS frame bounds the array by the event cap whatever the entity's rate; the time bound is then
+    applied to the array, which is exact for ties and for a binding cap."""
     frame = (
         Window.partitionBy(*KEYS, "_chunk")
         .orderBy("ts_us", "event_id")
@@ -50,8 +52,7 @@ def window_contents(events: DataFrame, cfg: FeatureConfig) -> DataFrame:
     item = F.struct("ts_us", "amount", "merchant_id", "country")
     floor_us = F.col("ts_us") - F.lit(cfg.window_seconds * US)
     return (
-        _sliced(events, cfg)
-        .withColumn("_prior", F.collect_list(item).over(frame))
+        sliced.withColumn("_prior", F.collect_list(item).over(frame))
         .filter("_core")
         .withColumn("window", F.filter("_prior", lambda x: x["ts_us"] >= floor_us))
         .drop("_prior", "_chunk", "_core")
@@ -61,7 +62,11 @@ def window_contents(events: DataFrame, cfg: FeatureConfig) -> DataFrame:
 def entity_features(events: DataFrame, cfg: FeatureConfig) -> DataFrame:
     """Window features of every event, exact in the presence of ties and of a binding cap."""
     source = _previous(events) if cfg.since_last == "lag" else events
-    rows = window_contents(source, cfg)
+    return _exact(_sliced(source, cfg), cfg).select(*events.columns, *cfg.enabled)
+
+
+def _exact(sliced: DataFrame, cfg: FeatureConfig) -> DataFrame:
+    rows = _contents(sliced, cfg)
     win = F.col("window")
     count = F.size(win).cast("double")
     total = F.aggregate(win, F.lit(0.0), lambda a, x: a + x["amount"])
@@ -75,7 +80,7 @@ def entity_features(events: DataFrame, cfg: FeatureConfig) -> DataFrame:
         F.lit(0.0),
         lambda a, x: a + (x["amount"] - F.col("amt_mean_5m")) * (x["amount"] - F.col("amt_mean_5m")),
     )
-    rows = rows.withColumns(
+    return rows.withColumns(
         {
             "amt_std_5m": F.when(some, F.sqrt(squares / F.col("cnt_5m"))).otherwise(F.lit(0.0)),
             "uniq_merchant_5m": F.size(F.array_distinct(F.transform(win, lambda x: x["merchant_id"]))).cast("double"),
@@ -84,46 +89,44 @@ def entity_features(events: DataFrame, cfg: FeatureConfig) -> DataFrame:
             "rate_per_min": _rate(F.col("cnt_5m"), F.get(win, F.lit(0))["ts_us"]),
         }
     )
-    return rows.select(*events.columns, *cfg.enabled)
 
 
 def entity_features_range(events: DataFrame, cfg: FeatureConfig) -> DataFrame:
-    """Same features from a time RANGE frame and built-in aggregates only.
+    """Same features from built-in aggregates over two frames, the tighter of which holds for a row.
 
-    For tables where an entity has no two events in one microsecond and never more than the cap
-    inside a window; see ``range_frame_is_exact``.
+    Prior events of the window are the last ``max_events - 1`` rows or those of the time range,
+    whichever are fewer. Slices of an entity in which events share an instant, whose order a time range
+    cannot see, take the exact path.
     """
     source = _previous(events) if cfg.since_last == "lag" else events
-    frame = (
-        Window.partitionBy(*KEYS, "_chunk").orderBy("ts_us").rangeBetween(-cfg.window_seconds * US, -1)
-    )
-    count = F.count(F.lit(1)).over(frame).cast("double")
+    sliced = _sliced(source, cfg)
+    slices = Window.partitionBy(*KEYS, "_chunk")
+    tied = sliced.withColumn("_same", (F.col("ts_us") == F.lag("ts_us").over(slices.orderBy("ts_us", "event_id"))).cast("int"))
+    tied = tied.withColumn("_tied", F.coalesce(F.max("_same").over(slices), F.lit(0)) == 1).drop("_same")
+    by_time = slices.orderBy("ts_us").rangeBetween(-cfg.window_seconds * US, -1)
+    by_rows = slices.orderBy("ts_us", "event_id").rowsBetween(-(cfg.max_events - 1), -1)
     zero = F.lit(0.0)
-    rows = _sliced(source, cfg).select(
+
+    def either(column: Column) -> Column:
+        return F.when(F.col("_full"), column.over(by_rows)).otherwise(column.over(by_time))
+
+    rows = tied.withColumn("_n", F.count(F.lit(1)).over(by_time))
+    rows = rows.withColumn("_full", F.col("_n") > cfg.max_events - 1)
+    rows = rows.select(
         "*",
-        count.alias("cnt_5m"),
-        F.coalesce(F.sum("amount").over(frame), zero).alias("amt_sum_5m"),
-        F.coalesce(F.avg("amount").over(frame), zero).alias("amt_mean_5m"),
-        F.coalesce(F.stddev_pop("amount").over(frame), zero).alias("amt_std_5m"),
-        F.size(F.collect_set("merchant_id").over(frame)).cast("double").alias("uniq_merchant_5m"),
-        F.size(F.collect_set("country").over(frame)).cast("double").alias("uniq_country_5m"),
-        F.min("ts_us").over(frame).alias("_first_us"),
+        F.least("_n", F.lit(cfg.max_events - 1)).cast("double").alias("cnt_5m"),
+        F.coalesce(either(F.sum("amount")), zero).alias("amt_sum_5m"),
+        F.coalesce(either(F.avg("amount")), zero).alias("amt_mean_5m"),
+        F.coalesce(either(F.stddev_pop("amount")), zero).alias("amt_std_5m"),
+        F.size(either(F.collect_set("merchant_id"))).cast("double").alias("uniq_merchant_5m"),
+        F.size(either(F.collect_set("country"))).cast("double").alias("uniq_country_5m"),
+        either(F.min("ts_us")).alias("_first_us"),
     )
-    rows = rows.filter("_core").withColumns(
+    rows = rows.filter(F.col("_core") & ~F.col("_tied")).withColumns(
         {
             "time_since_last": _since_last(cfg),
             "rate_per_min": _rate(F.col("cnt_5m"), F.col("_first_us")),
         }
     )
-    return rows.select(*events.columns, *cfg.enabled)
-
-
-def range_frame_is_exact(events: DataFrame, cfg: FeatureConfig) -> bool:
-    """One cheap aggregate: no entity holds more events in two adjacent window-wide slots than
-    the cap, and none has two events at one instant."""
-    w_us = cfg.window_seconds * US
-    slot = F.floor(F.col("ts_us") / F.lit(w_us)).cast("long")
-    instants = events.groupBy(*KEYS, slot.alias("_slot"), "ts_us").count()
-    slots = instants.groupBy(*KEYS, "_slot").agg(F.sum("count").alias("n"), F.max("count").alias("t"))
-    head = slots.agg(F.max("n").alias("n"), F.max("t").alias("t")).first()
-    return head.n is None or (2 * head.n < cfg.max_events and head.t == 1)
+    plain = rows.select(*events.columns, *cfg.enabled)
+    return plain.unionByName(_exact(tied.filter("_tied").drop("_tied"), cfg).select(*events.columns, *cfg.enabled))

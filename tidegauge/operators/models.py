@@ -10,17 +10,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidegauge.config import ModelConfig
 from tidegauge.functions.scalar import guard, squash, vector_norm
 from tidegauge.session import hinted, stage
 
 KEY = "stream_id"
-TREE_BLOCKS = 8
-# Trees broadcast to every executor; larger model tables are shipped by cogroup.
+TREES_PER_TASK = 4
+# Trees that one pass over the rows holds in memory; more streams are scored in further passes.
 BROADCAST_TREES = 4_000
-SCORE_CHUNK = 100_000
 
 
 class FittedModel(Protocol):
@@ -144,6 +142,21 @@ def _as_trees(pdf: pd.DataFrame) -> tuple[list, int]:
     return trees, int(pdf["psi"].iloc[0])
 
 
+def _scorer(shipped, xs: list[str]):
+    """Scores rows of the streams in ``shipped`` and passes the others on."""
+
+    def score_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            raw = pdf["raw_score"].to_numpy(dtype=float, copy=True)
+            for key, at in pdf.groupby(KEY).indices.items():
+                if key in shipped.value:
+                    trees, psi = shipped.value[key]
+                    raw[at] = _anomaly(pdf[xs].to_numpy()[at], trees, psi)
+            yield pdf.assign(raw_score=raw)
+
+    return score_batches
+
+
 class FittedForest:
     def __init__(self, forest: DataFrame, features: Sequence[str], norms: DataFrame | None = None) -> None:
         self.forest, self.features, self.norms = forest, list(features), norms
@@ -152,35 +165,27 @@ class FittedForest:
         names = self.features
         guarded = rows.select("*", *[guard(c).alias(f"_x_{c}") for c in names])
         xs = [f"_x_{c}" for c in names]
-        schema = T.StructType([*rows.schema.fields, T.StructField("raw_score", T.DoubleType())])
-        keep = rows.columns
-        if self.forest.count() <= BROADCAST_TREES:
-            table = {k: _as_trees(g) for k, g in self.forest.toPandas().groupby(KEY)}
-            shipped = rows.sparkSession.sparkContext.broadcast(table)
-
-            def score_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                for pdf in batches:
-                    raw = np.full(len(pdf), np.nan)
-                    for key, at in pdf.groupby(KEY).indices.items():
-                        if key in shipped.value:
-                            trees, psi = shipped.value[key]
-                            raw[at] = _anomaly(pdf[xs].to_numpy()[at], trees, psi)
-                    yield pdf[keep].assign(raw_score=raw)
-
-            return self._nulls(guarded.mapInPandas(score_batches, schema))
-
-        chunked = guarded.withColumn("_part", F.floor(F.col("idx") / SCORE_CHUNK))
-        parts = chunked.select(F.col(KEY).alias("_key"), F.col("_part").alias("_tree_part")).distinct()
-        trees_by_part = self.forest.join(parts, F.col(KEY) == F.col("_key"))
-
-        def score_part(pdf: pd.DataFrame, trees_pdf: pd.DataFrame) -> pd.DataFrame:
-            if len(trees_pdf) == 0 or len(pdf) == 0:
-                return pdf[keep].assign(raw_score=np.nan)
-            trees, psi = _as_trees(trees_pdf)
-            return pdf[keep].assign(raw_score=_anomaly(pdf[xs].to_numpy(), trees, psi))
-
-        left = chunked.groupBy(KEY, "_part")
-        return self._nulls(left.cogroup(trees_by_part.groupBy("_key", "_tree_part")).applyInPandas(score_part, schema))
+        scored = guarded.withColumn("raw_score", F.lit(None).cast("double"))
+        schema = scored.schema
+        # Passes of bounded model size, chained without a shuffle; tables and streams alike.
+        for some in self._blocks():
+            table = {k: _as_trees(g) for k, g in some.toPandas().groupby(KEY)}
+            scored = scored.mapInPandas(_scorer(rows.sparkSession.sparkContext.broadcast(table), xs), schema)
+        return self._nulls(scored.select(*rows.columns, "raw_score"))
+
+    def _blocks(self) -> list[DataFrame]:
+        """The forest by ranges of streams with at most ``BROADCAST_TREES`` trees each, or one stream."""
+        sizes = self.forest.groupBy(KEY).count().orderBy(KEY)
+        blocks, first, held, last = [], None, 0, None
+        for row in sizes.toLocalIterator():
+            if first is not None and held + row["count"] > BROADCAST_TREES:
+                blocks.append((first, last))
+                first, held = None, 0
+            first = row[KEY] if first is None else first
+            held, last = held + row["count"], row[KEY]
+        if first is not None:
+            blocks.append((first, last))
+        return [self.forest.filter(F.col(KEY).between(a, b)) for a, b in blocks]
 
     @staticmethod
     def _nulls(rows: DataFrame) -> DataFrame:
@@ -201,7 +206,7 @@ class IsolationForestModel:
 
     def fit(self, warm: DataFrame, features: Sequence[str]) -> FittedForest:
         cfg, names = self.cfg, list(features)
-        blocks = min(TREE_BLOCKS, cfg.n_trees)
+        blocks = math.ceil(cfg.n_trees / TREES_PER_TASK)
         rows = warm.select(KEY, "idx", *[guard(c).alias(c) for c in names]).withColumn(
             "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
         )

@@ -137,21 +137,21 @@ def detection_delay(
     return out.select(*by, events.alias("events_to_detect"), seconds.alias("seconds_to_detect"))
 
 
-def drift_segments(rows: DataFrame, position: str, ts_us: str, truth: str, pred: str) -> DataFrame:
-    """Maximal runs of label 1 in a densely numbered series, with their first detection.
+def drift_segments(rows: DataFrame, position: str, ts_us: str, truth: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
+    """Maximal runs of label 1 in each densely numbered series ``by``, with their first detection.
 
     Runs are found inside position chunks. Only pieces that touch a chunk border, two per chunk at
     most, are stitched together; the rest are whole already. No global sort of the rows.
     """
-    p = F.col("p")
+    p, by = F.col("p"), list(by)
     drift = rows.filter(F.col(truth) == 1).select(
-        F.col(position).alias("p"), F.col(ts_us).alias("ts"), (F.col(pred) == 1).alias("hit"),
+        *by, F.col(position).alias("p"), F.col(ts_us).alias("ts"), (F.col(pred) == 1).alias("hit"),
         F.floor(F.col(position) / RUN_CHUNK).alias("_chunk"),
     )
-    inside = Window.partitionBy("_chunk").orderBy("p")
+    inside = Window.partitionBy(*by, "_chunk").orderBy("p")
     run = drift.withColumn("_run", p - F.row_number().over(inside))
     found = F.when(F.col("hit"), F.struct("p", "ts"))
-    pieces = run.groupBy("_chunk", "_run").agg(
+    pieces = run.groupBy(*by, "_chunk", "_run").agg(
         F.min("p").alias("first_pos"), F.max("p").alias("last_pos"), F.min("ts").alias("start_us"),
         F.min(found).alias("found"),
     )
@@ -159,33 +159,35 @@ def drift_segments(rows: DataFrame, position: str, ts_us: str, truth: str, pred:
         F.col("last_pos") == (F.col("_chunk") + 1) * RUN_CHUNK - 1
     )
     whole = pieces.filter(~at_border).drop("_chunk", "_run")
-    order = Window.orderBy("first_pos")
+    order = Window.partitionBy(*by).orderBy("first_pos")
     opens = F.col("first_pos") != F.coalesce(F.lag("last_pos").over(order), F.lit(-2)) + 1
     border = pieces.filter(at_border).withColumn("_opens", opens.cast("int"))
     border = border.withColumn("_segment", F.sum("_opens").over(order))
-    stitched = border.groupBy("_segment").agg(
+    stitched = border.groupBy(*by, "_segment").agg(
         F.min("first_pos").alias("first_pos"), F.max("last_pos").alias("last_pos"),
         F.min("start_us").alias("start_us"), F.min("found").alias("found"),
     )
     segments = whole.unionByName(stitched.drop("_segment"))
     return segments.select(
-        "first_pos", "last_pos", "start_us", F.col("found.p").alias("detected_pos"),
+        *by, "first_pos", "last_pos", "start_us", F.col("found.p").alias("detected_pos"),
         F.col("found.ts").alias("detected_us"), F.col("found").isNotNull().alias("detected"),
         F.when(F.col("found").isNotNull(), F.greatest(F.lit(0.0), (F.col("found.ts") - F.col("start_us")) / 1e6)).alias("latency_s"),
         (F.col("found.p") - F.col("first_pos")).alias("latency_windows"),
     )
 
 
-def segment_summary(segments: DataFrame) -> DataFrame:
-    """Segments in all and detected, mean and p95 latency (0 when none was detected)."""
-    hit = F.col("detected")
-    p95 = exact_quantiles(segments.filter(hit), [], "latency_s", {"p95": 0.95})
-    return segments.agg(
+def segment_summary(segments: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Segments in all and detected, mean and p95 latency (0 when none was detected), per group ``by``."""
+    hit, by = F.col("detected"), list(by)
+    p95 = exact_quantiles(segments.filter(hit), by, "latency_s", {"p95": 0.95})
+    totals = segments.groupBy(*by).agg(
         F.count(F.lit(1)).alias("segments_total"),
         F.count_if(hit).alias("segments_detected"),
         F.coalesce(F.avg(F.when(hit, F.col("latency_s"))), F.lit(0.0)).alias("avg_latency_s"),
         F.coalesce(F.avg(F.when(hit, F.col("latency_windows").cast("double"))), F.lit(0.0)).alias("avg_latency_windows"),
-    ).select("*", F.coalesce(p95.scalar(), F.lit(0.0)).alias("p95_latency_s"))
+    )
+    joined = totals.join(p95, by, "left") if by else totals.join(p95, F.lit(True), "left")  # one row each
+    return joined.select(*totals.columns, F.coalesce("p95", F.lit(0.0)).alias("p95_latency_s"))
 
 
 def hard_rate_gate(rate: Column, limit: float = HARD_RATE_LIMIT) -> tuple[Column, Column]:

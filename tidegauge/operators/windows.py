@@ -11,9 +11,8 @@ from tidegauge.config import BINS
 from tidegauge.functions import distance as D
 from tidegauge.functions.scalar import is_finite
 from tidegauge.operators.ordering import with_halo
-from tidegauge.operators.profile import DECILES, bin_counts, count_names, long_form
-from tidegauge.operators.samples import Q, open_edges
-from tidegauge.session import stage
+from tidegauge.operators.profile import DECILES
+from tidegauge.session import hinted, stage
 
 SERIES_CHUNK = 4096
 
@@ -34,52 +33,72 @@ def count_windows(indexed: DataFrame, reference_size: int, size: int, step: int)
 
 
 def window_psi(
-    indexed: DataFrame, features: Sequence[str], pred: str | None, label: str, reference_size: int, size: int, step: int
+    indexed: DataFrame,
+    features: Sequence[str],
+    pred: str | None,
+    label: str,
+    reference_size: int,
+    size: int,
+    step: int,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per whole window: bounds, label share, and the largest PSI over the columns."""
+    """One row per whole window of each stream ``by``: bounds, label share, and the largest PSI over the columns.
+
+    A stream's reference is its first ``reference_size`` rows, so its profile is one bounded row. Each
+    window is then one aggregate that gives its bounds, its label and the counts of all bins.
+    """
+    by = list(by)
     columns = [*features, *([pred] if pred else [])]
     values = [F.col(c).cast("double").alias(c) for c in columns]
-    indexed = stage(indexed.select("idx", "ts_us", label, *values), "indexed")
-    ref = long_form(indexed.filter(F.col("idx") <= reference_size), [], columns).filter(is_finite(F.col("value")))
-    # The reference is bounded by its size, its summaries have one row per column.
-    deciles = ref.groupBy("feature").agg(*[F.percentile("value", F.lit(p)).alias(q) for q, p in zip(Q, DECILES, strict=True)])
-    edges = stage(open_edges(deciles, ["feature"]), "edges")
-    binned_ref = ref.join(F.broadcast(edges), "feature").withColumn("bin", D.bin_of("value", "edges"))
-    shares = binned_ref.groupBy("feature").agg(*bin_counts(), F.count(F.lit(1)).alias("n_ref")).select(
-        "feature", "n_ref", *[F.col(b).alias(r) for b, r in zip(count_names(), count_names("r"), strict=True)]
-    )
-    rows = count_windows(indexed, reference_size, size, step)
-    bounds = rows.groupBy("window_id").agg(
+    indexed = stage(indexed.select(*by, "idx", "ts_us", label, *values), "indexed")
+    levels = F.array(*[F.lit(p) for p in DECILES])
+    inf = F.lit(float("inf"))
+    reference = indexed.filter(F.col("idx") <= reference_size)
+    found = reference.groupBy(*by).agg(*[F.percentile(F.when(is_finite(F.col(c)), F.col(c)), levels).alias(f"_q{k}") for k, c in enumerate(columns)])
+    edges = found.select(*by, *[F.concat(F.array(-inf), F.slice(f"_q{k}", 2, BINS - 1), F.array(inf)).alias(f"_e{k}") for k in range(len(columns))])
+    edges = stage(edges, "edges")
+
+    def binned(rows: DataFrame) -> DataFrame:
+        joined = rows.join(hinted(edges), by) if by else rows.crossJoin(F.broadcast(edges))  # one row
+        bins = [F.when(is_finite(F.col(c)), D.bin_of(c, f"_e{k}")).alias(f"_b{k}") for k, c in enumerate(columns)]
+        return joined.select(*rows.columns, *bins)
+
+    def counts(prefix: str) -> list[Column]:
+        return [
+            *[F.count_if(F.col(f"_b{k}") == i).alias(f"{prefix}{k}_{i}") for k in range(len(columns)) for i in range(1, BINS + 1)],
+            *[F.count(f"_b{k}").alias(f"{prefix}n{k}") for k in range(len(columns))],
+        ]
+
+    profile = stage(binned(reference).groupBy(*by).agg(*counts("r")), "profile")
+    windows = binned(count_windows(indexed, reference_size, size, step)).groupBy(*by, "window_id").agg(
         F.min("idx").alias("_first"), F.max("idx").alias("_last"), F.count(F.lit(1)).alias("_n"),
-        F.min_by("ts_us", "idx").alias("start_us"), F.max_by("ts_us", "idx").alias("end_us"),
-        F.avg(F.col(label).cast("double")).alias("label_share"),
+        F.min(F.struct("idx", "ts_us")).alias("_start"), F.max(F.struct("idx", "ts_us")).alias("_end"),
+        F.avg(F.col(label).cast("double")).alias("label_share"), *counts("c"),
     ).filter(F.col("_n") == size)
-    long = long_form(rows, ["window_id"], columns).join(F.broadcast(edges), "feature")
-    finite_bin = F.when(is_finite(F.col("value")), D.bin_of("value", "edges"))
-    counts = long.withColumn("bin", finite_bin).groupBy("window_id", "feature").agg(*bin_counts(), F.count("bin").alias("n_cur"))
-    joined = counts.join(F.broadcast(shares), "feature")
-    value = D.psi(
-        [D.zero_floored_share(c, "n_cur") for c in count_names()],
-        [D.zero_floored_share(c, "n_ref") for c in count_names("r")],
-    )
-    psi = joined.select("window_id", F.when(F.col("n_cur") > 0, value).otherwise(F.lit(0.0)).alias("psi"))
-    top = psi.groupBy("window_id").agg(F.max("psi").alias("max_psi"))
-    return bounds.join(top, "window_id").select(
-        "window_id", (F.col("_first") - 1).alias("start_idx"), F.col("_last").alias("end_idx"), "start_us", "end_us",
-        (F.col("label_share") >= 0.5).cast("int").alias("true_drift"), "max_psi",
+    joined = windows.join(hinted(profile), by) if by else windows.crossJoin(F.broadcast(profile))
+
+    def distance(k: int) -> Column:
+        shares = [[D.zero_floored_share(f"{p}{k}_{i}", f"{p}n{k}") for i in range(1, BINS + 1)] for p in "cr"]
+        return F.when((F.col(f"cn{k}") > 0) & (F.col(f"rn{k}") > 0), D.psi(*shares)).otherwise(F.lit(0.0))
+
+    every = [distance(k) for k in range(len(columns))]
+    return joined.select(
+        *by, "window_id", (F.col("_first") - 1).alias("start_idx"), F.col("_last").alias("end_idx"),
+        F.col("_start.ts_us").alias("start_us"), F.col("_end.ts_us").alias("end_us"),
+        (F.col("label_share") >= 0.5).cast("int").alias("true_drift"), (F.greatest(*every) if len(every) > 1 else every[0]).alias("max_psi"),
     )
 
 
 def trailing_threshold(
-    windows: DataFrame, fixed: float, history: int = 20, quantile: float = 0.95, floor: float = 0.7
+    windows: DataFrame, fixed: float, history: int = 20, quantile: float = 0.95, floor: float = 0.7, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Adaptive alert threshold: quantile of the previous windows' scores once there are enough.
+    """Adaptive alert threshold: quantile of a stream's previous windows' scores once there are enough.
 
     Windows are cut into chunks with a halo of one history, so a long series is not ordered in
     one task.
     """
     size = max(SERIES_CHUNK, history)
-    frame = Window.partitionBy("_chunk").orderBy("window_id").rowsBetween(-history, -1)
+    frame = Window.partitionBy(*by, "_chunk").orderBy("window_id").rowsBetween(-history, -1)
     rows = with_halo(windows, "window_id", size, history)
     level = F.percentile("max_psi", F.lit(quantile)).over(frame)
     rows = rows.withColumn("_q", level).filter("_core").drop("_chunk", "_core")

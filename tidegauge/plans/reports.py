@@ -27,58 +27,70 @@ def psi_windows(
     fixed_threshold: float = 0.20,
     history: int = 20,
     quantile: float = 0.95,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """Windows with their PSI, label, and fixed and adaptive alerts."""
-    scored = stage(window_psi(indexed, features, pred, label, reference_size, window_size, step_size), "windows")
-    return trailing_threshold(scored, fixed_threshold, history, quantile)
+    """Windows of each stream ``by`` with their PSI, label, and fixed and adaptive alerts."""
+    scored = stage(window_psi(indexed, features, pred, label, reference_size, window_size, step_size, by), "windows")
+    return trailing_threshold(scored, fixed_threshold, history, quantile, by=by)
 
 
 def _named(row: DataFrame, detector: str) -> DataFrame:
     return row.withColumn("detector", F.lit(detector))
 
 
-def detector_report(windows: DataFrame, alert: str) -> DataFrame:
-    """Confusion and detection latency of one alert column over the windows."""
-    counts = quality.confusion(windows, F.col("true_drift") == 1, F.col(alert) == 1)
-    segments = quality.drift_segments(windows, "window_id", "start_us", "true_drift", alert)
-    both = _named(counts, alert).join(_named(quality.segment_summary(segments), alert), "detector")
-    return both.select(
-        "detector", "points", "tp", "fp", "fn", "precision", "recall", "f1",
-        "segments_total", "segments_detected", "avg_latency_s", "avg_latency_windows",
-    )
+SEGMENT_FIGURES = ("segments_total", "segments_detected", "avg_latency_s", "avg_latency_windows", "p95_latency_s")
+
+
+def _with_segments(counts: DataFrame, segments: DataFrame, detector: str, by: Sequence[str]) -> DataFrame:
+    """Confusion and segment figures of one detector, per stream; streams without segments count 0."""
+    found = _named(quality.segment_summary(segments, by), detector)
+    both = _named(counts, detector).join(found, [*by, "detector"], "left")
+    return both.na.fill(0, ["segments_total", "segments_detected"]).na.fill(0.0, list(SEGMENT_FIGURES[2:]))
+
 
+def detector_report(windows: DataFrame, alert: str, by: Sequence[str] = ()) -> DataFrame:
+    """Confusion and detection latency of one alert column over the windows of each stream."""
+    counts = quality.confusion(windows, F.col("true_drift") == 1, F.col(alert) == 1, by)
+    segments = quality.drift_segments(windows, "window_id", "start_us", "true_drift", alert, by)
+    both = _with_segments(counts, segments, alert, by)
+    return both.select(*by, "detector", "points", "tp", "fp", "fn", "precision", "recall", "f1", *SEGMENT_FIGURES[:4])
 
-def psi_report(windows: DataFrame) -> DataFrame:
-    """Fixed and adaptive detector side by side with the false-alert reduction."""
+
+def psi_report(windows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Fixed and adaptive detector side by side with the false-alert reduction, per stream."""
     windows = stage(windows, "windows")
-    both = detector_report(windows, "alert_fixed").unionByName(detector_report(windows, "alert_adaptive"))
-    fixed_fp = windows.agg(F.count_if((F.col("true_drift") == 0) & (F.col("alert_fixed") == 1))).scalar()
-    return both.withColumn("false_alert_reduction", quality.fp_reduction_floored(fixed_fp, F.col("fp")))
+    both = detector_report(windows, "alert_fixed", by).unionByName(detector_report(windows, "alert_adaptive", by))
+    fixed = windows.groupBy(*by).agg(F.count_if((F.col("true_drift") == 0) & (F.col("alert_fixed") == 1)).alias("_fixed_fp"))
+    both = both.join(fixed, list(by)) if by else both.crossJoin(F.broadcast(fixed))  # one row
+    return both.withColumn("false_alert_reduction", quality.fp_reduction_floored(F.col("_fixed_fp"), F.col("fp"))).drop("_fixed_fp")
 
 
-def evaluate_run(requests: DataFrame) -> dict[str, DataFrame]:
-    """Tables of a run evaluation: summary, detectors, phases, label check, errors."""
+def evaluate_run(requests: DataFrame, by: Sequence[str] = ()) -> dict[str, DataFrame]:
+    """Tables of a run evaluation, per stream ``by``: summary, detectors, phases, label check, errors."""
     rows = ops.evaluated_rows(requests)
     truth = F.col("ground_truth_drift") == 1
-    numbered = stage(event_index(rows.withColumn("stream_id", F.lit("run")), order=("ts_us", "request_id")), "run")
+    keyed = rows if by else rows.withColumn("stream_id", F.lit("run"))
+    numbered = stage(event_index(keyed, by=by or ("stream_id",), order=("ts_us", "request_id")), "run")
     detectors = []
     for name, column in (("fixed_baseline", "fixed_alert"), ("adaptive", "critical_alert")):
-        counts = quality.confusion(numbered, truth, F.col(column) == 1)
-        segments = quality.drift_segments(numbered, "idx", "ts_us", "ground_truth_drift", column)
-        both = _named(counts, name).join(_named(quality.segment_summary(segments), name), "detector")
+        counts = quality.confusion(numbered, truth, F.col(column) == 1, by)
+        segments = quality.drift_segments(numbered, "idx", "ts_us", "ground_truth_drift", column, by)
+        both = _with_segments(counts, segments, name, by)
         detectors.append(
             both.select(
-                "detector", "points", "tp", "fp", "fn", "tn", "precision", "recall", "f1", "false_alert_rate",
+                *by, "detector", "points", "tp", "fp", "fn", "tn", "precision", "recall", "f1", "false_alert_rate",
                 "segments_total", "segments_detected", "avg_latency_s", "p95_latency_s",
             )
         )
     both = detectors[0].unionByName(detectors[1])
-    fixed_fp = numbered.agg(F.count_if(~truth & (F.col("fixed_alert") == 1))).scalar()
+    fixed = numbered.groupBy(*by).agg(F.count_if(~truth & (F.col("fixed_alert") == 1)).alias("_fixed_fp"))
+    both = both.join(fixed, list(by)) if by else both.crossJoin(F.broadcast(fixed))  # one row
+    both = both.withColumn("false_alert_reduction", quality.fp_reduction(F.col("_fixed_fp"), F.col("fp"))).drop("_fixed_fp")
     wrong = quality.misclassified(numbered, "ground_truth_drift", "critical_alert")
     return {
         "summary": ops.run_summary(requests),
-        "detectors": both.withColumn("false_alert_reduction", quality.fp_reduction(fixed_fp, F.col("fp"))),
-        "phases": quality.confusion(numbered, truth, F.col("critical_alert") == 1, ["phase"]),
+        "detectors": both,
+        "phases": quality.confusion(numbered, truth, F.col("critical_alert") == 1, [*by, "phase"]),
         "labels": verify_phase_labels(numbered),
         "errors": wrong.withColumn("feature_scores", ops.parse_feature_scores(F.col("feature_scores_json"))),
     }
@@ -100,34 +112,35 @@ def requests_of(run: ScoringRun) -> DataFrame:
 
 
 def pass_summary(run: ScoringRun, name: str) -> DataFrame:
-    """Alert quality and detection delay of one scoring pass."""
+    """Alert quality and detection delay of one scoring pass, one row per stream."""
     truthy = tag_truthy(F.col("drift_tag"))
-    judged = run.judged.select("t", "ts_us", "is_anomaly", "drift_active", "drift_tag")
-    metrics = quality.alert_quality(judged, F.col("is_anomaly"), truthy)
-    delay = quality.detection_delay(judged, "t", "ts_us", truthy, F.col("drift_active"))
-    return metrics.select(
-        F.lit(name).alias("pass"), "*",
-        delay.select("events_to_detect").scalar().alias("events_to_detect"),
-        delay.select("seconds_to_detect").scalar().alias("seconds_to_detect"),
-    )
+    judged = run.judged.select("stream_id", "t", "ts_us", "is_anomaly", "drift_active", "drift_tag")
+    metrics = quality.alert_quality(judged, F.col("is_anomaly"), truthy, ["stream_id"])
+    delay = quality.detection_delay(judged, "t", "ts_us", truthy, F.col("drift_active"), by=["stream_id"])
+    return metrics.join(delay, "stream_id", "left").withColumn("pass", F.lit(name))
+
 
+def compare_passes(baseline: DataFrame, tuned: DataFrame, counters: DataFrame, target_rate: float, labels: bool = True) -> DataFrame:
+    """Baseline against tuned pass, one row per stream: changes, reduction, gates.
 
-def compare_passes(baseline: DataFrame, tuned: DataFrame, counters: DataFrame, target_rate: float) -> DataFrame:
-    """Baseline against tuned pass on one row: changes, reduction, gates."""
+    ``labels`` says whether the events carry a label at all; without it there are no false-alert figures.
+    """
     sides = baseline.unionByName(tuned)
     base, new = F.col("pass") == "baseline", F.col("pass") == "tuned"
 
     def of(side, column):
         return F.max(F.when(side, F.col(column)))
 
-    row = sides.agg(
+    row = sides.groupBy("stream_id").agg(
         of(base, "alerts").alias("baseline_alerts"), of(new, "alerts").alias("tuned_alerts"),
         of(base, "fp").alias("baseline_fp"), of(new, "fp").alias("tuned_fp"),
         of(base, "anomaly_rate").alias("baseline_rate"), of(new, "anomaly_rate").alias("tuned_rate"),
         of(base, "events_to_detect").alias("baseline_delay"), of(new, "events_to_detect").alias("tuned_delay"),
     )
-    row = row.withColumn("guardrail_blocked", counters.select(quality.guardrail_blocked(counters)).limit(1).scalar())
-    valid = quality.sample_gate(F.col("baseline_alerts"), F.lit(True)) & quality.sample_gate(F.col("tuned_alerts"), F.lit(True))
+    blocked = counters.select("stream_id", quality.guardrail_blocked(counters).alias("guardrail_blocked"))
+    row = row.join(blocked, "stream_id", "left").na.fill(False, ["guardrail_blocked"])
+    known = F.lit(labels)
+    valid = quality.sample_gate(F.col("baseline_alerts"), known) & quality.sample_gate(F.col("tuned_alerts"), known)
     hard, hard_text = quality.hard_rate_gate(F.col("tuned_rate"))
     near, near_text = quality.target_rate_gate(F.col("tuned_rate"), F.lit(target_rate), blocked=F.col("guardrail_blocked"))
     return row.withColumns(
@@ -148,14 +161,14 @@ def replay_confusion(run: ScoringRun) -> DataFrame:
 
 
 def replay_summary(run: ScoringRun) -> DataFrame:
-    """Events, alerts, false alerts, and delay from drift onset to the first later detection."""
-    judged = run.judged.select("idx", "ts_us", "is_anomaly", "drift_active", "drift_tag")
+    """Per stream: events, alerts, false alerts, and delay from drift onset to the first later detection."""
+    judged = run.judged.select("stream_id", "idx", "ts_us", "is_anomaly", "drift_active", "drift_tag")
     drift = tag_present(F.col("drift_tag"))
-    totals = quality.alert_quality(judged, F.col("is_anomaly"), drift)
-    delay = quality.detection_delay(judged, "idx", "ts_us", drift, F.col("drift_active"), after_onset=True)
-    return totals.select(
-        run.features.agg(F.count(F.lit(1))).scalar().alias("events_total"), F.col("denominator").alias("events_scored"),
-        "alerts", F.col("fp").alias("false_alerts"), "false_alert_rate",
-        delay.select("events_to_detect").scalar().alias("events_to_detect"),
-        delay.select("seconds_to_detect").scalar().alias("seconds_to_detect"),
+    totals = quality.alert_quality(judged, F.col("is_anomaly"), drift, ["stream_id"])
+    delay = quality.detection_delay(judged, "idx", "ts_us", drift, F.col("drift_active"), by=["stream_id"], after_onset=True)
+    events = run.features.groupBy("stream_id").agg(F.count(F.lit(1)).alias("events_total"))
+    return events.join(totals, "stream_id", "left").join(delay, "stream_id", "left").select(
+        "stream_id", "events_total", F.coalesce("denominator", F.lit(0)).alias("events_scored"),
+        F.coalesce("alerts", F.lit(0)).alias("alerts"), F.coalesce("fp", F.lit(0)).alias("false_alerts"), "false_alert_rate",
+        "events_to_detect", "seconds_to_detect",
     )
