@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry_module
+from tidegauge.catalog.oracle import ORACLE
+from tidegauge.catalog.queries import QUERIES
 from tidegauge.operators import sweep
 
 PHASES = ("normal", "gradual_drift", "sudden_drift")
@@ -41,7 +43,9 @@ def replay(rows, p):
     return out
 
 
-def test_replay_equals_row_by_row(spark):
+@pytest.mark.parametrize(("chunk", "together"), [(2000, 256), (5, 2)])
+def test_replay_equals_row_by_row(spark, chunk, together, monkeypatch):
+    monkeypatch.setattr(sweep, "CHUNKS_TOGETHER", together)
     df, rows = evaluations(spark)
     params = sweep.grid(sweep.SweepParams(cooldown=6))
     split = sweep.split_rows(df)
@@ -49,7 +53,7 @@ def test_replay_equals_row_by_row(spark):
     for r in split.orderBy("pos").collect():
         folds.setdefault(r.fold, []).append(next(x for x in rows if x[1] == r.event_id))
     assert set(folds) == {-1, 0, 1, 2} and len(folds[-1]) == 18
-    got = {(r.fold, r.param_id): (r.tp, r.fp, r.tn, r.fn) for r in sweep.replay_confusion(split, params).collect()}
+    got = {(r.fold, r.param_id): (r.tp, r.fp, r.tn, r.fn) for r in sweep.replay_confusion(split, params, chunk).collect()}
     for fold, part in folds.items():
         for i, p in enumerate(params):
             pred, truth = replay(part, p), [bool(r[6]) for r in part]
@@ -79,7 +83,8 @@ def test_entry_runs_on_smallest_tables(spark):
 def test_registered_names_agree():
     queries, sql = entry_module.queries(), entry_module.oracle_sql()
     assert set(sql) <= set(queries)
-    assert len(queries) > 100 and len(queries) - len(sql) <= 6
+    assert set(QUERIES) <= set(queries) and set(ORACLE) <= set(sql)
+    assert len(QUERIES) > 100 and len(QUERIES) - len(ORACLE) <= 4
 
 
 @pytest.mark.parametrize("name", ["p9_inject_sudden", "d1_first_per_id", "a5_psi_open", "w4_event_index", "t8_lag_circuit"])

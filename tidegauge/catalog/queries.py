@@ -977,7 +977,8 @@ def _sweep_rows(spark, sf) -> DataFrame:
 
 @query
 def t10_replay(spark, sf):
-    return sweep.replay_confusion(sweep.split_rows(_sweep_rows(spark, sf)), sweep.grid()).withColumn("fold", F.col("fold").cast("long"))
+    """Chunks of 100 positions, so that the state maps of many chunks are composed."""
+    return sweep.replay_confusion(sweep.split_rows(_sweep_rows(spark, sf)), sweep.grid(), 100).withColumn("fold", F.col("fold").cast("long"))
 
 
 @query

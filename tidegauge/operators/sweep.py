@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidegauge.operators.folding import Step, ordered_fold
 from tidegauge.operators.ordering import event_index
 from tidegauge.operators.quality import with_rates
-from tidegauge.session import small
+from tidegauge.session import small, stage
 
 # Objective targets and weights, split and fold rules.
 FAR_TARGET, FAR_WEIGHT = 0.20, 3.0
@@ -56,64 +56,131 @@ def grid_table(spark: SparkSession, params: Sequence[SweepParams]) -> DataFrame:
 
 
 REPLAY_SCHEMA = "fold int, param_id long, tp long, fp long, tn long, fn long"
+#: Positions per chunk, and chunks whose state maps are composed together.
+CHUNK_ROWS = 2_000
+CHUNKS_TOGETHER = 256
 
 
-def replay_confusion(evaluations: DataFrame, params: Sequence[SweepParams]) -> DataFrame:
-    """Partial confusion counts of every parameter set per fold.
+class Hysteresis:
+    """The replay as a finite automaton, for all parameter sets and any number of start states at once.
 
-    ``evaluations``: fold, pos (order inside the fold), score, threshold, vote_ratio,
-    ground_truth_drift. All parameter sets advance together as vectors, so the table is read
-    once and never multiplied by the grid.
+    A state is the run of warning hits and that of critical hits, each capped at what it needs, the
+    critical flag, and the steps since the last entry, capped at the cooldown.
     """
-    p = {k: np.array([asdict(x)[k] for x in params], dtype=float) for k in asdict(params[0])}
-    keep_warning, keep_critical = p["warning_vote"] * 0.8, p["critical_vote"] * 0.8
-    warn_need = np.maximum(1, p["warning_consecutive"])
-    crit_need = np.maximum(1, p["critical_consecutive"])
-
-    def make_step() -> Step:
-        size = len(params)
-        warning, critical = np.zeros(size, bool), np.zeros(size, bool)
-        warn_run, crit_run = np.zeros(size), np.zeros(size)
-        last = np.full(size, -(10.0**9))
-        at = 0
+
+    def __init__(self, params: Sequence[SweepParams]) -> None:
+        self.p = {k: np.array([asdict(x)[k] for x in params], dtype=float)[:, None] for k in asdict(params[0])}
+        self.warn_need = np.maximum(1, self.p["warning_consecutive"]).astype(int)
+        self.crit_need = np.maximum(1, self.p["critical_consecutive"]).astype(int)
+        self.wait = np.maximum(0, np.ceil(self.p["cooldown"])).astype(int)
+        self.size = len(params)
+        self.radix = (int(self.warn_need.max()) + 1, int(self.crit_need.max()) + 1, 2, int(self.wait.max()) + 1)
+        self.n_states = int(np.prod(self.radix))
+
+    def unpack(self, states: np.ndarray) -> tuple[np.ndarray, ...]:
+        warn, crit, flag, since = np.unravel_index(states, self.radix)
+        return np.minimum(warn, self.warn_need), np.minimum(crit, self.crit_need), flag.astype(bool), np.minimum(since, self.wait)
+
+    def pack(self, state: tuple[np.ndarray, ...]) -> np.ndarray:
+        warn, crit, flag, since = state
+        return np.ravel_multi_index((warn, crit, flag.astype(int), since), self.radix).astype(np.int32)
+
+    def start(self) -> np.ndarray:
+        zero = np.zeros((self.size, 1), int)
+        return self.pack((zero, zero, zero.astype(bool), self.wait))
+
+    def every(self) -> np.ndarray:
+        return np.broadcast_to(np.arange(self.n_states, dtype=np.int32), (self.size, self.n_states))
+
+    def step(self, state: tuple[np.ndarray, ...], score: float, limit: float, vote: float) -> tuple[np.ndarray, ...]:
+        p = self.p
+        warn, crit, flag, since = state
+        leave = (score >= limit * p["warning_exit"]) & (vote >= p["warning_vote"] * 0.8)
+        enter = (score >= limit * p["warning_enter"]) & (vote >= p["warning_vote"])
+        hit = np.where(warn >= self.warn_need, leave, enter)
+        warn = np.where(hit, np.minimum(warn + 1, self.warn_need), 0)
+        stay = (score >= limit * p["critical_exit"]) & (vote >= p["critical_vote"] * 0.8)
+        enter = (score >= limit * p["critical_enter"]) & (vote >= p["critical_vote"])
+        hit = np.where(flag, stay, (warn >= self.warn_need) & enter)
+        crit = np.where(hit, np.minimum(crit + 1, self.crit_need), 0)
+        staying = flag & hit
+        entering = ~staying & (crit >= self.crit_need) & (since >= self.wait)
+        since = np.minimum(np.where(entering, 1, since + 1), self.wait)
+        return warn, crit, staying | entering, since
+
+
+def replay_confusion(evaluations: DataFrame, params: Sequence[SweepParams], chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Confusion counts of every parameter set per fold.
+
+    ``evaluations``: fold, pos (order inside the fold), score, threshold, vote_ratio, ground_truth_drift.
+    All parameter sets advance together as vectors, so the table is never multiplied by the grid. Chunks
+    of positions are worked off in parallel: each first gives the end state of every start state; these
+    maps are composed, blocks of them in parallel and the blocks in order, which tells every chunk's
+    start state; then each chunk counts from there.
+    """
+    machine = Hysteresis(params)
+    columns = ["fold", "pos", "score", "threshold", "vote_ratio", "ground_truth_drift"]
+    chunk = F.floor(F.col("pos") / chunk_rows).cast("long")
+    rows = stage(evaluations.select(*columns).withColumn("chunk", chunk), "replay")
+    shape = (machine.size, machine.n_states)
+
+    def run(pdf: pd.DataFrame, state: tuple, each) -> tuple:
+        for row in pdf.sort_values("pos").itertuples(index=False):
+            state = machine.step(state, row.score, row.threshold, row.vote_ratio)
+            each(row, state)
+        return state
+
+    def end_states(pdf: pd.DataFrame) -> pd.DataFrame:
+        state = run(pdf, machine.unpack(machine.every()), lambda row, state: None)
+        return pd.DataFrame({"fold": [pdf["fold"].iloc[0]], "chunk": [pdf["chunk"].iloc[0]], "ends": [machine.pack(state).tobytes()]})
+
+    def composed(pdf: pd.DataFrame) -> pd.DataFrame:
+        states = machine.every()
+        for ends in pdf.sort_values("chunk")["ends"]:
+            states = np.take_along_axis(np.frombuffer(ends, np.int32).reshape(shape), states, 1)
+        return pd.DataFrame({"fold": [pdf["fold"].iloc[0]], "block": [pdf["block"].iloc[0]], "ends": [states.astype(np.int32).tobytes()]})
+
+    def advance() -> Step:
+        now = machine.start()
 
         def step(pdf: pd.DataFrame) -> pd.DataFrame:
-            nonlocal warning, critical, warn_run, crit_run, at
-            counts = np.zeros((4, size), dtype=np.int64)
-            for row in pdf.itertuples(index=False):
-                s, limit, vote = row.score, row.threshold, row.vote_ratio
-                hit = np.where(
-                    warning,
-                    (s >= limit * p["warning_exit"]) & (vote >= keep_warning),
-                    (s >= limit * p["warning_enter"]) & (vote >= p["warning_vote"]),
-                )
-                warn_run = np.where(hit, warn_run + 1, 0)
-                warning = warn_run >= warn_need
-                hit = np.where(
-                    critical,
-                    (s >= limit * p["critical_exit"]) & (vote >= keep_critical),
-                    warning & (s >= limit * p["critical_enter"]) & (vote >= p["critical_vote"]),
-                )
-                crit_run = np.where(hit, crit_run + 1, 0)
-                staying = critical & hit
-                entering = ~staying & (crit_run >= crit_need) & (at - last >= p["cooldown"])
-                last[entering] = at
-                critical = staying | entering
-                if row.ground_truth_drift == 1:
-                    counts[0] += critical
-                    counts[3] += ~critical
-                else:
-                    counts[1] += critical
-                    counts[2] += ~critical
-                at += 1
-            out = pd.DataFrame(counts.T, columns=["tp", "fp", "tn", "fn"])
-            return out.assign(fold=int(pdf["fold"].iloc[0]), param_id=np.arange(size))[
-                ["fold", "param_id", "tp", "fp", "tn", "fn"]
-            ]
+            nonlocal now
+            starts = []
+            for ends in pdf["ends"]:
+                starts.append(now.astype(np.int32).tobytes())
+                now = np.take_along_axis(np.frombuffer(ends, np.int32).reshape(shape), now, 1)
+            return pd.DataFrame({"fold": pdf["fold"], "block": pdf["block"], "start": starts})
 
         return step
 
-    partial = ordered_fold(evaluations, ["fold"], "pos", make_step, REPLAY_SCHEMA)
+    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("chunk")
+        now = np.frombuffer(pdf["start"].iloc[0], np.int32).reshape(-1, 1)
+        starts = []
+        for ends in pdf["ends"]:
+            starts.append(now.astype(np.int32).tobytes())
+            now = np.take_along_axis(np.frombuffer(ends, np.int32).reshape(shape), now, 1)
+        return pd.DataFrame({"fold": pdf["fold"], "chunk": pdf["chunk"], "start": starts})
+
+    def counted(pdf: pd.DataFrame) -> pd.DataFrame:
+        counts = np.zeros((4, machine.size), dtype=np.int64)
+
+        def count(row, state: tuple) -> None:
+            critical = state[2][:, 0]
+            hit, miss = (0, 3) if row.ground_truth_drift == 1 else (1, 2)
+            counts[hit] += critical
+            counts[miss] += ~critical
+
+        run(pdf, machine.unpack(np.frombuffer(pdf["start"].iloc[0], np.int32).reshape(-1, 1)), count)
+        out = pd.DataFrame(counts.T, columns=["tp", "fp", "tn", "fn"])
+        return out.assign(fold=int(pdf["fold"].iloc[0]), param_id=np.arange(machine.size))[["fold", "param_id", "tp", "fp", "tn", "fn"]]
+
+    maps = rows.groupBy("fold", "chunk").applyInPandas(end_states, "fold int, chunk long, ends binary")
+    maps = stage(maps.withColumn("block", F.floor(F.col("chunk") / CHUNKS_TOGETHER).cast("long")), "maps")
+    blocks = maps.groupBy("fold", "block").applyInPandas(composed, "fold int, block long, ends binary")
+    opened = ordered_fold(blocks, ["fold"], "block", advance, "fold int, block long, start binary")
+    starts = maps.join(opened, ["fold", "block"]).groupBy("fold", "block").applyInPandas(inside, "fold int, chunk long, start binary")
+    partial = rows.join(starts, ["fold", "chunk"]).groupBy("fold", "chunk").applyInPandas(counted, REPLAY_SCHEMA)
     return partial.groupBy("fold", "param_id").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "tn", "fn")])
 
 
@@ -168,7 +235,7 @@ def top_params(means: DataFrame, top: int = 5) -> DataFrame:
 
 def sweep(evaluations: DataFrame, params: Sequence[SweepParams]) -> DataFrame:
     """Top five parameter sets with settings, cross-validated rates and holdout rates."""
-    replayed = replay_confusion(split_rows(evaluations), params)
+    replayed = stage(replay_confusion(split_rows(evaluations), params), "replayed")
     best = top_params(cross_validated(replayed))
     holdout = with_rates(replayed.filter(F.col("fold") == HOLDOUT)).select(
         "param_id", *[F.col(c).alias(f"holdout_{c}") for c in ("precision", "recall", "f1", "false_alert_rate")]
