@@ -438,7 +438,7 @@ CTES["cpusamples"] = """SELECT host, pct AS v FROM res WHERE pct > 0 UNION ALL
 RAW["a21_cpu_memory"] = """SELECT host, round(c.a, 4) AS cpu_avg_percent, round(c.p, 4) AS cpu_p95_percent, round(m.a, 4) AS memory_avg_mb, round(m.p, 4) AS memory_p95_mb
 FROM (SELECT host, avg(v) AS a, quantile_cont(v, 0.95) AS p FROM cpusamples GROUP BY 1) c JOIN (SELECT host, avg(mb) AS a, quantile_cont(mb, 0.95) AS p FROM res GROUP BY 1) m USING (host)"""
 RAW["a22_traffic_mix"] = "SELECT endpoint, phase, count(*) AS requests FROM req GROUP BY GROUPING SETS ((endpoint), (phase))"
-RAW["a23_ingest_counters"] = "SELECT s AS source, (SELECT count(*) FROM copies WHERE source = s AND s = 'stream') AS count FROM (SELECT unnest(['stream', 'api']) AS s)"
+RAW["a23_ingest_counters"] = "SELECT s AS source, (SELECT count(*) FROM copies WHERE source = s) AS count FROM (SELECT unnest(['stream', 'api']) AS s)"
 RAW["a24_lag_histogram"] = "SELECT le, bucket, round((SELECT sum(lag_s) FROM lagrows), 4) AS total FROM (" + " UNION ALL ".join(
     f"SELECT '{e}' AS le, (SELECT count(*) FROM lagrows WHERE lag_s <= {e}) AS bucket" for e in ops.LAG_EDGES
 ) + " UNION ALL SELECT '+Inf', (SELECT count(*) FROM lagrows))"
@@ -512,6 +512,21 @@ def _run_eval(name: str, column: str, seg: str) -> str:
 
 RAW["c3_run_evaluation"] = f"""SELECT *, round(CASE WHEN ffp > 0 THEN (ffp - fp) / ffp::DOUBLE * 100.0 ELSE 0.0 END, 3) AS false_alert_reduction FROM (
  {_run_eval('fixed_baseline', 'fixed_alert', 'runseg_f')} UNION ALL {_run_eval('adaptive', 'critical_alert', 'runseg_c')}) CROSS JOIN (SELECT count(*) FILTER (ground_truth_drift = 0 AND fixed_alert = 1) AS ffp FROM runreq)""".replace("SELECT *, round(CASE WHEN ffp", "SELECT * EXCLUDE (ffp), round(CASE WHEN ffp", 1)
+RAW["c3_run_phases"] = f"SELECT phase, points, tp, fp, fn, tn, {_rates()} FROM (SELECT phase, count(*) AS points, {_confusion('ground_truth_drift = 1', 'critical_alert = 1')} FROM runreq GROUP BY phase)"
+RAW["c3_run_labels"] = RAW["a26_phase_label_check"].replace("FROM req", "FROM runreq")
+RAW["c3_run_errors"] = RAW["d5_misclassified"].replace("FROM req", "FROM runreq")
+RAW["c3_run_summary"] = RAW["a20_run_summary"]
+for _e in ("score", "predict", "detect_drift"):
+    CTES[f"runreq_{_e}"] = f"SELECT *, row_number() OVER (ORDER BY ts_us, request_id) AS pos FROM runreq WHERE endpoint = '/{_e}'"
+    CTES[f"runseg_{_e}_f"] = _segments(f"runreq_{_e}", "pos", "ts_us", "ground_truth_drift", "fixed_alert")
+    CTES[f"runseg_{_e}_c"] = _segments(f"runreq_{_e}", "pos", "ts_us", "ground_truth_drift", "critical_alert")
+RAW["c3_run_evaluation_streams"] = " UNION ALL ".join(
+    f"""SELECT '/{e}' AS stream_id, '{name}' AS detector, points, tp, fp, fn, tn, round(CASE WHEN ffp > 0 THEN (ffp - fp) / ffp::DOUBLE * 100.0 ELSE 0.0 END, 3) AS false_alert_reduction,
+ (SELECT count(*) FROM runseg_{e}_{seg}) AS segments_total, (SELECT count(*) FILTER (detected) FROM runseg_{e}_{seg}) AS segments_detected
+ FROM (SELECT count(*) AS points, {_confusion('ground_truth_drift = 1', column + ' = 1')}, count(*) FILTER (ground_truth_drift = 0 AND fixed_alert = 1) AS ffp FROM runreq_{e})"""
+    for e in ("score", "predict", "detect_drift")
+    for name, column, seg in (("fixed_baseline", "fixed_alert", "f"), ("adaptive", "critical_alert", "c"))
+)
 CTES["phaserank"] = "SELECT *, row_number() OVER (PARTITION BY phase ORDER BY ts_us, request_id) AS rk, count(*) OVER (PARTITION BY phase) AS size FROM req WHERE drift_evaluated = 1"
 CTES["trainflag"] = "SELECT *, rk <= greatest(1, floor(size * 0.8::DOUBLE)) AS train FROM phaserank"
 CTES["splitrows"] = """SELECT *, row_number() OVER (PARTITION BY train ORDER BY ts_us, request_id) AS pos, least(4, greatest(2, (SELECT count(*) FROM trainflag WHERE train) // 20)) AS folds FROM trainflag"""
@@ -620,6 +635,11 @@ RAW["w13_running_quality"] = """SELECT u, tp::BIGINT AS run_tp, fp::BIGINT AS ru
 FROM (SELECT u, count(*) FILTER (fixed AND drift_tag IS NOT NULL) OVER w AS tp, count(*) FILTER (fixed AND drift_tag IS NULL) OVER w AS fp, count(*) FILTER (drift_tag IS NOT NULL) OVER w AS tr FROM stateout WINDOW w AS (ORDER BY u))"""
 RAW["a28_state_summary"] = f"""SELECT 'main' AS stream_id, count(*) AS scored_events, max_by(con, t) AS drift_active, max_by(won, t) AS drift_warning_active, round(max_by(ds, t), 6) AS drift_score, round(max_by(thr, t), 6) AS threshold,
  round((SELECT avg((s.score >= e.th)::INT) FROM scored s, (SELECT max(t) AS mt, max_by(thr, t) AS th FROM judged) e WHERE s.t > e.mt - {CC.history}), 6) AS recent_rate FROM judged"""
+RAW["a28_state_summary"] = f"""SELECT * REPLACE (round(recent_rate, 6) AS recent_rate) FROM ({RAW['a28_state_summary']}),
+ (SELECT true AS model_ready, round(quantile_cont(lag_s, 0.5), 6) AS lag_p50_s, round(quantile_cont(lag_s, 0.95), 6) AS lag_p95_s, round(max(lag_s), 6) AS lag_max_s FROM lagrows),
+ (SELECT count(*) - count(DISTINCT event_id) AS duplicates FROM copies),
+ (SELECT action = '{control.FREEZE}' AS frozen, CASE WHEN action = '{control.FREEZE}' THEN coalesce(reason, 'manual_freeze') END AS freeze_reason
+  FROM acts WHERE action IN ('{control.FREEZE}', '{control.UNFREEZE}') ORDER BY ts_us DESC, action DESC, coalesce(reason, 'manual') DESC LIMIT 1)"""
 RAW["c1_scored_output"] = """SELECT event_id, 'scored' AS status, round(score, 5) AS score, round(thr, 5) AS threshold, is_anomaly, evaluated AS drift_evaluated, con AS drift_active, won AS drift_warning_active, round(ds, 5) AS drift_score, round(vr, 5) AS vote_ratio FROM judged
 UNION ALL SELECT event_id, 'warming_up', NULL, NULL, FALSE, FALSE, FALSE, FALSE, NULL, NULL FROM feat WHERE idx <= 1500"""
 RAW["c1_alerts"] = "SELECT event_id, ts_us, round(thr, 5) AS threshold, CASE WHEN score >= least(0.99, thr + 0.10) THEN 'high' WHEN score >= least(0.95, thr + 0.05) THEN 'medium' ELSE 'low' END AS severity, round(ds, 5) AS drift_score FROM judged WHERE is_anomaly"

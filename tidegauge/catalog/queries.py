@@ -630,7 +630,7 @@ def a22_traffic_mix(spark, sf):
 
 @query
 def a23_ingest_counters(spark, sf):
-    return ops.counter(_with_copies(spark, sf).filter("source = 'stream'"), "source", ops.SOURCES)
+    return ops.counter(_with_copies(spark, sf), "source", ops.SOURCES)
 
 
 @query
@@ -675,7 +675,7 @@ def a27_availability(spark, sf):
 
 @query
 def a28_state_summary(spark, sf):
-    return rounded(I.run(spark, sf).state_summary())
+    return rounded(I.run(spark, sf).state_summary(I.lags(spark, sf), _with_copies(spark, sf), I.controls(spark, sf)))
 
 
 @query
@@ -1051,6 +1051,35 @@ def c3_run_evaluation(spark, sf):
     return rounded(reports.evaluate_run(I.requests(spark, sf))["detectors"], 3)
 
 
+@query
+def c3_run_phases(spark, sf):
+    return rounded(reports.evaluate_run(I.requests(spark, sf))["phases"])
+
+
+@query
+def c3_run_labels(spark, sf):
+    return reports.evaluate_run(I.requests(spark, sf))["labels"]
+
+
+@query
+def c3_run_errors(spark, sf):
+    rows = reports.evaluate_run(I.requests(spark, sf))["errors"]
+    return rounded(rows.select("request_id", "phase", "error_kind", "score", "vote_ratio", F.col("feature_scores")["amt"]["psi"].alias("psi")))
+
+
+@query
+def c3_run_summary(spark, sf):
+    return rounded(reports.evaluate_run(I.requests(spark, sf))["summary"], 4)
+
+
+@query
+def c3_run_evaluation_streams(spark, sf):
+    """Three streams of requests, by endpoint, evaluated at once."""
+    rows = I.requests(spark, sf).withColumn("stream_id", F.col("endpoint"))
+    found = reports.evaluate_run(rows, STREAMS)["detectors"]
+    return rounded(found.select("stream_id", "detector", "points", "tp", "fp", "fn", "tn", "false_alert_reduction", "segments_total", "segments_detected"), 3)
+
+
 @query
 def c3_scoring_run_evaluation(spark, sf):
     rows = reports.requests_of(I.run(spark, sf)).withColumn("feature_scores_json", F.lit("")).withColumn("latency_ms", F.lit(0.0))

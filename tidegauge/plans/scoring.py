@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from tidegauge.config import EngineConfig
 from tidegauge.operators import adwin, control, drift, profile
 from tidegauge.operators.alerts import alerts_of, circuit_alerts
-from tidegauge.operators.dedupe import first_per_id, opening_events
+from tidegauge.operators.dedupe import duplicate_counts, first_per_id, opening_events
 from tidegauge.operators.features import entity_features
 from tidegauge.operators.models import AnomalyModel, model_for
-from tidegauge.operators.ordering import event_index
+from tidegauge.operators.ordering import event_index, exact_quantiles
 from tidegauge.session import stage
 
 STATE = ("drift_score", "drift_threshold", "vote_ratio", "psi_component", "ks_component", "prediction_component")
@@ -205,11 +205,31 @@ class ScoringRun:
         waiting = self.warming_up.withColumn("status", F.lit("warming_up"))
         return scored.unionByName(waiting, allowMissingColumns=True)
 
-    def state_summary(self, duplicates: int | None = None) -> DataFrame:
-        """Current threshold, drift flags, score and recent anomaly rate per stream."""
+    def state_summary(
+        self, lags: DataFrame | None = None, copies: DataFrame | None = None, controls: DataFrame | None = None
+    ) -> DataFrame:
+        """Operational state per stream: flags, threshold, recent rate, model readiness and, from the inputs
+        that are given, processing lag, duplicates and whether adaptation is frozen and why.
+
+        ``lags``: stream_id, lag_s. ``copies``: stream_id, event_id, one row per arrival. ``controls``:
+        operator actions.
+        """
         ends = self.judged.groupBy("stream_id").agg(
             F.count(F.lit(1)).alias("scored_events"), F.max_by("drift_active", "t").alias("drift_active"),
             F.max_by("drift_warning_active", "t").alias("drift_warning_active"),
-            F.max_by("drift_score", "t").alias("drift_score"),
+            F.max_by("drift_score", "t").alias("drift_score"), F.max("ts_us").alias("_last_us"),
         )
-        return ends.join(control.recent_rate(self.judged, self.cfg.control), "stream_id")
+        out = ends.join(control.recent_rate(self.judged, self.cfg.control), "stream_id")
+        out = out.withColumn("model_ready", F.col("scored_events") > 0)
+        if lags is not None:
+            levels = exact_quantiles(lags, ["stream_id"], "lag_s", {"lag_p50_s": 0.5, "lag_p95_s": 0.95, "lag_max_s": 1.0})
+            out = out.join(levels, "stream_id", "left")
+        if copies is not None:
+            out = out.join(duplicate_counts(copies, ["stream_id"]), "stream_id", "left").na.fill(0, ["duplicates"])
+        if controls is not None:
+            audit = control.control_audit(controls).filter(F.col("action").isin(control.FREEZE, control.UNFREEZE))
+            ended = audit.join(out.select("stream_id", "_last_us"), "stream_id").filter(F.col("ts_us") <= F.col("_last_us"))
+            last = ended.groupBy("stream_id").agg(F.max(F.struct("ts_us", "action", "reason")).alias("_act"))
+            frozen = F.coalesce(F.col("_act.action") == control.FREEZE, F.lit(False))
+            out = out.join(last, "stream_id", "left").withColumns({"frozen": frozen, "freeze_reason": F.when(frozen, F.col("_act.reason"))}).drop("_act")
+        return out.drop("_last_us")
