@@ -55,7 +55,8 @@ def run_summary(requests: DataFrame) -> DataFrame:
         F.greatest(F.lit(1e-9), F.max("timestamp") - F.min("timestamp")).alias("duration_s"),
     )
     levels = exact_quantiles(requests.filter(ok), [], "latency_ms", LATENCY_LEVELS)
-    rows = totals.select("*", *[F.coalesce(levels.select(n).scalar(), F.lit(0.0)).alias(n) for n in LATENCY_LEVELS])
+    both = totals.crossJoin(F.broadcast(levels))  # one row each
+    rows = both.select(*totals.columns, *[F.coalesce(n, F.lit(0.0)).alias(n) for n in LATENCY_LEVELS])
     total, good = F.col("requests_total"), F.col("requests_ok")
     return rows.withColumns(
         {

@@ -96,8 +96,12 @@ def read_feature_csv(
     pred_col: str | None = "pred_score",
     feature_cols: Sequence[str] | None = None,
 ) -> tuple[DataFrame, list[str]]:
-    """Feature table and the feature columns: the given ones, else all that have no other role."""
-    df = spark.read.option("header", True).option("inferSchema", True).csv(path)
+    """Feature table and the feature columns: the given ones, else all that have no other role.
+
+    Types follow the roles, so the files are read once: features and prediction are doubles, the label an
+    integer, the time stays as it is written.
+    """
+    df = spark.read.option("header", True).csv(path)
     required = [timestamp_col, label_col, *([pred_col] if pred_col else [])]
     missing = [c for c in required if c not in df.columns]
     if missing:
@@ -105,7 +109,9 @@ def read_feature_csv(
     features = list(feature_cols or [c for c in df.columns if c not in required])
     if not features:
         raise ValueError("no feature columns")
-    return df, features
+    numbers = [F.col(c).try_cast("double").alias(c) for c in [*features, *([pred_col] if pred_col else [])]]
+    label = F.col(label_col).try_cast("double").cast("int").alias(label_col)
+    return df.select(timestamp_col, label, *numbers), features
 
 
 def parse_scrape(lines: DataFrame, value: str = "value") -> DataFrame:
