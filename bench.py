@@ -9,7 +9,7 @@ import time
 
 from tidegauge.catalog import inputs
 from tidegauge.catalog.queries import QUERIES
-from tidegauge.session import local_session
+from tidegauge.session import drop_staged, local_session
 
 HEADLINE = (
     "w1_entity_features",
@@ -44,6 +44,7 @@ def main() -> None:
         if only and name not in only:
             continue
         inputs.forget_runs()  # every query pays for all of its own work
+        drop_staged(spark)
         start = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)

@@ -464,7 +464,7 @@ def j6_zero_filled_severity(spark, sf):
 
 @query
 def a1_reference_profile(spark, sf):
-    edges = profile.decile_edges(I.halves(spark, sf)[0], ["feature"])
+    edges = profile.decile_edges(I.halves(spark, sf)[0], ["feature"], bounded=False)
     return rounded(edges.select("feature", *[F.col("edges")[i].alias(f"e{i}") for i in range(11)], "n", "mean", "std"))
 
 
@@ -478,7 +478,7 @@ def a1_exact_quantiles_distributed(spark, sf):
 @query
 def a2_histogram(spark, sf):
     ref, cur = I.halves(spark, sf)
-    edges = profile.decile_edges(ref, ["feature"]).select("feature", "edges")
+    edges = profile.decile_edges(ref, ["feature"], bounded=False).select("feature", "edges")
     rows = cur.join(small(edges), "feature").withColumn("bin", D.bin_of("value", "edges"))
     return rows.groupBy("feature", F.col("bin").cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 

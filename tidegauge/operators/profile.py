@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.config import BINS, SCORE, DriftConfig
 from tidegauge.functions import distance as D
-from tidegauge.operators.ordering import asof_join, with_halo
+from tidegauge.operators.ordering import asof_join, exact_quantiles, with_halo
 from tidegauge.session import hinted, small
 
 # Quantile positions of the bin edges.
@@ -37,17 +37,23 @@ def total_of(prefix: str = "b") -> str:
     return "(" + " + ".join(count_names(prefix)) + ")"
 
 
-def decile_edges(values: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Per key: padded decile edges, size, mean and spread of a bounded sample ``value``."""
-    probs = F.array(*[F.lit(p) for p in DECILES])
-    stats = values.groupBy(*keys).agg(
-        F.percentile("value", probs).alias("_q"),
-        F.min("value").alias("_lo"),
-        F.max("value").alias("_hi"),
-        F.count("value").alias("n"),
-        F.avg("value").alias("mean"),
-        F.stddev_pop("value").alias("_std"),
-    )
+def decile_edges(values: DataFrame, keys: Sequence[str], bounded: bool = True) -> DataFrame:
+    """Per key: padded decile edges, size, mean and spread of a sample ``value``.
+
+    A sample of bounded size, as a reference is, uses the built-in percentile; for others the deciles come
+    from the distributed ranks. Both interpolate alike.
+    """
+    names = [f"_q{i}" for i in range(len(DECILES))]
+    moments = [
+        F.min("value").alias("_lo"), F.max("value").alias("_hi"), F.count("value").alias("n"),
+        F.avg("value").alias("mean"), F.stddev_pop("value").alias("_std"),
+    ]
+    if bounded:
+        probs = F.array(*[F.lit(p) for p in DECILES])
+        stats = values.groupBy(*keys).agg(F.percentile("value", probs).alias("_q"), *moments)
+    else:
+        levels = exact_quantiles(values, keys, "value", dict(zip(names, DECILES, strict=True)))
+        stats = values.groupBy(*keys).agg(*moments).join(levels, list(keys)).withColumn("_q", F.array(*names))
     q = F.col("_q")
     edges = F.array(
         F.col("_lo") - D.EDGE_PAD, *[q[i] for i in range(1, BINS)], F.col("_hi") + D.EDGE_PAD

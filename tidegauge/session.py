@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -31,23 +33,32 @@ def local_session(cores: str = "8", app: str = "tidegauge", **conf: str) -> Spar
 
 
 def staging_dir(spark: SparkSession) -> str:
-    """Shared folder for staged tables, taken from ``spark.checkpoint.dir``.
+    """Folder of this application's staged tables below the shared folder in ``spark.checkpoint.dir``.
 
-    A folder of our own is made only where the setting is absent and the master is local.
+    A folder of our own is made only where the setting is absent and the master is local; it goes when
+    Python ends. ``drop_staged`` deletes either.
     """
+    app = spark.sparkContext.applicationId
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if configured:
-        return configured.rstrip("/")
+        return f"{configured.rstrip('/')}/tidegauge-{app}"
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    app = spark.sparkContext.applicationId
     if app not in _local_dirs:
         _local_dirs[app] = tempfile.mkdtemp(prefix="tidegauge-")
+        atexit.register(shutil.rmtree, _local_dirs[app], ignore_errors=True)
     return _local_dirs[app]
 
 
+def drop_staged(spark: SparkSession) -> None:
+    """Delete all tables this application has staged; what reads them must be done."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(staging_dir(spark))
+    path.getFileSystem(conf).delete(path, True)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it back: cuts lineage, survives executor loss, prunes columns."""
     spark = df.sparkSession
