@@ -31,8 +31,12 @@ CHARACTERS = 5
 THRESHOLD = 0.8
 RECALL = 0.99
 HASHES = 64
-#: Candidate lines that are broadcast to fetch their texts; more are joined by a shuffle.
-BROADCAST_LINES = 500_000
+#: Numbers of lines (8 bytes each) that are broadcast; more are joined by a shuffle.
+BROADCAST_LINES = 2_000_000
+#: Repeated lines (about 60 bytes each) whose first places are broadcast.
+BROADCAST_KINDS = 500_000
+#: Documents whose numbers of dropped lines are broadcast; more are joined by a shuffle.
+BROADCAST_DOCS = 250_000
 #: Lines that a task remembers to have signed already.
 REMEMBERED = 500_000
 BLANKS = " \t\x0b\x0c\r"
@@ -100,19 +104,22 @@ def dropped_lines(df: DataFrame, key: str = "doc_id", text: str = "text", n: int
     """Rows (id, th, dropped): numbers of the lines to drop, for documents that lose any."""
     scratch = Scratch(df.sparkSession, "line-dedup")
     bands, per_band = minhash.choose_bands(threshold, recall, HASHES)
-    lines = scratch.stage(signed_lines(lines_of(df, key, text), n, bands, per_band), "lines")
-    led = minhash.leaders(lines.filter("bands is not null").select("item", F.explode("bands").alias("h")))
+    signed = scratch.stage(signed_lines(lines_of(df, key, text), n, bands, per_band), "signed")
+    lines = scratch.stage(signed.drop("bands"), "lines")
+    led = minhash.leaders(signed.filter("bands is not null").select("item", F.explode("bands").alias("h")))
     led = scratch.stage(led, "led")
-    found = lines_of(df, key, text).select("item", "line").join(hinted(led, BROADCAST_LINES), "item")
+    scratch.free("signed")
+    wanted = hinted(led.select("item"), BROADCAST_LINES)
+    found = lines_of(df, key, text).select("item", "line").join(wanted, "item", "left_semi")
     # Lines given often: map-side, one each. The weight is that of the set, not of the copies.
-    found = found.groupBy("item").agg(F.first("line").alias("line"), F.first("leaders").alias("leaders"))
+    found = found.groupBy("item").agg(F.first("line").alias("line")).join(led, "item")
     candidates = scratch.stage(found.withColumns({"weight": F.length("line").cast("long"), "copies": F.lit(1).cast("long")}), "candidates")
 
-    def sets_of(group: pd.DataFrame) -> list[np.ndarray]:
-        elements, starts = runs(group["line"].tolist(), n)
+    def sets_of(texts: list[str]) -> list[np.ndarray]:
+        elements, starts = runs(texts, n)
         return [np.unique(elements[a:b]) for a, b in zip(starts[:-1], starts[1:])]
 
-    links = scratch.stage(minhash.link_groups(candidates, sets_of, threshold, ["line"]), "links")
+    links = scratch.stage(minhash.link_groups(candidates, sets_of, threshold, "line"), "links")
     closed = minhash.components(links.filter("other is not null").select("item", "other"), scratch)
 
     # Linked lines belong to their component, others to their own kind. The narrow rows of lines are counted
@@ -123,9 +130,10 @@ def dropped_lines(df: DataFrame, key: str = "doc_id", text: str = "text", n: int
     linked = kinds.filter("class is not null")
     heads = linked.groupBy("class").agg(F.min("first").alias("stays"))
     dup = linked.join(heads, "class").select("item", "rest", "stays").unionByName(kinds.filter("class is null and n > 1").select("item", "rest", F.col("first").alias("stays")))
-    dup = hinted(scratch.stage(dup, "repeated"), BROADCAST_LINES)
+    dup = hinted(scratch.stage(dup, "repeated"), BROADCAST_KINDS)
     lost = lines.select("id", "th", "no", "item", "rest").join(dup, ["item", "rest"]).filter(~place.eqNullSafe(F.col("stays")))
-    return lost.groupBy("id", "th").agg(F.sort_array(F.collect_set("no")).alias("dropped"))
+    lost = lost.groupBy("id", "th").agg(F.sort_array(F.collect_set("no")).alias("dropped"))
+    return hinted(scratch.stage(lost, "lost"), BROADCAST_DOCS)
 
 
 @F.pandas_udf(T.StringType())
@@ -141,7 +149,8 @@ def without_lines(texts: pd.Series, dropped: pd.Series) -> pd.Series:
 
 def line_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """Columns of ``df`` with the text without its repeated lines, and n_lines, n_dropped, dropped."""
-    lost = dropped_lines(df, key, text, **options).withColumnsRenamed({"id": "_id", "th": "_th"})
+    lost = dropped_lines(df, key, text, **options)
+    lost = lost.withColumnsRenamed({"id": "_id", "th": "_th"})
     whole: Column = whole_text(text)
     base = df.drop("n_lines", "n_dropped", "dropped").withColumn("_own", F.xxhash64(whole))
     joined = base.join(lost, (F.col("_own") == F.col("_th")) & F.col(key).eqNullSafe(F.col("_id")), "left").drop("_own", "_id", "_th")

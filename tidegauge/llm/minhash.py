@@ -18,10 +18,10 @@ The search for links among distinct items runs in these steps.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -104,12 +104,13 @@ def leaders(bands: DataFrame) -> DataFrame:
     return pairs.unionByName(members).groupBy("item").agg(F.sort_array(F.collect_set("leader")).alias("leaders"))
 
 
-def link_groups(items: DataFrame, sets_of: Callable[[pd.DataFrame], list[np.ndarray]], threshold: float, columns: list[str]) -> DataFrame:
-    """Rows (item, other, links, rows) of verified links.
+def link_groups(items: DataFrame, sets_of: Callable[[list[str]], list[np.ndarray]], threshold: float, column: str) -> DataFrame:
+    """Rows (item, other, links, copies) of verified links.
 
-    ``items`` has item, leaders, weight (elements of its set), copies and ``columns``, from which ``sets_of``
-    makes sorted arrays of distinct 64-bit elements. Rows with ``other`` null add to an item's number of
-    linked items and of their copies, the others are links that connect all that is linked in a block pair.
+    ``items`` has item, leaders, weight (elements of its set), copies and the text ``column``, from which
+    ``sets_of`` makes sorted arrays of distinct 64-bit elements. Rows with ``other`` null add to an item's
+    number of linked items and of their copies, the others are links that connect all that is linked in a
+    block pair.
     """
     member = items.select("item", "leaders", "weight", F.explode("leaders").alias("leader"))
     sizes = member.groupBy("leader").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("elements"))
@@ -119,60 +120,82 @@ def link_groups(items: DataFrame, sets_of: Callable[[pd.DataFrame], list[np.ndar
     # A block meets itself and every other block once.
     others = F.sequence(F.lit(0), F.col("parts") - 1)
     placed = placed.select("item", "leader", "part", F.explode(others).alias("with_part"))
-    placed = placed.select(
-        "item", "leader", "part", F.least("part", "with_part").alias("one"), F.greatest("part", "with_part").alias("two")
-    )
-    rows = placed.join(items.select("item", "leaders", "copies", *columns), "item")
-
-    def verify(group: pd.DataFrame) -> pd.DataFrame:
-        return links_in(group.sort_values("item", ignore_index=True), sets_of, threshold)
-
-    return rows.groupBy("leader", "one", "two").applyInPandas(verify, "item long, other long, links long, copies long")
-
-
-def links_in(group: pd.DataFrame, sets_of, threshold: float) -> pd.DataFrame:
-    """Links of one block pair; ``one == two`` is a block with itself."""
-    items = group["item"].to_numpy(np.int64)
-    parts = group["part"].to_numpy()
-    leader = int(group["leader"].iloc[0])
-    across = int(group["one"].iloc[0]) != int(group["two"].iloc[0])
-    sets = sets_of(group)
+    placed = placed.select("item", "leader", "part", F.least("part", "with_part").alias("one"), F.greatest("part", "with_part").alias("two"))
+    rows = placed.join(items.select("item", "leaders", "copies", F.col(column).alias("text")), "item")
+    group = ["leader", "one", "two"]
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if held is not None:
+                table = pa.concat_tables([held, table])
+            starts = _starts(table, group)
+            held = table.slice(starts[-1])  # the last group may go on in the next batch
+            if len(starts) > 1:
+                yield links_in(table.slice(0, starts[-1]), starts, sets_of, threshold)
+        if held is not None:
+            yield links_in(held, [0, held.num_rows], sets_of, threshold)
+
+    dealt = rows.repartition(*group).sortWithinPartitions(*group, "item")
+    return dealt.mapInArrow(verify, "item long, other long, links long, copies long")
+
+
+def _starts(table: pa.Table, group: list[str]) -> list[int]:
+    new = np.zeros(table.num_rows, bool)
+    new[0] = True
+    for c in group:
+        x = table[c].to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new).tolist()
+
+
+def links_in(table: pa.Table, starts: list[int], sets_of, threshold: float) -> pa.RecordBatch:
+    """Links of the block pairs that begin at ``starts`` (the last one is the end of the last pair)."""
+    sets = sets_of(table["text"].to_pylist())
+    items, parts, leader, copies = (table[c].to_numpy() for c in ("item", "part", "leader", "copies"))
+    across = table["one"].to_numpy() != table["two"].to_numpy()
+    leaders = table["leaders"].to_pylist()
+    out: list[tuple[int, int | None, int, int]] = []
+    for a, b in zip(starts[:-1], starts[1:]):
+        if b - a > 1:
+            own = int(leader[a])
+            i, j = _linked(sets[a:b], parts[a:b] if across[a] else None, threshold)
+            if len(i):
+                lists = {k: set(leaders[a + k]) for k in {*i.tolist(), *j.tolist()}}
+                mine = np.array([min(lists[x] & lists[y]) == own for x, y in zip(i.tolist(), j.tolist())], bool)
+                out += _counted(items[a:b].tolist(), copies[a:b], i[mine], j[mine])
+    columns = list(zip(*out)) if out else [[], [], [], []]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["item", "other", "links", "copies"])
+
+
+def _linked(sets: list[np.ndarray], parts: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs i < j of linked sets; only pairs of different parts where ``parts`` is given."""
     sizes = np.array([len(s) for s in sets], np.int64)
-    n = len(items)
     shared = overlaps(sets, sizes)
-    alike = shared >= threshold * (sizes[:, None] + sizes[None, :] - shared) - 1e-9
-    alike &= shared > 0
-    np.fill_diagonal(alike, False)
-    if across:
+    alike = (shared > 0) & (shared >= threshold * (sizes[:, None] + sizes[None, :] - shared) - 1e-9)
+    if parts is not None:
         alike &= parts[:, None] != parts[None, :]
-    a, b = np.nonzero(np.triu(alike))
-    if len(a):
-        lists = [set(x) for x in group["leaders"]]
-        own = np.array([min(lists[i] & lists[j]) == leader for i, j in zip(a.tolist(), b.tolist())], bool)
-        a, b = a[own], b[own]
-    counts = np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
-    copies = group["copies"].to_numpy(np.float64)
-    held = np.bincount(a, copies[b], n) + np.bincount(b, copies[a], n)
-    root = np.arange(n)
-    found = []
-    for i, j in zip(a.tolist(), b.tolist()):
-        x, y = i, j
-        while root[x] != x:
-            root[x] = x = root[root[x]]
-        while root[y] != y:
-            root[y] = y = root[root[y]]
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            found.append((i, j))
-    linked = np.flatnonzero(counts)
-    return pd.DataFrame(
-        {
-            "item": np.concatenate([items[linked], items[[j for _, j in found]]]) if len(linked) else np.zeros(0, np.int64),
-            "other": pd.array([None] * len(linked) + [int(items[i]) for i, _ in found], "Int64"),
-            "links": np.concatenate([counts[linked], np.zeros(len(found), np.int64)]),
-            "copies": np.concatenate([np.rint(held[linked]), np.zeros(len(found))]).astype(np.int64),
-        }
-    )
+    return np.nonzero(np.triu(alike, 1))
+
+
+def _counted(items: list[int], copies: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple]:
+    """Numbers of links of each item, and links that connect all that ``i`` and ``j`` link."""
+    n = len(items)
+    links = np.bincount(i, minlength=n) + np.bincount(j, minlength=n)
+    linked = np.rint(np.bincount(i, copies[j], n) + np.bincount(j, copies[i], n)).astype(np.int64)
+    out = [(items[k], None, int(links[k]), int(linked[k])) for k in np.flatnonzero(links).tolist()]
+    root = list(range(n))
+    for x, y in zip(i.tolist(), j.tolist()):
+        u, v = x, y
+        while root[u] != u:
+            root[u] = u = root[root[u]]
+        while root[v] != v:
+            root[v] = v = root[root[v]]
+        if u != v:
+            root[max(u, v)] = min(u, v)
+            out.append((items[y], items[x], 0, 0))
+    return out
 
 
 def overlaps(sets: list[np.ndarray], sizes: np.ndarray, columns: int = 4096) -> np.ndarray:

@@ -17,7 +17,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -134,11 +133,11 @@ def ngram_join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int =
     texts = texts.groupBy("item").agg(F.first("text").alias("text"))  # rows given twice
     candidates = scratch.stage(wanted.select("item", "leaders", "weight", "copies").join(texts, "item"), "candidates")
 
-    def sets_of(group: pd.DataFrame) -> list[np.ndarray]:
-        elements, starts = ngrams([words_of(t) for t in group["text"]], n)
+    def sets_of(texts: list[str]) -> list[np.ndarray]:
+        elements, starts = ngrams([words_of(t) for t in texts], n)
         return [np.unique(elements[a:b]) for a, b in zip(starts[:-1], starts[1:])]
 
-    links = scratch.stage(minhash.link_groups(candidates, sets_of, threshold, ["text"]), "links")
+    links = scratch.stage(minhash.link_groups(candidates, sets_of, threshold, "text"), "links")
     degrees = links.filter("other is null").groupBy("item").agg(F.sum("links").alias("links"), F.sum("copies").alias("linked"))
     closed = minhash.components(links.filter("other is not null").select("item", "other"), scratch)
     member = (
