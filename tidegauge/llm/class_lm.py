@@ -12,8 +12,9 @@ never seen, so probabilities of known words and of one unknown per class sum to
 follows the end class.
 
 What is gathered from the corpus, counts of all words and of all pairs of types, is aggregated by Spark and
-grows with it. The model proper is bounded: the clustered words, and a matrix of types by classes. Counts of
-words that are not clustered never leave Spark: tokens of such words are joined with their counts.
+grows with it. What the driver and the tasks hold is bounded: the clustered words, a matrix of types by
+classes, and the counts of the ``COUNTED`` most frequent words. Tokens of all other words are joined with
+their counts by Spark.
 
 Defined cases: null and empty texts are the end token alone; an empty training set gives uniform
 probabilities over an unknown word and the end token; null keys are in no training fold; rows that repeat
@@ -35,16 +36,19 @@ from pyspark.sql import functions as F
 from tidegauge.llm.common import Scratch, whole_text
 
 CLUSTERED = 4096
+#: Most frequent words whose counts every task holds (16 bytes each).
+COUNTED = 250_000
 SHAPES = 512
 CLASSES = 64
 ROUNDS = 6
 ALPHA = 0.5
-#: Words of a task that are counted together, and words whose hashes a worker remembers.
+#: Words of a task that are counted together, and words a worker remembers.
 TOKENS_AT_ONCE = 4_000_000
 REMEMBERED = 500_000
 
-#: Hash that stands for the end token; words are hashed to 63 bits.
+#: Number that stands for the end token. A word's number is a hash of 63 bits, the last of which are its shape.
 END = -1
+SHAPE_BITS = 9
 
 
 def training_fold(key: str = "doc_id", folds: int = 5, held_out: int = 1) -> Column:
@@ -52,94 +56,120 @@ def training_fold(key: str = "doc_id", folds: int = 5, held_out: int = 1) -> Col
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % folds != held_out, F.lit(False))
 
 
-class WordIds(dict):
-    """63-bit hashes of words, with the type of words that are not clustered in the high 32 bits apart."""
+class Lexicon(dict):
+    """A worker's places of the words it has met; ``numbers`` holds the number of each, the end token's first."""
+
+    def __init__(self):
+        self.numbers = np.full(1 << 16, END, np.int64)
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh3_64_intdigest(word) >> 1
-        return h
+        place = len(self) + 1
+        if place == len(self.numbers):
+            self.numbers = np.concatenate([self.numbers, np.zeros(place, np.int64)])
+        mask = (1 << SHAPE_BITS) - 1
+        self.numbers[place] = (xxhash.xxh3_64_intdigest(word) >> 1) & ~mask | zlib.crc32(word[-3:]) & mask
+        self[word] = place
+        return place
 
+    def places(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Places of all tokens with the end token after each text, and the texts' numbers of tokens."""
+        lists = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
+        lengths = np.array([len(x) for x in lists], np.int64)
+        found = np.fromiter((k for x in lists for k in map(self.__getitem__, x)), np.int64, int(lengths.sum()))
+        return np.insert(found, np.cumsum(lengths), 0), lengths + 1
 
-class WordShapes(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = s = zlib.crc32(word[-3:])
-        return s
+
+_lexicon = Lexicon()
 
 
-_ids, _shapes = WordIds(), WordShapes()
+def lexicon() -> Lexicon:
+    """The worker's lexicon; a full one is given up."""
+    global _lexicon
+    if len(_lexicon) > REMEMBERED:
+        _lexicon = Lexicon()
+    return _lexicon
 
 
-def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes and shapes of all tokens with an end token after each text, and the texts' numbers of tokens."""
-    if len(_ids) > REMEMBERED:
-        _ids.clear()
-        _shapes.clear()
-    lists = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
-    lengths = np.array([len(x) for x in lists], np.int64)
-    n = int(lengths.sum())
-    words = np.fromiter((h for x in lists for h in map(_ids.__getitem__, x)), np.int64, n)
-    shapes = np.fromiter((h for x in lists for h in map(_shapes.__getitem__, x)), np.uint32, n)
-    ends = np.cumsum(lengths)
-    return np.insert(words, ends, END), np.insert(shapes, ends, 0), lengths + 1
+def find(table: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Places of ``numbers`` in a sorted table, -1 where they are not in it."""
+    if not len(table):
+        return np.full(len(numbers), -1, np.int64)
+    at = np.minimum(np.searchsorted(table, numbers), len(table) - 1)
+    return np.where(table[at] == numbers, at, -1)
 
 
 @dataclass
 class Types:
-    """Types of words: clustered ones by their sorted hashes, then shapes, then the end."""
+    """Types of words: clustered ones by their sorted numbers, then shapes, then the end."""
 
-    hashes: np.ndarray
+    words: np.ndarray
     shapes: int
 
     @property
     def n(self) -> int:
-        return len(self.hashes) + self.shapes + 1
+        return len(self.words) + self.shapes + 1
+
+    def of(self, numbers: np.ndarray) -> np.ndarray:
+        at = find(self.words, numbers)
+        out = np.where(at >= 0, at, len(self.words) + (numbers & ((1 << SHAPE_BITS) - 1)) % self.shapes)
+        out[numbers == END] = self.n - 1
+        return out
+
+
+class ByPlace:
+    """A function of word numbers, evaluated once for each word of a worker's lexicon."""
 
-    def of(self, words: np.ndarray, shapes: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.hashes, words), max(0, len(self.hashes) - 1))
-        known = self.hashes[at] == words if len(self.hashes) else np.zeros(len(words), bool)
-        out = np.where(known, at, len(self.hashes) + shapes % np.uint32(self.shapes))
-        out[words == END] = self.n - 1
-        return out.astype(np.int64)
+    def __init__(self, of):
+        self.of, self.lexicon, self.known = of, None, np.zeros(0, np.int64)
 
+    def __call__(self, lexicon: Lexicon, places: np.ndarray) -> np.ndarray:
+        if self.lexicon is not lexicon:
+            self.lexicon, self.known = lexicon, np.zeros(0, np.int64)
+        n = len(lexicon) + 1
+        if n > len(self.known):
+            self.known = np.concatenate([self.known, self.of(lexicon.numbers[len(self.known) : n])])
+        return self.known[places]
 
-def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Tokens of many texts together, in stretches of bounded length."""
+
+def _stretches(batches: Iterator[pa.RecordBatch], value) -> Iterator[np.ndarray]:
+    """``value(lexicon, places)`` of the tokens of many texts, in stretches of bounded length."""
     held, n = [], 0
     for batch in batches:
         for a in range(0, batch.num_rows, 512):
-            held.append(tokens(batch.column("text").slice(a, 512).to_pylist()))
-            n += len(held[-1][0])
+            words = lexicon()
+            held.append(value(words, words.places(batch.column("text").slice(a, 512).to_pylist())[0]))
+            n += len(held[-1])
             if n >= TOKENS_AT_ONCE:
-                yield tuple(np.concatenate(x) for x in zip(*held))
+                yield np.concatenate(held)
                 held, n = [], 0
     if held:
-        yield tuple(np.concatenate(x) for x in zip(*held))
+        yield np.concatenate(held)
+
+
+def _counted(found: np.ndarray, name: str) -> pa.RecordBatch:
+    found, n = np.unique(found, return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], names=[name, "n"])
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """Rows (word, shape, n) over all tokens, the end token among them."""
-    arrow = pa.schema([("word", pa.int64()), ("shape", pa.int64()), ("n", pa.int64())])
+    """Rows (word, n) over all tokens, the end token among them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, shapes, _ in _stretches(batches):
-            found, first, n = np.unique(words, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(shapes[first].astype(np.int64)), pa.array(n.astype(np.int64))], schema=arrow)
+        for numbers in _stretches(batches, lambda words, places: words.numbers[places]):
+            yield _counted(numbers, "word")
 
-    return texts.mapInArrow(count, "word long, shape long, n long").groupBy("word", "shape").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def type_pairs(texts: DataFrame, types: Types) -> DataFrame:
     """Rows (one, two, n): how often a token of type ``two`` follows one of type ``one``."""
-    arrow = pa.schema([("pair", pa.int64()), ("n", pa.int64())])
     shared = texts.sparkSession.sparkContext.broadcast(types)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = shared.value
-        for words, shapes, _ in _stretches(batches):
-            now = kinds.of(words, shapes)
+        for now in _stretches(batches, ByPlace(kinds.of)):
             before = np.concatenate([[kinds.n - 1], now[:-1]])  # a text's first token follows an end token
-            found, n = np.unique(before * kinds.n + now, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], schema=arrow)
+            yield _counted(before * kinds.n + now, "pair")
 
     pairs = texts.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     return pairs.select(F.floor(F.col("pair") / types.n).cast("int").alias("one"), (F.col("pair") % types.n).cast("int").alias("two"), "n")
@@ -183,18 +213,21 @@ def exchange(before: np.ndarray, after: np.ndarray, classes: np.ndarray, movable
     joint = np.zeros((n_classes, n_classes))
     np.add.at(joint, classes, after)  # joint[c, d]: class d after class c
     size = joint.sum(1)
+    terms = _plogp(joint)
     out = classes.copy()
     for t in movable:
         own, left, right = classes[t], before[t], after[t]
         weight = right.sum()
-        rest = joint.copy()
-        rest[own, :] -= right
-        rest[:, own] -= left
-        rest = np.maximum(rest, 0)
+        rest, rest_terms = joint.copy(), terms.copy()
+        rest[own, :] = np.maximum(rest[own, :] - right, 0)
+        rest[:, own] = np.maximum(rest[:, own] - left, 0)
+        rest_terms[own, :], rest_terms[:, own] = _plogp(rest[own, :]), _plogp(rest[:, own])
         sizes = size.copy()
-        sizes[own] -= weight
-        gain = (_plogp(rest + right[None, :]) - _plogp(rest)).sum(1) + (_plogp(rest + left[:, None]) - _plogp(rest)).sum(0)
-        gain -= 2 * (_plogp(sizes + weight) - _plogp(np.maximum(sizes, 0)))
+        sizes[own] = max(0.0, sizes[own] - weight)
+        # Only classes that precede or follow the type change their terms.
+        r, l = np.flatnonzero(right), np.flatnonzero(left)
+        gain = (_plogp(rest[:, r] + right[r]) - rest_terms[:, r]).sum(1) + (_plogp(rest[l, :] + left[l, None]) - rest_terms[l, :]).sum(0)
+        gain -= 2 * (_plogp(sizes + weight) - _plogp(sizes))
         gain[-1] = -np.inf  # the end's class
         best = int(np.argmax(gain))
         if gain[best] > gain[own] + 1e-9:
@@ -235,54 +268,61 @@ def cluster(pairs: DataFrame, types: Types, classes: int, rounds: int) -> np.nda
 @dataclass
 class Model:
     types: Types
-    counts: np.ndarray  # of the clustered words
     classes: np.ndarray  # of each type
     step: np.ndarray  # log10 P(class | class before)
     class_words: np.ndarray  # training tokens of each class
     class_kinds: np.ndarray  # distinct words of each class
+    counted: np.ndarray  # sorted numbers of the words whose counts are at hand, the end token among them
+    counts: np.ndarray
     tokens: int
     kinds: int
-    ends: int
 
+    def emission(self, count, n_class, kinds_class):
+        return (count + ALPHA) / (n_class + ALPHA * (kinds_class + 1))
 
-def train(texts: DataFrame, scratch: Scratch, clustered: int = CLUSTERED, shapes: int = SHAPES, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
-    """The model, and the staged counts (word, shape, n) of all training words."""
+
+def train(
+    texts: DataFrame, scratch: Scratch, clustered: int = CLUSTERED, shapes: int = SHAPES, classes: int = CLASSES, rounds: int = ROUNDS, counted: int = COUNTED
+) -> tuple[Model, DataFrame]:
+    """The model, and the staged counts (word, n) of all training words."""
+    spark = texts.sparkSession
     counts = scratch.stage(word_counts(texts), "counts")
     words = counts.filter(F.col("word") != END)
-    # Ties at the border are settled by the hash, so reruns cluster the same words.
-    top = words.orderBy(F.col("n").desc(), "word").limit(clustered).toArrow()
-    hashes, n = top["word"].to_numpy(), top["n"].to_numpy()
-    by_hash = np.argsort(hashes)
-    types = Types(hashes[by_hash], shapes)
+    # Ties at the border are settled by the number, so reruns choose the same words.
+    top = words.orderBy(F.col("n").desc(), "word").limit(max(clustered, counted)).toArrow()
+    numbers, n = top["word"].to_numpy(), top["n"].to_numpy()
+    types = Types(np.sort(numbers[:clustered]), shapes)
     pairs = scratch.stage(type_pairs(texts, types), "pairs")
     now = cluster(pairs, types, classes, rounds)
     _, after = context(pairs, now, types.n, classes)
+    scratch.free("pairs")
     joint = np.zeros((classes, classes))
     np.add.at(joint, now, after)
     step = np.log10((joint + ALPHA) / (joint.sum(1, keepdims=True) + ALPHA * classes))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.sum(F.when(F.col("word") == END, F.col("n"))), F.lit(0)).alias("ends")).first()
-
-    # Tokens and kinds of each class: clustered words from the model, the rest by shape.
-    shape = (F.col("shape") % shapes).cast("int").alias("type")
-    rest = words.join(F.broadcast(texts.sparkSession.createDataFrame([(int(h),) for h in types.hashes], "word long")), "word", "left_anti")
-    by_shape = rest.groupBy(shape).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).toArrow()
+    end = F.col("word") == END
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.sum(F.when(end, F.col("n"))), F.lit(0)).alias("ends")).first()
+
+    # Tokens and kinds of each class: clustered words by their own class, the others by that of their shape.
+    own = spark.createDataFrame([(int(w), i) for i, w in enumerate(types.words)], "word long, own int")
+    shape = F.lit(len(types.words)) + F.col("word").bitwiseAND(F.lit((1 << SHAPE_BITS) - 1)) % shapes
+    kind = F.coalesce(F.col("own"), shape).cast("int").alias("type")
+    by_type = words.join(F.broadcast(own), "word", "left").groupBy(kind).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).toArrow()
     class_words, class_kinds = np.zeros(classes), np.zeros(classes)
-    own = now[: len(hashes)]
-    np.add.at(class_words, own, n[by_hash])
-    np.add.at(class_kinds, own, 1)
-    other = now[len(hashes) + by_shape["type"].to_numpy().astype(np.int64)]
-    np.add.at(class_words, other, by_shape["n"].to_numpy())
-    np.add.at(class_kinds, other, by_shape["v"].to_numpy())
+    held = now[by_type["type"].to_numpy()]
+    np.add.at(class_words, held, by_type["n"].to_numpy())
+    np.add.at(class_kinds, held, by_type["v"].to_numpy())
     class_words[-1] += total.ends
     class_kinds[-1] += total.ends > 0
-    return Model(types, n[by_hash], now, step, class_words, class_kinds, total.n, total.v, total.ends), counts
+    by_number = np.argsort(numbers)
+    known, times = np.append(END, numbers[by_number]), np.append(total.ends, n[by_number])
+    return Model(types, now, step, class_words, class_kinds, known, times, total.n, total.v), counts
 
 
 def score(df: DataFrame, model: Model, counts: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, n_tokens, n_known, train_tokens, base_score and score.
 
-    A task scores transitions and the tokens of clustered words; the other words of a document are joined
-    with their counts, one row per document and word.
+    A task scores transitions, and the tokens whose counts it holds; the other words of a document are
+    joined with their counts, one row per document and word.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
     schema = "row long, id long, word long, class int, n long, n_tokens long, known long, base double, score double"
@@ -291,38 +331,39 @@ def score(df: DataFrame, model: Model, counts: DataFrame, scratch: Scratch, key:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        top = len(m.types.hashes)
-        base_of = np.log10((np.append(m.counts, m.ends) + 0.5) / (m.tokens + 0.5 * (m.kinds + 1)))
-        held = np.append(m.classes[:top], len(m.class_words) - 1)
-        emit = np.log10((np.append(m.counts, m.ends) + ALPHA) / (m.class_words[held] + ALPHA * (m.class_kinds[held] + 1)))
+        kind = m.classes[m.types.of(m.counted)]
+        base_of = np.log10((m.counts + 0.5) / (m.tokens + 0.5 * (m.kinds + 1)))
+        emit = np.log10(m.emission(m.counts, m.class_words[kind], m.class_kinds[kind]))
+        class_of, slot_of = ByPlace(lambda w: m.classes[m.types.of(w)]), ByPlace(lambda w: find(m.counted, w))
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
-                words, shapes, lengths = tokens(part.column("text").to_pylist())
-                types = m.types.of(words, shapes)
-                classes = m.classes[types]
-                doc = np.repeat(np.arange(len(lengths)), lengths)
+                part, words = batch.slice(a, 512), lexicon()
+                places, lengths = words.places(part.column("text").to_pylist())
+                k = len(lengths)
+                classes, slots = class_of(words, places), slot_of(words, places)
+                doc = np.repeat(np.arange(k), lengths)
                 before = np.concatenate([[len(m.class_words) - 1], classes[:-1]])
-                steps = np.bincount(doc, m.step[before, classes], len(lengths))
-                sure = (types < top) | (words == END)
-                slot = np.where(types[sure] < top, types[sure], top)
-                base = np.bincount(doc[sure], base_of[slot], len(lengths))
-                steps += np.bincount(doc[sure], emit[slot], len(lengths))
-                known = np.bincount(doc[sure], np.append(m.counts, m.ends)[slot] > 0, len(lengths)).astype(np.int64)
-                rows, ids = part.column("row").to_numpy(), part.column("id")
-                none = pa.nulls(len(lengths), pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("row"), ids, none, none.cast(pa.int32()), none, pa.array(lengths), pa.array(known), pa.array(base), pa.array(steps)], schema=arrow)
+                steps = np.bincount(doc, m.step[before, classes], k)
+                sure = slots >= 0
+                docs, at = doc[sure], slots[sure]
+                base, steps = np.bincount(docs, base_of[at], k), steps + np.bincount(docs, emit[at], k)
+                known = np.bincount(docs, m.counts[at] > 0, k).astype(np.int64)
+                none = pa.nulls(k, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("row"), part.column("id"), none, none.cast(pa.int32()), none, pa.array(lengths), pa.array(known), pa.array(base), pa.array(steps)], schema=arrow
+                )
                 # Other words: one row per document and word.
-                rare = ~sure
-                order = np.lexsort((words[rare], doc[rare]))
-                d, w, c = doc[rare][order], words[rare][order], classes[rare][order]
+                d, w, c = doc[~sure], words.numbers[places[~sure]], classes[~sure]
                 if len(d):
-                    new = np.concatenate([[True], (d[1:] != d[:-1]) | (w[1:] != w[:-1])])
-                    at = np.flatnonzero(new)
-                    times = np.diff(np.append(at, len(d)))
-                    k = len(at)
-                    nothing = [pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[d[at]]), pa.nulls(k, pa.int64()), pa.array(w[at]), pa.array(c[at].astype(np.int32)), pa.array(times.astype(np.int64)), *nothing], schema=arrow)
+                    order = np.lexsort((w, d))
+                    d, w, c = d[order], w[order], c[order]
+                    first = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (w[1:] != w[:-1])]))
+                    times = np.diff(np.append(first, len(d))).astype(np.int64)
+                    rows = part.column("row").to_numpy()[d[first]]
+                    nothing = [pa.nulls(len(first), t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(rows), pa.nulls(len(first), pa.int64()), pa.array(w[first]), pa.array(c[first].astype(np.int32)), pa.array(times), *nothing], schema=arrow
+                    )
 
     source = df.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("id"), whole_text(text).alias("text"))
     parts = scratch.stage(source.mapInArrow(run, schema), "parts")
@@ -334,7 +375,7 @@ def score(df: DataFrame, model: Model, counts: DataFrame, scratch: Scratch, key:
     rare = rare.join(counts.select("word", F.col("n").alias("c")), "word", "left").join(F.broadcast(per_class), "class")
     c = F.coalesce("c", F.lit(0)).cast("double")
     base = F.log10((c + 0.5) / F.lit(model.tokens + 0.5 * (model.kinds + 1)))
-    emitted = F.log10((c + ALPHA) / (F.col("tokens_of") + ALPHA * (F.col("kinds_of") + 1)))
+    emitted = F.log10(model.emission(c, F.col("tokens_of"), F.col("kinds_of")))
     sums = rare.groupBy("row").agg(
         F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("more"), F.sum(F.col("n") * base).alias("rare_base"), F.sum(F.col("n") * emitted).alias("rare_score")
     )
