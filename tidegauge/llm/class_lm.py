@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import Scratch, whole_text
+from tidegauge.llm.common import Scratch, whole_text, worker_cache
 
 CLUSTERED = 4096
 #: Most frequent words whose counts every task holds (16 bytes each).
@@ -79,15 +79,13 @@ class Lexicon(dict):
         return np.insert(found, np.cumsum(lengths), 0), lengths + 1
 
 
-_lexicon = Lexicon()
-
-
 def lexicon() -> Lexicon:
     """The worker's lexicon; a full one is given up."""
-    global _lexicon
-    if len(_lexicon) > REMEMBERED:
-        _lexicon = Lexicon()
-    return _lexicon
+    words = worker_cache("lexicon", Lexicon)
+    if len(words) > REMEMBERED:
+        worker_cache(None, None)
+        words = worker_cache("lexicon", Lexicon)
+    return words
 
 
 def find(table: np.ndarray, numbers: np.ndarray) -> np.ndarray:

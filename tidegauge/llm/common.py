@@ -102,3 +102,16 @@ def qualified(spark: SparkSession, path: str) -> str:
     """Path with scheme and authority of its file system, so that executors resolve it alike."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+
+
+_kept: list = [None, None]
+
+
+def worker_cache(name: object, make):
+    """What a Python worker keeps between tasks: one object at a time, so that operators that follow each
+    other in one worker do not add up their caches."""
+    if _kept[0] != name:
+        _kept[:] = [None, None]
+        if make is not None:
+            _kept[:] = [name, make()]
+    return _kept[1]

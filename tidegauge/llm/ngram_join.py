@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm import minhash
-from tidegauge.llm.common import Scratch, whole_text
+from tidegauge.llm.common import Scratch, whole_text, worker_cache
 from tidegauge.session import hinted
 
 WORDS = 5
@@ -44,15 +44,13 @@ class WordHashes(dict):
         return h
 
 
-_known = WordHashes()
-
-
 def ngrams(texts: list[list[bytes]], n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the word n-grams of all texts, and where each text's begin. Every text has words."""
-    if len(_known) > REMEMBERED:
-        _known.clear()
+    known = worker_cache("word hashes", WordHashes)
+    if len(known) > REMEMBERED:
+        known.clear()
     lengths = np.array([len(t) for t in texts], np.int64)
-    words = np.fromiter((h for t in texts for h in map(_known.__getitem__, t)), np.uint64, int(lengths.sum()))
+    words = np.fromiter((h for t in texts for h in map(known.__getitem__, t)), np.uint64, int(lengths.sum()))
     ends = np.cumsum(lengths)
     total = len(words)
     padded = np.concatenate([words, np.zeros(n, np.uint64)])

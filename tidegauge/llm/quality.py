@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import whole_text
+from tidegauge.llm.common import whole_text, worker_cache
 
 SAMPLE = 6_000
 SAMPLE_PASSAGES = 64
@@ -35,7 +35,7 @@ KINDS, BYTES = 256, 256
 HIDDEN, GATE = 32, 16
 EPOCHS, BATCH, RATE, DECAY = 12, 64, 3e-3, 1e-4
 #: Bytes of text whose passages are described together.
-BYTES_AT_ONCE = 4_000_000
+BYTES_AT_ONCE = 1_000_000
 
 
 def _kinds() -> np.ndarray:
@@ -234,6 +234,7 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        worker_cache(None, None)
         m = shared.value
         for column in batches:
             texts = [t.encode("utf-8", "surrogatepass") for t in column]

@@ -14,6 +14,8 @@ from collections.abc import Sequence
 
 import numpy as np
 
+from tidegauge.llm.common import worker_cache
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Parts a worker remembers, in two generations of this size, and the longest part it remembers.
@@ -123,12 +125,6 @@ class PartEncoder:
             out.update(zip(some, [raw[a:b] for a, b in zip((4 * begins).tolist(), (4 * ends).tolist())]))
 
 
-_encoders: dict[tuple, PartEncoder] = {}
-
-
 def encoder(path: str, parts: re.Pattern, folds: bool = False) -> PartEncoder:
     """The worker's encoder of that file, kept between tasks."""
-    key = (path, parts.pattern, folds)
-    if key not in _encoders:
-        _encoders[key] = PartEncoder(path, parts, folds)
-    return _encoders[key]
+    return worker_cache((path, parts.pattern, folds), lambda: PartEncoder(path, parts, folds))
