@@ -11,8 +11,10 @@ from tidegauge.llm import tokens
 ODD = "aBJ é\n\t   　\x1c'sT.,!12ß̌́̈中​\r\x85İΣ<|>²ª   cdeXY"
 
 
+@pytest.mark.parametrize("stretch", [1_000_000, 8])
 @pytest.mark.parametrize(("name", "parts", "folds"), [("word_bpe_49k.json", tokens.WORDS, True), ("byte_bpe_50k.json", tokens.LEADING_SPACE, False)])
-def test_ids_equal_those_of_the_whole_text(name, parts, folds, monkeypatch):
+def test_ids_equal_those_of_the_whole_text(name, parts, folds, stretch, monkeypatch):
+    monkeypatch.setattr(tokens, "STRETCH", stretch)
     monkeypatch.setattr(tokens, "REMEMBERED", 2000)  # entries are dropped on the way
     rng = random.Random(3)
     texts = ["".join(rng.choice(ODD) for _ in range(rng.randint(0, 30))) for _ in range(20_000)]

@@ -135,10 +135,9 @@ def pack(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text",
             return made
 
         for batch in batches:
-            keys, texts = (batch.column(c).to_pylist() for c in ("key", "text"))
-            for a in range(0, len(keys), TEXTS_AT_ONCE):
-                some = slice(a, a + TEXTS_AT_ONCE)
-                for k, ids in zip(keys[some], encode.ids(texts[some])):
+            for a in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                some = batch.slice(a, TEXTS_AT_ONCE)
+                for k, ids in zip(some.column("key").to_pylist(), encode.ids(some.column("text").to_pylist())):
                     ids = np.concatenate([ids, end])
                     total, whole = len(ids), len(ids) // window * window
                     for start in range(0, whole, window):
@@ -146,7 +145,7 @@ def pack(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text",
                     if whole < total:
                         for held in levels.place((k, whole, ids[whole:].copy(), total)):
                             emit(held)
-                if len(rows) >= 2000:
+                if len(rows) >= 500:
                     yield table()
         for held in levels.close():
             emit(held)

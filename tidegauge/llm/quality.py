@@ -29,13 +29,14 @@ from pyspark.sql import functions as F
 from tidegauge.llm.common import whole_text, worker_cache
 
 SAMPLE = 6_000
-SAMPLE_PASSAGES = 64
+SAMPLE_PASSAGES = 24
 PASSAGE = 600
 KINDS, BYTES = 256, 256
 HIDDEN, GATE = 32, 16
 EPOCHS, BATCH, RATE, DECAY = 12, 64, 3e-3, 1e-4
 #: Bytes of text whose passages are described together.
 BYTES_AT_ONCE = 1_000_000
+TEXTS_AT_ONCE = 512
 
 
 def _kinds() -> np.ndarray:
@@ -237,8 +238,9 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
         worker_cache(None, None)
         m = shared.value
         for column in batches:
-            texts = [t.encode("utf-8", "surrogatepass") for t in column]
-            yield pd.Series(m.score(texts))
+            parts = [column.iloc[a : a + TEXTS_AT_ONCE] for a in range(0, len(column), TEXTS_AT_ONCE)]
+            found = [m.score([t.encode("utf-8", "surrogatepass") for t in part]) for part in parts]
+            yield pd.Series(np.concatenate(found) if found else np.zeros(0))
 
     scores = F.pandas_udf(scores, "double")
     return df.drop("score").withColumn("score", scores(whole_text(text)))

@@ -35,7 +35,7 @@ from tidegauge.llm.tokens import WORDS, encoder
 
 MAGIC = b"IDPLANE1"
 CHUNK_IDS = 1 << 16
-DOCS_PER_FILE = 20_000
+DOCS_PER_FILE = 5_000
 LEVEL = 3
 TEXTS_AT_ONCE = 256
 
@@ -195,10 +195,9 @@ def write_ids(df: DataFrame, folder: str, tokenizer: str, key: str = "doc_id", t
             done.append((block, uri, len(writer.keys), sum(writer.lengths), writer.close()))
 
         for batch in batches:
-            numbers, keys, texts = (batch.column(c).to_pylist() for c in ("block", "key", "text"))
-            for a in range(0, len(keys), TEXTS_AT_ONCE):
-                some = slice(a, a + TEXTS_AT_ONCE)
-                for b, k, ids in zip(numbers[some], keys[some], encode.ids(texts[some])):
+            for a in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                numbers, keys, texts = (batch.column(c).slice(a, TEXTS_AT_ONCE).to_pylist() for c in ("block", "key", "text"))
+                for b, k, ids in zip(numbers, keys, encode.ids(texts)):
                     if b != block:
                         if writer is not None:
                             close()

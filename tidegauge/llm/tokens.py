@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 
@@ -19,11 +19,13 @@ from tidegauge.llm.common import worker_cache
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Parts a worker remembers, in two generations of this size, and the longest part it remembers.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 LONGEST = 64
 #: New parts go to the tokenizer in strings of so many.
 JOINED = 1000
 SEPARATOR = "<|endoftext|>"
+#: Characters of a text that are cut into parts together.
+STRETCH = 1_000_000
 
 # Unicode white space, as the tokenizers' own patterns see it, and letters surely seen as such.
 _WS = "\\t-\\r \\x85\\xa0  -     　"
@@ -33,6 +35,8 @@ LEADING_SPACE = re.compile(f"[{_WS}]?[{_LETTER}]+(?=[,.;:!?{_WS}]|$)|[{_WS}]?[^{
 #: White space is dropped by the tokenizer itself: words between ASCII white space.
 WORDS = re.compile(f"[{_LETTER}]+(?=[,.;:!? \\t-\\r]|$)|[^ \\t-\\r]+")
 
+_BLANK = re.compile(f"(?<=[^{_WS}]) (?=[^{_WS}])")
+
 
 class PartEncoder:
     """``ids(texts)`` as the tokenizer of ``path`` gives them, special tokens taken as ordinary text.
@@ -41,11 +45,8 @@ class PartEncoder:
     """
 
     def __init__(self, path: str, parts: re.Pattern, folds: bool):
-        from tokenizers import Tokenizer
-
-        self.joined = Tokenizer.from_file(path)
-        self.plain = Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True
+        self.path, self._plain = path, None
+        self.joined = self._load()
         self.separator = self.joined.token_to_id(SEPARATOR)
         self.parts, self.folds = parts, folds
         self.young: dict[str, bytes] = {}
@@ -59,8 +60,37 @@ class PartEncoder:
         for token, i in vocabulary.items():
             self.edge[i] = token.startswith("\u0120") if self.spaced else token.endswith("</w>")
 
+    def _load(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    @property
+    def plain(self):
+        """The tokenizer for what looks like special tokens; few workers need it."""
+        if self._plain is None:
+            self._plain = self._load()
+            self._plain.encode_special_tokens = True
+        return self._plain
+
     def ids(self, texts: Sequence[str]) -> list[np.ndarray]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
+        if any(len(t) > STRETCH for t in texts):
+            return [np.concatenate([self._ids([x])[0] for x in self._stretches(t)]) if len(t) > STRETCH else self._ids([t])[0] for t in texts]
+        return self._ids(texts)
+
+    def _stretches(self, text: str) -> Iterator[str]:
+        """A long text in stretches that end before a single blank between two words, where no part goes on."""
+        at = 0
+        while len(text) - at > STRETCH:
+            blank = _BLANK.search(text, at + STRETCH)
+            if blank is None:
+                break
+            yield text[at : blank.start()]
+            at = blank.start()
+        yield text[at:]
+
+    def _ids(self, texts: Sequence[str]) -> list[np.ndarray]:
         cut = [self.parts.findall(t) for t in texts]
         get = self.young.get
         found = [list(map(get, parts)) for parts in cut]
@@ -95,8 +125,9 @@ class PartEncoder:
         whole = self.word.fullmatch
         for p in new:
             (odd if "<|" in p or len(p) > LONGEST else words if whole(p) else rest).append(p)
-        for p, e in zip(odd, self.plain.encode_batch_fast(odd, add_special_tokens=False)):
-            (once if len(p) > LONGEST else young)[p] = np.array(e.ids, "<u4").tobytes()
+        if odd:
+            for p, e in zip(odd, self.plain.encode_batch_fast(odd, add_special_tokens=False)):
+                (once if len(p) > LONGEST else young)[p] = np.array(e.ids, "<u4").tobytes()
         self._joined(words, "" if self.spaced else " ", young)
         self._joined(rest, SEPARATOR, young)
         for p, low in folded.items():
