@@ -78,8 +78,10 @@ def band_hashes(elements: np.ndarray, starts: np.ndarray, bands: int, rows: int,
         first = int(np.searchsorted(starts, a, "right")) - 1
         last = int(np.searchsorted(starts, a + len(part), "left"))
         cuts = np.maximum(starts[first:last] - a, 0)
+        h = np.empty_like(part)
         for k in range(bands * rows):
-            h = (part ^ masks[k]) * factors[k]
+            np.bitwise_xor(part, masks[k], out=h)
+            np.multiply(h, factors[k], out=h)
             row = signature[k, first:last]
             np.minimum(row, np.minimum.reduceat(h, cuts), out=row)
     out = np.zeros((n, bands), np.uint64)
@@ -158,7 +160,14 @@ def links_in(table: pa.Table, starts: list[int], sets_of, threshold: float) -> p
     leaders = table["leaders"].to_pylist()
     out: list[tuple[int, int | None, int, int]] = []
     for a, b in zip(starts[:-1], starts[1:]):
-        if b - a > 1:
+        if b - a == 2:  # by far the most
+            shared = len(np.intersect1d(sets[a], sets[a + 1], assume_unique=True))
+            apart = across[a] and parts[a] == parts[a + 1]
+            if shared and not apart and shared >= threshold * (len(sets[a]) + len(sets[a + 1]) - shared) - 1e-9:
+                if min(set(leaders[a]) & set(leaders[a + 1])) == leader[a]:
+                    one, two = int(items[a]), int(items[a + 1])
+                    out += [(one, None, 1, int(copies[a + 1])), (two, None, 1, int(copies[a])), (two, one, 0, 0)]
+        elif b - a > 2:
             own = int(leader[a])
             i, j = _linked(sets[a:b], parts[a:b] if across[a] else None, threshold)
             if len(i):
