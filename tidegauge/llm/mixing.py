@@ -32,7 +32,7 @@ WEIGHTS = (1.0, 2.0, 3.0)
 #: Schedules, given to the sources in turn: early, even, late.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.5, 1.0), (1.0, 1.5)))
 MAX_REPEATS = 3
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 4_000
 #: Sources are rows of one broadcast table; more than this are refused.
 MAX_SOURCES = 1_000_000
 
