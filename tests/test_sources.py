@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.catalog import inputs as I
 from tidegauge.operators import ops
-from tidegauge.session import small, stage, staging_dir
+from tidegauge.session import drop_staged, small, stage, staging_dir
 from tidegauge.sources import events, logs, sinks
 
 
@@ -87,7 +87,7 @@ def test_staging_folder_comes_from_the_session():
         context = SimpleNamespace(master=master, applicationId="x", getConf=lambda: conf)
         return SimpleNamespace(conf=conf, sparkContext=context)
 
-    assert staging_dir(session("/shared/stage/", "spark://host")) == "/shared/stage"
+    assert staging_dir(session("/shared/stage/", "spark://host")) == "/shared/stage/tidegauge-x"
     with pytest.raises(RuntimeError):
         staging_dir(session(None, "spark://host"))
 
@@ -98,6 +98,13 @@ def test_staged_tables_cut_lineage(spark):
     assert rows.count() == 3 and "Range" not in rows._jdf.queryExecution().analyzed().toString()
 
 
+def test_staged_tables_can_be_dropped(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("tidegauge.session.staging_dir", lambda _: f"file://{tmp_path}/app")
+    assert stage(spark.range(3), "x").count() == 3 and len(list(tmp_path.glob("app/x-*"))) == 1
+    drop_staged(spark)
+    assert list(tmp_path.iterdir()) == []
+
+
 def test_broadcast_only_below_the_limit(spark):
     def hints(df):
         return "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
