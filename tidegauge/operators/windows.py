@@ -32,6 +32,11 @@ def count_windows(indexed: DataFrame, reference_size: int, size: int, step: int)
     )
 
 
+def _open_bin(value: Column, edges: Column) -> Column:
+    """Bin of a finite value between infinite outer edges: the number of edges not above it."""
+    return F.least(F.size(F.filter(edges, lambda e: e <= value)), F.lit(BINS))
+
+
 def window_psi(
     indexed: DataFrame,
     features: Sequence[str],
@@ -60,7 +65,7 @@ def window_psi(
 
     def binned(rows: DataFrame) -> DataFrame:
         joined = rows.join(hinted(edges), by) if by else rows.crossJoin(F.broadcast(edges))  # one row
-        bins = [F.when(is_finite(F.col(c)), D.bin_of(c, f"_e{k}")).alias(f"_b{k}") for k, c in enumerate(columns)]
+        bins = [F.when(is_finite(F.col(c)), _open_bin(F.col(c), F.col(f"_e{k}"))).alias(f"_b{k}") for k, c in enumerate(columns)]
         return joined.select(*rows.columns, *bins)
 
     def counts(prefix: str) -> list[Column]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.scalar import tag_present, tag_truthy
@@ -48,21 +48,21 @@ def _with_segments(counts: DataFrame, segments: DataFrame, detector: str, by: Se
     return both.na.fill(0, ["segments_total", "segments_detected"]).na.fill(0.0, list(SEGMENT_FIGURES[2:]))
 
 
-def detector_report(windows: DataFrame, alert: str, by: Sequence[str] = ()) -> DataFrame:
-    """Confusion and detection latency of one alert column over the windows of each stream."""
-    counts = quality.confusion(windows, F.col("true_drift") == 1, F.col(alert) == 1, by)
-    segments = quality.drift_segments(windows, "window_id", "start_us", "true_drift", alert, by)
-    both = _with_segments(counts, segments, alert, by)
-    return both.select(*by, "detector", "points", "tp", "fp", "fn", "precision", "recall", "f1", *SEGMENT_FIGURES[:4])
-
-
-def psi_report(windows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Fixed and adaptive detector side by side with the false-alert reduction, per stream."""
-    windows = stage(windows, "windows")
-    both = detector_report(windows, "alert_fixed", by).unionByName(detector_report(windows, "alert_adaptive", by))
-    fixed = windows.groupBy(*by).agg(F.count_if((F.col("true_drift") == 0) & (F.col("alert_fixed") == 1)).alias("_fixed_fp"))
-    both = both.join(fixed, list(by)) if by else both.crossJoin(F.broadcast(fixed))  # one row
-    return both.withColumn("false_alert_reduction", quality.fp_reduction_floored(F.col("_fixed_fp"), F.col("fp"))).drop("_fixed_fp")
+def psi_report(windows: DataFrame, by: Sequence[str] = (), alerts: Sequence[str] = ("alert_fixed", "alert_adaptive")) -> DataFrame:
+    """Confusion and detection latency of the alert columns side by side, per stream, with the reduction of
+    false alerts against the first one. The detectors are keys of one pass over the windows."""
+    each = F.explode(F.array(*[F.struct(F.lit(a).alias("detector"), F.col(a).alias("alert")) for a in alerts]))
+    rows = windows.select(*by, "window_id", "start_us", "true_drift", each.alias("_d"))
+    rows = stage(rows.select(*by, "window_id", "start_us", "true_drift", "_d.detector", "_d.alert"), "windows")
+    key = [*by, "detector"]
+    counts = quality.confusion(rows, F.col("true_drift") == 1, F.col("alert") == 1, key)
+    segments = quality.drift_segments(rows, "window_id", "start_us", "true_drift", "alert", key)
+    both = counts.join(quality.segment_summary(segments, key), key, "left")
+    both = both.na.fill(0, ["segments_total", "segments_detected"]).na.fill(0.0, list(SEGMENT_FIGURES[2:]))
+    first = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))  # one row per detector
+    fixed_fp = F.max(F.when(F.col("detector") == alerts[0], F.col("fp"))).over(first)
+    both = both.withColumn("false_alert_reduction", quality.fp_reduction_floored(fixed_fp, F.col("fp")))
+    return both.select(*key, "points", "tp", "fp", "fn", "precision", "recall", "f1", *SEGMENT_FIGURES[:4], "false_alert_reduction")
 
 
 def evaluate_run(requests: DataFrame, by: Sequence[str] = ()) -> dict[str, DataFrame]:
