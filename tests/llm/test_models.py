@@ -60,6 +60,22 @@ def test_scores_do_not_depend_on_how_texts_are_cut(monkeypatch):
     assert np.allclose([model.score([t])[0] for t in texts], whole, atol=1e-6)
 
 
+def test_quality_learns_from_every_passage(spark, monkeypatch):
+    """Long documents keep all their passages, in order, in however many rounds they are collected."""
+    rng = random.Random(9)
+    texts = {i: prose(rng, n) for i, n in enumerate([5, 3000, 40, 6000, 20, 900, 9000, 30])} | {40: "long text " * 130_000, 41: ""}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in texts], "doc_id long, quality int")
+    ids = [i for i in texts if not held(i, 3, 1)]
+    want, sizes = quality.describe([texts[i].encode() for i in ids])
+    assert max(sizes) > 24
+    for at_once in (quality.PASSAGES_AT_ONCE, 40):
+        monkeypatch.setattr(quality, "PASSAGES_AT_ONCE", at_once)
+        features, counts, kinds = quality.sample(docs, labels, "quality", "doc_id", "text")
+        assert list(counts) == list(sizes) and list(kinds) == [i % 2 for i in ids]
+        assert np.array_equal(np.asarray(features), want.astype(np.float16))
+
+
 def test_gradients(monkeypatch):
     rng = np.random.default_rng(0)
     counts, labels = np.array([3, 1, 2]), np.array([1.0, 0.0, 1.0])

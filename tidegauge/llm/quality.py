@@ -7,8 +7,9 @@ logistic unit scores it. All layers are learned together from document labels al
 the passages that decide.
 
 The model is fitted on a bounded sample of labelled documents (``SAMPLE`` of the training folds, those with
-the smallest hash of the key, and at most ``SAMPLE_PASSAGES`` evenly spread passages of each). Scoring reads
-every passage of every text, a bounded number of passages at a time.
+the smallest hash of the key), with every passage of each. The bound is on documents only: their passages
+are collected in rounds of bounded size into a temporary file of the driver, which reads one batch of
+documents at a time. Scoring reads every passage of every text, a bounded number of passages at a time.
 
 Defined cases: null and empty texts are one passage without trigrams and get a score too; several labels of
 a document are averaged, null ones left out; without labels of both kinds the score is the share of label 1
@@ -17,6 +18,8 @@ a document are averaged, null ones left out; without labels of both kinds the sc
 
 from __future__ import annotations
 
+import math
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -26,10 +29,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import whole_text, worker_cache
+from tidegauge.llm.common import Scratch, whole_text, worker_cache
 
 SAMPLE = 6_000
-SAMPLE_PASSAGES = 24
 PASSAGE = 600
 KINDS, BYTES = 256, 256
 HIDDEN, GATE = 32, 16
@@ -37,6 +39,8 @@ EPOCHS, BATCH, RATE, DECAY = 12, 64, 3e-3, 1e-4
 #: Bytes of text whose passages are described together.
 BYTES_AT_ONCE = 1_000_000
 TEXTS_AT_ONCE = 512
+#: Passages of the training sample that are collected, or summed, together (1 KB each).
+PASSAGES_AT_ONCE = 100_000
 
 
 def _kinds() -> np.ndarray:
@@ -139,7 +143,10 @@ def _pool(w: dict[str, np.ndarray], h: np.ndarray, e: np.ndarray, counts: np.nda
 
 
 def fit(features: np.ndarray, counts: np.ndarray, labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Model:
-    """Adam on the log loss of the documents' labels; the same sample always gives the same model."""
+    """Adam on the log loss of the documents' labels; the same sample always gives the same model.
+
+    ``features`` may be a mapped file; a batch of documents and a stretch of passages are read at a time.
+    """
     prior = float(labels.mean()) if len(labels) else 0.5
     if len(labels) == 0 or labels.min() >= 0.5 or labels.max() < 0.5:
         return Model(prior)
@@ -154,7 +161,13 @@ def fit(features: np.ndarray, counts: np.ndarray, labels: np.ndarray, epochs: in
         "gate": draw(HIDDEN, GATE), "gate0": np.zeros(GATE, np.float32), "rate": draw(GATE), "out": draw(HIDDEN),
         "out0": np.array(np.log(prior / (1 - prior)), np.float32),
     }
-    fixed = {"mean": features.mean(0), "scale": 1 / (features.std(0) + 0.01)}
+    sums, squares = np.zeros(d), np.zeros(d)
+    for a in range(0, len(features), PASSAGES_AT_ONCE // 4):
+        some = features[a : a + PASSAGES_AT_ONCE // 4].astype(np.float64)
+        sums, squares = sums + some.sum(0), squares + (some * some).sum(0)
+    mean = sums / len(features)
+    std = np.sqrt(np.maximum(squares / len(features) - mean * mean, 0))
+    fixed = {"mean": mean.astype(np.float32), "scale": (1 / (std + 0.01)).astype(np.float32)}
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in w.items()}
     first = np.cumsum(counts) - counts
     step = 0
@@ -163,7 +176,7 @@ def fit(features: np.ndarray, counts: np.ndarray, labels: np.ndarray, epochs: in
         for a in range(0, len(order), BATCH):
             bags = order[a : a + BATCH]
             take = np.concatenate([np.arange(first[b], first[b] + counts[b]) for b in bags])
-            f = _encode(w | fixed, features[take])
+            f = _encode(w | fixed, features[take].astype(np.float32))
             f |= _pool(w, f["h"], f["e"], counts[bags])
             grads = _backward(w, f, labels[bags])
             step += 1
@@ -204,30 +217,48 @@ def _bytes(texts: pa.Array) -> list[bytes]:
 
 
 def sample(df: DataFrame, labels: DataFrame, label: str, key: str, text: str, n: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features, passage counts and labels of the bounded training sample."""
+    """Features of all passages, passage counts and labels of the bounded training sample, by ascending key."""
     known = labels.filter(~held_out(key) & F.col(label).isNotNull()).groupBy(F.col(key).alias("_id")).agg(F.avg(label).alias("label"))
     chosen = F.broadcast(known.orderBy(F.xxhash64("_id"), "_id").limit(n))  # at most n rows
-    schema = "id long, label double, features binary"
+    step = BYTES_AT_ONCE // PASSAGE * PASSAGE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = _bytes(batch.column("text"))
-            rows = []
-            for t in texts:
-                f, _ = describe([t])
-                if len(f) > SAMPLE_PASSAGES:
-                    f = f[np.linspace(0, len(f) - 1, SAMPLE_PASSAGES).astype(np.int64)]
-                rows.append(f.astype(np.float16).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(rows, pa.binary())], names=["id", "label", "features"])
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                text = _bytes(row.column("text"))[0]
+                for part, a in enumerate(range(0, max(1, len(text)), step)):
+                    f, counts = describe([text[a : a + step]])
+                    columns = [row.column("id"), row.column("label"), pa.array([part]), pa.array(counts), pa.array([f.astype(np.float16).tobytes()], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["id", "label", "part", "n", "features"])
 
     docs = df.select(F.col(key).alias("_id"), whole_text(text).alias("text")).join(chosen, "_id")
     # A key that repeats counts once, with its first text.
     docs = docs.groupBy(F.col("_id").cast("long").alias("id"), "label").agg(F.min("text").alias("text"))
-    found = docs.mapInArrow(run, schema).toArrow().sort_by("id")
-    bags = [np.frombuffer(f, np.float16).reshape(-1, KINDS + BYTES) for f in found["features"].to_pylist()]
-    counts = np.array([len(b) for b in bags], np.int64)
-    features = np.concatenate(bags).astype(np.float32) if bags else np.zeros((0, KINDS + BYTES), np.float32)
-    return features, counts, found["label"].to_numpy()
+    scratch = Scratch(df.sparkSession, "quality")
+    staged = scratch.stage(docs.mapInArrow(run, "id long, label double, part long, n long, features binary"), "features")
+    total = staged.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    if not total:
+        scratch.free("features")
+        return np.zeros((0, KINDS + BYTES), np.float16), np.zeros(0, np.int64), np.zeros(0)
+    features = np.memmap(tempfile.TemporaryFile(), np.float16, "w+", shape=(total, KINDS + BYTES))
+    rounds, at, counts, values = math.ceil(total / PASSAGES_AT_ONCE), 0, [], []
+    # Documents of a range of keys in each round, so that the file is in the order of the keys.
+    shares = [k / rounds for k in range(1, rounds)]
+    edges = staged.agg(F.percentile("id", F.array(*map(F.lit, shares)), F.col("n")).alias("e")).first().e if shares else []
+    for low, high in zip([None, *edges], [*edges, None]):
+        some = staged if low is None else staged.filter(F.col("id") > F.lit(low))
+        some = some if high is None else some.filter(F.col("id") <= F.lit(high))
+        for row in some.toArrow().sort_by([("id", "ascending"), ("part", "ascending")]).to_batches(max_chunksize=256):
+            for part, m, value, f in zip(*(row.column(c).to_pylist() for c in ("part", "n", "label", "features"))):
+                features[at : at + m] = np.frombuffer(f, np.float16).reshape(m, -1)
+                at += m
+                if part == 0:
+                    counts.append(0)
+                    values.append(value)
+                counts[-1] += m
+    scratch.free("features")
+    return features, np.array(counts, np.int64), np.array(values)
 
 
 def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
