@@ -160,6 +160,33 @@ def test_lm_finds_classes(spark):
     assert own > base + 0.2
 
 
+def test_lm_gives_every_training_word_its_own_class(spark):
+    """Words of two kinds alternate, all with the same last bytes: only an exchange of words tells them apart."""
+    rng = random.Random(6)
+    left, right = [f"l{i}same" for i in range(150)], [f"r{i}same" for i in range(150)]
+    rows = [(i, " ".join(rng.choice((left, right)[k % 2]) for k in range(60))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = class_lm.class_lm(docs, classes=4, clustered=4, counted=10).collect()
+    out = [r for r in got if r.held_out]
+    n = sum(r.n_tokens for r in out)
+    assert sum(r.score for r in out) / n > sum(r.base_score for r in out) / n + 0.2
+
+
+def test_best_classes_agree_with_exchange():
+    rng = np.random.default_rng(8)
+    n, k = 40, 6
+    pairs = rng.integers(0, 4, (n, n)).astype(float) * (rng.random((n, n)) < 0.3)
+    classes = np.append(rng.integers(0, k - 1, n - 1), k - 1)
+    one = np.eye(k)[classes]
+    before, after = (one.T @ pairs).T, pairs @ one
+    joint = np.zeros((k, k))
+    np.add.at(joint, classes, after)
+    both = np.concatenate([before, after], axis=1)[:-1]
+    word, code = np.nonzero(both)
+    got = class_lm.best_classes(joint, classes[:-1], word, code, both[word, code])
+    assert list(got) == list(class_lm.exchange(before, after, classes, np.arange(n - 1))[:-1])
+
+
 def test_exchange_never_lowers_the_likelihood():
     rng = np.random.default_rng(4)
     n, k = 30, 5

@@ -1,9 +1,13 @@
 """Class-based language model: exchange clustering of words, class transitions, word emissions.
 
-Words are the stretches between ASCII white space, A-Z lower-cased; every text ends with an end token. The
-``CLUSTERED`` most frequent words are types of their own; all other words, seen or not, belong to one of
-``SHAPES`` types by their last bytes. Types are put into ``CLASSES`` classes by exchange: each round moves
-types to the class that raises the class-bigram likelihood most, given counts of all other types.
+Words are the stretches between ASCII white space, A-Z lower-cased; every text ends with an end token. Every
+word of the training texts is put into one of ``CLASSES`` classes by exchange: each round moves words to the
+class that raises the class-bigram likelihood most, given counts of all other words. The exchange starts from
+classes of types: the ``CLUSTERED`` most frequent words, and ``SHAPES`` types by the last bytes of all others,
+which are exchanged first. Words that were never seen keep the class of their last bytes.
+
+A round moves half of the words at once, then the likelihood is counted anew; rounds stop, and the best classes
+stay, when it rises by less than ``RISE`` a token.
 
     P(text) = product over tokens of P(class | class before) * P(word | class)
 
@@ -11,10 +15,11 @@ Transitions and emissions are smoothed by adding ``ALPHA``; a class has one more
 never seen, so probabilities of known words and of one unknown per class sum to 1. The first token
 follows the end class.
 
-What is gathered from the corpus, counts of all words and of all pairs of types, is aggregated by Spark and
-grows with it. What the driver and the tasks hold is bounded: the clustered words, a matrix of types by
-classes, and the counts of the ``COUNTED`` most frequent words. Tokens of all other words are joined with
-their counts by Spark.
+What is gathered from the corpus grows with it and stays in Spark: stretches of texts as places in the
+stretch's list of words, the neighbour classes of each word, and the table of words with counts and classes.
+Words are dealt over parts by their hash; a part chooses the classes of its words and answers the stretches.
+What the driver and the tasks hold is bounded: a matrix of types by classes, one of classes by classes, counts
+and classes of the ``COUNTED`` most frequent words, a stretch, and a part of the words.
 
 Defined cases: null and empty texts are the end token alone; an empty training set gives uniform
 probabilities over an unknown word and the end token; null keys are in no training fold; rows that repeat
@@ -23,6 +28,7 @@ a key are scored one by one; only key and text are read.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,20 +36,24 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm.common import Scratch, whole_text, worker_cache
 
 CLUSTERED = 4096
-#: Most frequent words whose counts every task holds (16 bytes each).
+#: Most frequent words whose counts and classes every task holds when scoring (16 bytes each).
 COUNTED = 250_000
 SHAPES = 512
 CLASSES = 64
-ROUNDS = 6
+#: Most rounds of types, and of words, if the likelihood still rises; nats a token that count as a rise.
+ROUNDS = 40
+RISE = 1e-3
 ALPHA = 0.5
-#: Words of a task that are counted together, and words a worker remembers.
-TOKENS_AT_ONCE = 4_000_000
+#: Tokens of a stretch (a text is not cut), tokens for each part of the words, words a worker remembers.
+TOKENS_AT_ONCE = 1_000_000
+TOKENS_A_PART = 500_000
 REMEMBERED = 500_000
 
 #: Number that stands for the end token. A word's number is a hash of 63 bits, the last of which are its shape.
@@ -114,62 +124,77 @@ class Types:
         return out
 
 
-class ByPlace:
-    """A function of word numbers, evaluated once for each word of a worker's lexicon."""
+CODED = "s long, ids array<long>, lengths binary, words binary, tokens binary"
+
 
-    def __init__(self, of):
-        self.of, self.lexicon, self.known = of, None, np.zeros(0, np.int64)
+def coded(rows: DataFrame) -> DataFrame:
+    """Rows (id, text) as stretches: the sorted numbers of their words, and the place of each token in them."""
 
-    def __call__(self, lexicon: Lexicon, places: np.ndarray) -> np.ndarray:
-        if self.lexicon is not lexicon:
-            self.lexicon, self.known = lexicon, np.zeros(0, np.int64)
-        n = len(lexicon) + 1
-        if n > len(self.known):
-            self.known = np.concatenate([self.known, self.of(lexicon.numbers[len(self.known) : n])])
-        return self.known[places]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, k, held, n = TaskContext.get().partitionId(), 0, [], 0
 
+        def stretch() -> pa.RecordBatch:
+            words, tokens = np.unique(np.concatenate([h[2] for h in held]), return_inverse=True)
+            ids = pa.array([[i for h in held for i in h[0]]], pa.list_(pa.int64()))
+            lengths = np.concatenate([h[1] for h in held]).astype(np.int64)
+            blobs = [pa.array([x.tobytes()], pa.binary()) for x in (lengths, words, tokens.astype(np.int32))]
+            return pa.RecordBatch.from_arrays([pa.array([task << 32 | k]), ids, *blobs], names=["s", "ids", "lengths", "words", "tokens"])
 
-def _stretches(batches: Iterator[pa.RecordBatch], value) -> Iterator[np.ndarray]:
-    """``value(lexicon, places)`` of the tokens of many texts, in stretches of bounded length."""
-    held, n = [], 0
+        for batch in batches:
+            for a in range(0, batch.num_rows, 512):
+                part, words = batch.slice(a, 512), lexicon()
+                places, lengths = words.places(part.column("text").to_pylist())
+                held.append((part.column("id").to_pylist(), lengths, words.numbers[places]))
+                n += len(places)
+                if n >= TOKENS_AT_ONCE:
+                    yield stretch()
+                    k, held, n = k + 1, [], 0
+        if held:
+            yield stretch()
+
+    return rows.mapInArrow(run, CODED)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows of the batches, one at a time, binary columns as they are."""
     for batch in batches:
-        for a in range(0, batch.num_rows, 512):
-            words = lexicon()
-            held.append(value(words, words.places(batch.column("text").slice(a, 512).to_pylist())[0]))
-            n += len(held[-1])
-            if n >= TOKENS_AT_ONCE:
-                yield np.concatenate(held)
-                held, n = [], 0
-    if held:
-        yield np.concatenate(held)
-
-
-def _counted(found: np.ndarray, name: str) -> pa.RecordBatch:
-    found, n = np.unique(found, return_counts=True)
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
+def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary()}
+    columns = [c.strip().split(" ") for c in schema.split(",")]
+    return pa.RecordBatch.from_arrays([pa.array(list(x), kinds[k]) for (_, k), x in zip(columns, zip(*rows))], names=[name for name, _ in columns])
+
+
+def _counted(found: np.ndarray, n: np.ndarray, name: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], names=[name, "n"])
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
+def word_counts(stretches: DataFrame) -> DataFrame:
     """Rows (word, n) over all tokens, the end token among them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for numbers in _stretches(batches, lambda words, places: words.numbers[places]):
-            yield _counted(numbers, "word")
+        for row in _rows(batches):
+            words, tokens = np.frombuffer(row["words"], np.int64), np.frombuffer(row["tokens"], np.int32)
+            yield _counted(words, np.bincount(tokens, minlength=len(words)), "word")
 
-    return texts.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return stretches.select("words", "tokens").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def type_pairs(texts: DataFrame, types: Types) -> DataFrame:
+def type_pairs(stretches: DataFrame, types: Types) -> DataFrame:
     """Rows (one, two, n): how often a token of type ``two`` follows one of type ``one``."""
-    shared = texts.sparkSession.sparkContext.broadcast(types)
+    shared = stretches.sparkSession.sparkContext.broadcast(types)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = shared.value
-        for now in _stretches(batches, ByPlace(kinds.of)):
+        for row in _rows(batches):
+            now = kinds.of(np.frombuffer(row["words"], np.int64))[np.frombuffer(row["tokens"], np.int32)]
             before = np.concatenate([[kinds.n - 1], now[:-1]])  # a text's first token follows an end token
-            yield _counted(before * kinds.n + now, "pair")
+            yield _counted(*np.unique(before * kinds.n + now, return_counts=True), "pair")
 
-    pairs = texts.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    pairs = stretches.select("words", "tokens").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     return pairs.select(F.floor(F.col("pair") / types.n).cast("int").alias("one"), (F.col("pair") % types.n).cast("int").alias("two"), "n")
 
 
@@ -201,6 +226,11 @@ def _plogp(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
 
+def likelihood(joint: np.ndarray) -> float:
+    """Log likelihood of the class bigrams and of words within classes, up to a constant."""
+    return float(_plogp(joint).sum() - _plogp(joint.sum(1)).sum() - _plogp(joint.sum(0)).sum())
+
+
 def exchange(before: np.ndarray, after: np.ndarray, classes: np.ndarray, movable: np.ndarray) -> np.ndarray:
     """New classes for the movable types, each the best one given the present classes of the others.
 
@@ -242,9 +272,18 @@ def cluster(pairs: DataFrame, types: Types, classes: int, rounds: int) -> np.nda
     totals = np.zeros(types.n)
     rows = pairs.groupBy("two").agg(F.sum("n").alias("n")).toArrow()
     totals[rows["two"].to_numpy()] = rows["n"].to_numpy()
-    now = first_classes(types, totals, classes)
-    for k in range(rounds):
+    now = best = first_classes(types, totals, classes)
+    reached, idle = -np.inf, 0
+    for k in range(rounds + 1):
         before, after = context(pairs, now, types.n, classes)
+        joint = np.zeros((classes, classes))
+        np.add.at(joint, now, after)
+        found = likelihood(joint)
+        idle = 0 if found > reached + RISE * totals.sum() else idle + 1
+        if found > reached:
+            best, reached = now, found
+        if k == rounds or idle == 2:  # neither half of the types rises
+            break
         shared = spark.sparkContext.broadcast((before, after, now))
         half = np.array([t for t in range(types.n - 1) if totals[t] and (t + k) % 2 == 0], np.int64)
 
@@ -260,7 +299,200 @@ def cluster(pairs: DataFrame, types: Types, classes: int, rounds: int) -> np.nda
         now = now.copy()
         now[moved["type"].to_numpy()] = moved["class"].to_numpy()
         shared.unpersist()
-    return now
+    return best
+
+
+CONTEXTS = "p long, s long, words binary, classes binary, sizes binary, codes binary, n binary"
+ANSWERS = "s long, p long, classes binary, counts binary"
+TABLE = "word long, n long, class int"
+
+
+def part_of(words: np.ndarray, parts: int) -> np.ndarray:
+    return (words >> SHAPE_BITS) % parts
+
+
+def answered(stretches: DataFrame, answers: DataFrame) -> DataFrame:
+    """Stretches with the answers of all parts they asked, in ``got``."""
+    got = answers.groupBy("s").agg(F.collect_list(F.struct("p", "classes", "counts")).alias("got"))
+    return stretches.join(got, "s", "left")
+
+
+def neighbours(stretches: DataFrame, classes: int, parts: int, start: tuple[Types, np.ndarray] | None) -> DataFrame:
+    """Per part and stretch: words, their classes, and how often which class stands before or after them.
+
+    Classes are those of ``got``, or of the words' types in the first round. Row -1 has the stretch's class pairs.
+    """
+    shared = stretches.sparkSession.sparkContext.broadcast(start)
+    columns = ["s", "words", "tokens"] + ([] if start else ["got"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            words, tokens = np.frombuffer(row["words"], np.int64), np.frombuffer(row["tokens"], np.int32)
+            part = part_of(words, parts)
+            part[words == END] = -1
+            if start:
+                types, by_type = shared.value
+                kind = by_type[types.of(words)]
+            else:
+                kind = np.full(len(words), classes - 1)
+                order = np.argsort(part, kind="stable")
+                given = {g["p"]: np.frombuffer(g["classes"], np.int16) for g in row["got"] or []}
+                kind[order[np.count_nonzero(part < 0) :]] = np.concatenate([given[p] for p in sorted(given)]) if given else []
+            now = kind[tokens]
+            before = np.roll(now, 1)  # a stretch ends with an end token, which its first token follows
+            joint = np.bincount(before * classes + now, minlength=classes * classes)
+            yield _batch(CONTEXTS, [(-1, row["s"], b"", b"", b"", b"", joint.astype(np.int64).tobytes())])
+            wide = tokens.astype(np.int64) * (2 * classes)
+            keys, n = np.unique(np.concatenate([wide + before, wide + classes + np.roll(now, -1)]), return_counts=True)
+            place = keys // (2 * classes)
+            order = np.argsort(part[place], kind="stable")
+            place, codes, n = place[order], (keys % (2 * classes))[order].astype(np.int16), n[order].astype(np.int32)
+            own = np.argsort(part, kind="stable")
+            sizes = np.bincount(place, minlength=len(words))[own].astype(np.int32)
+            found, first = np.unique(part[own], return_index=True)
+            last, at = np.append(first[1:], len(own)), np.concatenate([[0], np.cumsum(sizes)])
+            out = []
+            for p, a, b in zip(found, first, last):
+                if p >= 0:
+                    entries = slice(at[a], at[b])
+                    blobs = (words[own[a:b]], kind[own[a:b]].astype(np.int16), sizes[a:b], codes[entries], n[entries])
+                    out.append((int(p), row["s"], *[x.tobytes() for x in blobs]))
+            if out:
+                yield _batch(CONTEXTS, out)
+
+    return stretches.select(*columns).mapInArrow(run, CONTEXTS)
+
+
+def class_pairs(contexts: DataFrame, classes: int) -> np.ndarray:
+    """Class bigrams of all stretches; one matrix a task reaches the driver."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(classes * classes, np.int64)
+        for row in _rows(batches):
+            total = total + np.frombuffer(row["n"], np.int64)
+        yield _batch("n binary", [(total.tobytes(),)])
+
+    found = contexts.filter("p = -1").select("n").mapInArrow(add, "n binary").toArrow()["n"].to_pylist()
+    return sum((np.frombuffer(f, np.int64) for f in found), np.zeros(classes * classes, np.int64)).reshape(classes, classes).astype(float)
+
+
+def best_classes(joint: np.ndarray, own: np.ndarray, word: np.ndarray, code: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The best class of each word, as ``exchange`` finds it, for many words with few neighbour classes each.
+
+    ``own`` has the words' classes; an entry says how often class ``code`` stands before a word, or class
+    ``code`` less the number of classes after it.
+    """
+    k = len(joint)
+    left, right = np.zeros((len(own), k)), np.zeros((len(own), k))
+    after = code >= k
+    left[word[~after], code[~after]] = n[~after]
+    right[word[after], code[after] - k] = n[after]
+    gain = np.zeros((len(own), k))
+    for matrix, side, mine, other in ((joint, after, right, left), (joint.T, ~after, left, right)):
+        w, c, m = word[side], code[side] % k, n[side].astype(float)
+        rest = matrix[:, c].T.copy()
+        rest[np.arange(len(w)), own[w]] -= m  # the word's own pairs leave its class
+        same = np.flatnonzero(c == own[w])
+        rest[same] -= other[w[same]]
+        rest = np.maximum(rest, 0)
+        first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]])) if len(w) else np.zeros(0, np.int64)
+        if len(w):
+            gain[w[first]] += np.add.reduceat(_plogp(rest + m[:, None]) - _plogp(rest), first, axis=0)
+    weight = right.sum(1)
+    sizes = np.repeat(joint.sum(1)[None, :], len(own), axis=0)
+    at = np.arange(len(own))
+    sizes[at, own] = np.maximum(0, sizes[at, own] - weight)
+    gain -= 2 * (_plogp(sizes + weight[:, None]) - _plogp(sizes))
+    gain[:, -1] = -np.inf  # the end's class
+    best = gain.argmax(1)
+    return np.where(gain[at, best] > gain[at, own] + 1e-9, best, own)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], classes: int):
+    """A part's rows, words, classes, each row's places in them, and summed entries (word, code, n) by word."""
+    rows = list(_rows(batches))
+    if not rows:
+        return None
+    read = lambda name, kind: [np.frombuffer(r[name], kind) for r in rows]
+    lists = read("words", np.int64)
+    words, first, places = np.unique(np.concatenate(lists), return_index=True, return_inverse=True)
+    own = np.concatenate(read("classes", np.int16))[first].astype(np.int64)
+    keys = np.repeat(places, np.concatenate(read("sizes", np.int32))) * (2 * classes) + np.concatenate(read("codes", np.int16))
+    keys, at = np.unique(keys, return_inverse=True)
+    n = np.bincount(at, np.concatenate(read("n", np.int32)))
+    cuts = np.cumsum([len(x) for x in lists])[:-1]
+    return rows, words, own, np.split(places, cuts), keys // (2 * classes), keys % (2 * classes), n
+
+
+def dealt(contexts: DataFrame, parts: int) -> DataFrame:
+    return contexts.repartition(max(1, math.ceil(parts / 4)), "p")
+
+
+def moved(contexts: DataFrame, joint: np.ndarray, parts: int, turn: int) -> DataFrame:
+    """New classes of the words, answered to each stretch in its order; half of the words may move."""
+    k = len(joint)
+    shared = contexts.sparkSession.sparkContext.broadcast(joint)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _gathered(batches, k)
+        if found is None:
+            return
+        rows, words, own, places, word, code, n = found
+        new = own.copy()
+        for a in range(0, len(words), 8192):
+            b = min(len(words), a + 8192)
+            e = slice(*np.searchsorted(word, [a, b]))
+            best = best_classes(shared.value, own[a:b], word[e] - a, code[e], n[e])
+            may = (words[a:b] >> 40) % 2 == turn % 2
+            new[a:b] = np.where(may, best, own[a:b])
+        new = new.astype(np.int16)
+        for row, at in zip(rows, places):
+            yield _batch(ANSWERS, [(row["s"], row["p"], new[at].tobytes(), b"")])
+
+    return dealt(contexts.filter("p >= 0"), parts).mapInArrow(run, ANSWERS)
+
+
+def word_table(contexts: DataFrame, classes: int, parts: int) -> DataFrame:
+    """Rows (word, n, class) of all training words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _gathered(batches, classes)
+        if found is not None:
+            _, words, own, _, word, code, n = found
+            times = np.bincount(word, n * (code >= classes), len(words)).astype(np.int64)
+            for a in range(0, len(words), 100_000):
+                b = a + 100_000
+                yield pa.RecordBatch.from_arrays([pa.array(words[a:b]), pa.array(times[a:b]), pa.array(own[a:b].astype(np.int32))], names=["word", "n", "class"])
+
+    return dealt(contexts.filter("p >= 0"), parts).mapInArrow(run, TABLE)
+
+
+def exchange_words(stretches: DataFrame, types: Types, by_type: np.ndarray, tokens: int, scratch: Scratch, classes: int, rounds: int) -> tuple[np.ndarray, DataFrame]:
+    """Class bigrams and the staged table of all training words after the exchange."""
+    parts = max(1, math.ceil(tokens / TOKENS_A_PART))
+    now, reached, best, idle = neighbours(stretches, classes, parts, (types, by_type)), -np.inf, None, 0
+    for k in range(rounds + 1):
+        name = f"contexts-{k}"
+        contexts = scratch.stage(now, name)
+        if k:
+            scratch.free(f"answers-{k}")
+        joint = class_pairs(contexts, classes)
+        found = likelihood(joint)
+        idle = 0 if found > reached + RISE * tokens else idle + 1
+        if best is None or found > reached:
+            if best:
+                scratch.free(best[0])
+            best, reached = (name, contexts, joint), found
+        else:
+            scratch.free(name)
+        if k == rounds or idle == 2:  # neither half of the words rises
+            break
+        answers = scratch.stage(moved(best[1], best[2], parts, k), f"answers-{k + 1}")
+        now = neighbours(answered(stretches, answers), classes, parts, None)
+        stretches.sparkSession._jvm.System.gc()  # so that shuffles of earlier rounds are removed
+    table = scratch.stage(word_table(best[1], classes, parts), "words")
+    scratch.free(best[0])
+    return best[2], table
 
 
 @dataclass
@@ -282,109 +514,116 @@ class Model:
 def train(
     texts: DataFrame, scratch: Scratch, clustered: int = CLUSTERED, shapes: int = SHAPES, classes: int = CLASSES, rounds: int = ROUNDS, counted: int = COUNTED
 ) -> tuple[Model, DataFrame]:
-    """The model, and the staged counts (word, n) of all training words."""
-    spark = texts.sparkSession
-    counts = scratch.stage(word_counts(texts), "counts")
-    words = counts.filter(F.col("word") != END)
+    """The model, and the staged table (word, n, class) of all training words."""
+    stretches = scratch.stage(coded(texts.select(F.lit(None).cast("long").alias("id"), "text")).drop("ids", "lengths"), "stretches")
+    counts = scratch.stage(word_counts(stretches), "counts")
     # Ties at the border are settled by the number, so reruns choose the same words.
-    top = words.orderBy(F.col("n").desc(), "word").limit(max(clustered, counted)).toArrow()
-    numbers, n = top["word"].to_numpy(), top["n"].to_numpy()
-    types = Types(np.sort(numbers[:clustered]), shapes)
-    pairs = scratch.stage(type_pairs(texts, types), "pairs")
-    now = cluster(pairs, types, classes, rounds)
-    _, after = context(pairs, now, types.n, classes)
+    by_rank = [F.col("n").desc(), F.col("word")]
+    top = counts.filter(F.col("word") != END).orderBy(*by_rank).limit(clustered).toArrow()
+    tokens = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    scratch.free("counts")
+    types = Types(np.sort(top["word"].to_numpy()), shapes)
+    pairs = scratch.stage(type_pairs(stretches, types), "pairs")
+    by_type = cluster(pairs, types, classes, rounds)
     scratch.free("pairs")
-    joint = np.zeros((classes, classes))
-    np.add.at(joint, now, after)
+    joint, table = exchange_words(stretches, types, by_type, tokens, scratch, classes, rounds)
+    scratch.free("stretches")
     step = np.log10((joint + ALPHA) / (joint.sum(1, keepdims=True) + ALPHA * classes))
-    end = F.col("word") == END
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.sum(F.when(end, F.col("n"))), F.lit(0)).alias("ends")).first()
-
-    # Tokens and kinds of each class: clustered words by their own class, the others by that of their shape.
-    own = spark.createDataFrame([(int(w), i) for i, w in enumerate(types.words)], "word long, own int")
-    shape = F.lit(len(types.words)) + F.col("word").bitwiseAND(F.lit((1 << SHAPE_BITS) - 1)) % shapes
-    kind = F.coalesce(F.col("own"), shape).cast("int").alias("type")
-    by_type = words.join(F.broadcast(own), "word", "left").groupBy(kind).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).toArrow()
+    # Tokens and kinds of each class, the end token's among them.
+    by_class = table.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).toArrow()
     class_words, class_kinds = np.zeros(classes), np.zeros(classes)
-    held = now[by_type["type"].to_numpy()]
-    np.add.at(class_words, held, by_type["n"].to_numpy())
-    np.add.at(class_kinds, held, by_type["v"].to_numpy())
-    class_words[-1] += total.ends
-    class_kinds[-1] += total.ends > 0
-    by_number = np.argsort(numbers)
-    known, times = np.append(END, numbers[by_number]), np.append(total.ends, n[by_number])
-    return Model(types, now, step, class_words, class_kinds, known, times, total.n, total.v), counts
-
+    class_words[by_class["class"].to_numpy()] = by_class["n"].to_numpy()
+    class_kinds[by_class["class"].to_numpy()] = by_class["v"].to_numpy()
+    ends = int(joint[-1].sum())
+    class_words[-1] += ends
+    class_kinds[-1] += ends > 0
+    top = table.orderBy(*by_rank).limit(max(clustered, counted)).toArrow().sort_by("word")
+    numbers = top["word"].to_numpy()
+    held = np.concatenate([top["class"].to_numpy().astype(np.int64), by_type[len(types.words) :]])
+    known, times = np.append(END, numbers), np.append(ends, top["n"].to_numpy())
+    return Model(Types(numbers, shapes), held, step, class_words, class_kinds, known, times, int(tokens), int(class_kinds.sum())), table
+
+
+def asked(stretches: DataFrame, table: DataFrame, at_hand: np.ndarray, parts: int) -> DataFrame:
+    """Counts and classes of the words that are not at hand, answered to each stretch; class -1 of unseen words."""
+    shared = stretches.sparkSession.sparkContext.broadcast(at_hand)
+    schema = "p long, s long, words binary, n binary, classes binary"
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            words = np.frombuffer(row["words"], np.int64)
+            words = words[find(shared.value, words) < 0]
+            part = part_of(words, parts)
+            out = [(int(p), row["s"], words[part == p].tobytes(), b"", b"") for p in np.unique(part)]
+            if out:
+                yield _batch(schema, out)
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, n, kind = (batch.column(c).to_numpy() for c in ("word", "n", "class"))
+            part = part_of(words, parts)
+            out = [(int(p), None, words[part == p].tobytes(), n[part == p].tobytes(), kind[part == p].astype(np.int16).tobytes()) for p in np.unique(part)]
+            if out:
+                yield _batch(schema, out)
 
-def score(df: DataFrame, model: Model, counts: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text") -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = list(_rows(batches))
+        told, open_ = [r for r in rows if r["s"] is None], [r for r in rows if r["s"] is not None]
+        join = lambda name, kind: np.concatenate([np.zeros(0, kind)] + [np.frombuffer(r[name], kind) for r in told])
+        words, n, kind = join("words", np.int64), join("n", np.int64), join("classes", np.int16)
+        order = np.argsort(words)
+        words, n, kind = words[order], np.append(n[order], 0), np.append(kind[order], np.int16(-1))
+        for r in open_:
+            at = find(words, np.frombuffer(r["words"], np.int64))  # -1 is the unseen words' place
+            yield _batch(ANSWERS, [(r["s"], r["p"], kind[at].tobytes(), n[at].tobytes())])
+
+    questions = stretches.select("s", "words").mapInArrow(ask, schema)
+    known = table.select("word", "n", "class").mapInArrow(tell, schema)
+    return dealt(questions.unionByName(known), parts).mapInArrow(run, ANSWERS)
+
+
+def score(df: DataFrame, model: Model, table: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, n_tokens, n_known, train_tokens, base_score and score.
 
-    A task scores transitions, and the tokens whose counts it holds; the other words of a document are
-    joined with their counts, one row per document and word.
+    A task scores whole stretches. Words whose counts and classes it does not hold are asked of the parts of
+    the table of training words.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
-    schema = "row long, id long, word long, class int, n long, n_tokens long, known long, base double, score double"
-    names = ["row", "id", "word", "class", "n", "n_tokens", "known", "base", "score"]
-    arrow = pa.schema(list(zip(names, [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()])))
+    schema = "id long, n_tokens long, known long, base double, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        kind = m.classes[m.types.of(m.counted)]
-        base_of = np.log10((m.counts + 0.5) / (m.tokens + 0.5 * (m.kinds + 1)))
-        emit = np.log10(m.emission(m.counts, m.class_words[kind], m.class_kinds[kind]))
-        class_of, slot_of = ByPlace(lambda w: m.classes[m.types.of(w)]), ByPlace(lambda w: find(m.counted, w))
-        for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part, words = batch.slice(a, 512), lexicon()
-                places, lengths = words.places(part.column("text").to_pylist())
-                k = len(lengths)
-                classes, slots = class_of(words, places), slot_of(words, places)
-                doc = np.repeat(np.arange(k), lengths)
-                before = np.concatenate([[len(m.class_words) - 1], classes[:-1]])
-                steps = np.bincount(doc, m.step[before, classes], k)
-                sure = slots >= 0
-                docs, at = doc[sure], slots[sure]
-                base, steps = np.bincount(docs, base_of[at], k), steps + np.bincount(docs, emit[at], k)
-                known = np.bincount(docs, m.counts[at] > 0, k).astype(np.int64)
-                none = pa.nulls(k, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), part.column("id"), none, none.cast(pa.int32()), none, pa.array(lengths), pa.array(known), pa.array(base), pa.array(steps)], schema=arrow
-                )
-                # Other words: one row per document and word.
-                d, w, c = doc[~sure], words.numbers[places[~sure]], classes[~sure]
-                if len(d):
-                    order = np.lexsort((w, d))
-                    d, w, c = d[order], w[order], c[order]
-                    first = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (w[1:] != w[:-1])]))
-                    times = np.diff(np.append(first, len(d))).astype(np.int64)
-                    rows = part.column("row").to_numpy()[d[first]]
-                    nothing = [pa.nulls(len(first), t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(rows), pa.nulls(len(first), pa.int64()), pa.array(w[first]), pa.array(c[first].astype(np.int32)), pa.array(times), *nothing], schema=arrow
-                    )
-
-    source = df.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("id"), whole_text(text).alias("text"))
-    parts = scratch.stage(source.mapInArrow(run, schema), "parts")
-    sure = parts.filter("word is null").select("row", "id", "n_tokens", "known", "base", "score")
-    per_class = df.sparkSession.createDataFrame(
-        [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(model.class_words, model.class_kinds))], "class int, tokens_of double, kinds_of double"
-    )
-    rare = parts.filter("word is not null").select("row", "word", "class", "n")
-    rare = rare.join(counts.select("word", F.col("n").alias("c")), "word", "left").join(F.broadcast(per_class), "class")
-    c = F.coalesce("c", F.lit(0)).cast("double")
-    base = F.log10((c + 0.5) / F.lit(model.tokens + 0.5 * (model.kinds + 1)))
-    emitted = F.log10(model.emission(c, F.col("tokens_of"), F.col("kinds_of")))
-    sums = rare.groupBy("row").agg(
-        F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("more"), F.sum(F.col("n") * base).alias("rare_base"), F.sum(F.col("n") * emitted).alias("rare_score")
-    )
-    out = sure.join(sums, "row", "left")
+        for row in _rows(batches):
+            words, tokens = np.frombuffer(row["words"], np.int64), np.frombuffer(row["tokens"], np.int32)
+            lengths = np.frombuffer(row["lengths"], np.int64)
+            kind, slots = m.classes[m.types.of(words)], find(m.counted, words)
+            n = np.where(slots >= 0, m.counts[slots], 0)
+            rest = np.flatnonzero(slots < 0)
+            rest = rest[np.argsort(part_of(words[rest], parts), kind="stable")]
+            got = sorted(row["got"] or [], key=lambda g: g["p"])
+            if got:
+                told = np.concatenate([np.frombuffer(g["classes"], np.int16) for g in got])
+                n[rest] = np.concatenate([np.frombuffer(g["counts"], np.int64) for g in got])
+                kind[rest] = np.where(told >= 0, told, kind[rest])
+            base = np.log10((n + 0.5) / (m.tokens + 0.5 * (m.kinds + 1)))
+            emit = np.log10(m.emission(n, m.class_words[kind], m.class_kinds[kind]))
+            k, doc, now = len(lengths), np.repeat(np.arange(len(lengths)), lengths), kind[tokens]
+            before = np.concatenate([[len(m.class_words) - 1], now[:-1]])
+            sums = [np.bincount(doc, x, k) for x in (n[tokens] > 0, base[tokens], m.step[before, now] + emit[tokens])]
+            columns = [pa.array(row["ids"], pa.int64()), pa.array(lengths), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n_tokens", "known", "base", "score"])
+
+    stretches = scratch.stage(coded(df.select(F.col(key).cast("long").alias("id"), whole_text(text).alias("text"))), "rows")
+    parts = max(1, math.ceil(model.tokens / TOKENS_A_PART))
+    answers = asked(stretches, table, model.counted, parts)
+    out = answered(stretches, answers).select("s", "ids", "lengths", "words", "tokens", "got").mapInArrow(run, schema)
     return out.select(
         F.col("id").cast(df.schema[key].dataType).alias(key),
         "n_tokens",
-        (F.col("known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"),
+        F.col("known").alias("n_known"),
         F.lit(int(model.tokens)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("rare_score", F.lit(0.0))).alias("score"),
+        F.col("base").alias("base_score"),
+        "score",
     )
 
 
@@ -392,5 +631,5 @@ def class_lm(df: DataFrame, key: str = "doc_id", text: str = "text", folds: int
     """Learn from the training folds of ``df`` and score all its rows; ``held_out`` says which were not learned from."""
     scratch = Scratch(df.sparkSession, "class-lm")
     fold = training_fold(key, folds, held_out)
-    model, counts = train(df.filter(fold).select(whole_text(text).alias("text")), scratch, **options)
-    return score(df, model, counts, scratch, key, text).withColumn("held_out", ~fold)
+    model, table = train(df.filter(fold).select(whole_text(text).alias("text")), scratch, **options)
+    return score(df, model, table, scratch, key, text).withColumn("held_out", ~fold)
