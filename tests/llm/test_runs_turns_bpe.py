@@ -23,7 +23,7 @@ def plain_runs(w):
     n, out = len(w), []
     for s in range(n):
         for q in range(1, n // 4 + 1):
-            if s > 0 and w[s - 1] == w[s - 1 + q]:
+            if s > 0 and s - 1 + q < n and w[s - 1] == w[s - 1 + q]:
                 continue
             e = s
             while e + q < n and w[e] == w[e + q]:
