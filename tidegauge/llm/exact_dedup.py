@@ -6,12 +6,13 @@ Texts are equal when identical after each run of white space became one space; n
 2. Directory: equal hashes are counted map-side first. A hash belongs to the bucket of its leading bits;
    a bucket with more distinct hashes than ``capacity`` is split, which doubles the directory, until it
    fits. Depth and capacity follow the number of rows so that the directory has at most 2**18 entries,
-   which bounds its broadcast.
-3. Owners: each bucket is a range of keys that one task owns. Copies are collapsed by task before the text
-   moves, so a hot text arrives at most once per task. The owner compares whole texts within a
-   hash; different texts with one hash become links of a chain, told apart by their sha-256. (Two texts
-   with one sha-256 would stop the job.) The index, sorted by bucket, is written.
-4. Every key row looks its class up in the index.
+   which bounds its broadcast. A bucket that is overfull at full depth is no special case: owners cut it by hash.
+3. Owners: copies are collapsed by task before the text moves, so a hot text arrives at most once per task.
+   The collapsed texts are dealt to owners by ranges of (bucket, hash), so all texts of one hash meet in one task. There
+   texts are told apart byte by byte; those that share a hash become links of a chain. (Two texts with one sha-256
+   would stop the job.) The chains, in order, with size and smallest key of each text, are the index.
+4. Probe: a key's leading bits name its directory cell, the cell its bucket, and bucket, hash and sha-256 the link
+   that says which row stays.
 
 Defined cases: of rows with the smallest id and equal texts the first read stays; null ids come after all
 others; a row repeated with its id counts as a copy; an empty table gives an empty result.
@@ -21,12 +22,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.llm.common import SPACE, Scratch, whole_text
 
-CAPACITY = 100_000
+#: Distinct hashes of a bucket.
+CAPACITY = 4_096
 MAX_DEPTH = 18
 
 
@@ -76,29 +78,34 @@ def exact_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", hash_of=
     entries, depth = directory(hashes, rows, capacity)
     entries = scratch.stage(entries, "directory")
 
-    # Which row stays is settled on the narrow rows: smallest key, then first row.
-    stays = F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("_row").alias("row")))
-    classes = keys.groupBy("h", "sha").agg(stays.alias("stays"))
+    index = scratch.stage(chains(hashed, entries, depth), "index")
 
-    # Owners compare bytes: all copies of a text meet under (bucket, h, text), collapsed by task first.
-    texts = (
-        hashed.select(_prefix(F.col("h"), depth).alias("cell"), "h", "norm")
-        .join(F.broadcast(entries), "cell")
-        .groupBy("bucket", "h", "norm")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select("bucket", "h", F.sha2(F.col("norm").cast("binary"), 256).alias("sha"), "n")
-    )
-    chains = texts.groupBy("h", "sha").agg(F.first("bucket").alias("bucket"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts"))
-    one_text = F.when(F.col("texts") > 1, F.raise_error(F.lit("two texts share a sha-256"))).otherwise(F.col("n"))
-    index = scratch.stage(
-        chains.join(classes.select("h", "sha", "stays"), ["h", "sha"])
-        .select("bucket", "h", "sha", one_text.cast("long").alias("n"), "stays")
-        .repartitionByRange("bucket", "h")
-        .sortWithinPartitions("bucket", "h", "sha"),
-        "index",
-    )
-    found = index.select("h", "sha", F.col("n").alias("group_size"), F.col("stays.id").alias("keep_id"), F.col("stays.row").alias("keep_row"))
-    out = keys.join(found, ["h", "sha"])
+    probed = keys.withColumn("cell", _prefix(F.col("h"), depth)).join(F.broadcast(entries.select("cell", "bucket")), "cell")
+    link = ["bucket", "h", "sha"]
+    probed = probed.join(index.select(*link, F.col("n").alias("group_size"), "keep_id"), link)
+    # The first row that has the key which stays.
+    first = probed.filter(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy(*link).agg(F.min("_row").alias("keep_row"))
+    out = probed.join(first, link)
     return out.select(
         F.col("id").alias(key), "keep_id", "group_size", (F.col("_row") == F.col("keep_row")).alias("kept"), F.col("sha").alias("text_sha256"), "_row"
     )
+
+
+def chains(hashed: DataFrame, entries: DataFrame, depth: int) -> DataFrame:
+    """The index: rows (bucket, h, link, sha, n, keep_id), by owners of ranges of (bucket, h) and in that order.
+
+    ``link`` numbers the texts of one hash; ``n`` counts a text's rows and ``keep_id`` is the smallest of their keys.
+    """
+    smallest = F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id")))
+    texts = (
+        hashed.withColumn("cell", _prefix(F.col("h"), depth))
+        .join(F.broadcast(entries.select("cell", "bucket")), "cell")
+        .groupBy("bucket", "h", "norm")
+        .agg(F.count(F.lit(1)).alias("n"), smallest.alias("first"))
+        .withColumn("sha", F.sha2(F.col("norm").cast("binary"), 256))
+    )
+    owned = texts.repartitionByRange("bucket", "h")
+    chain = Window.partitionBy("bucket", "h").orderBy("sha")
+    linked = owned.select("bucket", "h", "sha", "n", "first", F.row_number().over(chain).alias("link"), F.lag("sha").over(chain).alias("before"))
+    one_text = F.when(F.col("before") == F.col("sha"), F.raise_error(F.lit("two texts share a sha-256"))).otherwise(F.col("n"))
+    return linked.select("bucket", "h", "link", "sha", one_text.cast("long").alias("n"), F.col("first.id").alias("keep_id"))
