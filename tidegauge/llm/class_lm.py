@@ -16,10 +16,16 @@ never seen, so probabilities of known words and of one unknown per class sum to
 follows the end class.
 
 What is gathered from the corpus grows with it and stays in Spark: stretches of texts as places in the
-stretch's list of words, the neighbour classes of each word, and the table of words with counts and classes.
-Words are dealt over parts by their hash; a part chooses the classes of its words and answers the stretches.
-What the driver and the tasks hold is bounded: a matrix of types by classes, one of classes by classes, counts
-and classes of the ``COUNTED`` most frequent words, a stretch, and a part of the words.
+stretch's list of words, which are read once and kept in buckets, so that answers find them without moving them; the
+lists of words that each part of the words has in each stretch; and the table of words with counts and classes.
+
+In a round a stretch knows the classes of the clustered words (broadcast) and of its other words (answers). It adds up
+class pairs and the neighbour classes of the clustered words, however frequent they are, in matrices of bounded size,
+which are summed by task. Of every other word's occurrence it sends two bytes, the classes before and after it, to
+the part that owns the word. The part chooses classes (for a word that occurs once, from a table of all three
+classes) and answers each stretch a byte a word. What the driver and the tasks hold is bounded: a matrix of types
+by classes, one of classes by classes, counts and classes of the ``COUNTED`` most frequent words, a stretch, and
+one part of the words.
 
 Defined cases: null and empty texts are the end token alone; an empty training set gives uniform
 probabilities over an unknown word and the end token; null keys are in no training fold; rows that repeat
@@ -29,16 +35,19 @@ a key are scored one by one; only key and text are read.
 from __future__ import annotations
 
 import math
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidegauge.llm.common import Scratch, whole_text, worker_cache
 
@@ -54,6 +63,10 @@ ALPHA = 0.5
 #: Tokens of a stretch (a text is not cut), tokens for each part of the words, words a worker remembers.
 TOKENS_AT_ONCE = 1_000_000
 TOKENS_A_PART = 500_000
+BYTES_A_BUCKET = 16 << 20
+#: Clustered types whose neighbours are summed in one matrix, and the tasks that sum each of them.
+TYPES_A_BLOCK = 256
+SUMMING = 4
 REMEMBERED = 500_000
 
 #: Number that stands for the end token. A word's number is a hash of 63 bits, the last of which are its shape.
@@ -124,37 +137,62 @@ class Types:
         return out
 
 
-CODED = "s long, ids array<long>, lengths binary, words binary, tokens binary"
+CODED = "s long, learn boolean, ids array<long>, lengths binary, words binary, tokens binary"
 
 
 def coded(rows: DataFrame) -> DataFrame:
-    """Rows (id, text) as stretches: the sorted numbers of their words, and the place of each token in them."""
+    """Rows (id, learn, text) as stretches of texts of one kind: the sorted numbers of their words, and the place of each
+    token in them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, k, held, n = TaskContext.get().partitionId(), 0, [], 0
-
-        def stretch() -> pa.RecordBatch:
-            words, tokens = np.unique(np.concatenate([h[2] for h in held]), return_inverse=True)
-            ids = pa.array([[i for h in held for i in h[0]]], pa.list_(pa.int64()))
-            lengths = np.concatenate([h[1] for h in held]).astype(np.int64)
+        task, k = TaskContext.get().partitionId(), 0
+        held: dict[bool, list] = {True: [], False: []}
+
+        def stretch(learn: bool) -> pa.RecordBatch:
+            nonlocal k
+            words, tokens = np.unique(np.concatenate([h[2] for h in held[learn]]), return_inverse=True)
+            ids = pa.array([[i for h in held[learn] for i in h[0]]], pa.list_(pa.int64()))
+            lengths = np.concatenate([h[1] for h in held[learn]]).astype(np.int64)
             blobs = [pa.array([x.tobytes()], pa.binary()) for x in (lengths, words, tokens.astype(np.int32))]
-            return pa.RecordBatch.from_arrays([pa.array([task << 32 | k]), ids, *blobs], names=["s", "ids", "lengths", "words", "tokens"])
+            held[learn], k = [], k + 1
+            return pa.RecordBatch.from_arrays([pa.array([task << 32 | k]), pa.array([learn]), ids, *blobs], names=["s", "learn", "ids", "lengths", "words", "tokens"])
 
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
-                part, words = batch.slice(a, 512), lexicon()
-                places, lengths = words.places(part.column("text").to_pylist())
-                held.append((part.column("id").to_pylist(), lengths, words.numbers[places]))
-                n += len(places)
-                if n >= TOKENS_AT_ONCE:
-                    yield stretch()
-                    k, held, n = k + 1, [], 0
-        if held:
-            yield stretch()
+                part = batch.slice(a, 512)
+                for learn in (True, False):
+                    mine = part.filter(pa.compute.equal(part.column("learn"), learn))
+                    if not mine.num_rows:
+                        continue
+                    words = lexicon()
+                    places, lengths = words.places(mine.column("text").to_pylist())
+                    held[learn].append((mine.column("id").to_pylist(), lengths, words.numbers[places]))
+                    if sum(len(h[2]) for h in held[learn]) >= TOKENS_AT_ONCE:
+                        yield stretch(learn)
+        for learn in (True, False):
+            if held[learn]:
+                yield stretch(learn)
 
     return rows.mapInArrow(run, CODED)
 
 
+def bucketed(df: DataFrame, scratch: Scratch, name: str, by: str, n: int) -> DataFrame:
+    """``df`` written in ``n`` buckets of ``by``, which joins and groups on ``by`` read where they are."""
+    spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    writer = df.write.format("parquet").option("compression", "zstd").option("path", scratch.path(name))
+    writer.bucketBy(n, by).saveAsTable(table)
+    return spark.table(table)
+
+
+def stretches_of(texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows (id, learn, text) as stretches in buckets; as many buckets as Spark deals rows out to at least, since
+    fewer would be dealt anew."""
+    spark = texts.sparkSession
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")) + 1, min(50_000, math.ceil(size / BYTES_A_BUCKET)))
+    return bucketed(coded(texts), scratch, "stretches", "s", n)
+
+
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     """Rows of the batches, one at a time, binary columns as they are."""
     for batch in batches:
@@ -162,10 +200,14 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield batch.slice(i, 1).to_pylist()[0]
 
 
-def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+def _schema(ddl: str) -> pa.Schema:
     kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary()}
-    columns = [c.strip().split(" ") for c in schema.split(",")]
-    return pa.RecordBatch.from_arrays([pa.array(list(x), kinds[k]) for (_, k), x in zip(columns, zip(*rows))], names=[name for name, _ in columns])
+    return pa.schema([(name, kinds[k]) for name, k in (c.strip().split(" ") for c in ddl.split(","))])
+
+
+def _batch(ddl: str, rows: list[tuple]) -> pa.RecordBatch:
+    schema = _schema(ddl)
+    return pa.RecordBatch.from_arrays([pa.array(list(x), k) for k, x in zip(schema.types, zip(*rows))], schema=schema)
 
 
 def _counted(found: np.ndarray, n: np.ndarray, name: str) -> pa.RecordBatch:
@@ -231,15 +273,17 @@ def likelihood(joint: np.ndarray) -> float:
     return float(_plogp(joint).sum() - _plogp(joint.sum(1)).sum() - _plogp(joint.sum(0)).sum())
 
 
-def exchange(before: np.ndarray, after: np.ndarray, classes: np.ndarray, movable: np.ndarray) -> np.ndarray:
+def exchange(before: np.ndarray, after: np.ndarray, classes: np.ndarray, movable: np.ndarray, joint: np.ndarray | None = None) -> np.ndarray:
     """New classes for the movable types, each the best one given the present classes of the others.
 
     The likelihood is sum N(c, d) log N(c, d) - 2 sum N(c) log N(c), up to constants. A type's counts are
-    taken out of its class and put into every class in turn.
+    taken out of its class and put into every class in turn. ``joint``: class bigrams, if other words than the
+    types have a share in them.
     """
     n_classes = before.shape[1]
-    joint = np.zeros((n_classes, n_classes))
-    np.add.at(joint, classes, after)  # joint[c, d]: class d after class c
+    if joint is None:
+        joint = np.zeros((n_classes, n_classes))
+        np.add.at(joint, classes, after)  # joint[c, d]: class d after class c
     size = joint.sum(1)
     terms = _plogp(joint)
     out = classes.copy()
@@ -302,13 +346,16 @@ def cluster(pairs: DataFrame, types: Types, classes: int, rounds: int) -> np.nda
     return best
 
 
-CONTEXTS = "p long, s long, words binary, classes binary, sizes binary, codes binary, n binary"
+CONTEXTS = "p long, s long, own binary, before binary, after binary"
+LISTS = "p long, s long, words binary, sizes binary"
 ANSWERS = "s long, p long, classes binary, counts binary"
 TABLE = "word long, n long, class int"
+WORD_BITS = 63
 
 
 def part_of(words: np.ndarray, parts: int) -> np.ndarray:
-    return (words >> SHAPE_BITS) % parts
+    """Parts are ranges of words, so a sorted list of words is in order of parts."""
+    return (words >> (WORD_BITS - 31)) * parts >> 31
 
 
 def answered(stretches: DataFrame, answers: DataFrame) -> DataFrame:
@@ -317,63 +364,106 @@ def answered(stretches: DataFrame, answers: DataFrame) -> DataFrame:
     return stretches.join(got, "s", "left")
 
 
-def neighbours(stretches: DataFrame, classes: int, parts: int, start: tuple[Types, np.ndarray] | None) -> DataFrame:
-    """Per part and stretch: words, their classes, and how often which class stands before or after them.
+def _parts(words: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
+    """(part, first, end) of a sorted list of words."""
+    found, first = np.unique(part_of(words, parts), return_index=True)
+    yield from zip(found.tolist(), first.tolist(), [*first[1:].tolist(), len(words)])
+
+
+def _others(row: dict, types: Types) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A stretch's words, their types, and the places of those that are not clustered."""
+    words = np.frombuffer(row["words"], np.int64)
+    kinds = types.of(words)
+    shape = (kinds >= len(types.words)) & (kinds < types.n - 1)
+    return words, kinds, np.flatnonzero(shape)
+
+
+def word_lists(stretches: DataFrame, types: Types, parts: int) -> DataFrame:
+    """Per part and stretch the words that are not clustered, and how often each occurs."""
+    shared = stretches.sparkSession.sparkContext.broadcast(types)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            words, _, others = _others(row, shared.value)
+            sizes = np.bincount(np.frombuffer(row["tokens"], np.int32), minlength=len(words))[others].astype(np.int32)
+            words = words[others]
+            out = [(p, row["s"], words[a:b].tobytes(), sizes[a:b].tobytes()) for p, a, b in _parts(words, parts)]
+            if out:
+                yield _batch(LISTS, out)
+
+    return stretches.select("s", "words", "tokens").mapInArrow(run, LISTS)
+
+
+def neighbours(stretches: DataFrame, types: Types, by_type: np.ndarray, classes: int, parts: int, first: bool) -> DataFrame:
+    """Per part and stretch: classes of the words that are not clustered, and those before and after each occurrence, in
+    the words' order. Parts below 0 hold sums of the task: class pairs, then neighbour classes of blocks of types.
 
-    Classes are those of ``got``, or of the words' types in the first round. Row -1 has the stretch's class pairs.
+    Classes of words that are not clustered are those of ``got``, or of their types in the first round.
     """
-    shared = stretches.sparkSession.sparkContext.broadcast(start)
-    columns = ["s", "words", "tokens"] + ([] if start else ["got"])
+    shared = stretches.sparkSession.sparkContext.broadcast((types, by_type))
+    columns = ["s", "words", "tokens"] + ([] if first else ["got"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types, by_type = shared.value
+        joint, clustered = np.zeros(classes * classes, np.int64), np.zeros(types.n * 2 * classes, np.int64)
+        some = False
         for row in _rows(batches):
-            words, tokens = np.frombuffer(row["words"], np.int64), np.frombuffer(row["tokens"], np.int32)
-            part = part_of(words, parts)
-            part[words == END] = -1
-            if start:
-                types, by_type = shared.value
-                kind = by_type[types.of(words)]
-            else:
-                kind = np.full(len(words), classes - 1)
-                order = np.argsort(part, kind="stable")
-                given = {g["p"]: np.frombuffer(g["classes"], np.int16) for g in row["got"] or []}
-                kind[order[np.count_nonzero(part < 0) :]] = np.concatenate([given[p] for p in sorted(given)]) if given else []
+            some = True
+            words, kinds, others = _others(row, types)
+            tokens = np.frombuffer(row["tokens"], np.int32)
+            kind = by_type[kinds]
+            if not first and len(others):
+                got = sorted(row["got"], key=lambda g: g["p"])
+                kind[others] = np.frombuffer(b"".join(g["classes"] for g in got), np.uint8)
             now = kind[tokens]
-            before = np.roll(now, 1)  # a stretch ends with an end token, which its first token follows
-            joint = np.bincount(before * classes + now, minlength=classes * classes)
-            yield _batch(CONTEXTS, [(-1, row["s"], b"", b"", b"", b"", joint.astype(np.int64).tobytes())])
-            wide = tokens.astype(np.int64) * (2 * classes)
-            keys, n = np.unique(np.concatenate([wide + before, wide + classes + np.roll(now, -1)]), return_counts=True)
-            place = keys // (2 * classes)
-            order = np.argsort(part[place], kind="stable")
-            place, codes, n = place[order], (keys % (2 * classes))[order].astype(np.int16), n[order].astype(np.int32)
-            own = np.argsort(part, kind="stable")
-            sizes = np.bincount(place, minlength=len(words))[own].astype(np.int32)
-            found, first = np.unique(part[own], return_index=True)
-            last, at = np.append(first[1:], len(own)), np.concatenate([[0], np.cumsum(sizes)])
-            out = []
-            for p, a, b in zip(found, first, last):
-                if p >= 0:
-                    entries = slice(at[a], at[b])
-                    blobs = (words[own[a:b]], kind[own[a:b]].astype(np.int16), sizes[a:b], codes[entries], n[entries])
-                    out.append((int(p), row["s"], *[x.tobytes() for x in blobs]))
+            before, after = np.roll(now, 1), np.roll(now, -1)  # a stretch ends with an end token, which its first token follows
+            joint += np.bincount(before * classes + now, minlength=len(joint))
+            is_other = np.zeros(len(words), bool)
+            is_other[others] = True
+            other = is_other[tokens]
+            at = np.flatnonzero(~other)
+            wide = kinds[tokens[at]] * (2 * classes)
+            clustered += np.bincount(wide + before[at], minlength=len(clustered)) + np.bincount(wide + classes + after[at], minlength=len(clustered))
+            at = np.flatnonzero(other)
+            at = at[np.argsort(tokens[at], kind="stable")]
+            own, left, right = kind[others].astype(np.uint8), before[at].astype(np.uint8), after[at].astype(np.uint8)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(tokens[at], minlength=len(words))[others])])
+            out = [(p, row["s"], own[a:b].tobytes(), left[ends[a] : ends[b]].tobytes(), right[ends[a] : ends[b]].tobytes()) for p, a, b in _parts(words[others], parts)]
             if out:
                 yield _batch(CONTEXTS, out)
+        if some:
+            size = TYPES_A_BLOCK * 2 * classes
+            blocks = [joint, *[clustered[a : a + size] for a in range(0, len(clustered), size)]]
+            yield _batch(CONTEXTS, [(-1 - i, 0, x.tobytes(), b"", b"") for i, x in enumerate(blocks)])
 
     return stretches.select(*columns).mapInArrow(run, CONTEXTS)
 
 
-def class_pairs(contexts: DataFrame, classes: int) -> np.ndarray:
-    """Class bigrams of all stretches; one matrix a task reaches the driver."""
+def class_counts(contexts: DataFrame, classes: int, n_types: int) -> tuple[np.ndarray, np.ndarray]:
+    """Class bigrams of all stretches, and how often each type has each class before and after it.
+
+    The tasks' sums are added up by task, then by block; the driver adds ``SUMMING`` of each block.
+    """
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(classes * classes, np.int64)
+        total: dict[int, np.ndarray] = {}
         for row in _rows(batches):
-            total = total + np.frombuffer(row["n"], np.int64)
-        yield _batch("n binary", [(total.tobytes(),)])
-
-    found = contexts.filter("p = -1").select("n").mapInArrow(add, "n binary").toArrow()["n"].to_pylist()
-    return sum((np.frombuffer(f, np.int64) for f in found), np.zeros(classes * classes, np.int64)).reshape(classes, classes).astype(float)
+            x = np.frombuffer(row["own"], np.int64)
+            total[row["p"]] = total[row["p"]] + x if row["p"] in total else x
+        if total:
+            yield _batch("p long, own binary", [(p, x.tobytes()) for p, x in total.items()])
+
+    rows = contexts.filter("p < 0").select("p", "own").mapInArrow(add, "p long, own binary")
+    dealt = rows.repartition(SUMMING, F.pmod(F.monotonically_increasing_id(), F.lit(SUMMING))).mapInArrow(add, "p long, own binary")
+    joint, flat = np.zeros(classes * classes, np.int64), np.zeros(n_types * 2 * classes, np.int64)
+    size = TYPES_A_BLOCK * 2 * classes
+    for p, own in zip(*[c.to_pylist() for c in dealt.toArrow().columns]):
+        x = np.frombuffer(own, np.int64)
+        if p == -1:
+            joint += x
+        else:
+            flat[(-2 - p) * size : (-2 - p) * size + len(x)] += x
+    return joint.reshape(classes, classes).astype(float), flat.reshape(n_types, 2 * classes).astype(float)
 
 
 def best_classes(joint: np.ndarray, own: np.ndarray, word: np.ndarray, code: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -408,91 +498,113 @@ def best_classes(joint: np.ndarray, own: np.ndarray, word: np.ndarray, code: np.
     return np.where(gain[at, best] > gain[at, own] + 1e-9, best, own)
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], classes: int):
-    """A part's rows, words, classes, each row's places in them, and summed entries (word, code, n) by word."""
-    rows = list(_rows(batches))
-    if not rows:
-        return None
-    read = lambda name, kind: [np.frombuffer(r[name], kind) for r in rows]
-    lists = read("words", np.int64)
-    words, first, places = np.unique(np.concatenate(lists), return_index=True, return_inverse=True)
-    own = np.concatenate(read("classes", np.int16))[first].astype(np.int64)
-    keys = np.repeat(places, np.concatenate(read("sizes", np.int32))) * (2 * classes) + np.concatenate(read("codes", np.int16))
-    keys, at = np.unique(keys, return_inverse=True)
-    n = np.bincount(at, np.concatenate(read("n", np.int32)))
-    cuts = np.cumsum([len(x) for x in lists])[:-1]
-    return rows, words, own, np.split(places, cuts), keys // (2 * classes), keys % (2 * classes), n
+def best_of_single(joint: np.ndarray) -> np.ndarray:
+    """Best class of a word that occurs once, by the classes before and after it and its own."""
+    k = len(joint)
+    out = np.zeros((k, k, k), np.uint8)
+    for before in range(k):
+        own = np.tile(np.arange(k), k)
+        after = np.repeat(np.arange(k), k)
+        word = np.repeat(np.arange(k * k), 2)
+        code = np.stack([np.full(k * k, before), k + after], axis=1).ravel()
+        out[before] = best_classes(joint, own, word, code, np.ones(2 * k * k)).reshape(k, k)
+    return out
 
 
-def dealt(contexts: DataFrame, parts: int) -> DataFrame:
-    return contexts.repartition(max(1, math.ceil(parts / 4)), "p")
+def _gathered(lists: pa.Table, contexts: pa.Table):
+    """A part's words with their classes and, by occurrence, the word's place and the classes before and after; each
+    stretch's places of its words."""
+    lists, contexts = lists.sort_by("s"), contexts.sort_by("s")
+    if lists["s"] != contexts["s"]:
+        raise RuntimeError("a part has lists and contexts of different stretches")
 
+    def read(table: pa.Table, name: str, kind) -> np.ndarray:
+        return np.frombuffer(b"".join(table[name].to_pylist()), kind)
 
-def moved(contexts: DataFrame, joint: np.ndarray, parts: int, turn: int) -> DataFrame:
-    """New classes of the words, answered to each stretch in its order; half of the words may move."""
-    k = len(joint)
-    shared = contexts.sparkSession.sparkContext.broadcast(joint)
+    sizes = [len(x) // 8 for x in lists["words"].to_pylist()]
+    words, first, places = np.unique(read(lists, "words", np.int64), return_index=True, return_inverse=True)
+    own = read(contexts, "own", np.uint8)[first].astype(np.int64)
+    owner = np.repeat(places, read(lists, "sizes", np.int32))
+    return words, own, owner, read(contexts, "before", np.uint8), read(contexts, "after", np.uint8), np.split(places, np.cumsum(sizes)[:-1]), lists["s"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = _gathered(batches, k)
-        if found is None:
-            return
-        rows, words, own, places, word, code, n = found
-        new = own.copy()
-        for a in range(0, len(words), 8192):
-            b = min(len(words), a + 8192)
-            e = slice(*np.searchsorted(word, [a, b]))
-            best = best_classes(shared.value, own[a:b], word[e] - a, code[e], n[e])
-            may = (words[a:b] >> 40) % 2 == turn % 2
-            new[a:b] = np.where(may, best, own[a:b])
-        new = new.astype(np.int16)
-        for row, at in zip(rows, places):
-            yield _batch(ANSWERS, [(row["s"], row["p"], new[at].tobytes(), b"")])
-
-    return dealt(contexts.filter("p >= 0"), parts).mapInArrow(run, ANSWERS)
-
-
-def word_table(contexts: DataFrame, classes: int, parts: int) -> DataFrame:
-    """Rows (word, n, class) of all training words."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = _gathered(batches, classes)
-        if found is not None:
-            _, words, own, _, word, code, n = found
-            times = np.bincount(word, n * (code >= classes), len(words)).astype(np.int64)
-            for a in range(0, len(words), 100_000):
-                b = a + 100_000
-                yield pa.RecordBatch.from_arrays([pa.array(words[a:b]), pa.array(times[a:b]), pa.array(own[a:b].astype(np.int32))], names=["word", "n", "class"])
+def new_classes(words: np.ndarray, own: np.ndarray, owner: np.ndarray, before: np.ndarray, after: np.ndarray, joint: np.ndarray, single: np.ndarray) -> np.ndarray:
+    """Best class of each word of a part."""
+    k, n = len(joint), np.bincount(owner, minlength=len(words))
+    new = own.copy()
+    once = n[owner] == 1
+    new[owner[once]] = single[before[once], after[once], own[owner[once]]]
+    many = np.flatnonzero(n > 1)
+    number = np.zeros(len(words), np.int64)
+    number[many] = np.arange(len(many))
+    at = number[owner[~once]] * (2 * k)
+    keys, times = np.unique(np.concatenate([at + before[~once], at + k + after[~once]]), return_counts=True)
+    word, code = keys // (2 * k), keys % (2 * k)
+    for a in range(0, len(many), 8192):
+        b = min(len(many), a + 8192)
+        e = slice(*np.searchsorted(word, [a, b]))
+        new[many[a:b]] = best_classes(joint, own[many[a:b]], word[e] - a, code[e], times[e])
+    return new
 
-    return dealt(contexts.filter("p >= 0"), parts).mapInArrow(run, TABLE)
 
+def moved(lists: DataFrame, contexts: DataFrame, joint: np.ndarray, turn: int) -> DataFrame:
+    """New classes of the words that are not clustered, answered to each stretch in its order; half of them may move."""
+    shared = contexts.sparkSession.sparkContext.broadcast((joint, best_of_single(joint)))
 
-def exchange_words(stretches: DataFrame, types: Types, by_type: np.ndarray, tokens: int, scratch: Scratch, classes: int, rounds: int) -> tuple[np.ndarray, DataFrame]:
-    """Class bigrams and the staged table of all training words after the exchange."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        p = left["p"][0].as_py()
+        words, own, owner, before, after, places, stretches = _gathered(left, right)
+        new = np.where((words >> 40) % 2 == turn % 2, new_classes(words, own, owner, before, after, *shared.value), own).astype(np.uint8)
+        return pa.Table.from_batches([_batch(ANSWERS, [(s, p, new[at].tobytes(), b"") for s, at in zip(stretches.to_pylist(), places)])])
+
+    return lists.groupBy("p").cogroup(contexts.filter("p >= 0").groupBy("p")).applyInArrow(run, ANSWERS)
+
+
+def word_table(lists: DataFrame, contexts: DataFrame) -> DataFrame:
+    """Rows (word, n, class) of all training words that are not clustered."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        words, own, owner, *_ = _gathered(left, right)
+        n = np.bincount(owner, minlength=len(words)).astype(np.int64)
+        return pa.Table.from_arrays([pa.array(words), pa.array(n), pa.array(own.astype(np.int32))], names=["word", "n", "class"])
+
+    return lists.groupBy("p").cogroup(contexts.filter("p >= 0").groupBy("p")).applyInArrow(run, TABLE)
+
+
+def exchange_words(
+    stretches: DataFrame, types: Types, by_type: np.ndarray, tokens: int, scratch: Scratch, classes: int, rounds: int
+) -> tuple[np.ndarray, np.ndarray, DataFrame]:
+    """Class bigrams, classes of the types, and the table of the other training words after the exchange."""
     parts = max(1, math.ceil(tokens / TOKENS_A_PART))
-    now, reached, best, idle = neighbours(stretches, classes, parts, (types, by_type)), -np.inf, None, 0
+    partitions = int(stretches.sparkSession.conf.get("spark.sql.shuffle.partitions")) + 1
+    buckets = max(partitions, math.ceil(parts / 4))
+    lists = bucketed(word_lists(stretches, types, parts).repartition(buckets, "p"), scratch, "lists", "p", buckets)
+    contexts = neighbours(stretches, types, by_type, classes, parts, True)
+    reached, best, idle = -np.inf, None, 0
     for k in range(rounds + 1):
         name = f"contexts-{k}"
-        contexts = scratch.stage(now, name)
+        contexts = scratch.stage(contexts, name)
         if k:
             scratch.free(f"answers-{k}")
-        joint = class_pairs(contexts, classes)
+        joint, sides = class_counts(contexts, classes, types.n)
         found = likelihood(joint)
         idle = 0 if found > reached + RISE * tokens else idle + 1
         if best is None or found > reached:
             if best:
                 scratch.free(best[0])
-            best, reached = (name, contexts, joint), found
+            best, reached = (name, contexts, joint, sides, by_type), found
         else:
             scratch.free(name)
         if k == rounds or idle == 2:  # neither half of the words rises
             break
-        answers = scratch.stage(moved(best[1], best[2], parts, k), f"answers-{k + 1}")
-        now = neighbours(answered(stretches, answers), classes, parts, None)
-        stretches.sparkSession._jvm.System.gc()  # so that shuffles of earlier rounds are removed
-    table = scratch.stage(word_table(best[1], classes, parts), "words")
-    scratch.free(best[0])
-    return best[2], table
+        _, contexts, joint, sides, by_type = best
+        answers = scratch.stage(moved(lists, contexts, joint, k), f"answers-{k + 1}")
+        half = np.array([t for t in range(len(types.words)) if t % 2 == k % 2 and sides[t].any()], np.int64)
+        by_type = exchange(sides[:, :classes], sides[:, classes:], by_type, half, joint)
+        contexts = neighbours(answered(stretches, answers), types, by_type, classes, parts, False)
+    table = scratch.stage(word_table(lists, best[1]), "words")
+    scratch.free(best[0], "lists")
+    return best[2], best[4], table
 
 
 @dataclass
@@ -511,24 +623,32 @@ class Model:
         return (count + ALPHA) / (n_class + ALPHA * (kinds_class + 1))
 
 
-def train(
-    texts: DataFrame, scratch: Scratch, clustered: int = CLUSTERED, shapes: int = SHAPES, classes: int = CLASSES, rounds: int = ROUNDS, counted: int = COUNTED
+def train(texts: DataFrame, scratch: Scratch, **options) -> tuple[Model, DataFrame]:
+    """The model of rows (text), and the staged table (word, n, class) of all training words."""
+    rows = texts.select(F.lit(None).cast("long").alias("id"), F.lit(True).alias("learn"), "text")
+    return learn(stretches_of(rows, scratch), scratch, **options)
+
+
+def learn(
+    stretches: DataFrame, scratch: Scratch, clustered: int = CLUSTERED, shapes: int = SHAPES, classes: int = CLASSES, rounds: int = ROUNDS, counted: int = COUNTED
 ) -> tuple[Model, DataFrame]:
-    """The model, and the staged table (word, n, class) of all training words."""
-    stretches = scratch.stage(coded(texts.select(F.lit(None).cast("long").alias("id"), "text")).drop("ids", "lengths"), "stretches")
+    """The model of the stretches to learn from, and the staged table (word, n, class) of all their words."""
+    spark = stretches.sparkSession
+    stretches = stretches.filter("learn")
     counts = scratch.stage(word_counts(stretches), "counts")
     # Ties at the border are settled by the number, so reruns choose the same words.
     by_rank = [F.col("n").desc(), F.col("word")]
-    top = counts.filter(F.col("word") != END).orderBy(*by_rank).limit(clustered).toArrow()
+    top = counts.filter(F.col("word") != END).orderBy(*by_rank).limit(clustered).toArrow().sort_by("word")
     tokens = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
     scratch.free("counts")
-    types = Types(np.sort(top["word"].to_numpy()), shapes)
+    types = Types(top["word"].to_numpy(), shapes)
     pairs = scratch.stage(type_pairs(stretches, types), "pairs")
     by_type = cluster(pairs, types, classes, rounds)
     scratch.free("pairs")
-    joint, table = exchange_words(stretches, types, by_type, tokens, scratch, classes, rounds)
-    scratch.free("stretches")
+    joint, by_type, others = exchange_words(stretches, types, by_type, tokens, scratch, classes, rounds)
     step = np.log10((joint + ALPHA) / (joint.sum(1, keepdims=True) + ALPHA * classes))
+    often = spark.createDataFrame(list(zip(types.words.tolist(), top["n"].to_pylist(), by_type[: len(types.words)].tolist())), TABLE)
+    table = others.unionByName(often)
     # Tokens and kinds of each class, the end token's among them.
     by_class = table.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).toArrow()
     class_words, class_kinds = np.zeros(classes), np.zeros(classes)
@@ -553,43 +673,45 @@ def asked(stretches: DataFrame, table: DataFrame, at_hand: np.ndarray, parts: in
         for row in _rows(batches):
             words = np.frombuffer(row["words"], np.int64)
             words = words[find(shared.value, words) < 0]
-            part = part_of(words, parts)
-            out = [(int(p), row["s"], words[part == p].tobytes(), b"", b"") for p in np.unique(part)]
+            out = [(p, row["s"], words[a:b].tobytes(), b"", b"") for p, a, b in _parts(words, parts)]
             if out:
                 yield _batch(schema, out)
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, n, kind = (batch.column(c).to_numpy() for c in ("word", "n", "class"))
-            part = part_of(words, parts)
-            out = [(int(p), None, words[part == p].tobytes(), n[part == p].tobytes(), kind[part == p].astype(np.int16).tobytes()) for p in np.unique(part)]
+            order = np.argsort(words, kind="stable")
+            words, n, kind = words[order], n[order], kind[order].astype(np.int16)
+            out = [(p, None, words[a:b].tobytes(), n[a:b].tobytes(), kind[a:b].tobytes()) for p, a, b in _parts(words, parts)]
             if out:
                 yield _batch(schema, out)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = list(_rows(batches))
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
         told, open_ = [r for r in rows if r["s"] is None], [r for r in rows if r["s"] is not None]
-        join = lambda name, kind: np.concatenate([np.zeros(0, kind)] + [np.frombuffer(r[name], kind) for r in told])
+        join = lambda name, kind: np.frombuffer(b"".join(r[name] for r in told), kind)
         words, n, kind = join("words", np.int64), join("n", np.int64), join("classes", np.int16)
         order = np.argsort(words)
         words, n, kind = words[order], np.append(n[order], 0), np.append(kind[order], np.int16(-1))
+        out = []
         for r in open_:
             at = find(words, np.frombuffer(r["words"], np.int64))  # -1 is the unseen words' place
-            yield _batch(ANSWERS, [(r["s"], r["p"], kind[at].tobytes(), n[at].tobytes())])
+            out.append((r["s"], r["p"], kind[at].tobytes(), n[at].astype(np.int64).tobytes()))
+        return pa.Table.from_batches([_batch(ANSWERS, out)] if out else [], schema=_schema(ANSWERS))
 
     questions = stretches.select("s", "words").mapInArrow(ask, schema)
     known = table.select("word", "n", "class").mapInArrow(tell, schema)
-    return dealt(questions.unionByName(known), parts).mapInArrow(run, ANSWERS)
+    return questions.unionByName(known).groupBy("p").applyInArrow(run, ANSWERS)
 
 
-def score(df: DataFrame, model: Model, table: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, n_tokens, n_known, train_tokens, base_score and score.
+def score(stretches: DataFrame, model: Model, table: DataFrame, key: str, key_type: T.DataType) -> DataFrame:
+    """Per row of the stretches: key, n_tokens, n_known, train_tokens, base_score, score, and whether it was learned from.
 
     A task scores whole stretches. Words whose counts and classes it does not hold are asked of the parts of
     the table of training words.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)
-    schema = "id long, n_tokens long, known long, base double, score double"
+    shared = stretches.sparkSession.sparkContext.broadcast(model)
+    schema = "id long, learned boolean, n_tokens long, known long, base double, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -599,7 +721,6 @@ def score(df: DataFrame, model: Model, table: DataFrame, scratch: Scratch, key:
             kind, slots = m.classes[m.types.of(words)], find(m.counted, words)
             n = np.where(slots >= 0, m.counts[slots], 0)
             rest = np.flatnonzero(slots < 0)
-            rest = rest[np.argsort(part_of(words[rest], parts), kind="stable")]
             got = sorted(row["got"] or [], key=lambda g: g["p"])
             if got:
                 told = np.concatenate([np.frombuffer(g["classes"], np.int16) for g in got])
@@ -610,15 +731,16 @@ def score(df: DataFrame, model: Model, table: DataFrame, scratch: Scratch, key:
             k, doc, now = len(lengths), np.repeat(np.arange(len(lengths)), lengths), kind[tokens]
             before = np.concatenate([[len(m.class_words) - 1], now[:-1]])
             sums = [np.bincount(doc, x, k) for x in (n[tokens] > 0, base[tokens], m.step[before, now] + emit[tokens])]
-            columns = [pa.array(row["ids"], pa.int64()), pa.array(lengths), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "n_tokens", "known", "base", "score"])
+            learned = pa.array(np.full(k, row["learn"]))
+            columns = [pa.array(row["ids"], pa.int64()), learned, pa.array(lengths), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "learned", "n_tokens", "known", "base", "score"])
 
-    stretches = scratch.stage(coded(df.select(F.col(key).cast("long").alias("id"), whole_text(text).alias("text"))), "rows")
     parts = max(1, math.ceil(model.tokens / TOKENS_A_PART))
     answers = asked(stretches, table, model.counted, parts)
-    out = answered(stretches, answers).select("s", "ids", "lengths", "words", "tokens", "got").mapInArrow(run, schema)
+    out = answered(stretches, answers).select("learn", "ids", "lengths", "words", "tokens", "got").mapInArrow(run, schema)
     return out.select(
-        F.col("id").cast(df.schema[key].dataType).alias(key),
+        F.col("id").cast(key_type).alias(key),
+        (~F.col("learned")).alias("held_out"),
         "n_tokens",
         F.col("known").alias("n_known"),
         F.lit(int(model.tokens)).cast("long").alias("train_tokens"),
@@ -631,5 +753,7 @@ def class_lm(df: DataFrame, key: str = "doc_id", text: str = "text", folds: int
     """Learn from the training folds of ``df`` and score all its rows; ``held_out`` says which were not learned from."""
     scratch = Scratch(df.sparkSession, "class-lm")
     fold = training_fold(key, folds, held_out)
-    model, table = train(df.filter(fold).select(whole_text(text).alias("text")), scratch, **options)
-    return score(df, model, table, scratch, key, text).withColumn("held_out", ~fold)
+    texts = df.select(F.col(key).cast("long").alias("id"), fold.alias("learn"), whole_text(text).alias("text"))
+    stretches = stretches_of(texts, scratch)
+    model, table = learn(stretches, scratch, **options)
+    return score(stretches, model, table, key, df.schema[key].dataType)
