@@ -121,3 +121,56 @@ def test_late_rows_take_their_place(spark, tmp_path):
     # one window back from the newest event.
     assert all(got[f"e{i:02d}"] == want[f"e{i:02d}"] for i in [*range(8), *range(12, 20)])
     assert len(got) == 20 and got["e08"][0] == 3.0
+
+
+def test_refresh_freeze_and_restart_equal_the_batch_run(spark, sf, run, tmp_path):
+    """Operator actions between and inside batches: versions, distances, states and thresholds as in one batch run."""
+    acts = spark.createDataFrame(
+        [("main", us, action, None, None) for us, action in (
+            (1_704_900_000_000_000, "refresh_reference"), (1_705_000_000_000_000, "freeze_adaptation"), (1_705_450_000_000_000, "refresh_reference"),
+            (1_705_450_000_000_001, "refresh_reference"), (1_705_600_000_000_000, "unfreeze_adaptation"), (1_706_000_000_000_000, "refresh_reference"))],
+        "stream_id string, ts_us long, action string, actor string, reason string",
+    )
+    whole = ScoringRun(I.events(spark, sf), CFG, acts)
+    for name in ("model", "features", "scored"):
+        whole.__dict__[name] = getattr(run, name)
+    base, source = str(tmp_path / "base"), str(tmp_path / "scored")
+    rows = run.scored.select("stream_id", "event_id", "ts_us", "entity_id", "merchant_category", "country", "channel", "score", *FEATURES)
+    cuts = [0, 1_704_800_000_000_000, 1_705_450_000_000_000, 1_705_460_000_000_000, 1 << 60]
+    for a, b in zip(cuts, cuts[1:]):
+        rows.filter((F.col("ts_us") >= a) & (F.col("ts_us") < b)).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(rows.schema).parquet(source)
+        monitor.catch_up(spark, stream, base, CFG, run.profile, acts)
+    columns = ("t", "profile_id", "drift_warning_active", "drift_active", "adwin_detected")
+    got, want = (
+        {r.t: (*r[:5], round(r.drift_score, 9), round(r.drift_threshold, 9)) for r in df.select(*columns, "drift_score", "drift_threshold").collect()}
+        for df in (spark.read.parquet(f"{base}/decisions").filter(F.col("kind") == monitor.EVALUATION), whole.evaluations)
+    )
+    assert got == want and {r[1] for r in want.values()} == {0, 1, 2}
+    ticks = spark.read.parquet(f"{base}/decisions").filter(F.col("kind") == monitor.TICK)
+    assert {r.t: round(r.threshold, 9) for r in ticks.collect()} == {r.t: round(r.threshold, 9) for r in whole.thresholds.collect()}
+    assert sorted(r.alert_id for r in spark.read.json(f"{base}/alerts").collect()) == sorted(r.alert_id for r in whole.alerts.collect())
+    # The state is a table, and another job starts from it.
+    state = monitor.state_table(spark, base).collect()
+    last = ticks.orderBy(F.desc("t")).first()
+    assert [(s.stream_id, s.threshold_threshold) for s in state] == [("main", last.threshold)]
+    assert len(state[0].drift_scores) == state[0].drift_learned > 0
+    # Folders that a batch carries to the next do not pile up.
+    import os
+
+    assert all(len(os.listdir(f"{base}/{t}")) == 2 for t in ("ends", "tail", "versions", "thresholds"))
+
+
+def test_monitor_starts_from_the_state_of_another(spark, sf, run, tmp_path):
+    rows = run.scored.select("stream_id", "event_id", "ts_us", "entity_id", "merchant_category", "country", "channel", "score", *FEATURES)
+    one, two, source = (str(tmp_path / n) for n in ("one", "two", "source"))
+    rows.filter("t <= 500").coalesce(1).write.parquet(f"{source}1")
+    monitor.catch_up(spark, spark.readStream.schema(rows.schema).parquet(f"{source}1"), one, CFG, run.profile)
+    warm = monitor.state_table(spark, one)
+    rows.filter("t > 500").coalesce(1).write.parquet(f"{source}2")
+    monitor.catch_up(spark, spark.readStream.schema(rows.schema).parquet(f"{source}2"), two, CFG, run.profile, initial=warm)
+    before = warm.first()
+    after = monitor.state_table(spark, two).first()
+    assert after.drift_learned > before.drift_learned > 0
+    first = spark.read.parquet(f"{two}/decisions").filter(F.col("kind") == monitor.TICK).orderBy("t").first()
+    assert first.threshold == before.threshold_threshold != CFG.control.initial_threshold

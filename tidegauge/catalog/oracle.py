@@ -629,8 +629,50 @@ CTES["path2"] = _path("ticks2", CC)
 RAW["t9_controlled_run"] = "SELECT t, round(thr, 6) AS threshold, thr <> old AS changed FROM path2 WHERE i > 0"
 CTES["refreshes"] = f"""SELECT at_u, row_number() OVER (ORDER BY at_u) AS profile_id, lead(at_u) OVER (ORDER BY at_u) AS to_u FROM (
  SELECT DISTINCT at_u FROM (SELECT a.ts_us, max(s.t - {DC.reference_events}) AS at_u FROM acts a JOIN scored s ON s.ts_us <= a.ts_us AND s.t > {DC.reference_events} WHERE a.action = 'refresh_reference' GROUP BY 1) WHERE at_u >= {DC.min_samples})"""
-RAW["t9_refreshed_profiles"] = f"""SELECT 0::BIGINT AS profile_id, 0::BIGINT AS from_u, coalesce((SELECT min(at_u) FROM refreshes), -1) AS to_u, n, round(mean, 6) AS mean, round(std, 6) AS std FROM prof WHERE feature = 'score'
-UNION ALL SELECT any_value(profile_id), at_u, coalesce(any_value(to_u), -1), count(*), round(avg(s.score), 6), round(stddev_pop(s.score) + 1e-9, 6) FROM refreshes JOIN scored s ON s.t - {DC.reference_events} <= at_u AND s.t - {DC.reference_events} > at_u - {min(DC.window_size, DC.reference_events)} AND s.t > {DC.reference_events} GROUP BY at_u"""
+_KEPT = min(DC.window_size, DC.reference_events)
+CTES["versions"] = """SELECT 0::BIGINT AS profile_id, 0::BIGINT AS from_u, (SELECT min(at_u) FROM refreshes) AS to_u UNION ALL SELECT profile_id, at_u, to_u FROM refreshes"""
+CTES["vlongs"] = f"""SELECT 0::BIGINT AS profile_id, feature, value FROM longs WHERE t <= {DC.reference_events}
+ UNION ALL SELECT r.profile_id, l.feature, l.value FROM refreshes r JOIN longs l ON l.t - {DC.reference_events} <= r.at_u AND l.t - {DC.reference_events} > r.at_u - {_KEPT} AND l.t > {DC.reference_events}"""
+CTES["vprof"] = """SELECT profile_id, feature, count(*) AS n, avg(value) AS mean, stddev_pop(value) + 1e-9 AS std,
+ list_concat(list_concat([min(value) - 1e-9], quantile_cont(value, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9])), [max(value) + 1e-9]) AS edges FROM vlongs GROUP BY profile_id, feature"""
+CTES["vrefshare"] = f"""SELECT p.profile_id, p.feature, b.bin, least(greatest(coalesce(c.c, 0) / p.n::DOUBLE, 1e-6), 1.0) AS r FROM vprof p CROSS JOIN bins10 b
+ LEFT JOIN (SELECT l.profile_id, l.feature, {_bin('l.value', 'p.edges')} AS bin, count(*) AS c FROM vlongs l JOIN vprof p ON p.profile_id = l.profile_id AND p.feature = l.feature GROUP BY ALL) c
+ ON c.profile_id = p.profile_id AND c.feature = p.feature AND c.bin = b.bin"""
+CTES["vticks"] = "SELECT e.u, v.profile_id FROM evalticks e JOIN versions v ON e.u > v.from_u AND (v.to_u IS NULL OR e.u <= v.to_u)"
+CTES["vbinned"] = f"""SELECT e.u, e.profile_id, l.feature, {_bin('l.value', 'p.edges')} AS bin, count(*) AS c, sum(l.value) AS s
+ FROM vticks e JOIN longs l ON l.t - {DC.reference_events} > e.u - {DC.window_size} AND l.t - {DC.reference_events} <= e.u AND l.t > {DC.reference_events}
+ JOIN vprof p ON p.profile_id = e.profile_id AND p.feature = l.feature GROUP BY ALL"""
+CTES["vtotals"] = "SELECT u, profile_id, feature, sum(c) FILTER (bin > 0) AS inside, sum(c) AS n_cur, sum(s) AS s FROM vbinned GROUP BY ALL"
+CTES["vshare"] = """SELECT t.u, t.profile_id, t.feature, r.bin, r.r, coalesce(c.c, 0)::DOUBLE / greatest(1, coalesce(t.inside, 0)) AS raw
+ FROM vtotals t JOIN vrefshare r ON r.profile_id = t.profile_id AND r.feature = t.feature LEFT JOIN vbinned c ON c.u = t.u AND c.feature = t.feature AND c.bin = r.bin"""
+CTES["vcum"] = "SELECT *, abs(sum(r) OVER w - sum(raw) OVER w) AS gap FROM vshare WINDOW w AS (PARTITION BY u, feature ORDER BY bin)"
+CTES["vdist"] = """SELECT t.u, t.profile_id, t.feature, t.n_cur::BIGINT AS n_cur, d.psi, d.ks, sqrt(-0.5 * ln(0.0005)) * sqrt((p.n + t.n_cur) / (p.n * t.n_cur)::DOUBLE) AS ks_critical,
+  abs(t.s / t.n_cur - p.mean) / greatest(1e-9, p.std) AS mean_shift_z
+ FROM vtotals t JOIN vprof p ON p.profile_id = t.profile_id AND p.feature = t.feature JOIN (
+  SELECT u, feature, sum((least(greatest(raw, 1e-6), 1.0) - r) * ln(least(greatest(raw, 1e-6), 1.0) / r)) AS psi, max(gap) AS ks FROM vcum GROUP BY u, feature) d ON d.u = t.u AND d.feature = t.feature"""
+CTES["evrows2"] = CTES["evrows"].replace("FROM dist ", "FROM vdist ")
+CTES["states2"] = _fold(False, True, DC.critical_consecutive).replace("evrows", "evrows2")
+CTES["ticks3"] = f"""SELECT row_number() OVER (ORDER BY k.t) AS i, k.t, k.ts_us, k.event_id, k.q, k.n_history AS n, 0.0 AS om, 0.0 AS um, coalesce(s.con, FALSE) AS drift, coalesce(a.action = 'freeze_adaptation', FALSE) AS frozen
+ FROM tickq k ASOF LEFT JOIN (SELECT ts_us, action FROM acts WHERE action <> 'refresh_reference') a ON k.ts_us >= a.ts_us LEFT JOIN states2 s ON s.i > 0 AND s.u = k.t - {DC.reference_events}"""
+CTES["path3"] = _path("ticks3", CC)
+RAW["t9_refreshed_profiles"] = """SELECT v.profile_id, p.feature, v.from_u, coalesce(v.to_u, -1) AS to_u, round(p.edges[6], 5) AS mid_edge, p.n, round(p.mean, 5) AS mean, round(p.std, 5) AS std
+FROM versions v JOIN vprof p ON p.profile_id = v.profile_id"""
+RAW["t9_refreshed_distances"] = "SELECT u, profile_id, feature, n_cur, round(psi, 5) AS psi, round(ks, 5) AS ks, round(mean_shift_z, 5) AS mean_shift_z FROM vdist"
+RAW["t9_refreshed_states"] = """SELECT s.u, t.profile_id, round(s.score, 5) AS drift_score, round(s.lim, 5) AS drift_threshold, round(s.vote, 5) AS vote_ratio, s.won AS drift_warning_active, s.con AS drift_active
+FROM states2 s JOIN vticks t ON t.u = s.u WHERE s.i > 0"""
+RAW["t9_refreshed_thresholds"] = "SELECT t, round(thr, 6) AS threshold, thr <> old AS changed FROM path3 WHERE i > 0"
+RAW["t2_t3_drift_states_chunked"] = RAW["t2_t3_drift_states"]
+RAW["t5_threshold_path_chunked"] = RAW["t5_threshold_path"]
+RAW["s3_commit_after_processing"] = "SELECT event_id, count(*) AS arrivals, round(sum(amount), 6) AS amount FROM copies GROUP BY event_id"
+RAW["st1_stream_features"] = RAW["w1_entity_features"]
+RAW["st2_stream_dedupe"] = "SELECT event_id, entity_id, merchant_id, country, channel FROM ev"
+RAW["st3_micro_batches"] = "SELECT t, round(thr, 6) AS threshold, thr <> old AS changed, round(thr, 6) AS in_batches, thr <> old AS changed_in_batches FROM path1 WHERE i > 0"
+RAW["st4_state_after_restart"] = """SELECT 'main' AS stream_id, round(p.thr, 5) AS threshold, p.cus AS changed_us, round(p.lg, 5) AS logged, p.lus AS logged_us, len(s.scores)::BIGINT AS learned, round(list_sum(s.scores), 5) AS score_sum, s.won AS warning, s.con AS critical
+FROM (SELECT * FROM path1 ORDER BY i DESC LIMIT 1) p, (SELECT * FROM states ORDER BY i DESC LIMIT 1) s"""
+RAW["st6_stream_decisions"] = "SELECT u, round(score, 5) AS drift_score, round(lim, 5) AS drift_threshold, round(vote, 5) AS vote_ratio, won AS drift_warning_active, con AS drift_active FROM states WHERE i > 0"
+RAW["st6_stream_thresholds"] = "SELECT t, round(thr, 6) AS threshold, thr <> old AS changed FROM path1 WHERE i > 0"
+RAW["st6_controlled_decisions"] = RAW["t9_refreshed_states"]
+RAW["st6_controlled_thresholds"] = RAW["t9_refreshed_thresholds"]
 RAW["w13_running_quality"] = """SELECT u, tp::BIGINT AS run_tp, fp::BIGINT AS run_fp, tr::BIGINT AS run_true, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE ELSE 0.0 END, 6) AS run_precision, round(CASE WHEN tr > 0 THEN tp / tr::DOUBLE ELSE 0.0 END, 6) AS run_recall
 FROM (SELECT u, count(*) FILTER (fixed AND drift_tag IS NOT NULL) OVER w AS tp, count(*) FILTER (fixed AND drift_tag IS NULL) OVER w AS fp, count(*) FILTER (drift_tag IS NOT NULL) OVER w AS tr FROM stateout WINDOW w AS (ORDER BY u))"""
 RAW["a28_state_summary"] = f"""SELECT 'main' AS stream_id, count(*) AS scored_events, max_by(con, t) AS drift_active, max_by(won, t) AS drift_warning_active, round(max_by(ds, t), 6) AS drift_score, round(max_by(thr, t), 6) AS threshold,
@@ -643,6 +685,7 @@ RAW["a28_state_summary"] = f"""SELECT * REPLACE (round(recent_rate, 6) AS recent
 RAW["c1_scored_output"] = """SELECT event_id, 'scored' AS status, round(score, 5) AS score, round(thr, 5) AS threshold, is_anomaly, evaluated AS drift_evaluated, con AS drift_active, won AS drift_warning_active, round(ds, 5) AS drift_score, round(vr, 5) AS vote_ratio FROM judged
 UNION ALL SELECT event_id, 'warming_up', NULL, NULL, FALSE, FALSE, FALSE, FALSE, NULL, NULL FROM feat WHERE idx <= 1500"""
 RAW["c1_alerts"] = "SELECT event_id, ts_us, round(thr, 5) AS threshold, CASE WHEN score >= least(0.99, thr + 0.10) THEN 'high' WHEN score >= least(0.95, thr + 0.05) THEN 'medium' ELSE 'low' END AS severity, round(ds, 5) AS drift_score FROM judged WHERE is_anomaly"
+RAW["st5_stream_alerts"] = RAW["c1_alerts"].replace(", round(ds, 5) AS drift_score", "")
 RAW["c5_replay_confusion"] = f"""SELECT points, tp, fp, fn, tn, {_rates()} FROM (SELECT count(*) AS points, {_confusion('truth', 'pred')} FROM (
  SELECT f.drift_tag IS NOT NULL AS truth, coalesce(s.con, FALSE) AS pred FROM feat f LEFT JOIN states s ON s.i > 0 AND s.u = f.idx - 1500 - {DC.reference_events}))"""
 RAW["c5_replay_summary"] = """SELECT (SELECT count(*) FROM feat) AS events_total, count(*) AS events_scored, count(*) FILTER (is_anomaly) AS alerts, count(*) FILTER (is_anomaly AND drift_tag IS NULL) AS false_alerts,

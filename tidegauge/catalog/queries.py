@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.catalog import inputs as I
-from tidegauge.config import FEATURES, PHASES, SCORE
+from tidegauge.config import FEATURES, PHASES
 from tidegauge.functions import distance as D
 from tidegauge.functions import scalar as S
 from tidegauge.operators import adwin, alerts, control, dedupe, drift, features, inject, ops, phases, profile
@@ -879,6 +879,14 @@ def t2_t3_drift_states(spark, sf):
     return rounded(drift.drift_states(rows, I.CONFIG.drift).select(*cols), 5)
 
 
+@query
+def t2_t3_drift_states_chunked(spark, sf):
+    """Chunks far shorter than a history, which take several rounds to agree."""
+    cols = ("u", "drift_score", "drift_threshold", "vote_ratio", "mean_fusion", "drift_fixed_active", "drift_warning_active", "drift_active")
+    rows = drift.evaluation_rows(I.run(spark, sf).distances, FEATURES).withColumn("adwin_detected", F.lit(False))
+    return rounded(drift.drift_states(rows, I.CONFIG.drift, chunk=12).select(*cols), 5)
+
+
 @query
 def t3_drift_states_latched(spark, sf):
     cfg = replace(I.CONFIG.drift, mode="latched", threshold_method="fixed", critical_consecutive=2)
@@ -899,6 +907,12 @@ def t5_threshold_path(spark, sf):
     return rounded(rows.select("t", "proposal", "threshold", "changed", "bounds_limited", "step_limited"))
 
 
+@query
+def t5_threshold_path_chunked(spark, sf):
+    rows = control.threshold_path(I.run(spark, sf).ticks, I.CONFIG.control, chunk=40)
+    return rounded(rows.select("t", "proposal", "threshold", "changed", "bounds_limited", "step_limited"))
+
+
 @query
 def t5_tick_quantiles(spark, sf):
     return rounded(control.tick_quantiles(I.run(spark, sf).scored, I.CONFIG.control).select("t", "n_history", "proposal"))
@@ -939,7 +953,8 @@ def t9_refreshed_profiles(spark, sf):
     run = I.run(spark, sf)
     asked = I.controls(spark, sf).filter(F.col("action") == control.REFRESH)
     table = profile.refreshed_profiles(run.scored, run.profile, asked, I.CONFIG.drift, FEATURES)
-    return rounded(table.filter(F.col("feature") == SCORE).select("profile_id", "from_u", F.coalesce("to_u", F.lit(-1)).alias("to_u"), "n", "mean", "std"))
+    ends = (F.coalesce("to_u", F.lit(-1)).alias("to_u"), F.col("edges")[5].alias("mid_edge"))
+    return rounded(table.select("profile_id", "feature", "from_u", *ends, "n", "mean", "std"), 5)
 
 
 def _sharing(base: ScoringRun, run: ScoringRun, *names: str) -> ScoringRun:

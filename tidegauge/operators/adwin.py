@@ -21,6 +21,8 @@ CHANGE_SCHEMA = "stream_id string, t long, adwin_detected boolean, window_rows l
 class AdaptiveWindow:
     """Window over (count, mean, squared deviation) buckets; logarithmic in its length."""
 
+    FIELDS = {"sizes": "array<long>", "buckets": "array<double>"}
+
     def __init__(self, delta: float) -> None:
         self.delta = delta
         # levels[i]: buckets of 2**i merged blocks, oldest first; the last level is the oldest.
@@ -34,6 +36,18 @@ class AdaptiveWindow:
         gap = b[1] - a[1]
         return (n, a[1] + gap * b[0] / n, a[2] + b[2] + gap * gap * a[0] * b[0] / n)
 
+    def dump(self) -> dict:
+        """Buckets a level, and the buckets of all levels laid end to end."""
+        return {"sizes": [len(level) for level in self.levels], "buckets": [float(x) for level in self.levels for b in level for x in b]}
+
+    def load(self, state: dict) -> None:
+        values = [float(x) for x in state["buckets"]]
+        buckets = list(zip(values[::3], values[1::3], values[2::3], strict=True))
+        self.levels = []
+        for size in state["sizes"]:
+            self.levels.append(buckets[: int(size)])
+            buckets = buckets[int(size) :]
+
     def _oldest_first(self) -> list[tuple[float, float, float]]:
         return [bucket for level in reversed(self.levels) for bucket in level]
 

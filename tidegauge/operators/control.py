@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 from tidegauge.config import ControlConfig
 from tidegauge.functions.scalar import hash_sampled, is_finite
-from tidegauge.operators.folding import ordered_fold
+from tidegauge.operators.folding import chunked_fold
 from tidegauge.operators.ordering import asof_join, running_totals, with_halo
 from tidegauge.session import small
 
 TICK_CHUNK = 20_000
+#: Ticks of one stream whose thresholds are followed in one task.
+PATH_CHUNK = 50_000
 CONTROL_CHUNK_US = 600_000_000
 CONTROL_SALTS = 16
 
@@ -107,11 +109,20 @@ CONTROL_COLUMNS = [field.split()[0] for field in CONTROL_SCHEMA.split(", ")]
 class ThresholdFold:
     """Threshold of one stream, advanced by ticks in order; the state is four numbers."""
 
+    FIELDS = {"threshold": "double", "changed_us": "long", "logged": "double", "logged_us": "long"}
+
     def __init__(self, cfg: ControlConfig) -> None:
         self.cfg = cfg
         self.threshold, self.changed_us = cfg.initial_threshold, 0
         self.logged, self.logged_us = cfg.initial_threshold, 0
 
+    def dump(self) -> dict:
+        return {f: getattr(self, f) for f in self.FIELDS}
+
+    def load(self, state: dict) -> None:
+        self.threshold, self.changed_us = float(state["threshold"]), int(state["changed_us"])
+        self.logged, self.logged_us = float(state["logged"]), int(state["logged_us"])
+
     def advance(self, row) -> tuple:
         cfg, old = self.cfg, self.threshold
         bounded = stepped = blocked = audit = False
@@ -142,10 +153,12 @@ class ThresholdFold:
         return pd.DataFrame([self.advance(row) for row in pdf.itertuples(index=False)], columns=CONTROL_COLUMNS)
 
 
-def threshold_path(ticks: DataFrame, cfg: ControlConfig) -> DataFrame:
-    """Threshold after every tick: ticks (with ``drift_active`` and ``frozen``) folded per stream,
-    one row per ``cfg.interval`` events."""
-    return ordered_fold(ticks, ["stream_id"], "t", lambda: ThresholdFold(cfg).step, CONTROL_SCHEMA)
+def threshold_path(ticks: DataFrame, cfg: ControlConfig, chunk: int = PATH_CHUNK) -> DataFrame:
+    """Threshold after every tick: ticks (with ``drift_active`` and ``frozen``) folded per stream, one row per
+    ``cfg.interval`` events. A tick moves the threshold towards its proposal, so chunks of ``chunk`` ticks forget
+    where they started and run in parallel."""
+    width = max(1, chunk * max(1, cfg.interval))
+    return chunked_fold(ticks, ["stream_id"], "t", width, lambda: ThresholdFold(cfg), CONTROL_SCHEMA, "thresholds")
 
 
 def with_threshold(scored: DataFrame, path: DataFrame, cfg: ControlConfig) -> DataFrame:

@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 from tidegauge.config import SCORE, DriftConfig
 from tidegauge.functions.scalar import damped
-from tidegauge.operators.folding import ordered_fold
+from tidegauge.operators.folding import chunked_fold
 
 # Weights of the per-feature fusion and the vote share that keeps a state.
 FUSION_PSI, FUSION_KS, FUSION_SHIFT = 0.55, 0.30, 0.15
 KEEP_VOTE = 0.8
 WARNING_FUSION = 0.9
+#: Evaluations of one stream that are folded in one task; longer than a calibration history, so that chunks forget.
+EVALUATION_CHUNK = 10_000
 
 
 def evaluation_rows(distances: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -73,23 +75,65 @@ def fused_at_fixed_limits(distances: DataFrame, cfg: DriftConfig, n_features: in
 
 
 class _History:
-    """Last ``size`` rows of calibration values, one column per tracked limit."""
+    """Last ``size`` rows of calibration values, one column per tracked limit, also kept in order."""
 
     def __init__(self, size: int, width: int) -> None:
-        self.rows = np.empty((min(size, 64), width))
-        self.size, self.seen = size, 0
+        self.size, self.width, self.seen = size, width, 0
+        self.rows = np.empty((0, width))
+        self.sorted = np.empty((width, 0))
+
+    def _room(self) -> None:
+        n = min(self.size, max(64, 2 * len(self.rows)))
+        rows, ordered = np.empty((n, self.width)), np.empty((self.width, n))
+        rows[: len(self.rows)], ordered[:, : len(self.rows)] = self.rows, self.sorted
+        self.rows, self.sorted = rows, ordered
+
+    def __len__(self) -> int:
+        return min(self.seen, self.size)
 
     def add(self, row: np.ndarray) -> None:
-        if self.seen >= len(self.rows) < self.size:
-            grown = np.empty((min(self.size, 2 * len(self.rows)), self.rows.shape[1]))
-            grown[: len(self.rows)] = self.rows
-            self.rows = grown
-        self.rows[self.seen % self.size] = row
+        n, slot = len(self), self.seen % self.size
+        if n == len(self.rows) < self.size:
+            self._room()
+        gone = self.rows[slot].copy() if n == self.size else None
+        for i, x in enumerate(row):
+            column = self.sorted[i]
+            if gone is None:
+                at = int(np.searchsorted(column[:n], x))
+                column[at + 1 : n + 1] = column[at:n].copy()
+            else:
+                out = int(np.searchsorted(column, gone[i]))
+                at = int(np.searchsorted(column, x))
+                if at > out:
+                    at -= 1
+                    column[out:at] = column[out + 1 : at + 1].copy()
+                else:
+                    column[at + 1 : out + 1] = column[at:out].copy()
+            column[at] = x
+        self.rows[slot] = row
         self.seen += 1
 
-    @property
-    def values(self) -> np.ndarray:
-        return self.rows[: min(self.seen, self.size)]
+    def quantile(self, q: float) -> np.ndarray:
+        """Linear-interpolated quantile of each column, read off the order."""
+        n = len(self)
+        at = q * (n - 1)
+        low = int(at)
+        a, b = self.sorted[:, low], self.sorted[:, min(low + 1, n - 1)]
+        return a + (b - a) * (at - low)
+
+    def spread(self) -> np.ndarray:
+        return self.rows[: len(self)].std(axis=0)
+
+    def dump(self) -> list[float]:
+        """Rows from the oldest on."""
+        n, first = len(self), self.seen % self.size if self.seen > self.size else 0
+        return np.roll(self.rows[:n], -first, axis=0).ravel().tolist()
+
+    def load(self, values: list[float], seen: int) -> None:
+        rows = np.asarray(values, dtype=float).reshape(-1, self.width)
+        self.seen = seen
+        self.rows = np.roll(rows, seen % self.size if seen > self.size else 0, axis=0)
+        self.sorted = np.sort(rows, axis=0).T.copy()
 
 
 EVALUATION_SCHEMA = (
@@ -112,10 +156,16 @@ def _mean(x: np.ndarray) -> float:
 class DriftFold:
     """Warning and critical state of one stream, advanced by evaluation rows in order.
 
-    Holds calibration histories of bounded length, two run lengths and two flags, so it can be
-    stored between micro-batches.
+    Holds calibration histories of bounded length, two run lengths and two flags, which can be written
+    down between chunks and micro-batches.
     """
 
+    FIELDS = {
+        "learned": "long", "scores": "array<double>", "psi_rows": "array<double>", "ks_rows": "array<double>",
+        "psi_limits": "array<double>", "ks_limits": "array<double>", "warning_run": "long", "critical_run": "long",
+        "warning": "boolean", "critical": "boolean", "last_alert": "long",
+    }
+
     def __init__(self, cfg: DriftConfig) -> None:
         self.cfg = cfg
         self.scores = _History(cfg.history_evals, 1)
@@ -125,21 +175,44 @@ class DriftFold:
         self.warning = self.critical = False
         self.last_alert = -(10**9)
 
+    def dump(self) -> dict:
+        def rows(name: str) -> list[float]:
+            return self.history[name].dump() if self.limits else []
+
+        def limits(name: str) -> list[float]:
+            return self.limits[name].tolist() if self.limits else []
+
+        return {
+            "learned": self.scores.seen, "scores": self.scores.dump(), "psi_rows": rows("psi"), "ks_rows": rows("ks"),
+            "psi_limits": limits("psi"), "ks_limits": limits("ks"), "warning_run": self.warning_run,
+            "critical_run": self.critical_run, "warning": self.warning, "critical": self.critical, "last_alert": self.last_alert,
+        }
+
+    def load(self, state: dict) -> None:
+        seen = int(state["learned"])
+        self.scores.load(state["scores"], seen)
+        self.limits = {n: np.asarray(state[f"{n}_limits"], dtype=float) for n in ("psi", "ks") if len(state[f"{n}_limits"])}
+        self.history = {n: _History(self.cfg.history_evals, len(v)) for n, v in self.limits.items()}
+        for n, h in self.history.items():
+            h.load(state[f"{n}_rows"], seen)
+        self.warning_run, self.critical_run = int(state["warning_run"]), int(state["critical_run"])
+        self.warning, self.critical = bool(state["warning"]), bool(state["critical"])
+        self.last_alert = int(state["last_alert"])
+
     def _learn(self, score: float, psi: np.ndarray, ks_ratio: np.ndarray) -> None:
         cfg = self.cfg
         self.scores.add(np.array([score]))
         for name, row, floor in (("psi", psi, cfg.feature_psi), ("ks", ks_ratio, 1.0)):
             self.history[name].add(row)
-            past = self.history[name].values
+            past = self.history[name]
             if len(past) >= cfg.baseline_min_evals:
-                top = np.quantile(past, cfg.adaptive_quantile, axis=0)
-                self.limits[name] = np.maximum(floor, top + cfg.feature_threshold_k * past.std(axis=0))
+                self.limits[name] = np.maximum(floor, past.quantile(cfg.adaptive_quantile) + cfg.feature_threshold_k * past.spread())
 
     def _limit(self) -> float:
         cfg = self.cfg
         if cfg.threshold_method != "adaptive" or self.scores.seen < cfg.baseline_min_evals:
             return cfg.fixed_score_threshold
-        return max(cfg.fixed_score_threshold, float(np.quantile(self.scores.values, cfg.adaptive_quantile)))
+        return max(cfg.fixed_score_threshold, float(self.scores.quantile(cfg.adaptive_quantile)[0]))
 
     def advance(self, row) -> dict:
         cfg = self.cfg
@@ -191,10 +264,10 @@ class DriftFold:
         enters = not stays and ready and row.u - self.last_alert >= cfg.alert_cooldown_events
         if enters:
             self.last_alert = int(row.u)
-        self.critical = stays or enters
+        self.critical = bool(stays or enters)
 
         calm = vote <= cfg.warning_vote * KEEP_VOTE and not was_critical
-        if calm or min(self.scores.seen, self.scores.size) < max(50, cfg.baseline_min_evals * 3):
+        if calm or len(self.scores) < max(50, cfg.baseline_min_evals * 3):
             self._learn(score, psi, ks_ratio)
         return {
             "stream_id": row.stream_id, "u": row.u, "t": row.t, "profile_id": row.profile_id,
@@ -211,10 +284,11 @@ class DriftFold:
         return pd.DataFrame([self.advance(row) for row in pdf.itertuples(index=False)])
 
 
-def drift_states(evaluations: DataFrame, cfg: DriftConfig) -> DataFrame:
+def drift_states(evaluations: DataFrame, cfg: DriftConfig, chunk: int = EVALUATION_CHUNK) -> DataFrame:
     """Adaptive limits and warning / critical states, folded over the evaluation table.
 
     ``evaluations``: rows of ``evaluation_rows`` with ``adwin_detected``; one row per
-    ``cfg.interval`` scored events.
+    ``cfg.interval`` scored events. ``chunk``: evaluations folded in one task.
     """
-    return ordered_fold(evaluations, ["stream_id"], "u", lambda: DriftFold(cfg).step, EVALUATION_SCHEMA)
+    width = max(1, chunk * cfg.interval)
+    return chunked_fold(evaluations, ["stream_id"], "u", width, lambda: DriftFold(cfg), EVALUATION_SCHEMA, "drift")

@@ -1,17 +1,44 @@
-"""Ordered folds over per-stream summary tables, in bounded memory."""
+"""Ordered folds over per-stream summary tables, in bounded memory.
+
+``ordered_fold`` follows one stream after the other. ``chunked_fold`` cuts a stream into chunks that run in
+parallel from predicted start states and repeats those whose prediction was wrong.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from typing import Any
+from functools import reduce
+from typing import Any, ClassVar, Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from tidegauge.session import hinted, stage
 
 # A fold is built per stream and fed batches of rows in order; it returns output rows.
 Step = Callable[[pd.DataFrame], pd.DataFrame]
 
 
+class Fold(Protocol):
+    """A fold whose state can be written down: column types, values, and back."""
+
+    FIELDS: ClassVar[dict[str, str]]
+
+    def dump(self) -> dict[str, Any]: ...
+
+    def load(self, state: dict[str, Any]) -> None: ...
+
+    def step(self, pdf: pd.DataFrame) -> pd.DataFrame: ...
+
+
+def in_order(values: pd.Series, last: Any, key: Any) -> Any:
+    """The last of ``values``, which must rise and follow ``last``."""
+    if not values.is_monotonic_increasing or (last is not None and values.iloc[0] < last):
+        raise RuntimeError(f"rows of {key} arrived out of order")
+    return values.iloc[-1]
+
+
 def ordered_fold(df: DataFrame, by: list[str], order: str, make_step: Callable[[], Step], schema: str) -> DataFrame:
     """Fold each group in ``order``, batch by batch.
 
@@ -27,10 +54,71 @@ def ordered_fold(df: DataFrame, by: list[str], order: str, make_step: Callable[[
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            first = pdf[order].iloc[0]
-            if not pdf[order].is_monotonic_increasing or (last is not None and first < last):
-                raise RuntimeError(f"rows of {key} arrived out of order")
-            last = pdf[order].iloc[-1]
+            last = in_order(pdf[order], last, key)
             yield step(pdf)
 
     return arranged.groupBy(*by).applyInPandas(run, schema)
+
+
+def chunked_fold(
+    df: DataFrame, by: list[str], order: str, width: int, make_fold: Callable[[], Fold], schema: str, name: str = "fold"
+) -> DataFrame:
+    """The fold of each group in ``order``, computed by chunks of ``width`` positions in parallel.
+
+    In the first round every chunk starts from the state of a new fold, in later ones from the state its
+    predecessor ended with in the round before; only chunks whose start has changed run again. When no
+    start changes, every chunk has started where its predecessor ends, from the group's first chunk on,
+    which is the sequential result. Folds that forget (thresholds that reach their target, histories of bounded
+    length) agree after two or three rounds; the worst case is one round a chunk, which is the sequence.
+    The driver sees one count a round.
+    """
+    fields = make_fold().FIELDS
+    out_names = [c.split()[0] for c in schema.split(", ")]
+    states = [f"_state_{f}" for f in fields]
+    full = f"_chunk long, {schema}, _end boolean, " + ", ".join(f"{s} {t}" for s, t in zip(states, fields.values()))
+    rows = stage(df.withColumn("_chunk", F.floor(F.col(order) / F.lit(width)).cast("long")), f"{name}-rows")
+    place = [*by, "_chunk"]
+    numbered = rows.select(*place).distinct()
+    before = F.lag("_chunk").over(Window.partitionBy(*by).orderBy("_chunk"))
+    chunks = stage(numbered.withColumn("_before", before), f"{name}-chunks")
+
+    def run(key: tuple[Any, ...], pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        fold = make_fold()
+        if len(start) and bool(start["_known"].iloc[0]):
+            fold.load({f: start[s].iloc[0] for f, s in zip(fields, states)})
+        pdf = pdf.sort_values(order)
+        out = fold.step(pdf)[out_names].reset_index(drop=True)
+        out["_chunk"] = key[-1]
+        out["_end"] = [False] * (len(out) - 1) + [True]
+        state = fold.dump()
+        for f, s in zip(fields, states):
+            out[s] = pd.Series([None] * (len(out) - 1) + [state[f]], dtype=object)
+        return out[["_chunk", *out_names, "_end", *states]]
+
+    def marked(table: DataFrame) -> DataFrame:
+        return table.withColumn("_mark", F.md5(F.to_json(F.struct(*states), {"ignoreNullFields": "false"})))
+
+    starts = chunks.select(*place, F.lit(False).alias("_known"), *[F.lit(None).cast(t).alias(s) for s, t in zip(states, fields.values())])
+    used = chunks.select(*place, F.lit("").alias("_used"))  # mark of the state each chunk last started from
+    latest: DataFrame | None = None  # newest round of each chunk
+    rounds: list[DataFrame] = []
+    while True:
+        todo = starts.select(*place)
+        work = rows.join(hinted(todo), place, "left_semi") if rounds else rows
+        made = stage(work.groupBy(*place).cogroup(starts.groupBy(*place)).applyInPandas(run, full), f"{name}-round")
+        number = F.lit(len(rounds)).alias("_round")
+        rounds.append(made)
+        mine = todo.select(*place, number)
+        latest = mine if latest is None else stage(latest.unionByName(mine).groupBy(*place).agg(F.max("_round").alias("_round")), f"{name}-latest")
+        ends = reduce(DataFrame.unionByName, [r.filter("_end").select(*place, *states).withColumn("_round", F.lit(i)) for i, r in enumerate(rounds)])
+        ends = marked(ends.join(latest, [*place, "_round"], "left_semi").drop("_round"))
+        after = ends.withColumnRenamed("_chunk", "_before").join(chunks.filter("_before IS NOT NULL"), [*by, "_before"])
+        changed = after.join(used, place).filter(F.col("_mark") != F.col("_used"))
+        starts = stage(changed.select(*place, F.lit(True).alias("_known"), *states, "_mark"), f"{name}-starts")
+        if starts.isEmpty():
+            break
+        fresh = starts.select(*place, F.col("_mark").alias("_new"))
+        used = stage(used.join(fresh, place, "left").select(*place, F.coalesce("_new", "_used").alias("_used")), f"{name}-used")
+        starts = starts.drop("_mark")
+    whole = reduce(DataFrame.unionByName, [r.withColumn("_round", F.lit(i)) for i, r in enumerate(rounds)])
+    return whole.join(latest, [*place, "_round"], "left_semi").select(*out_names)

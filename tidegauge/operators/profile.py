@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 
 from tidegauge.config import BINS, SCORE, DriftConfig
 from tidegauge.functions import distance as D
-from tidegauge.operators.ordering import asof_join, exact_quantiles, with_halo
-from tidegauge.session import hinted, small
+from tidegauge.operators.ordering import asof_join, exact_quantiles, running_totals, with_halo, with_previous
+from tidegauge.session import hinted, small, stage
 
 # Quantile positions of the bin edges.
 DECILES = (0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
 PANE_CHUNK = 256
 ACTION_CHUNK_US = 600_000_000
+#: Positions of one range in which versions are put in order.
+VERSION_RANGE = 1_000_000
 
 
 def long_form(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -92,7 +94,7 @@ def refreshed_profiles(
     """Add a version per operator refresh: the current window becomes the reference.
 
     ``refreshes`` (stream_id, ts_us) is an operator action log. A refresh with fewer than
-    ``min_samples`` current rows has no effect.
+    ``min_samples`` current rows has no effect. ``base``: one version per stream; later ones are numbered on from it.
     """
     current = scored.filter(F.col("t") > cfg.reference_events).select(
         "stream_id", "ts_us", (F.col("t") - cfg.reference_events).alias("u"), *features, SCORE
@@ -103,39 +105,59 @@ def refreshed_profiles(
         .filter(F.col("u") >= cfg.min_samples)
         .groupBy(F.col("stream_id"), F.col("u").alias("at_u"))
         .agg(F.min("ts_us").alias("act_us"))
+        .withColumn("back", -F.col("at_u"))
     )
-    order = Window.partitionBy("stream_id").orderBy("at_u")
-    versions = at.withColumn("profile_id", F.row_number().over(order)).withColumn(
-        "to_u", F.lead("at_u").over(order)
+    at = stage(at, "refreshes")
+    # Numbers and successors come from ranges of positions, so a stream's versions meet in no single window.
+    following = with_previous(at, ["stream_id"], ["back"], ["at_u"], VERSION_RANGE).select(
+        "stream_id", "at_u", F.col("_prev.at_u").alias("to_u")
     )
-    versions = small(versions)
+    numbered = running_totals(at, ["stream_id"], ["at_u"], {"_n": F.lit(1).cast("long")}).select("stream_id", "at_u", "_n")
+    held = base.groupBy("stream_id").agg(F.max("profile_id").alias("_held"))
+    versions = numbered.join(following, ["stream_id", "at_u"]).join(small(held), "stream_id", "left")
+    versions = versions.withColumn("profile_id", (F.coalesce("_held", F.lit(0)) + F.col("_n")).cast("int")).drop("_held")
+    versions = stage(versions, "versions")
     kept = min(cfg.window_size, cfg.reference_events)
     # A version draws on the last `kept` rows, which lie in its own or the preceding range.
     slot = F.floor(F.col("at_u") / kept)
-    near = versions.withColumn("_slot", F.explode(F.array(slot - 1, slot)))
-    rows = current.withColumn("_slot", F.floor(F.col("u") / kept)).join(near, ["stream_id", "_slot"])
+    near = versions.select("stream_id", "profile_id", "at_u", F.explode(F.array(slot - 1, slot)).alias("_slot"))
+    rows = current.withColumn("_slot", F.floor(F.col("u") / kept)).join(hinted(near), ["stream_id", "_slot"])
     rows = rows.filter((F.col("u") <= F.col("at_u")) & (F.col("u") > F.col("at_u") - kept))
     keys = ["stream_id", "profile_id"]
-    built = build_profile(long_form(rows, keys, [*features, SCORE]), keys).join(versions, keys)
+    built = build_profile(long_form(rows, keys, [*features, SCORE]), keys).join(versions.select(*keys, "at_u", "to_u"), keys)
     later = built.select(
         "stream_id", "feature", "edges", "ref_perc", "n", "mean", "std", "profile_id",
         F.col("at_u").alias("from_u"), "to_u",
     )
-    first = versions.filter("profile_id = 1").select("stream_id", F.col("at_u").alias("_first"))
+    first = versions.filter("_n = 1").select("stream_id", F.col("at_u").alias("_first"))
     opened = base.join(first, "stream_id", "left").withColumn("to_u", F.col("_first")).drop("_first")
     return opened.unionByName(later)
 
 
 def _with_versions(rows: DataFrame, profile: DataFrame, cfg: DriftConfig) -> DataFrame:
     """Rows with the profile version(s) whose windows they fall in: the one in force, and later
-    ones that take over within a window."""
-    if profile.filter(F.col("profile_id") > 0).isEmpty():
+    ones that take over within a window.
+
+    An interval join by ranges of one window of positions: a version meets the rows of the ranges that its
+    evaluations look back on, and no others.
+    """
+    one = profile.filter(F.col("feature") == SCORE).select("stream_id", "profile_id", "from_u", "to_u")
+    if one.filter(F.col("to_u").isNotNull() | (F.col("from_u") > 0)).isEmpty():
         return rows.withColumn("profile_id", F.lit(0))
-    starts = profile.filter(F.col("feature") == SCORE).groupBy("stream_id").agg(F.collect_list("from_u").alias("_starts"))
-    joined = rows.join(small(starts), "stream_id")
-    in_force = F.size(F.filter("_starts", lambda f: f < F.col("u"))) - 1
-    latest = F.size(F.filter("_starts", lambda f: f - cfg.window_size < F.col("u"))) - 1
-    return joined.withColumn("profile_id", F.explode(F.sequence(in_force, latest))).drop("_starts")
+    window = cfg.window_size
+    ends = rows.groupBy("stream_id").agg(F.max("u").alias("_last"))
+    last = F.coalesce("to_u", "_last")
+    # Evaluations of a version lie in (from_u, to_u]; each looks back on one window of rows.
+    low = F.greatest(F.lit(1), F.col("from_u") + 2 - window)
+    ranges = one.join(small(ends), "stream_id").filter(last >= low)
+    first_range, last_range = F.floor(low / window).cast("long"), F.floor(last / window).cast("long")
+    spread = stage(
+        ranges.select("stream_id", "profile_id", low.alias("_low"), last.alias("_high"), F.explode(F.sequence(first_range, last_range)).alias("_range")),
+        "version-ranges",
+    )
+    ranged = rows.withColumn("_range", F.floor(F.col("u") / window).cast("long"))
+    met = ranged.join(hinted(spread), ["stream_id", "_range"])
+    return met.filter(F.col("u").between(F.col("_low"), F.col("_high"))).drop("_range", "_low", "_high")
 
 
 def pane_stats(scored: DataFrame, profile: DataFrame, cfg: DriftConfig, features: Sequence[str]) -> DataFrame:

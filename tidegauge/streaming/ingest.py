@@ -46,6 +46,17 @@ def write_table(stream: DataFrame, path: str, checkpoint: str, available_now: bo
     return writer.start(path)
 
 
+class ReplacedBatches:
+    """``foreachBatch`` sink of a source that is read at least once: offsets are committed after a batch is written, and
+    a batch that comes again replaces itself, so every row is in the table once."""
+
+    def __init__(self, path: str) -> None:
+        self.path = path
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
+
+
 def split_dead_letters(parsed_good: DataFrame, parsed_bad: DataFrame, good: str, bad: str, checkpoint: str) -> list[StreamingQuery]:
     """Two sinks for parsed broker values: events, and rejected values with their reason."""
     return [

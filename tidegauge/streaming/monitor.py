@@ -1,18 +1,20 @@
 """Streaming drift monitor: micro-batches become summaries, summaries drive small keyed state.
 
-``Indexer`` runs per micro-batch of scored rows: it numbers them, stores them, and writes the
-summaries that became due (change-detection blocks, evaluations, controller ticks), computed by
-the batch operators over the new rows and a bounded tail. ``decisions`` is a second query that
-advances the drift and threshold state of each stream over those summaries only.
+Three queries, each with its own checkpoint. ``Indexer`` runs per micro-batch of scored rows: it numbers them,
+stores them, and writes the summaries that became due (change-detection blocks, evaluations, controller ticks),
+computed by the batch operators over the new rows and a bounded tail. ``decisions`` advances the drift and threshold
+state of each stream over those summaries only. ``Judge`` runs per micro-batch of decisions and appends the alerts of the
+rows they settle.
+
+Every table has a folder per batch, which a replay of the batch overwrites. A batch reads its own rows and what its
+predecessor left (last positions, a tail of one window, profile versions in force, last thresholds), never history.
 """
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -23,9 +25,9 @@ from tidegauge.operators import adwin, control, drift, profile
 from tidegauge.operators.alerts import alerts_of
 from tidegauge.operators.ordering import event_index
 from tidegauge.session import small
-from tidegauge.sources.sinks import append_alerts
 
-BLOCK, EVALUATION, TICK = 0, 1, 2
+#: Kinds of summaries, in the order in which those of one event count. A mark ends the rows of a batch.
+BLOCK, EVALUATION, TICK, MARK = range(4)
 _ARRAY, _TEXT = "array<double>", "string"
 SUMMARY = {
     "stream_id": _TEXT, "t": "long", "kind": "int", "u": "long", "profile_id": "int", "psi": _ARRAY, "ks": _ARRAY,
@@ -35,78 +37,130 @@ SUMMARY = {
     "frozen": "boolean",
 }
 DECISION = {
-    "stream_id": _TEXT, "t": "long", "kind": "int", "drift_score": "double", "drift_threshold": "double",
+    "stream_id": _TEXT, "t": "long", "kind": "int", "batch_id": "int", "drift_score": "double", "drift_threshold": "double",
     "vote_ratio": "double", "drift_warning_active": "boolean", "drift_active": "boolean",
-    "adwin_detected": "boolean", "threshold": "double", "changed": "boolean",
+    "adwin_detected": "boolean", "profile_id": "int", "threshold": "double", "changed": "boolean",
 }
+ENDS = "stream_id string, last_t long, last_us long, action_us long, action string"
 
 
 def _ddl(fields: dict[str, str]) -> str:
     return ", ".join(f"{name} {kind}" for name, kind in fields.items())
 
 
+class BatchTables:
+    """Tables below ``base`` with a folder per batch."""
+
+    def __init__(self, spark: SparkSession, base: str) -> None:
+        self.spark, self.base = spark, base
+
+    def path(self, table: str, batch_id: int) -> str:
+        return f"{self.base}/{table}/batch_id={batch_id}"
+
+    def write(self, df: DataFrame, table: str, batch_id: int) -> DataFrame:
+        df.write.mode("overwrite").parquet(self.path(table, batch_id))
+        return self.spark.read.schema(df.schema).parquet(self.path(table, batch_id))
+
+    def read(self, table: str, batch_id: int, schema) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(self.path(table, batch_id))
+
+    def drop(self, table: str, batch_id: int) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(table, batch_id))
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Indexer:
     """``foreachBatch`` function; every write replaces its own batch, so replays are harmless.
 
-    ``base``: folder of the tables. ``reference``: frozen profile. Positions go on from those of
-    earlier batches; rows of one batch are numbered in event order. ``controls``: table of operator
-    actions, read again for every batch.
+    ``base``: folder of the tables. ``reference``: frozen profile, version 0. Positions go on from those of the
+    earlier batch; rows of one batch are numbered in event order. ``controls``: table of operator actions, of which a
+    batch takes those between the last event before it and its own last event. A refresh makes the current window the
+    reference from then on, as in a batch run.
     """
 
+    CARRIED = ("ends", "tail", "versions")
+
     def __init__(self, base: str, cfg: EngineConfig, reference: DataFrame, controls: DataFrame | None = None) -> None:
         self.base, self.cfg, self.reference, self.controls = base, cfg, reference, controls
 
-    def _earlier(self, spark: SparkSession, table: str, batch_id: int) -> DataFrame | None:
-        try:
-            return spark.read.parquet(f"{self.base}/{table}").filter(F.col("batch_id") < batch_id)
-        except AnalysisException:
-            return None
-
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark, cfg = batch.sparkSession, self.cfg
-        rows = event_index(batch, name="_n")
-        offsets = self._earlier(spark, "offsets", batch_id)
-        if offsets is not None:
-            last = offsets.groupBy("stream_id").agg(F.max("last_t").alias("_o"))
-            rows = rows.join(small(last), "stream_id", "left")
-        else:
-            rows = rows.withColumn("_o", F.lit(0))
+        tables = BatchTables(spark, self.base)
+        before = tables.read("ends", batch_id - 1, ENDS) if batch_id else spark.createDataFrame([], ENDS)
+        known = small(before.select("stream_id", F.col("last_t").alias("_o")))
+        rows = event_index(batch, name="_n").join(known, "stream_id", "left")
         rows = rows.withColumn("t", F.col("_n") + F.coalesce("_o", F.lit(0))).drop("_n", "_o")
-        rows.write.mode("overwrite").parquet(f"{self.base}/scored/batch_id={batch_id}")
-        fresh = spark.read.parquet(f"{self.base}/scored/batch_id={batch_id}")
-        if fresh.isEmpty():
-            return
-        ends = fresh.groupBy("stream_id").agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"))
-        ends.write.mode("overwrite").parquet(f"{self.base}/offsets/batch_id={batch_id}")
-        self._summaries(spark, fresh, batch_id).write.mode("overwrite").parquet(
-            f"{self.base}/summaries/batch_id={batch_id}"
-        )
-
-    def _summaries(self, spark: SparkSession, fresh: DataFrame, batch_id: int) -> DataFrame:
-        cfg = self.cfg
-        d, c = cfg.drift, cfg.control
-        ends = small(spark.read.parquet(f"{self.base}/offsets/batch_id={batch_id}").select("stream_id", "first_t"))
-        look_back = max(d.window_size, c.history) + d.adwin_clock
-        rows = fresh
-        earlier = self._earlier(spark, "scored", batch_id)
-        if earlier is not None:
-            tail = earlier.drop("batch_id").join(ends, "stream_id").filter(F.col("t") >= F.col("first_t") - look_back)
-            rows = fresh.unionByName(tail.select(*fresh.columns))
-        names = cfg.features.enabled
-        panes = profile.pane_stats(rows, self.reference, d, names)
-        distances = profile.windowed_distances(panes, self.reference, d)
-        due = F.col("t") >= F.col("first_t")
-        # A tail cut inside a window must not produce evaluations of old rows.
-        evaluations = drift.evaluation_rows(distances, names).join(ends, "stream_id").filter(due)
-        ticks = control.tick_quantiles(rows, c).join(ends, "stream_id").filter(due)
-        if self.controls is None:
-            ticks = ticks.withColumn("frozen", F.lit(False))
+        fresh = tables.write(rows, "scored", batch_id)
+        ends = tables.write(self._ends(before, fresh), "ends", batch_id)
+        first = small(fresh.groupBy("stream_id").agg(F.min("t").alias("first_t")))
+        recent = fresh
+        if batch_id:
+            recent = tables.read("tail", batch_id - 1, fresh.schema).unionByName(fresh)
+        look_back = max(cfg.drift.window_size, cfg.control.history) + cfg.drift.adwin_clock
+        tail = recent.join(small(ends.select("stream_id", "last_t")), "stream_id").filter(F.col("t") > F.col("last_t") - look_back)
+        tables.write(tail.select(*fresh.columns), "tail", batch_id)
+        held = tables.read("versions", batch_id - 1, self.reference.schema) if batch_id else self.reference
+        versions = tables.write(self._versions(recent, held, before, ends), "all_versions", batch_id)
+        in_force = versions.filter("to_u IS NULL")
+        tables.write(in_force, "versions", batch_id)
+        tables.write(self._summaries(recent, versions, first, before, ends), "summaries", batch_id)
+        for table in self.CARRIED:
+            if batch_id > 1:
+                tables.drop(table, batch_id - 2)
+
+    def _between(self, actions: Sequence[str], before: DataFrame, ends: DataFrame, last: bool) -> DataFrame:
+        """Actions after the last event before the batch, up to its last event (inclusive if ``last``)."""
+        span = ends.select("stream_id", "last_us").join(before.select("stream_id", F.col("last_us").alias("_from")), "stream_id", "left")
+        rows = self.controls.filter(F.col("action").isin(*actions)).join(small(span), "stream_id")
+        start = F.coalesce("_from", F.lit(-(2**62)))
+        if last:
+            within = (F.col("ts_us") > start) & (F.col("ts_us") <= F.col("last_us"))
         else:
-            ticks = control.latest_action(ticks, self.controls)
-        out = [evaluations.withColumn("kind", F.lit(EVALUATION)), ticks.withColumn("kind", F.lit(TICK))]
+            within = (F.col("ts_us") >= start) & (F.col("ts_us") < F.col("last_us"))
+        return rows.filter(within).select("stream_id", "ts_us", "action")
+
+    def _ends(self, before: DataFrame, fresh: DataFrame) -> DataFrame:
+        now = fresh.groupBy("stream_id").agg(F.max("t").alias("last_t"), F.max("ts_us").alias("last_us"))
+        moved = now.select("*", F.lit(None).cast("long").alias("action_us"), F.lit(None).cast("string").alias("action"))
+        ends = before.unionByName(moved)
+        if self.controls is not None:
+            reached = before.unionByName(moved).groupBy("stream_id").agg(F.max("last_us").alias("last_us"))
+            acts = self._between((control.FREEZE, control.UNFREEZE), before, reached, last=True)
+            none = [F.lit(None).cast("long").alias(c) for c in ("last_t", "last_us")]
+            ends = ends.unionByName(acts.select("stream_id", *none, F.col("ts_us").alias("action_us"), "action"))
+        act = F.max(F.when(F.col("action_us").isNotNull(), F.struct("action_us", "action")))
+        whole = ends.groupBy("stream_id").agg(F.max("last_t").alias("last_t"), F.max("last_us").alias("last_us"), act.alias("_act"))
+        return whole.select("stream_id", "last_t", "last_us", "_act.action_us", "_act.action").filter("last_t IS NOT NULL")
+
+    def _versions(self, recent: DataFrame, held: DataFrame, before: DataFrame, ends: DataFrame) -> DataFrame:
+        if self.controls is None:
+            return held
+        asked = self._between((control.REFRESH,), before, ends, last=False)
+        return profile.refreshed_profiles(recent, held, asked, self.cfg.drift, self.cfg.features.enabled).select(*held.columns)
+
+    def _with_controls(self, ticks: DataFrame, before: DataFrame, ends: DataFrame) -> DataFrame:
+        if self.controls is None:
+            return ticks.withColumn("frozen", F.lit(False))
+        acts = self._between((control.FREEZE, control.UNFREEZE), before, ends, last=True)
+        carried = before.filter("action IS NOT NULL").select("stream_id", F.col("action_us").alias("ts_us"), "action")
+        return control.latest_action(ticks, carried.unionByName(acts))
+
+    def _summaries(self, rows: DataFrame, versions: DataFrame, first: DataFrame, before: DataFrame, ends: DataFrame) -> DataFrame:
+        d, c, names = self.cfg.drift, self.cfg.control, self.cfg.features.enabled
+
+        def due(part: DataFrame) -> DataFrame:
+            """A tail cut inside a window must not produce summaries of old rows."""
+            return part.join(first, "stream_id").filter(F.col("t") >= F.col("first_t"))
+
+        panes = profile.pane_stats(rows, versions, d, names)
+        evaluations = drift.evaluation_rows(profile.windowed_distances(panes, versions, d), names)
+        ticks = self._with_controls(due(control.tick_quantiles(rows, c)), before, ends)
+        out = [due(evaluations).withColumn("kind", F.lit(EVALUATION)), ticks.withColumn("kind", F.lit(TICK))]
+        reached = ends.join(first.select("stream_id"), "stream_id", "left_semi")
+        out.append(reached.select("stream_id", F.col("last_t").alias("t"), F.lit(MARK).alias("kind")))
         if d.adwin_enabled:
-            blocks = adwin.score_blocks(rows, d.reference_events, d.adwin_clock).join(ends, "stream_id").filter(due)
-            out.append(blocks.withColumn("kind", F.lit(BLOCK)))
+            blocks = adwin.score_blocks(rows, d.reference_events, d.adwin_clock)
+            out.append(due(blocks).withColumn("kind", F.lit(BLOCK)))
         aligned = [
             part.select(*[(F.col(n) if n in part.columns else F.lit(None)).cast(k).alias(n) for n, k in SUMMARY.items()])
             for part in out
@@ -118,47 +172,83 @@ class Indexer:
 
 
 class Decisions(StatefulProcessor):
-    """Drift and threshold state of one stream, advanced by its summaries in order."""
+    """Drift and threshold state of one stream, advanced by its summaries in order.
+
+    State is three rows of typed columns (``drift``, ``threshold``, ``window``) that Spark's state reader shows as a
+    table. A new stream may start from rows of that form.
+    """
 
     def __init__(self, cfg: EngineConfig) -> None:
         self.cfg = cfg
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.stored = handle.getValueState("folds", "body binary")
+        self.values = {name: handle.getValueState(name, _ddl(fields)) for name, fields in STATES.items()}
+
+    def _folds(self) -> dict:
+        return {"drift": drift.DriftFold(self.cfg.drift), "threshold": control.ThresholdFold(self.cfg.control), "window": adwin.AdaptiveWindow(self.cfg.drift.adwin_delta)}
+
+    def _load(self) -> tuple[dict, int, bool]:
+        folds, flag_t, active = self._folds(), -1, False
+        for name, fold in folds.items():
+            if self.values[name].exists():
+                state = dict(zip(STATES[name], self.values[name].get(), strict=True))
+                fold.load(state)
+                if name == "drift":
+                    flag_t, active = int(state["flag_t"]), bool(state["flag_active"])
+        return folds, flag_t, active
+
+    def _store(self, folds: dict, flag_t: int, active: bool) -> None:
+        for name, fold in folds.items():
+            state = fold.dump() | ({"flag_t": int(flag_t), "flag_active": bool(active)} if name == "drift" else {})
+            self.values[name].update(tuple(state[f] for f in STATES[name]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         cfg = self.cfg
-        if self.stored.exists():
-            window, states, thresholds, flag = pickle.loads(self.stored.get()[0])
-        else:
-            window = adwin.AdaptiveWindow(cfg.drift.adwin_delta)
-            states, thresholds = drift.DriftFold(cfg.drift), control.ThresholdFold(cfg.control)
-            flag = (-1, False)
+        folds, flag_t, flag_active = self._load()
         changed_at = -1
         out = []
         pdf = pd.concat(list(rows), ignore_index=True).sort_values(["t", "kind"])
         for row in pdf.assign(adwin_detected=False, drift_active=False).itertuples(index=False):
-            decision = dict.fromkeys(DECISION) | {"stream_id": row.stream_id, "t": row.t, "kind": row.kind}
+            decision = dict.fromkeys(DECISION) | {"stream_id": row.stream_id, "t": row.t, "kind": row.kind, "batch_id": row.batch_id}
             if row.kind == BLOCK:
-                if window.add(float(row.n), float(row.mean), float(row.squares)):
+                if folds["window"].add(float(row.n), float(row.mean), float(row.squares)):
                     changed_at = row.t
                 continue
             if row.kind == EVALUATION:
-                state = states.advance(row._replace(adwin_detected=changed_at == row.t))
-                flag = (row.t, state["drift_active"])
+                state = folds["drift"].advance(row._replace(adwin_detected=changed_at == row.t))
+                flag_t, flag_active = row.t, state["drift_active"]
                 decision |= {n: state[n] for n in DECISION if n in state}
-            else:
-                active = flag[1] and (cfg.drift.mode == "latched" or flag[0] == row.t)
-                done = dict(zip(control.CONTROL_COLUMNS, thresholds.advance(row._replace(drift_active=active)), strict=True))
+            elif row.kind == TICK:
+                active = flag_active and (cfg.drift.mode == "latched" or flag_t == row.t)
+                done = dict(zip(control.CONTROL_COLUMNS, folds["threshold"].advance(row._replace(drift_active=active)), strict=True))
                 decision |= {"threshold": done["threshold"], "changed": done["changed"]}
             out.append(decision)
-        self.stored.update((pickle.dumps((window, states, thresholds, flag)),))
+        self._store(folds, flag_t, flag_active)
         yield pd.DataFrame(out, columns=list(DECISION))
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        """Start of a stream from a row of ``initial_states``."""
+        row = initialState.iloc[0]
+        for name, fields in STATES.items():
+            if row[f"{name}_{next(iter(fields))}"] is not None:
+                self.values[name].update(tuple(_plain(row[f"{name}_{f}"]) for f in fields))
+
     def close(self) -> None:
         pass
 
 
+#: Columns of the state rows.
+STATES = {
+    "drift": drift.DriftFold.FIELDS | {"flag_t": "long", "flag_active": "boolean"},
+    "threshold": control.ThresholdFold.FIELDS,
+    "window": adwin.AdaptiveWindow.FIELDS,
+}
+
+
+def _plain(value):
+    return value.tolist() if hasattr(value, "tolist") else value
+
+
 def index_stream(
     scored: DataFrame, base: str, cfg: EngineConfig, reference: DataFrame, controls: DataFrame | None = None
 ) -> StreamingQuery:
@@ -167,37 +257,66 @@ def index_stream(
     return writer.option("checkpointLocation", f"{base}/checkpoints/index").start()
 
 
-def decision_stream(spark: SparkSession, base: str, cfg: EngineConfig) -> DataFrame:
-    """Second query: evaluations and thresholds from the summaries."""
-    schema = _ddl(SUMMARY | {"batch_id": "int"})
-    summaries = spark.readStream.schema(schema).parquet(f"{base}/summaries").drop("batch_id")
+def decision_stream(spark: SparkSession, base: str, cfg: EngineConfig, initial: DataFrame | None = None) -> DataFrame:
+    """Second query: evaluations and thresholds from the summaries. ``initial``: states that streams start from (as
+    ``state_table`` gives them); they count for streams the checkpoint does not know."""
+    summaries = spark.readStream.schema(_ddl(SUMMARY | {"batch_id": "int"})).parquet(f"{base}/summaries")
+    start = None if initial is None else initial.groupBy("stream_id")
     return summaries.groupBy("stream_id").transformWithStateInPandas(
-        Decisions(cfg), outputStructType=_ddl(DECISION), outputMode="Append", timeMode="None"
+        Decisions(cfg), outputStructType=_ddl(DECISION), outputMode="Append", timeMode="None", initialState=start
     )
 
 
-def judged_rows(spark: SparkSession, base: str, cfg: EngineConfig) -> DataFrame:
-    """Stored scored rows whose threshold is decided."""
-    scored = spark.read.parquet(f"{base}/scored").drop("batch_id")
-    decided = spark.read.parquet(f"{base}/decisions").filter(F.col("kind") == TICK)
-    known = small(decided.groupBy("stream_id").agg(F.max("t").alias("_known")))
-    interval = max(1, cfg.control.interval)
-    ready = F.coalesce(F.col("_known"), F.lit(0)) + interval > F.col("t")
-    rows = scored.join(known, "stream_id", "left").filter(ready).drop("_known")
-    return control.with_threshold(rows, decided, cfg.control)
+def state_table(spark: SparkSession, base: str) -> DataFrame:
+    """Drift, threshold and change-detection state of every stream, read from the checkpoint: one row per stream
+    with the columns of ``STATES``, prefixed by their state."""
+    whole: DataFrame | None = None
+    for name, fields in STATES.items():
+        raw = spark.read.format("statestore").option("stateVarName", name).load(f"{base}/checkpoints/decide")
+        part = raw.select(F.col("key.stream_id").alias("stream_id"), *[F.col(f"value.{f}").alias(f"{name}_{f}") for f in fields])
+        whole = part if whole is None else whole.join(part, "stream_id", "full")
+    return whole
+
+
+class Judge:
+    """``foreachBatch`` function over decisions: rows whose thresholds they settle become alerts.
+
+    The summaries of a stored batch are decided together, so its rows are judged once: each meets its tick among the new
+    ones, or the last one before them.
+    """
 
+    def __init__(self, base: str, cfg: EngineConfig) -> None:
+        self.base, self.cfg = base, cfg
 
-def emit_alerts(spark: SparkSession, base: str, cfg: EngineConfig) -> None:
-    """Append alerts of decided rows to the alert log; ids already there are skipped."""
-    append_alerts(alerts_of(judged_rows(spark, base, cfg)), f"{base}/alerts")
+    def __call__(self, decided: DataFrame, batch_id: int) -> None:
+        spark, interval = decided.sparkSession, max(1, self.cfg.control.interval)
+        tables = BatchTables(spark, self.base)
+        schema = "stream_id string, tick long, threshold double"
+        numbers = sorted(r.batch_id for r in decided.select("batch_id").distinct().collect())
+        steps = decided.filter(F.col("kind") == TICK).select("stream_id", F.col("t").alias("tick"), "threshold")
+        if batch_id:
+            steps = steps.unionByName(tables.read("thresholds", batch_id - 1, schema))
+        newest = steps.groupBy("stream_id").agg(F.max("tick").alias("tick"), F.max_by("threshold", "tick").alias("threshold"))
+        tables.write(newest, "thresholds", batch_id)
+        if numbers:
+            rows = spark.read.parquet(*[tables.path("scored", n) for n in numbers])
+            rows = rows.withColumn("tick", (F.floor(F.col("t") / interval) * interval).cast("long"))
+            judged = rows.join(steps, ["stream_id", "tick"], "left").drop("tick")
+            judged = judged.withColumn("threshold", F.coalesce("threshold", F.lit(self.cfg.control.initial_threshold)))
+            alerts_of(judged).write.mode("overwrite").json(tables.path("alerts", batch_id))
+        if batch_id > 1:
+            tables.drop("thresholds", batch_id - 2)
 
 
 def catch_up(
-    spark: SparkSession, scored: DataFrame, base: str, cfg: EngineConfig, reference: DataFrame, controls: DataFrame | None = None
+    spark: SparkSession, scored: DataFrame, base: str, cfg: EngineConfig, reference: DataFrame,
+    controls: DataFrame | None = None, initial: DataFrame | None = None,
 ) -> None:
     """Process everything available: index, decide, alert."""
     index_stream(scored, base, cfg, reference, controls).awaitTermination()
-    decisions = decision_stream(spark, base, cfg).writeStream.format("parquet").outputMode("append")
+    decisions = decision_stream(spark, base, cfg, initial).writeStream.format("parquet").outputMode("append")
     decisions = decisions.option("checkpointLocation", f"{base}/checkpoints/decide").trigger(availableNow=True)
     decisions.start(f"{base}/decisions").awaitTermination()
-    emit_alerts(spark, base, cfg)
+    settled = spark.readStream.schema(_ddl(DECISION)).parquet(f"{base}/decisions")
+    judge = settled.writeStream.foreachBatch(Judge(base, cfg)).trigger(availableNow=True)
+    judge.option("checkpointLocation", f"{base}/checkpoints/judge").start().awaitTermination()
