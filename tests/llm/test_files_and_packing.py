@@ -20,7 +20,6 @@ WORD_FILE, BYTE_FILE = (public_tokenizers.path(n) for n in ("word_bpe_49k.json",
 
 def encoded(path, texts, end):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return [[*e.ids, end] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 

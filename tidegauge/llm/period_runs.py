@@ -41,6 +41,8 @@ RUN = "array<struct<start:bigint,length:bigint,period:bigint>>"
 
 def segments(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Stretches (start, codes) in which every word occurs often enough to be in a run."""
+    if len(codes) < SHORTEST:
+        return
     at, seg = np.arange(len(codes)), np.zeros(len(codes), np.int64)
     n_codes = int(codes.max(initial=0)) + 1
     while len(at):

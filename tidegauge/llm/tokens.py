@@ -39,9 +39,12 @@ _BLANK = re.compile(f"(?<=[^{_WS}]) (?=[^{_WS}])")
 
 
 class PartEncoder:
-    """``ids(texts)`` as the tokenizer of ``path`` gives them, special tokens taken as ordinary text.
+    """``ids(texts)`` as the tokenizer of ``path`` gives them, with the ids of special tokens where a text has their
+    strings.
 
-    ``folds``: the tokenizer maps capitals to small letters, so parts in ASCII share their entries.
+    A special token's string is taken out of a text before anything else is done to it, so what lies before and behind
+    it is cut into parts on its own. ``folds``: the tokenizer maps capitals to small letters, so parts in ASCII share
+    their entries.
     """
 
     def __init__(self, path: str, parts: re.Pattern, folds: bool):
@@ -49,7 +52,13 @@ class PartEncoder:
         self.joined = self._load()
         self.separator = self.joined.token_to_id(SEPARATOR)
         self.parts, self.folds = parts, folds
-        self.young: dict[str, bytes] = {}
+        added = [t for t in self.joined.get_added_tokens_decoder().items() if t[1].special]
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for _, t in added):
+            raise ValueError("special tokens that take their surroundings are not supported")
+        self.special = {t.content: np.array([i], "<u4").tobytes() for i, t in added}
+        longest_first = sorted(map(re.escape, self.special), key=len, reverse=True)
+        self.at_special = re.compile(f"({'|'.join(longest_first)})") if self.special else None
+        self.young: dict[str, bytes] = dict(self.special)
         self.old: dict[str, bytes] = {}
         # Words of letters alone are joined as they stand: each has one token that marks its edge, the first
         # with a space before it or the last with a word end.
@@ -67,7 +76,7 @@ class PartEncoder:
 
     @property
     def plain(self):
-        """The tokenizer for what looks like special tokens; few workers need it."""
+        """The tokenizer for what looks like special tokens and is none; few workers need it."""
         if self._plain is None:
             self._plain = self._load()
             self._plain.encode_special_tokens = True
@@ -91,7 +100,7 @@ class PartEncoder:
         yield text[at:]
 
     def _ids(self, texts: Sequence[str]) -> list[np.ndarray]:
-        cut = [self.parts.findall(t) for t in texts]
+        cut = [self._parts(t) for t in texts]
         get = self.young.get
         found = [list(map(get, parts)) for parts in cut]
         missing = {p for parts, ids in zip(cut, found) if None in ids for p, e in zip(parts, ids) if e is None}
@@ -102,7 +111,15 @@ class PartEncoder:
                 ids = [e if e is not None else get(p) or once.get(p, b"") for p, e in zip(parts, ids)]
             out.append(np.frombuffer(b"".join(ids), "<u4"))
         if len(self.young) > REMEMBERED:
-            self.old, self.young = self.young, {}
+            self.old, self.young = self.young, dict(self.special)
+        return out
+
+    def _parts(self, text: str) -> list[str]:
+        if not self.special or not any(s in text for s in self.special):
+            return self.parts.findall(text)
+        out = []
+        for i, some in enumerate(self.at_special.split(text)):
+            out += [some] if i % 2 else self.parts.findall(some)
         return out
 
     def _learn(self, missing: set[str]) -> dict[str, bytes]:
@@ -111,7 +128,7 @@ class PartEncoder:
         folded: dict[str, str] = {}
         for p in missing:
             hit = old.get(p)
-            if hit is None and self.folds and p.isascii() and (low := p.lower()) != p:
+            if hit is None and self.folds and p.isascii() and (low := p.lower()) != p and low not in self.special:
                 hit = young.get(low) or old.get(low)
                 if hit is None:
                     folded[p] = low
