@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from tidegauge.catalog import inputs as I
@@ -673,6 +674,67 @@ RAW["st6_stream_decisions"] = "SELECT u, round(score, 5) AS drift_score, round(l
 RAW["st6_stream_thresholds"] = "SELECT t, round(thr, 6) AS threshold, thr <> old AS changed FROM path1 WHERE i > 0"
 RAW["st6_controlled_decisions"] = RAW["t9_refreshed_states"]
 RAW["st6_controlled_thresholds"] = RAW["t9_refreshed_thresholds"]
+# Adaptive windowing in single steps: a block is appended (phase 0), full levels are merged (1), old buckets are dropped
+# while some cut of the window is significant (2). Lists hold levels, sizes, means and squared deviations, oldest first.
+CTES["blocks"] = f"""SELECT block, t, n, mean, squares, row_number() OVER (ORDER BY block) AS i FROM (SELECT block, block * {DC.adwin_clock} + {DC.reference_events} AS t, count(*)::DOUBLE AS n, avg(score) AS mean, var_pop(score) * count(*) AS squares
+ FROM (SELECT score, CAST(ceil((t - {DC.reference_events}) / {float(DC.adwin_clock)!r}) AS BIGINT) AS block FROM scored WHERE t > {DC.reference_events}) GROUP BY block) WHERE n = {DC.adwin_clock}"""
+
+
+def _spliced(column: str, new: str) -> str:
+    return f"list_concat(list_concat({column}[1:p - 1], [{new}]), {column}[p + 2:])"
+
+
+_GAP = "(m[p + 1] - m[p])"
+_PAIR = "(n[p] + n[p + 1])"
+CTES["adwin"] = f"""
+ SELECT 0::BIGINT AS i, 0::BIGINT AS t, 0 AS phase, 0 AS l, []::INT[] AS lv, []::DOUBLE[] AS n, []::DOUBLE[] AS m, []::DOUBLE[] AS q, FALSE AS changed
+ UNION ALL SELECT * FROM (
+ SELECT b.i, b.t, 1 AS phase, 0 AS l, list_append(s.lv, 0), list_append(s.n, b.n), list_append(s.m, b.mean), list_append(s.q, b.squares), FALSE FROM @self s JOIN blocks b ON s.phase = 0 AND b.i = s.i + 1
+ UNION ALL
+ SELECT i, t, CASE WHEN crowded THEN 1 ELSE 2 END, CASE WHEN crowded THEN l + 1 ELSE l END, CASE WHEN crowded THEN {_spliced('lv', 'l + 1')} ELSE lv END, CASE WHEN crowded THEN {_spliced('n', _PAIR)} ELSE n END,
+  CASE WHEN crowded THEN {_spliced('m', f'm[p] + {_GAP} * n[p + 1] / {_PAIR}')} ELSE m END, CASE WHEN crowded THEN {_spliced('q', f'q[p] + q[p + 1] + {_GAP} * {_GAP} * n[p] * n[p + 1] / {_PAIR}')} ELSE q END, changed
+ FROM (SELECT *, len(list_filter(lv, lambda x: x = l)) > 5 AS crowded, list_position(lv, l) AS p FROM @self WHERE phase = 1)
+ UNION ALL
+ SELECT i, t, CASE WHEN cut THEN 2 ELSE 0 END, l, CASE WHEN cut THEN lv[2:] ELSE lv END, CASE WHEN cut THEN n[2:] ELSE n END, CASE WHEN cut THEN m[2:] ELSE m END, CASE WHEN cut THEN q[2:] ELSE q END, changed OR cut
+ FROM (SELECT *, total > 10 AND len(list_filter(range(1, len(n)), lambda k: list_sum(n[1:k]) >= 5 AND total - list_sum(n[1:k]) >= 5 AND
+   abs(list_sum(nm[1:k]) / list_sum(n[1:k]) - list_sum(nm[k + 1:]) / list_sum(n[k + 1:])) >
+   sqrt(2.0 * (1.0 / list_sum(n[1:k]) + 1.0 / (total - list_sum(n[1:k]))) * variance * conf) + 2.0 / 3.0 * (1.0 / list_sum(n[1:k]) + 1.0 / (total - list_sum(n[1:k]))) * conf)) > 0 AS cut
+  FROM (SELECT *, (list_sum(q) + list_sum(list_transform(range(1, len(n) + 1), lambda k: n[k] * (m[k] - mean) * (m[k] - mean)))) / total AS variance, ln(2.0 * ln(greatest(total, 1.1)) / {DC.adwin_delta!r}) AS conf
+   FROM (SELECT *, list_sum(nm) / total AS mean FROM (SELECT *, list_sum(n) AS total, list_transform(range(1, len(n) + 1), lambda k: n[k] * m[k]) AS nm FROM @self WHERE phase = 2)))))"""
+CTES["adflags"] = "SELECT t, changed, list_sum(n) AS total, list_sum(list_transform(range(1, len(n) + 1), lambda k: n[k] * m[k])) / list_sum(n) AS mean FROM adwin WHERE phase = 0 AND i > 0"
+RAW["t4_adwin_flags"] = "SELECT t, changed AS adwin_detected, total::BIGINT AS window_rows, round(mean, 6) AS window_mean FROM adflags"
+CTES["evrows3"] = f"SELECT e.*, coalesce(a.changed, FALSE) AS ad FROM evrows e LEFT JOIN adflags a ON a.t = e.u + {DC.reference_events}"
+CTES["states3"] = _fold(False, True, DC.critical_consecutive).replace("evrows", "evrows3").replace("e.sk, p.scores", "e.sk, e.ad, p.scores").replace("END AS whit", "END OR (ad AND vote >= 0.2 * 0.8) AS whit")
+RAW["c1_evaluations_with_adwin"] = """SELECT s.u, round(s.score, 5) AS drift_score, e.ad AS adwin_detected, s.won AS drift_warning_active, s.con AS drift_active FROM states3 s JOIN evrows3 e ON e.i = s.i WHERE s.i > 0"""
+# Isolation forest, level by level: trees grown from drawn numbers, then rows walk them.
+_M = I.CONFIG.model
+_PSI = min(_M.subsample, _M.warmup_events)
+_DEPTH = max(1, math.ceil(math.log2(max(_PSI, 2))))
+
+
+def _draw(*parts: str) -> str:
+    return f"(('0x' || substr(md5({_M.seed} || '|' || " + " || '|' || ".join(parts) + "), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+
+
+def _path_length(n: str) -> str:
+    return f"(CASE WHEN {n} <= 1 THEN 0.0::DOUBLE WHEN {n} <= 2 THEN 1.0::DOUBLE ELSE 2.0 * (ln({n} - 1.0::DOUBLE) + 0.5772156649015329::DOUBLE) - 2.0 * ({n} - 1.0) / {n} END)"
+
+
+CTES["xrows"] = "SELECT event_id, idx, [" + ", ".join(_guard(f) for f in FEATURES) + "] AS x FROM feat"
+CTES["grow0"] = f"""SELECT tree, 1::BIGINT AS node, x FROM (SELECT tree, x, row_number() OVER (PARTITION BY tree ORDER BY {_draw('tree', 'idx')}, idx) AS place
+ FROM xrows, (SELECT range AS tree FROM range({_M.n_trees})) WHERE idx <= {_M.warmup_events}) WHERE place <= {_PSI}"""
+for _d in range(_DEPTH + 1):
+    CTES[f"node{_d}"] = f"""SELECT tree, node, n, CASE WHEN {'TRUE' if _d == _DEPTH else 'FALSE'} OR n <= 1 OR len(usable) = 0 THEN 0 ELSE usable[CAST(floor({_draw('tree', 'node', "'feature'")} * len(usable)) AS BIGINT) + 1] END AS f, lo, hi
+ FROM (SELECT *, list_filter(range(1, {len(FEATURES) + 1}), lambda i: hi[i] > lo[i]) AS usable FROM (SELECT tree, node, count(*) AS n, [{', '.join(f'min(x[{i}])' for i in range(1, len(FEATURES) + 1))}] AS lo, [{', '.join(f'max(x[{i}])' for i in range(1, len(FEATURES) + 1))}] AS hi FROM grow{_d} GROUP BY tree, node))"""
+    CTES[f"cut{_d}"] = f"SELECT tree, node, f, CASE WHEN f > 0 THEN lo[f] + {_draw('tree', 'node', chr(39) + 'split' + chr(39))} * (hi[f] - lo[f]) END AS at, {_d} + {_path_length('n')} AS path FROM node{_d}"
+    if _d < _DEPTH:
+        CTES[f"grow{_d + 1}"] = f"SELECT g.tree, 2 * g.node + (CASE WHEN g.x[c.f] <= c.at THEN 0 ELSE 1 END) AS node, g.x FROM grow{_d} g JOIN cut{_d} c ON c.tree = g.tree AND c.node = g.node WHERE c.f > 0"
+    _from = "(SELECT event_id, x, tree, 1::BIGINT AS node FROM xrows, (SELECT range AS tree FROM range(%d)))" % _M.n_trees if _d == 0 else f"walk{_d - 1}"
+    CTES[f"walk{_d}"] = f"""SELECT w.event_id, w.x, w.tree, CASE WHEN c.f > 0 THEN 2 * w.node + (CASE WHEN w.x[c.f] <= c.at THEN 0 ELSE 1 END) ELSE -1 END AS node, CASE WHEN w.node < 0 THEN {'NULL' if _d == 0 else 'w.path'} WHEN c.f = 0 THEN c.path END AS path
+ FROM {_from} w LEFT JOIN cut{_d} c ON c.tree = w.tree AND c.node = w.node"""
+CTES["forest"] = f"SELECT event_id, idx, pow(2.0, -(avg(path)) / {_path_length(str(_PSI))}) AS raw_score FROM walk{_DEPTH} JOIN xrows USING (event_id) GROUP BY event_id, idx"
+RAW["m2_isolation_forest"] = f"""SELECT event_id, round(raw_score, 6) AS raw_score, round(1.0 / (1.0 + exp(-(raw_score - mu) / (sd + 1e-9))), 6) AS score FROM forest,
+ (SELECT avg(raw_score) AS mu, CASE WHEN stddev_pop(raw_score) = 0 THEN 1.0 ELSE stddev_pop(raw_score) END AS sd FROM forest WHERE idx <= {_M.warmup_events}) WHERE idx > {_M.warmup_events}"""
 RAW["w13_running_quality"] = """SELECT u, tp::BIGINT AS run_tp, fp::BIGINT AS run_fp, tr::BIGINT AS run_true, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE ELSE 0.0 END, 6) AS run_precision, round(CASE WHEN tr > 0 THEN tp / tr::DOUBLE ELSE 0.0 END, 6) AS run_recall
 FROM (SELECT u, count(*) FILTER (fixed AND drift_tag IS NOT NULL) OVER w AS tp, count(*) FILTER (fixed AND drift_tag IS NULL) OVER w AS fp, count(*) FILTER (drift_tag IS NOT NULL) OVER w AS tr FROM stateout WINDOW w AS (ORDER BY u))"""
 RAW["a28_state_summary"] = f"""SELECT 'main' AS stream_id, count(*) AS scored_events, max_by(con, t) AS drift_active, max_by(won, t) AS drift_warning_active, round(max_by(ds, t), 6) AS drift_score, round(max_by(thr, t), 6) AS threshold,

@@ -1024,7 +1024,7 @@ def m2_isolation_forest(spark, sf):
     warm = run.features.filter(F.col("idx") <= warmup).select("stream_id", "event_id", "idx", *FEATURES)
     fitted = model.fit(warm, FEATURES)
     rows = run.scored.select("stream_id", "event_id", "idx", *FEATURES)
-    return fitted.transform(rows).select("event_id", "raw_score", "score")
+    return rounded(fitted.transform(rows).select("event_id", "raw_score", "score"))
 
 
 @query

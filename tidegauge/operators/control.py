@@ -77,7 +77,8 @@ def tick_quantiles(scored: DataFrame, cfg: ControlConfig) -> DataFrame:
         known = np.minimum(pdf["f"].to_numpy()[ticks], history)
         proposal = np.full(len(ticks), np.nan)
         marks = np.full((len(ticks), 2), np.nan)
-        whole = known == history
+        complete = ends[ticks] >= known  # not so where a stream's tail was cut: such ticks are of no interest
+        whole = complete & (known == history)
         if whole.any():
             views = np.lib.stride_tricks.sliding_window_view(scores, history)
             starts = ends[ticks[whole]] - history
@@ -86,7 +87,7 @@ def tick_quantiles(scored: DataFrame, cfg: ControlConfig) -> DataFrame:
                 proposal[at] = np.quantile(views[starts[part]], level, axis=1)
         for i, (tick, n) in enumerate(zip(ticks, known, strict=True)):
             window = scores[ends[tick] - n : ends[tick]]
-            if n < need:
+            if n < need or not complete[i]:
                 continue
             if not whole[i]:
                 proposal[i] = np.quantile(window, level)

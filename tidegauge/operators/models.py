@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator, Sequence
 from typing import Protocol
@@ -78,67 +79,64 @@ def average_path(n: float) -> float:
     return 2.0 * (math.log(n - 1.0) + 0.5772156649015329) - 2.0 * (n - 1.0) / n
 
 
-def _grow(x: np.ndarray, rng: np.random.Generator, depth_limit: int) -> dict[str, list]:
-    """One isolation tree as parallel node lists; leaves point to themselves."""
-    tree: dict[str, list] = {"feature": [], "split": [], "left": [], "right": [], "path": []}
-    todo = [(np.arange(len(x)), 0, -1, "left")]
+def draw(*parts: object) -> float:
+    """Number in [0, 1) from a text key, the same wherever and whenever it is drawn."""
+    return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:8], 16) / 2**32
+
+
+def _sample(positions: np.ndarray, seed: int, tree: int, psi: int) -> np.ndarray:
+    """Places of the ``psi`` rows whose positions draw the smallest numbers."""
+    drawn = np.array([draw(seed, tree, int(p)) for p in positions])
+    return np.lexsort((positions, drawn))[:psi]
+
+
+def _grow(x: np.ndarray, seed: int, tree: int, depth_limit: int) -> dict[str, list]:
+    """One isolation tree in heap order (node i has children 2i and 2i + 1); leaves have feature -1 and a path.
+
+    A node's feature, among those that differ in its rows, and its split between their extremes are drawn by the
+    node's number.
+    """
+    size = 1 << (depth_limit + 1)
+    feature, split, path = [-1] * size, [0.0] * size, [0.0] * size
+    todo = [(1, 0, np.arange(len(x)))]
     while todo:
-        rows, depth, parent, side = todo.pop()
-        node = len(tree["feature"])
-        if parent >= 0:
-            tree[side][parent] = node
+        node, depth, rows = todo.pop()
         part = x[rows]
         low, high = part.min(axis=0), part.max(axis=0)
         usable = np.flatnonzero(high > low)
-        leaf = depth >= depth_limit or len(rows) <= 1 or len(usable) == 0
-        feature = 0 if leaf else int(rng.choice(usable))
-        split = math.inf if leaf else float(rng.uniform(low[feature], high[feature]))
-        tree["feature"].append(feature)
-        tree["split"].append(split)
-        tree["left"].append(node)
-        tree["right"].append(node)
-        tree["path"].append(depth + average_path(len(rows)) if leaf else 0.0)
-        if not leaf:
-            goes_left = part[:, feature] <= split
-            todo.append((rows[goes_left], depth + 1, node, "left"))
-            todo.append((rows[~goes_left], depth + 1, node, "right"))
-    return tree
-
-
-FOREST_SCHEMA = (
-    f"{KEY} string, tree int, psi int, feature array<int>, split array<double>, "
-    "left array<int>, right array<int>, path array<double>"
-)
+        if depth >= depth_limit or len(rows) <= 1 or len(usable) == 0:
+            path[node] = depth + average_path(len(rows))
+            continue
+        f = int(usable[int(draw(seed, tree, node, "feature") * len(usable))])
+        at = float(low[f] + draw(seed, tree, node, "split") * (high[f] - low[f]))
+        feature[node], split[node] = f, at
+        goes_left = part[:, f] <= at
+        todo += [(2 * node, depth + 1, rows[goes_left]), (2 * node + 1, depth + 1, rows[~goes_left])]
+    return {"feature": feature, "split": split, "path": path}
+
+
+FOREST_SCHEMA = f"{KEY} string, tree int, psi int, feature array<int>, split array<double>, path array<double>"
 
 
 def _anomaly(x: np.ndarray, trees: Sequence, psi: int) -> np.ndarray:
     """2 ** (-mean path / expected path) for a matrix, all rows walking a tree together."""
     total = np.zeros(len(x))
-    at = np.arange(len(x))
-    for feature, split, left, right, path in trees:
-        node = np.zeros(len(x), dtype=np.int64)
-        while True:
-            goes_left = x[at, feature[node]] <= split[node]
-            after = np.where(goes_left, left[node], right[node])
-            if np.array_equal(after, node):
-                break
-            node = after
+    for feature, split, path in trees:
+        node = np.ones(len(x), dtype=np.int64)
+        open_ = np.arange(len(x))
+        while len(open_):
+            open_ = open_[feature[node[open_]] >= 0]
+            n = node[open_]
+            node[open_] = 2 * n + (x[open_, feature[n]] > split[n])
         total += path[node]
     return np.exp2(-(total / len(trees)) / max(average_path(psi), 1e-9))
 
 
 def _as_trees(pdf: pd.DataFrame) -> tuple[list, int]:
-    trees = []
-    for row in pdf.sort_values("tree").itertuples():
-        trees.append(
-            (
-                np.asarray(row.feature, dtype=np.int64),
-                np.asarray(row.split, dtype=float),
-                np.asarray(row.left, dtype=np.int64),
-                np.asarray(row.right, dtype=np.int64),
-                np.asarray(row.path, dtype=float),
-            )
-        )
+    trees = [
+        (np.asarray(row.feature, dtype=np.int64), np.asarray(row.split, dtype=float), np.asarray(row.path, dtype=float))
+        for row in pdf.sort_values("tree").itertuples()
+    ]
     return trees, int(pdf["psi"].iloc[0])
 
 
@@ -199,7 +197,12 @@ class FittedForest:
 
 
 class IsolationForestModel:
-    """Isolation forest; blocks of trees are grown as separate tasks from the bounded warm-up."""
+    """Isolation forest; blocks of trees are grown as separate tasks from the bounded warm-up.
+
+    What is random is drawn from texts of seed, tree and node (or position), so any engine grows the same trees. Rows
+    are scored in Arrow batches that walk a tree together: two hundred walks a row as column expressions
+    take several times as long.
+    """
 
     def __init__(self, cfg: ModelConfig) -> None:
         self.cfg = cfg
@@ -213,14 +216,13 @@ class IsolationForestModel:
 
         def grow_block(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("idx")
-            x = pdf[names].to_numpy(dtype=float)
+            x, positions = pdf[names].to_numpy(dtype=float), pdf["idx"].to_numpy()
             psi = min(cfg.subsample, len(x))
             limit = max(1, math.ceil(math.log2(max(psi, 2))))
             out = []
             for tree in range(int(pdf["block"].iloc[0]), cfg.n_trees, blocks):
-                rng = np.random.default_rng([cfg.seed, tree])
-                sample = x[rng.choice(len(x), size=psi, replace=False)]
-                out.append({KEY: pdf[KEY].iloc[0], "tree": tree, "psi": psi, **_grow(sample, rng, limit)})
+                sample = x[_sample(positions, cfg.seed, tree, psi)]
+                out.append({KEY: pdf[KEY].iloc[0], "tree": tree, "psi": psi, **_grow(sample, cfg.seed, tree, limit)})
             return pd.DataFrame(out)
 
         forest = rows.groupBy(KEY, "block").applyInPandas(grow_block, FOREST_SCHEMA)
