@@ -64,6 +64,8 @@ ALPHA = 0.5
 TOKENS_AT_ONCE = 1_000_000
 TOKENS_A_PART = 500_000
 BYTES_A_BUCKET = 16 << 20
+#: Occurrences of a word beside one class up to which the rise of the likelihood is looked up.
+TABLED = 32
 #: Clustered types whose neighbours are summed in one matrix, and the tasks that sum each of them.
 TYPES_A_BLOCK = 256
 SUMMING = 4
@@ -466,30 +468,54 @@ def class_counts(contexts: DataFrame, classes: int, n_types: int) -> tuple[np.nd
     return joint.reshape(classes, classes).astype(float), flat.reshape(n_types, 2 * classes).astype(float)
 
 
-def best_classes(joint: np.ndarray, own: np.ndarray, word: np.ndarray, code: np.ndarray, n: np.ndarray) -> np.ndarray:
+def _rise(joint: np.ndarray, m: np.ndarray) -> np.ndarray:
+    return _plogp(joint + m) - _plogp(joint)
+
+
+class Rises:
+    """By how much N log N of a class pair rises if a word that occurs m times comes to it, for m up to ``TABLED``.
+
+    ``of[side][m, c]`` is a vector over the word's classes, for neighbours of class c after (0) or before it (1).
+    """
+
+    def __init__(self, joint: np.ndarray):
+        self.joint = joint
+        m = np.arange(TABLED + 1, dtype=float)[:, None, None]
+        self.of = [_rise(x.T[None], m) for x in (joint, joint.T)]
+        self.sizes = joint.sum(1)
+
+
+def best_classes(joint: np.ndarray | Rises, own: np.ndarray, word: np.ndarray, code: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The best class of each word, as ``exchange`` finds it, for many words with few neighbour classes each.
 
     ``own`` has the words' classes; an entry says how often class ``code`` stands before a word, or class
-    ``code`` less the number of classes after it.
+    ``code`` less the number of classes after it. Entries are in order of words.
     """
-    k = len(joint)
+    rises = joint if isinstance(joint, Rises) else Rises(joint)
+    joint, k = rises.joint, len(rises.joint)
     left, right = np.zeros((len(own), k)), np.zeros((len(own), k))
     after = code >= k
     left[word[~after], code[~after]] = n[~after]
     right[word[after], code[after] - k] = n[after]
     gain = np.zeros((len(own), k))
-    for matrix, side, mine, other in ((joint, after, right, left), (joint.T, ~after, left, right)):
-        w, c, m = word[side], code[side] % k, n[side].astype(float)
-        rest = matrix[:, c].T.copy()
-        rest[np.arange(len(w)), own[w]] -= m  # the word's own pairs leave its class
-        same = np.flatnonzero(c == own[w])
-        rest[same] -= other[w[same]]
-        rest = np.maximum(rest, 0)
-        first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]])) if len(w) else np.zeros(0, np.int64)
-        if len(w):
-            gain[w[first]] += np.add.reduceat(_plogp(rest + m[:, None]) - _plogp(rest), first, axis=0)
+    for matrix, table, side, other in ((joint, rises.of[0], after, left), (joint.T, rises.of[1], ~after, right)):
+        w, c, m = word[side], code[side] % k, n[side].astype(np.int64)
+        if not len(w):
+            continue
+        rise = table[np.minimum(m, TABLED), c]
+        for i in np.flatnonzero(m > TABLED).tolist():
+            rise[i] = _rise(matrix[:, c[i]], m[i])
+        # The word's own pairs leave its class, and where a neighbour is of that class, on both sides.
+        mine = own[w]
+        rise[np.arange(len(w)), mine] = -_rise(matrix[mine, c], np.maximum(-m, -matrix[mine, c]))
+        same = np.flatnonzero(c == mine)
+        rest = matrix[:, c[same]].T - other[w[same]]
+        rest[np.arange(len(same)), mine[same]] -= m[same]
+        rise[same] = _rise(np.maximum(rest, 0), m[same][:, None])
+        first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+        gain[w[first]] += np.add.reduceat(rise, first, axis=0)
     weight = right.sum(1)
-    sizes = np.repeat(joint.sum(1)[None, :], len(own), axis=0)
+    sizes = np.repeat(rises.sizes[None, :], len(own), axis=0)
     at = np.arange(len(own))
     sizes[at, own] = np.maximum(0, sizes[at, own] - weight)
     gain -= 2 * (_plogp(sizes + weight[:, None]) - _plogp(sizes))
@@ -498,16 +524,16 @@ def best_classes(joint: np.ndarray, own: np.ndarray, word: np.ndarray, code: np.
     return np.where(gain[at, best] > gain[at, own] + 1e-9, best, own)
 
 
-def best_of_single(joint: np.ndarray) -> np.ndarray:
+def best_of_single(rises: Rises) -> np.ndarray:
     """Best class of a word that occurs once, by the classes before and after it and its own."""
-    k = len(joint)
+    k = len(rises.joint)
     out = np.zeros((k, k, k), np.uint8)
     for before in range(k):
         own = np.tile(np.arange(k), k)
         after = np.repeat(np.arange(k), k)
         word = np.repeat(np.arange(k * k), 2)
         code = np.stack([np.full(k * k, before), k + after], axis=1).ravel()
-        out[before] = best_classes(joint, own, word, code, np.ones(2 * k * k)).reshape(k, k)
+        out[before] = best_classes(rises, own, word, code, np.ones(2 * k * k)).reshape(k, k)
     return out
 
 
@@ -528,9 +554,9 @@ def _gathered(lists: pa.Table, contexts: pa.Table):
     return words, own, owner, read(contexts, "before", np.uint8), read(contexts, "after", np.uint8), np.split(places, np.cumsum(sizes)[:-1]), lists["s"]
 
 
-def new_classes(words: np.ndarray, own: np.ndarray, owner: np.ndarray, before: np.ndarray, after: np.ndarray, joint: np.ndarray, single: np.ndarray) -> np.ndarray:
+def new_classes(words: np.ndarray, own: np.ndarray, owner: np.ndarray, before: np.ndarray, after: np.ndarray, rises: Rises, single: np.ndarray) -> np.ndarray:
     """Best class of each word of a part."""
-    k, n = len(joint), np.bincount(owner, minlength=len(words))
+    k, n = len(rises.joint), np.bincount(owner, minlength=len(words))
     new = own.copy()
     once = n[owner] == 1
     new[owner[once]] = single[before[once], after[once], own[owner[once]]]
@@ -543,13 +569,14 @@ def new_classes(words: np.ndarray, own: np.ndarray, owner: np.ndarray, before: n
     for a in range(0, len(many), 8192):
         b = min(len(many), a + 8192)
         e = slice(*np.searchsorted(word, [a, b]))
-        new[many[a:b]] = best_classes(joint, own[many[a:b]], word[e] - a, code[e], times[e])
+        new[many[a:b]] = best_classes(rises, own[many[a:b]], word[e] - a, code[e], times[e])
     return new
 
 
 def moved(lists: DataFrame, contexts: DataFrame, joint: np.ndarray, turn: int) -> DataFrame:
     """New classes of the words that are not clustered, answered to each stretch in its order; half of them may move."""
-    shared = contexts.sparkSession.sparkContext.broadcast((joint, best_of_single(joint)))
+    rises = Rises(joint)
+    shared = contexts.sparkSession.sparkContext.broadcast((rises, best_of_single(rises)))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         p = left["p"][0].as_py()
