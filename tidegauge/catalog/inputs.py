@@ -76,8 +76,9 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = k_of()
     phase, label = phase_by_share(run_share())
     endpoint = F.element_at(F.array(F.lit("/score"), F.lit("/predict"), F.lit("/detect_drift")), k % 3 + 1)
-    fixed = (F.col("amount") > F.when(label == 1, 60.0).otherwise(110.0)).cast("int")
-    critical = ((F.col("amount") > F.when(label == 1, 45.0).otherwise(140.0)) & (k % 2 == 0)).cast("int")
+    # The detectors see amounts only; the label comes from the phase.
+    fixed = (F.col("amount") > 90.0).cast("int")
+    critical = ((F.col("amount") > 70.0) & (k % 2 == 0)).cast("int")
     scores = F.when(k % 10 == 0, F.lit("not json")).when(k % 10 == 1, F.lit("")).otherwise(
         F.format_string('{"amt":{"psi":%.2f,"ks":%.3f}}', k / 100.0, k / 1000.0)
     )

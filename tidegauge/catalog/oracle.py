@@ -150,8 +150,7 @@ CTES: dict[str, str] = {
   CASE k WHEN 0 THEN 500 WHEN 1 THEN 404 ELSE 200 END AS status_code, amount / 8.0 AS latency_ms, {_PHASE} AS phase,
   CASE WHEN k = 50 THEN 1 - {_LABEL} ELSE {_LABEL} END AS ground_truth_drift,
   CASE WHEN CAST(event_id AS BIGINT) % 5 = 0 THEN 1 ELSE 0 END AS drift_evaluated,
-  CASE WHEN amount > (CASE WHEN {_LABEL} = 1 THEN 45.0 ELSE 140.0 END) AND k % 2 = 0 THEN 1 ELSE 0 END AS critical_alert,
-  CASE WHEN amount > (CASE WHEN {_LABEL} = 1 THEN 60.0 ELSE 110.0 END) THEN 1 ELSE 0 END AS fixed_alert,
+  CASE WHEN amount > 70.0 AND k % 2 = 0 THEN 1 ELSE 0 END AS critical_alert, CASE WHEN amount > 90.0 THEN 1 ELSE 0 END AS fixed_alert,
   k / 100.0 AS vote_ratio, amount / 100.0 AS score, 0.8 AS threshold, k, ts_us, amount
  FROM ev""",
     "okreq": "SELECT * FROM req WHERE status_code >= 200 AND status_code < 400",
@@ -662,6 +661,8 @@ RAW["t9_refreshed_distances"] = "SELECT u, profile_id, feature, n_cur, round(psi
 RAW["t9_refreshed_states"] = """SELECT s.u, t.profile_id, round(s.score, 5) AS drift_score, round(s.lim, 5) AS drift_threshold, round(s.vote, 5) AS vote_ratio, s.won AS drift_warning_active, s.con AS drift_active
 FROM states2 s JOIN vticks t ON t.u = s.u WHERE s.i > 0"""
 RAW["t9_refreshed_thresholds"] = "SELECT t, round(thr, 6) AS threshold, thr <> old AS changed FROM path3 WHERE i > 0"
+RAW["s1_line_files"] = RAW["s1_jsonl_replay"]
+RAW["s2_dump_stream"] = RAW["s2_parse_broker_values"]
 RAW["t2_t3_drift_states_chunked"] = RAW["t2_t3_drift_states"]
 RAW["t5_threshold_path_chunked"] = RAW["t5_threshold_path"]
 RAW["s3_commit_after_processing"] = "SELECT event_id, count(*) AS arrivals, round(sum(amount), 6) AS amount FROM copies GROUP BY event_id"
@@ -736,7 +737,7 @@ CTES["forest"] = f"SELECT event_id, idx, pow(2.0, -(avg(path)) / {_path_length(s
 RAW["m2_isolation_forest"] = f"""SELECT event_id, round(raw_score, 6) AS raw_score, round(1.0 / (1.0 + exp(-(raw_score - mu) / (sd + 1e-9))), 6) AS score FROM forest,
  (SELECT avg(raw_score) AS mu, CASE WHEN stddev_pop(raw_score) = 0 THEN 1.0 ELSE stddev_pop(raw_score) END AS sd FROM forest WHERE idx <= {_M.warmup_events}) WHERE idx > {_M.warmup_events}"""
 RAW["w13_running_quality"] = """SELECT u, tp::BIGINT AS run_tp, fp::BIGINT AS run_fp, tr::BIGINT AS run_true, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE ELSE 0.0 END, 6) AS run_precision, round(CASE WHEN tr > 0 THEN tp / tr::DOUBLE ELSE 0.0 END, 6) AS run_recall
-FROM (SELECT u, count(*) FILTER (fixed AND drift_tag IS NOT NULL) OVER w AS tp, count(*) FILTER (fixed AND drift_tag IS NULL) OVER w AS fp, count(*) FILTER (drift_tag IS NOT NULL) OVER w AS tr FROM stateout WINDOW w AS (ORDER BY u))"""
+FROM (SELECT u, count(*) FILTER (con AND drift_tag IS NOT NULL) OVER w AS tp, count(*) FILTER (con AND drift_tag IS NULL) OVER w AS fp, count(*) FILTER (drift_tag IS NOT NULL) OVER w AS tr FROM stateout WINDOW w AS (ORDER BY u))"""
 RAW["a28_state_summary"] = f"""SELECT 'main' AS stream_id, count(*) AS scored_events, max_by(con, t) AS drift_active, max_by(won, t) AS drift_warning_active, round(max_by(ds, t), 6) AS drift_score, round(max_by(thr, t), 6) AS threshold,
  round((SELECT avg((s.score >= e.th)::INT) FROM scored s, (SELECT max(t) AS mt, max_by(thr, t) AS th FROM judged) e WHERE s.t > e.mt - {CC.history}), 6) AS recent_rate FROM judged"""
 RAW["a28_state_summary"] = f"""SELECT * REPLACE (round(recent_rate, 6) AS recent_rate) FROM ({RAW['a28_state_summary']}),
@@ -748,6 +749,43 @@ RAW["c1_scored_output"] = """SELECT event_id, 'scored' AS status, round(score, 5
 UNION ALL SELECT event_id, 'warming_up', NULL, NULL, FALSE, FALSE, FALSE, FALSE, NULL, NULL FROM feat WHERE idx <= 1500"""
 RAW["c1_alerts"] = "SELECT event_id, ts_us, round(thr, 5) AS threshold, CASE WHEN score >= least(0.99, thr + 0.10) THEN 'high' WHEN score >= least(0.95, thr + 0.05) THEN 'medium' ELSE 'low' END AS severity, round(ds, 5) AS drift_score FROM judged WHERE is_anomaly"
 RAW["st5_stream_alerts"] = RAW["c1_alerts"].replace(", round(ds, 5) AS drift_score", "")
+_SEV = "CASE WHEN score >= least(0.99, thr + 0.10) THEN 'high' WHEN score >= least(0.95, thr + 0.05) THEN 'medium' ELSE 'low' END"
+
+
+def _filled(metric: str, label: str, values, count: str) -> str:
+    """Rows of one counter, ``count`` being a scalar that may use the value ``v``."""
+    return f"SELECT '{metric}' AS metric, '{label}' AS label, v AS value, {count} AS count FROM (SELECT unnest({_list(values)}) AS v)"
+
+
+def _total(metric: str, count: str) -> str:
+    return f"SELECT '{metric}', '', '', {count}"
+
+
+RAW["a23_operational_counters"] = " UNION ALL ".join([
+    _filled("events_ingested_total", "source", ops.SOURCES, "(SELECT count(*) FROM copies WHERE source = v)"),
+    _filled("duplicate_events_total", "source", ops.SOURCES, "(SELECT count(*) - count(DISTINCT event_id) FROM copies WHERE source = v)"),
+    _filled("deserialize_errors_total", "source", ops.DESERIALIZE_SOURCES, f"CASE WHEN v = 'kafka' THEN (SELECT sum(n)::BIGINT FROM ({RAW['s2_parse_broker_values']}) WHERE outcome = 'dead_letter') ELSE 0 END"),
+    _filled("alerts_emitted_total", "severity", ops.SEVERITIES, f"(SELECT count(*) FROM judged WHERE is_anomaly AND {_SEV} = v)"),
+    _filled("admin_actions_total", "action", (control.FREEZE, control.UNFREEZE, control.REFRESH), "(SELECT count(*) FROM acts WHERE action = v)"),
+    _filled("errors_total", "component", ops.ERROR_COMPONENTS, "0::BIGINT"),
+    _total("events_scored_total", "(SELECT count(*) FROM scored)"),
+    _total("drift_alert_total", "(SELECT count(*) FROM stateout)"),
+    _total("drift_alert_positive_total", "(SELECT count(*) FILTER (con) FROM stateout)"),
+    _total("drift_alert_fixed_positive_total", "(SELECT count(*) FILTER (fixed) FROM stateout)"),
+    _total("drift_true_label_total", "(SELECT count(*) FILTER (drift_tag IS NOT NULL) FROM stateout)"),
+    _total("drift_true_positive_total", "(SELECT count(*) FILTER (con AND drift_tag IS NOT NULL) FROM stateout)"),
+    _total("drift_false_positive_total", "(SELECT count(*) FILTER (con AND drift_tag IS NULL) FROM stateout)"),
+])
+
+
+def _histogram(name: str, table: str, value: str, edges) -> str:
+    rows = " UNION ALL ".join(f"SELECT '{e}' AS le, (SELECT count(*) FROM {table} WHERE {value} <= {e}) AS bucket" for e in edges)
+    return f"SELECT '{name}' AS histogram, le, bucket, round((SELECT sum({value}) FROM {table}), 4) AS total FROM ({rows} UNION ALL SELECT '+Inf', (SELECT count(*) FROM {table}))"
+
+
+RAW["a24_latency_histograms"] = _histogram("score_latency_seconds", "okreq", "(latency_ms / 1000.0::DOUBLE)", ops.SCORE_LATENCY_EDGES) + " UNION ALL " + _histogram("processing_lag_seconds", "lagrows", "lag_s", ops.LAG_EDGES)
+RAW["t8_circuit_alerts"] = """SELECT substr(sha256('lag_circuit|main|' || ts_us || '|'), 1, 24) AS alert_id, ts_us, 'system' AS entity_id, 'critical' AS severity, 'processing_lag_threshold_exceeded' AS reason, lag_s AS processing_lag_seconds
+FROM (""" + RAW["t8_lag_circuit"] + ")"
 RAW["c5_replay_confusion"] = f"""SELECT points, tp, fp, fn, tn, {_rates()} FROM (SELECT count(*) AS points, {_confusion('truth', 'pred')} FROM (
  SELECT f.drift_tag IS NOT NULL AS truth, coalesce(s.con, FALSE) AS pred FROM feat f LEFT JOIN states s ON s.i > 0 AND s.u = f.idx - 1500 - {DC.reference_events}))"""
 RAW["c5_replay_summary"] = """SELECT (SELECT count(*) FROM feat) AS events_total, count(*) AS events_scored, count(*) FILTER (is_anomaly) AS alerts, count(*) FILTER (is_anomaly AND drift_tag IS NULL) AS false_alerts,
@@ -784,4 +822,9 @@ RAW["t11_cross_validation"] = "SELECT param_id, round(p, 6) AS precision, round(
 RAW["c6_threshold_sweep"] = """SELECT row_number() OVER (ORDER BY c.obj DESC, c.param_id) AS place, c.param_id, g.ce AS critical_enter, g.cv AS critical_vote, g.cc::BIGINT AS critical_consecutive, round(c.obj, 6) AS objective, round(c.p, 6) AS precision, round(c.r, 6) AS recall, round(c.f, 6) AS f1,
  round(h.p, 6) AS holdout_precision, round(h.r, 6) AS holdout_recall FROM cvmeans c JOIN grid g USING (param_id) JOIN (SELECT * FROM simrates WHERE fold = -1) h USING (param_id) ORDER BY place LIMIT 5"""
 
+RAW["s12_run_document"] = f"""SELECT d.detector, d.tp, d.fp, d.fn, d.tn, d.precision, d.recall, s.requests_total, s.latency_p95_ms, l.checked_rows, l.mismatches, l.valid, (SELECT count(DISTINCT phase) FROM runreq) AS phases
+FROM ({RAW['c3_run_evaluation']}) d, ({RAW['c3_run_summary']}) s, ({RAW['c3_run_labels']}) l"""
+RAW["s12_sweep_document"] = RAW["c6_threshold_sweep"]
+RAW["s12_report_document"] = f"SELECT r.*, (SELECT count(*) FROM b_alerts) AS windows, (SELECT min(start_us) FROM b_alerts) AS first_us FROM ({RAW['c2_drift_report']}) r"
+
 ORACLE: dict[str, str] = {name: compose(sql) for name, sql in RAW.items()}

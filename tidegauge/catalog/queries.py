@@ -17,7 +17,7 @@ from tidegauge.operators import adwin, alerts, control, dedupe, drift, features,
 from tidegauge.operators import quality, samples, sweep, windows
 from tidegauge.operators.models import IsolationForestModel
 from tidegauge.operators.ordering import event_index, exact_quantiles
-from tidegauge.plans import reports
+from tidegauge.plans import documents, operations, reports
 from tidegauge.plans.scoring import ScoringRun
 from tidegauge.session import small, stage, staging_dir
 from tidegauge.sources import events as E
@@ -88,7 +88,10 @@ def _broker_values(spark, sf) -> DataFrame:
 
 @query
 def s2_parse_broker_values(spark, sf):
-    good, dead = E.parse_events(_broker_values(spark, sf))
+    return _outcomes(*E.parse_events(_broker_values(spark, sf)))
+
+
+def _outcomes(good: DataFrame, dead: DataFrame) -> DataFrame:
     ok = good.groupBy("device_type").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("amount"), 2).alias("amount"))
     bad = dead.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
     return ok.select(F.lit("ok").alias("outcome"), F.col("device_type").alias("detail"), "n", "amount").unionByName(
@@ -191,7 +194,7 @@ def s9_alert_sink(spark, sf):
     rows = alerts.alerts_of(_scored_at_fixed(spark, sf)).select("alert_id", "ts_us", "event_id", "severity")
     sinks.append_alerts(rows.unionByName(rows), path)
     sinks.append_alerts(rows, path)
-    return spark.read.schema(rows.schema).json(path)
+    return sinks.read_alerts(spark, path, rows.schema)
 
 
 @query
@@ -228,6 +231,40 @@ def s12_summary_sink(spark, sf):
     return rounded(back.select("volume.requests_total", "volume.requests_ok", "latency_p95_ms"))
 
 
+def _reread(spark, document: DataFrame) -> DataFrame:
+    """A document after a round trip through its file."""
+    path = new_path(spark, "document")
+    sinks.write_summary(document, path)
+    return spark.read.json(path)
+
+
+@query
+def s12_run_document(spark, sf):
+    tables = reports.evaluate_run(I.requests(spark, sf))
+    doc = _reread(spark, documents.run_document(tables))
+    both = F.explode(F.array("baseline_vs_adaptive.fixed_baseline", "baseline_vs_adaptive.adaptive")).alias("d")
+    rows = doc.select(both, "requests_total", "latency_p95_ms", "phase_label_verification", F.size("phase_metrics").alias("phases"))
+    figures = rows.select(*[f"d.{c}" for c in ("detector", "tp", "fp", "fn", "tn")], *[F.round(f"d.{c}", 3).alias(c) for c in ("precision", "recall")],
+                          "requests_total", F.round("latency_p95_ms", 4).alias("latency_p95_ms"), "phase_label_verification", "phases")
+    check = ("checked_rows", "mismatches", "valid")
+    return rounded(figures.select("*", *[f"phase_label_verification.{c}" for c in check]).drop("phase_label_verification"))
+
+
+@query
+def s12_sweep_document(spark, sf):
+    doc = _reread(spark, documents.sweep_document(QUERIES["c6_threshold_sweep"](spark, sf)))
+    best = QUERIES["c6_threshold_sweep"](spark, sf).columns
+    return doc.select(F.explode("top").alias("t")).select(*[f"t.{c}" for c in best])
+
+
+@query
+def s12_report_document(spark, sf):
+    windows = stage(_psi_windows(spark, sf), "windows")
+    report = rounded(reports.psi_report(windows), 4)
+    doc = _reread(spark, documents.report_document(report, windows))
+    return doc.select(F.explode("detectors").alias("d"), "windows", "first_us").select(*[f"d.{c}" for c in report.columns], "windows", "first_us")
+
+
 # --- scalar functions --------------------------------------------------------------------
 
 
@@ -633,6 +670,22 @@ def a23_ingest_counters(spark, sf):
     return ops.counter(_with_copies(spark, sf), "source", ops.SOURCES)
 
 
+@query
+def a23_operational_counters(spark, sf):
+    dead = {"kafka": E.parse_events(_broker_values(spark, sf))[1]}
+    return operations.operational_counters(I.run(spark, sf), _with_copies(spark, sf), dead, I.controls(spark, sf))
+
+
+@query
+def a24_latency_histograms(spark, sf):
+    requests = I.requests(spark, sf).filter(ops.is_ok(F.col("status_code"))).withColumn("seconds", F.col("latency_ms") / 1000.0)
+    tables = {
+        "score_latency_seconds": (requests, "seconds", ops.SCORE_LATENCY_EDGES),
+        "processing_lag_seconds": (I.lags(spark, sf), "lag_s", ops.LAG_EDGES),
+    }
+    return rounded(operations.latency_histograms(tables), 4)
+
+
 @query
 def a24_lag_histogram(spark, sf):
     return rounded(ops.cumulative_histogram(I.lags(spark, sf), "lag_s", ops.LAG_EDGES), 4)
@@ -846,7 +899,7 @@ def w11_rolling_latency(spark, sf):
 @query
 def w13_running_quality(spark, sf):
     rows = I.run(spark, sf).evaluations.withColumn("truth", S.tag_truthy(F.col("drift_tag")))
-    out = quality.running_quality(rows, F.col("truth"), F.col("drift_fixed_active"))
+    out = quality.running_quality(rows, F.col("truth"), F.col("drift_active"))
     return rounded(out.select("u", "run_tp", "run_fp", "run_true", "run_precision", "run_recall"))
 
 
@@ -943,6 +996,13 @@ def t8_lag_circuit(spark, sf):
     return rounded(openings.select("event_id", "ts_us", "lag_s"))
 
 
+@query
+def t8_circuit_alerts(spark, sf):
+    releases = I.controls(spark, sf).filter(F.col("action") == control.UNFREEZE).select("stream_id", "ts_us")
+    rows = alerts.circuit_alerts(control.circuit_openings(I.lags(spark, sf), releases, I.CONFIG.control))
+    return rounded(rows.select("alert_id", "ts_us", "entity_id", "severity", "reason", "processing_lag_seconds"))
+
+
 @query
 def t9_control_audit(spark, sf):
     return control.control_audit(I.controls(spark, sf)).drop("stream_id")

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.catalog import inputs as I
-from tidegauge.catalog.queries import _features_out, _sharing, _with_copies, _wire, new_path, query, rounded
+from tidegauge.catalog.queries import _broker_values, _features_out, _outcomes, _sharing, _wire, _with_copies, new_path, query, rounded
 from tidegauge.config import FEATURES
 from tidegauge.plans.scoring import ScoringRun
-from tidegauge.sources.events import replay_stream
+from tidegauge.sources.dumps import LineFiles
+from tidegauge.sources.events import parse_events, replay_stream
 from tidegauge.streaming import ingest, monitor
 
 #: Instants at which the run's events are cut into the files of successive arrivals.
@@ -72,6 +73,49 @@ def s3_commit_after_processing(spark, sf):
     return spark.read.parquet(out).groupBy("event_id").agg(F.count(F.lit(1)).alias("arrivals"), F.round(F.sum("amount"), 6).alias("amount"))
 
 
+def _lines(spark: SparkSession, values: DataFrame) -> str:
+    """Folder with values as lines of files that are read in the order of their names."""
+    folder = new_path(spark, "lines")
+    values.write.text(folder)
+    return folder
+
+
+def _moved(spark: SparkSession, source: str, folder: str, name: str) -> None:
+    """Files of ``source`` moved into ``folder``, their names behind ``name``."""
+    paths = spark._jvm.org.apache.hadoop.fs.Path
+    files = paths(source).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(paths(folder))
+    for found in files.listStatus(paths(source)):
+        if found.getPath().getName().startswith("part-"):
+            files.rename(found.getPath(), paths(f"{folder}/{name}-{found.getPath().getName()}"))
+
+
+@query
+def s1_line_files(spark, sf):
+    """Replay files through the data source of line files, in ranges of bytes."""
+    spark.dataSource.register(LineFiles)
+    rows = I.events(spark, sf)
+    folder = _lines(spark, rows.select(F.to_json(_wire(rows), {"ignoreNullFields": "false"}).alias("value")))
+    good, _ = parse_events(spark.read.format("line_files").option("rangeBytes", str(256 << 10)).load(folder))
+    return good.select("event_id", "ts_us", "entity_id", F.round("amount", 6).alias("amount"), "country", "device_type", "drift_tag")
+
+
+@query
+def s2_dump_stream(spark, sf):
+    """A broker dump that grows, as a stream: events and dead letters, with a restart from the offsets."""
+    spark.dataSource.register(LineFiles)
+    values, folder, tables = _broker_values(spark, sf), new_path(spark, "lines"), new_path(spark, "dump")
+    for half in (0, 1):
+        # Segments of the dump: names rise from one arrival to the next.
+        part = values.filter(F.pmod(F.xxhash64("value"), F.lit(2)) == half)
+        part.write.mode("overwrite").text(f"{folder}-{half}")
+        _moved(spark, f"{folder}-{half}", folder, f"segment-{half}")
+        raw = spark.readStream.format("line_files").option("rangeBytes", str(256 << 10)).load(folder)
+        for stream in ingest.split_dead_letters(*parse_events(raw), f"{tables}/good", f"{tables}/dead", f"{tables}/state"):
+            stream.awaitTermination()
+    return _outcomes(spark.read.parquet(f"{tables}/good"), spark.read.parquet(f"{tables}/dead"))
+
+
 @query
 def st1_stream_features(spark, sf):
     ingest.use_state_store(spark)

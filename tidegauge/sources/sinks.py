@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidegauge.operators.dedupe import first_per_id
+from tidegauge.session import stage
 
 # Decimals of the log columns.
 REQUEST_DECIMALS = {
@@ -27,21 +28,41 @@ RESOURCE_DECIMALS = {
 }
 
 
-def _existing_ids(df: DataFrame, path: str, id_col: str) -> DataFrame | None:
-    try:
-        seen = df.sparkSession.read.schema(f"{id_col} string").json(path)
-    except AnalysisException:
-        return None
-    return seen.select(id_col)
+DAY_US = 86_400_000_000
+
+
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in ``path``; none where nothing was written yet."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in files.listStatus(at) if f.isDirectory()] if files.exists(at) else []
 
 
 def append_alerts(alerts: DataFrame, path: str, id_col: str = "alert_id") -> None:
-    """Append alerts as JSON lines; ids already in the sink or repeated in the batch are skipped."""
-    fresh = first_per_id(alerts, id_col, ("ts_us",))
-    seen = _existing_ids(alerts, path, id_col)
-    if seen is not None:
+    """Append alerts as JSON lines; ids already in the sink or repeated in the batch are skipped.
+
+    The log has a folder for each day of ``ts_us``. An id is made from its alert's time, so equal ids lie in one day,
+    and an append reads the ids of the days it writes, whatever the age of the log.
+    """
+    spark = alerts.sparkSession
+    day = F.floor(F.col("ts_us") / DAY_US).cast("long")
+    fresh = stage(first_per_id(alerts, id_col, ("ts_us",)).withColumn("day", day), "alerts")
+    present = set(_folders(spark, path))
+    # One number per day of the batch.
+    days = [f"day={r.day}" for r in fresh.select("day").distinct().collect()]
+    old = [f"{path}/{d}" for d in days if d in present]
+    if old:
+        seen = spark.read.schema(f"{id_col} string").json(old)
         fresh = fresh.join(seen, id_col, "left_anti")
-    fresh.write.mode("append").json(path)
+    fresh.write.mode("append").partitionBy("day").json(path)
+
+
+def read_alerts(spark: SparkSession, path: str, schema: StructType, since_us: int | None = None) -> DataFrame:
+    """The alert log, of the days from ``since_us`` on if given; the days are pruned before any file is read."""
+    rows = spark.read.schema(schema).json(path)
+    if since_us is not None:
+        rows = rows.filter((F.col("day") >= since_us // DAY_US) & (F.col("ts_us") >= since_us))
+    return rows.select(*schema.names)
 
 
 def fixed(c: Column, decimals: int) -> Column:
