@@ -10,7 +10,9 @@ position. The last document that a source's target reaches is cut after the word
 
 The order of a source is that of a hash of key and text. Leading bits of the hash cut it into buckets, and a
 document's place in the stream is the total of the buckets before its own plus a running sum inside the
-bucket, so a source with a third of all rows is many small groups. Per source, one row reaches the driver.
+bucket, so a source with a third of all rows is many small groups. Sources may be as many as rows: they are ranked by
+ranges, and the water level of the targets, the words per weight of a source below its limit, is found from sums over all
+sources, of which the driver sees two numbers a round.
 
 Defined cases: a null source is a source of its own and the last one; null and empty texts have size 0 and
 are never taken; rows that repeat key and text are different documents and get neighbouring places; an
@@ -26,16 +28,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import WORD, Scratch, whole_text
+from tidegauge.llm.common import WORD, Scratch, prefix_sums, whole_text
+from tidegauge.session import hinted
 
 WEIGHTS = (1.0, 2.0, 3.0)
 #: Schedules, given to the sources in turn: early, even, late.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.5, 1.0), (1.0, 1.5)))
 MAX_REPEATS = 3
 BUCKET_ROWS = 4_000
-#: Sources are rows of one broadcast table; more than this are refused.
-MAX_SOURCES = 1_000_000
+#: Sources (some 200 bytes each) that are broadcast; more are joined by shuffles.
+BROADCAST_SOURCES = 50_000
 
+PARTS = ("done", "time", "weight", "slope")
 ADDED = ("size", "source_size", "target", "taken", "pieces")
 
 
@@ -43,24 +47,35 @@ def word_count(text: str = "text") -> Column:
     return F.regexp_count(whole_text(text), F.lit(WORD)).cast("long")
 
 
-def targets(sizes: Sequence[int], weights: Sequence[float], max_repeats: float) -> list[float]:
-    """Shares of the total by weight, none above ``max_repeats`` sizes, the excess shared again."""
-    limit = [max_repeats * s for s in sizes]
-    found = [0.0] * len(sizes)
-    open_, free = set(range(len(sizes))), float(sum(sizes))
-    while open_:
-        weight = sum(weights[i] for i in sorted(open_))
-        share = {i: free * weights[i] / weight for i in sorted(open_)} if weight > 0 else dict.fromkeys(open_, 0.0)
-        above = [i for i in sorted(open_) if share[i] > limit[i]]
-        if not above:
-            for i, x in share.items():
-                found[i] = x
-            break
-        for i in above:
-            found[i] = float(limit[i])
-            free -= limit[i]
-            open_.remove(i)
-    return found
+def targets(sizes: DataFrame, max_repeats: float) -> DataFrame:
+    """Rows of ``sizes`` (n, weight) with ``target``: shares of the total by weight, none above ``max_repeats`` sizes, the
+    excess shared again.
+
+    A source is at its limit if the level, words per weight of all others, is above its limit per weight. The level
+    only rises from round to round, and each round is one aggregate.
+    """
+    limit = F.col("n") * F.lit(float(max_repeats))
+    full = limit / F.col("weight")
+    level, held = -1.0, -1
+    while True:
+        closed = full < F.lit(level)
+        sums = sizes.agg(
+            F.sum("n").alias("n"), F.sum(F.when(closed, limit)).alias("held"), F.sum(F.when(~closed, F.col("weight"))).alias("open"), F.count_if(closed).alias("closed")
+        ).first()
+        if not sums.open or sums.closed == held:
+            break  # all sources are at their limits, or no other one has got there
+        level, held = (sums.n - (sums.held or 0.0)) / sums.open, sums.closed
+    return sizes.withColumn("target", F.least(limit, F.col("weight") * F.lit(max(level, 0.0))))
+
+
+def ranked(sources: DataFrame, scratch: Scratch) -> DataFrame:
+    """Sources with their rank from 0, by code point, null last: numbered within ranges, after the sources before."""
+    order = [F.col("_source").isNull(), F.col("_source")]
+    ranges = scratch.stage(sources.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = prefix_sums(ranges.select("_range", F.lit(1).alias("one")), "_range", ["one"])
+    starts = ranges.sparkSession.createDataFrame([(r, x[0]) for r, x in before.items()], "_range int, _start long")
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return ranges.withColumn("_place", inside).join(F.broadcast(starts), "_range").withColumn("_rank", F.col("_start") + F.col("_place")).drop("_range", "_start", "_place")
 
 
 def integral(schedule: Sequence[tuple[float, float]]) -> list[tuple[float, float, float, float]]:
@@ -109,20 +124,18 @@ def plan(
     base = base.withColumn("_bucket", F.shiftrightunsigned("_order", 64 - bits) if bits else F.lit(0).cast("long"))
 
     totals = scratch.stage(base.groupBy("_source", "_bucket").agg(F.sum("size").alias("_words")), "totals")
-    found = totals.groupBy("_source").agg(F.sum("_words").alias("n")).orderBy(F.col("_source").asc_nulls_last()).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError("too many sources")
-    sizes = [r.n for r in found]
-    wanted = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], max_repeats)
-    stretches = [integral(s) for s in schedules]
-    table = spark.createDataFrame(
-        [(r._source, i, r.n, t, stretches[i % len(stretches)]) for i, (r, t) in enumerate(zip(found, wanted))],
-        f"_name {df.schema[source].dataType.simpleString()}, _rank int, source_size long, target double, "
-        "_stretches array<struct<done:double,time:double,weight:double,slope:double>>",
+    sources = scratch.stage(ranked(totals.groupBy("_source").agg(F.sum("_words").alias("n")), scratch), "ranked")
+    turn = F.col("_rank") % len(weights)
+    sources = sources.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn + 1).cast("int")))
+    kinds = [F.array(*[F.struct(*[F.lit(float(x)).alias(c) for x, c in zip(part, PARTS)]) for part in integral(s)]) for s in schedules]
+    stretches = F.element_at(F.array(*kinds), (F.col("_rank") % len(kinds) + 1).cast("int"))
+    planned = targets(sources, max_repeats).select(
+        F.col("_source").alias("_name"), "_rank", F.col("n").alias("source_size"), "target", stretches.alias("_stretches")
     )
-    sources = F.broadcast(table)
+    table = scratch.stage(planned, "sources")
+    sources = hinted(table, BROADCAST_SOURCES)
     earlier = Window.partitionBy("_rank").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = F.broadcast(table.select("_name", "_rank"))
+    ranks = hinted(table.select("_name", "_rank"), BROADCAST_SOURCES)
     offsets = totals.join(ranks, F.col("_source").eqNullSafe(F.col("_name"))).select(
         "_rank", "_bucket", F.coalesce(F.sum("_words").over(earlier), F.lit(0)).alias("_before")
     )
