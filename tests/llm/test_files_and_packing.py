@@ -205,3 +205,15 @@ def test_stages_on_empty_documents(spark, sf, empty):
     assert packing.pack(empty, BYTE_FILE).collect() == []
     folder = Scratch(spark, "none").path("ids")
     assert token_files.read_ids(token_files.write_ids(empty, folder, WORD_FILE)).select(F.crc32("ids")).collect() == []
+
+
+def test_sequences_follow_the_training_order(spark, tmp_path):
+    """Documents written in an order by many files: sequences of a single document each are numbered in it."""
+    rows = [(i, ("w " * 1023).strip()) for i in random.Random(3).sample(range(400), 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(6, "doc_id").sortWithinPartitions("doc_id")
+    docs.write.parquet(str(tmp_path / "docs"))
+    pieces = corpus_pipeline.packing_stage(spark, spark.read.parquet(str(tmp_path / "docs")), "").collect()
+    assert sorted(p.sequence_id for p in pieces) == list(range(400))
+    assert [p.doc_id for p in sorted(pieces, key=lambda p: p.sequence_id)] == list(range(400))
+    loose = corpus_pipeline.packing_stage(spark, spark.createDataFrame(rows[:5], "doc_id long, text string"), "").collect()
+    assert len(loose) == 5

@@ -20,12 +20,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegauge.llm.common import whole_text
 from tidegauge.llm.tokens import LEADING_SPACE, encoder
+from tidegauge.operators.ordering import event_index
 
 WINDOW = 1024
 MAX_OPEN = 4096
@@ -33,7 +34,7 @@ TEXTS_AT_ONCE = 256
 #: Sequence ids are task << TASK_SHIFT | number in the task.
 TASK_SHIFT = 40
 
-Piece = tuple  # (key, start, ids, doc_tokens)
+Piece = tuple  # ((key, place), start, ids, doc_tokens)
 
 
 class SumOfSquares:
@@ -101,16 +102,19 @@ class SumOfSquares:
             raise AssertionError("pieces left over")
 
 
-def pack(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 0, window: int = WINDOW, max_open: int = MAX_OPEN) -> DataFrame:
-    """Pieces: key, start, length, doc_tokens, sequence_id, offset, and ids as little-endian 32-bit binary.
+def pack(
+    df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 0, window: int = WINDOW, max_open: int = MAX_OPEN, place: Column | None = None
+) -> DataFrame:
+    """Pieces: key, start, length, doc_tokens, sequence_id, offset, place, and ids as little-endian 32-bit binary.
 
     ``window`` must be a power of two. Ids of a document lie in exactly one piece each; offsets in a sequence
-    have no gaps.
+    have no gaps. ``place`` is a number of the document that its pieces keep, such as its place in the training order
+    (null if not given); ``in_order`` numbers sequences by it.
     """
     if window & (window - 1):
         raise ValueError("the window must be a power of two")
     key_type = df.schema[key].dataType
-    longs = ("start", "length", "doc_tokens", "sequence_id", "offset")
+    longs = ("start", "length", "doc_tokens", "sequence_id", "offset", "place")
     schema = T.StructType([T.StructField("key", T.LongType())] + [T.StructField(c, T.LongType()) for c in longs] + [T.StructField("ids", T.BinaryType())])
     arrow = pa.schema([("key", pa.int64()), *[(c, pa.int64()) for c in longs], ("ids", pa.binary())])
 
@@ -124,8 +128,8 @@ def pack(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text",
         def emit(held: list[Piece]) -> None:
             nonlocal sequence
             at = 0
-            for k, start, ids, total in held:
-                rows.append((k, start, len(ids), total, sequence, at, ids.tobytes()))
+            for (k, place), start, ids, total in held:
+                rows.append((k, start, len(ids), total, sequence, at, place, ids.tobytes()))
                 at += len(ids)
             sequence += 1
 
@@ -137,7 +141,8 @@ def pack(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text",
         for batch in batches:
             for a in range(0, batch.num_rows, TEXTS_AT_ONCE):
                 some = batch.slice(a, TEXTS_AT_ONCE)
-                for k, ids in zip(some.column("key").to_pylist(), encode.ids(some.column("text").to_pylist())):
+                keys = zip(some.column("key").to_pylist(), some.column("place").to_pylist())
+                for k, ids in zip(keys, encode.ids(some.column("text").to_pylist())):
                     ids = np.concatenate([ids, end])
                     total, whole = len(ids), len(ids) // window * window
                     for start in range(0, whole, window):
@@ -152,5 +157,14 @@ def pack(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text",
         if rows:
             yield table()
 
-    pieces = df.select(F.col(key).cast("long").alias("key"), whole_text(text).alias("text")).mapInArrow(run, schema)
+    at = F.lit(None) if place is None else place
+    pieces = df.select(F.col(key).cast("long").alias("key"), at.cast("long").alias("place"), whole_text(text).alias("text")).mapInArrow(run, schema)
     return pieces.withColumn("key", F.col("key").cast(key_type)).withColumnRenamed("key", key)
+
+
+def in_order(pieces: DataFrame) -> DataFrame:
+    """Pieces with sequences numbered from 0 by the smallest place of their documents."""
+    sequences = pieces.groupBy("sequence_id").agg(F.min("place").alias("_first"))
+    numbered = event_index(sequences, by=(), order=("_first", "sequence_id"), name="_number").select("sequence_id", "_number")
+    named = pieces.join(numbered, "sequence_id").withColumn("sequence_id", F.col("_number") - 1)
+    return named.select(*pieces.columns)
