@@ -53,9 +53,29 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return mixing.mix(docs).select(*docs.columns)
 
 
+#: Rows that a file of the training order may hold.
+ROWS_A_FILE = 1 << 36
+
+
+def training_place(docs: DataFrame) -> Column | None:
+    """Place of a row in the order in which the mixed documents were written: number of its file, and of its row in it.
+
+    None where the documents do not come from files.
+    """
+    if not docs.inputFiles():
+        return None
+    file = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("long")
+    return file * ROWS_A_FILE + F.col("_metadata.row_index")
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(docs, tokenizer_file("byte_bpe_50k.json"), end_id=0)
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    """Pieces of training sequences, which are numbered in training order."""
+    columns = ("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    place = training_place(docs)
+    pieces = packing.pack(docs, tokenizer_file("byte_bpe_50k.json"), end_id=0, place=place).select(*columns, "place")
+    if place is not None:
+        pieces = packing.in_order(Scratch(spark, "packing").stage(pieces, "pieces"))
+    return pieces.drop("place")
 
 
 STAGES = [
