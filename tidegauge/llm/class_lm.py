@@ -39,6 +39,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -64,12 +65,14 @@ ALPHA = 0.5
 TOKENS_AT_ONCE = 1_000_000
 TOKENS_A_PART = 500_000
 BYTES_A_BUCKET = 16 << 20
+#: Occurrences in a stretch from which a word may be one of the most frequent ones.
+OFTEN = 4
 #: Occurrences of a word beside one class up to which the rise of the likelihood is looked up.
 TABLED = 32
 #: Clustered types whose neighbours are summed in one matrix, and the tasks that sum each of them.
 TYPES_A_BLOCK = 256
 SUMMING = 4
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 
 #: Number that stands for the end token. A word's number is a hash of 63 bits, the last of which are its shape.
 END = -1
@@ -82,25 +85,31 @@ def training_fold(key: str = "doc_id", folds: int = 5, held_out: int = 1) -> Col
 
 
 class Lexicon(dict):
-    """A worker's places of the words it has met; ``numbers`` holds the number of each, the end token's first."""
+    """A worker's places of the words it has met; ``numbers()`` holds the number of each, the end token's first."""
 
     def __init__(self):
-        self.numbers = np.full(1 << 16, END, np.int64)
+        self.new: list[bytes] = []
+        self.known = np.full(1, END, np.int64)
 
     def __missing__(self, word: bytes) -> int:
-        place = len(self) + 1
-        if place == len(self.numbers):
-            self.numbers = np.concatenate([self.numbers, np.zeros(place, np.int64)])
-        mask = (1 << SHAPE_BITS) - 1
-        self.numbers[place] = (xxhash.xxh3_64_intdigest(word) >> 1) & ~mask | zlib.crc32(word[-3:]) & mask
-        self[word] = place
+        self[word] = place = len(self) + 1
+        self.new.append(word)
         return place
 
+    def numbers(self) -> np.ndarray:
+        if self.new:
+            mask = (1 << SHAPE_BITS) - 1
+            of, shape = xxhash.xxh3_64_intdigest, zlib.crc32
+            made = np.array([(of(w) >> 1) & ~mask | shape(w[-3:]) & mask for w in self.new], np.int64)
+            self.known, self.new = np.concatenate([self.known, made]), []
+        return self.known
+
     def places(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Places of all tokens with the end token after each text, and the texts' numbers of tokens."""
         lists = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
         lengths = np.array([len(x) for x in lists], np.int64)
-        found = np.fromiter((k for x in lists for k in map(self.__getitem__, x)), np.int64, int(lengths.sum()))
+        get = self.__getitem__
+        found = np.fromiter(chain.from_iterable(map(get, x) for x in lists), np.int32, int(lengths.sum()))
         return np.insert(found, np.cumsum(lengths), 0), lengths + 1
 
 
@@ -113,6 +122,19 @@ def lexicon() -> Lexicon:
     return words
 
 
+def ranks(parts: list[tuple[Lexicon, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted numbers of the words at some places, and the rank of each place's word among them."""
+    if all(words is parts[0][0] for words, _ in parts):
+        places, numbers = np.concatenate([p for _, p in parts]), parts[0][0].numbers()
+        met = np.flatnonzero(np.bincount(places, minlength=len(numbers)))
+        found, rank = np.unique(numbers[met], return_inverse=True)
+        of = np.zeros(len(numbers), np.int32)
+        of[met] = rank
+        return found, of[places]
+    found, rank = np.unique(np.concatenate([words.numbers()[p] for words, p in parts]), return_inverse=True)
+    return found, rank.astype(np.int32)
+
+
 def find(table: np.ndarray, numbers: np.ndarray) -> np.ndarray:
     """Places of ``numbers`` in a sorted table, -1 where they are not in it."""
     if not len(table):
@@ -152,10 +174,10 @@ def coded(rows: DataFrame) -> DataFrame:
 
         def stretch(learn: bool) -> pa.RecordBatch:
             nonlocal k
-            words, tokens = np.unique(np.concatenate([h[2] for h in held[learn]]), return_inverse=True)
+            words, tokens = ranks([h[2] for h in held[learn]])
             ids = pa.array([[i for h in held[learn] for i in h[0]]], pa.list_(pa.int64()))
             lengths = np.concatenate([h[1] for h in held[learn]]).astype(np.int64)
-            blobs = [pa.array([x.tobytes()], pa.binary()) for x in (lengths, words, tokens.astype(np.int32))]
+            blobs = [pa.array([x.tobytes()], pa.binary()) for x in (lengths, words, tokens)]
             held[learn], k = [], k + 1
             return pa.RecordBatch.from_arrays([pa.array([task << 32 | k]), pa.array([learn]), ids, *blobs], names=["s", "learn", "ids", "lengths", "words", "tokens"])
 
@@ -168,8 +190,8 @@ def coded(rows: DataFrame) -> DataFrame:
                         continue
                     words = lexicon()
                     places, lengths = words.places(mine.column("text").to_pylist())
-                    held[learn].append((mine.column("id").to_pylist(), lengths, words.numbers[places]))
-                    if sum(len(h[2]) for h in held[learn]) >= TOKENS_AT_ONCE:
+                    held[learn].append((mine.column("id").to_pylist(), lengths, (words, places)))
+                    if sum(len(h[2][1]) for h in held[learn]) >= TOKENS_AT_ONCE:
                         yield stretch(learn)
         for learn in (True, False):
             if held[learn]:
@@ -217,12 +239,17 @@ def _counted(found: np.ndarray, n: np.ndarray, name: str) -> pa.RecordBatch:
 
 
 def word_counts(stretches: DataFrame) -> DataFrame:
-    """Rows (word, n) over all tokens, the end token among them."""
+    """Rows (word, n) of words, as often as they occur in stretches in which they occur ``OFTEN`` times.
+
+    This chooses the words to cluster. Their exact counts come with their neighbours, those of all others with the lists.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             words, tokens = np.frombuffer(row["words"], np.int64), np.frombuffer(row["tokens"], np.int32)
-            yield _counted(words, np.bincount(tokens, minlength=len(words)), "word")
+            n = np.bincount(tokens, minlength=len(words))
+            often = np.flatnonzero((n >= OFTEN) & (words != END))
+            yield _counted(words[often], n[often], "word")
 
     return stretches.select("words", "tokens").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -554,17 +581,18 @@ def _gathered(lists: pa.Table, contexts: pa.Table):
     return words, own, owner, read(contexts, "before", np.uint8), read(contexts, "after", np.uint8), np.split(places, np.cumsum(sizes)[:-1]), lists["s"]
 
 
-def new_classes(words: np.ndarray, own: np.ndarray, owner: np.ndarray, before: np.ndarray, after: np.ndarray, rises: Rises, single: np.ndarray) -> np.ndarray:
-    """Best class of each word of a part."""
-    k, n = len(rises.joint), np.bincount(owner, minlength=len(words))
+def new_classes(may: np.ndarray, own: np.ndarray, owner: np.ndarray, before: np.ndarray, after: np.ndarray, rises: Rises, single: np.ndarray) -> np.ndarray:
+    """Best class of each word of a part that may move, and the class of the others."""
+    k, n = len(rises.joint), np.bincount(owner, minlength=len(own))
     new = own.copy()
-    once = n[owner] == 1
+    once = np.flatnonzero((n[owner] == 1) & may[owner])
     new[owner[once]] = single[before[once], after[once], own[owner[once]]]
-    many = np.flatnonzero(n > 1)
-    number = np.zeros(len(words), np.int64)
+    many = np.flatnonzero((n > 1) & may)
+    number = np.full(len(own), -1, np.int64)
     number[many] = np.arange(len(many))
-    at = number[owner[~once]] * (2 * k)
-    keys, times = np.unique(np.concatenate([at + before[~once], at + k + after[~once]]), return_counts=True)
+    often = np.flatnonzero(number[owner] >= 0)
+    at = number[owner[often]] * (2 * k)
+    keys, times = np.unique(np.concatenate([at + before[often], at + k + after[often]]), return_counts=True)
     word, code = keys // (2 * k), keys % (2 * k)
     for a in range(0, len(many), 8192):
         b = min(len(many), a + 8192)
@@ -581,7 +609,7 @@ def moved(lists: DataFrame, contexts: DataFrame, joint: np.ndarray, turn: int) -
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         p = left["p"][0].as_py()
         words, own, owner, before, after, places, stretches = _gathered(left, right)
-        new = np.where((words >> 40) % 2 == turn % 2, new_classes(words, own, owner, before, after, *shared.value), own).astype(np.uint8)
+        new = new_classes((words >> 40) % 2 == turn % 2, own, owner, before, after, *shared.value).astype(np.uint8)
         return pa.Table.from_batches([_batch(ANSWERS, [(s, p, new[at].tobytes(), b"") for s, at in zip(stretches.to_pylist(), places)])])
 
     return lists.groupBy("p").cogroup(contexts.filter("p >= 0").groupBy("p")).applyInArrow(run, ANSWERS)
@@ -600,8 +628,8 @@ def word_table(lists: DataFrame, contexts: DataFrame) -> DataFrame:
 
 def exchange_words(
     stretches: DataFrame, types: Types, by_type: np.ndarray, tokens: int, scratch: Scratch, classes: int, rounds: int
-) -> tuple[np.ndarray, np.ndarray, DataFrame]:
-    """Class bigrams, classes of the types, and the table of the other training words after the exchange."""
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, DataFrame]:
+    """Class bigrams, classes and counts of the types, and the table of the other training words after the exchange."""
     parts = max(1, math.ceil(tokens / TOKENS_A_PART))
     partitions = int(stretches.sparkSession.conf.get("spark.sql.shuffle.partitions")) + 1
     buckets = max(partitions, math.ceil(parts / 4))
@@ -631,7 +659,7 @@ def exchange_words(
         contexts = neighbours(answered(stretches, answers), types, by_type, classes, parts, False)
     table = scratch.stage(word_table(lists, best[1]), "words")
     scratch.free(best[0], "lists")
-    return best[2], best[4], table
+    return best[2], best[4], best[3][:, :classes].sum(1), table
 
 
 @dataclass
@@ -665,16 +693,16 @@ def learn(
     counts = scratch.stage(word_counts(stretches), "counts")
     # Ties at the border are settled by the number, so reruns choose the same words.
     by_rank = [F.col("n").desc(), F.col("word")]
-    top = counts.filter(F.col("word") != END).orderBy(*by_rank).limit(clustered).toArrow().sort_by("word")
-    tokens = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    top = counts.orderBy(*by_rank).limit(clustered).toArrow().sort_by("word")
+    tokens = int(stretches.agg(F.coalesce(F.sum(F.octet_length("tokens")), F.lit(0)).alias("n")).first().n) // 4
     scratch.free("counts")
     types = Types(top["word"].to_numpy(), shapes)
     pairs = scratch.stage(type_pairs(stretches, types), "pairs")
     by_type = cluster(pairs, types, classes, rounds)
     scratch.free("pairs")
-    joint, by_type, others = exchange_words(stretches, types, by_type, tokens, scratch, classes, rounds)
+    joint, by_type, times, others = exchange_words(stretches, types, by_type, tokens, scratch, classes, rounds)
     step = np.log10((joint + ALPHA) / (joint.sum(1, keepdims=True) + ALPHA * classes))
-    often = spark.createDataFrame(list(zip(types.words.tolist(), top["n"].to_pylist(), by_type[: len(types.words)].tolist())), TABLE)
+    often = spark.createDataFrame([(w, int(n), int(c)) for w, n, c in zip(types.words.tolist(), times, by_type)], TABLE)
     table = others.unionByName(often)
     # Tokens and kinds of each class, the end token's among them.
     by_class = table.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).toArrow()
