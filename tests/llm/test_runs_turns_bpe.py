@@ -103,7 +103,7 @@ def test_runs_of_odd_rows(spark, odd, empty):
 
 def test_run_query(spark, tmp_path):
     rng = random.Random(2)
-    rows = [(i, None if i % 40 == 7 else " \t".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 120)))) for i in range(300)]
+    rows = [(i, None if i % 40 == 7 else " \t".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 120)))) for i in range(600)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r for r in queries.op11_period_runs(spark, str(tmp_path)).collect()}
     some = 0
