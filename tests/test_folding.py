@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 from tidegauge.config import ControlConfig, DriftConfig
-from tidegauge.operators import adwin, control, drift
+from tidegauge.operators import adwin, control, drift, folding
 from tidegauge.operators.folding import chunked_fold
 
 TICKS = "stream_id string, t long, ts_us long, event_id string, n_history long, proposal double, over_mark double, under_mark double, drift_active boolean, frozen boolean"
@@ -91,6 +91,43 @@ class Row:
         self.adwin_detected = rng.random() < 0.1
 
 
+def test_rounds_are_bounded_whatever_a_fold_remembers(spark, monkeypatch):
+    """Thirty chunks of a fold that never forgets: few rounds in parallel, the rest in order."""
+    staged = []
+    monkeypatch.setattr(folding, "stage", lambda df, name, real=folding.stage: staged.append(name) or real(df, name))
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame([(k, p, int(rng.integers(1, 9))) for k in "ab" for p in range(60 if k == "a" else 4)], columns=["k", "p", "v"])
+    got = chunked_fold(spark.createDataFrame(pdf, "k string, p long, v long"), ["k"], "p", 2, Sum, "k string, p long, total long")
+    want = pdf.assign(total=pdf.groupby("k").v.cumsum())
+    assert sorted(map(tuple, got.collect())) == sorted(want[["k", "p", "total"]].itertuples(index=False, name=None))
+    assert staged.count("fold-round") == folding.ROUNDS
+
+
+@pytest.mark.parametrize("chunk", [1, 3])
+def test_drift_states_by_short_chunks_equal_the_sequence(spark, chunk):
+    cfg = DriftConfig(history_evals=60, baseline_min_evals=5, critical_consecutive=1, interval=200)
+    rng = np.random.default_rng(8)
+    rows = pd.DataFrame([vars(Row(rng, 200 * (i + 1))) for i in range(24)])
+    kinds = "stream_id string, u long, t long, profile_id int, psi array<double>, ks array<double>, mean_shift_z array<double>, ks_critical array<double>, score_psi double, score_ks double, score_ks_critical double, adwin_detected boolean"
+    table = spark.createDataFrame([tuple(v.tolist() if hasattr(v, "tolist") else v for v in r) for r in rows.itertuples(index=False)], kinds)
+    got = drift.drift_states(table, cfg, chunk).toPandas().sort_values("u")
+    want = drift.DriftFold(cfg).step(rows)
+    for c in ("drift_score", "drift_threshold", "vote_ratio", "drift_warning_active", "drift_active"):
+        assert got[c].tolist() == want[c].tolist()
+
+
+def test_prefix_of_the_adaptive_window_equals_merging_afresh():
+    rng = np.random.default_rng(9)
+    window, cuts = adwin.AdaptiveWindow(0.01), 0
+    for i in range(400):
+        cuts += window.add(32.0, float(rng.normal(i // 130, 0.05)), float(rng.gamma(2, 0.1)))
+        whole = (0.0, 0.0, 0.0)
+        for bucket in (b for level in reversed(window.levels) for b in level):
+            whole = window._merge(whole, bucket)
+        assert window.total == whole
+    assert cuts >= 2
+
+
 @pytest.mark.parametrize("mode", ["reference", "latched"])
 def test_folds_go_on_after_they_are_written_down(mode):
     cfg = DriftConfig(mode=mode, history_evals=60, baseline_min_evals=5, critical_consecutive=1)

@@ -1,7 +1,8 @@
 """Ordered folds over per-stream summary tables, in bounded memory.
 
 ``ordered_fold`` follows one stream after the other. ``chunked_fold`` cuts a stream into chunks that run in
-parallel from predicted start states and repeats those whose prediction was wrong.
+parallel from predicted start states and repeats those whose prediction was wrong; what does not agree in a
+few rounds is followed in order.
 """
 
 from __future__ import annotations
@@ -11,11 +12,14 @@ from functools import reduce
 from typing import Any, ClassVar, Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.session import hinted, stage
 
+#: Rounds of chunks in parallel; what they leave open is followed in order.
+ROUNDS = 4
+
 # A fold is built per stream and fed batches of rows in order; it returns output rows.
 Step = Callable[[pd.DataFrame], pd.DataFrame]
 
@@ -60,6 +64,13 @@ def ordered_fold(df: DataFrame, by: list[str], order: str, make_step: Callable[[
     return arranged.groupBy(*by).applyInPandas(run, schema)
 
 
+def _blank(kind: str) -> Column:
+    """A value that keeps a column free of nulls, which would change its type in pandas."""
+    if kind.startswith("array"):
+        return F.array().cast(kind)
+    return F.lit("" if kind == "string" else 0).cast(kind)
+
+
 def chunked_fold(
     df: DataFrame, by: list[str], order: str, width: int, make_fold: Callable[[], Fold], schema: str, name: str = "fold"
 ) -> DataFrame:
@@ -69,8 +80,9 @@ def chunked_fold(
     predecessor ended with in the round before; only chunks whose start has changed run again. When no
     start changes, every chunk has started where its predecessor ends, from the group's first chunk on,
     which is the sequential result. Folds that forget (thresholds that reach their target, histories of bounded
-    length) agree after two or three rounds; the worst case is one round a chunk, which is the sequence.
-    The driver sees one count a round.
+    length) agree after two or three rounds. Where chunks are shorter than what the fold remembers, every round
+    settles but one more chunk: after ``ROUNDS`` rounds the rows from a group's first open chunk on are followed
+    in order, batch by batch, from the state that its settled chunks end with. The driver sees one count a round.
     """
     fields = make_fold().FIELDS
     out_names = [c.split()[0] for c in schema.split(", ")]
@@ -101,6 +113,7 @@ def chunked_fold(
     starts = chunks.select(*place, F.lit(False).alias("_known"), *[F.lit(None).cast(t).alias(s) for s, t in zip(states, fields.values())])
     used = chunks.select(*place, F.lit("").alias("_used"))  # mark of the state each chunk last started from
     latest: DataFrame | None = None  # newest round of each chunk
+    opening: DataFrame | None = None  # first open chunk of each group after the last round, and its start
     rounds: list[DataFrame] = []
     while True:
         todo = starts.select(*place)
@@ -117,8 +130,36 @@ def chunked_fold(
         starts = stage(changed.select(*place, F.lit(True).alias("_known"), *states, "_mark"), f"{name}-starts")
         if starts.isEmpty():
             break
+        if len(rounds) == ROUNDS:
+            first = starts.groupBy(*by).agg(F.min("_chunk").alias("_chunk"))
+            opening = starts.join(first, place, "left_semi").select(*place, *states)
+            break
         fresh = starts.select(*place, F.col("_mark").alias("_new"))
         used = stage(used.join(fresh, place, "left").select(*place, F.coalesce("_new", "_used").alias("_used")), f"{name}-used")
         starts = starts.drop("_mark")
     whole = reduce(DataFrame.unionByName, [r.withColumn("_round", F.lit(i)) for i, r in enumerate(rounds)])
-    return whole.join(latest, [*place, "_round"], "left_semi").select(*out_names)
+    whole = whole.join(latest, [*place, "_round"], "left_semi")
+    if opening is None:
+        return whole.select(*out_names)
+    since = hinted(opening.select(*by, F.col("_chunk").alias("_open")))
+    settled = whole.join(since, by, "left").filter("_open IS NULL OR _chunk < _open").select(*out_names)
+    rest = rows.join(since, by).filter("_chunk >= _open").drop("_chunk", "_open")
+    columns = rest.columns
+    begun = opening.select(*by, *[_blank(f.dataType.simpleString()).alias(f.name) for f in rest.schema if f.name not in by], F.lit(False).alias("_row"), *states)
+    going = rest.select("*", F.lit(True).alias("_row"), *[_blank(t).alias(s) for s, t in zip(states, fields.values())])
+    # A group's start comes before its rows.
+    arranged = begun.unionByName(going).repartition(*by).sortWithinPartitions(*by, "_row", order)
+
+    def follow(key: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fold, last = make_fold(), None
+        for pdf in batches:
+            if len(pdf) and not pdf["_row"].iloc[0]:
+                fold.load({f: pdf[s].iloc[0] for f, s in zip(fields, states)})
+                pdf = pdf.iloc[1:]
+            if len(pdf) == 0:
+                continue
+            pdf = pdf[columns]
+            last = in_order(pdf[order], last, key)
+            yield fold.step(pdf)[out_names]
+
+    return settled.unionByName(stage(arranged.groupBy(*by).applyInPandas(follow, schema), f"{name}-rest"))
