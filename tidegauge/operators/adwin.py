@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +28,9 @@ class AdaptiveWindow:
         self.delta = delta
         # levels[i]: buckets of 2**i merged blocks, oldest first; the last level is the oldest.
         self.levels: list[list[tuple[float, float, float]]] = [[]]
+        # Merged buckets from the oldest on, and how many of them still hold.
+        self._sums: tuple[list[float], list[float], list[float]] = ([], [], [])
+        self._known = 0
 
     @staticmethod
     def _merge(a: tuple[float, float, float], b: tuple[float, float, float]) -> tuple[float, float, float]:
@@ -47,51 +51,76 @@ class AdaptiveWindow:
         for size in state["sizes"]:
             self.levels.append(buckets[: int(size)])
             buckets = buckets[int(size) :]
-
-    def _oldest_first(self) -> list[tuple[float, float, float]]:
-        return [bucket for level in reversed(self.levels) for bucket in level]
+        self._known = 0
+
+    def _prefix(self) -> tuple[list[float], list[float], list[float]]:
+        """Counts, means and squared deviations of the oldest bucket, the two oldest, and so on.
+
+        What the untouched levels give is kept from one block to the next: a level changes half as often as the
+        one below it.
+        """
+        known, (counts, means, squares) = self._known, self._sums
+        del counts[known:], means[known:], squares[known:]
+        n, mean, square = (counts[-1], means[-1], squares[-1]) if known else (0.0, 0.0, 0.0)
+        for level in reversed(self.levels):
+            if known >= len(level):
+                known -= len(level)
+                continue
+            for size, m, s in level[known:]:
+                whole = n + size
+                if whole == 0:
+                    n, mean, square = 0.0, 0.0, 0.0
+                else:
+                    gap = m - mean
+                    n, mean, square = whole, mean + gap * size / whole, square + s + gap * gap * n * size / whole
+                counts.append(n)
+                means.append(mean)
+                squares.append(square)
+            known = 0
+        self._known = len(counts)
+        return self._sums
 
     @property
     def total(self) -> tuple[float, float, float]:
-        whole = (0.0, 0.0, 0.0)
-        for bucket in self._oldest_first():
-            whole = self._merge(whole, bucket)
-        return whole
+        counts, means, squares = self._prefix()
+        return (counts[-1], means[-1], squares[-1]) if counts else (0.0, 0.0, 0.0)
 
     def _drop_oldest(self) -> None:
         while len(self.levels) > 1 and not self.levels[-1]:
             self.levels.pop()
         self.levels[-1].pop(0)
+        self._known = 0
 
     def _cut_found(self) -> bool:
-        whole = self.total
-        n = whole[0]
+        counts, means, squares = self._prefix()
+        n = counts[-1] if counts else 0.0
         if n <= GRACE:
             return False
-        variance = whole[2] / n
+        variance = squares[-1] / n
         confidence = math.log(2.0 * math.log(n) / self.delta)
-        old = (0.0, 0.0, 0.0)
-        for bucket in self._oldest_first()[:-1]:
-            old = self._merge(old, bucket)
-            n0, n1 = old[0], n - old[0]
-            if n0 < MIN_SIDE or n1 < MIN_SIDE:
-                continue
-            mean1 = (n * whole[1] - n0 * old[1]) / n1
-            inverse = 1.0 / n0 + 1.0 / n1
-            bound = math.sqrt(2.0 * inverse * variance * confidence) + 2.0 / 3.0 * inverse * confidence
-            if abs(old[1] - mean1) > bound:
-                return True
-        return False
+        n0, mean0 = np.array(counts[:-1]), np.array(means[:-1])
+        n1 = n - n0
+        sides = (n0 >= MIN_SIDE) & (n1 >= MIN_SIDE)
+        if not sides.all():
+            n0, mean0, n1 = n0[sides], mean0[sides], n1[sides]
+        mean1 = (n * means[-1] - n0 * mean0) / n1
+        inverse = 1.0 / n0 + 1.0 / n1
+        bound = np.sqrt(2.0 * inverse * variance * confidence) + 2.0 / 3.0 * inverse * confidence
+        return bool((np.abs(mean0 - mean1) > bound).any())
 
     def add(self, n: float, mean: float, squares: float) -> bool:
         """Append one block; True when older blocks were dropped because the mean moved."""
         self.levels[0].append((n, mean, squares))
+        top = 0
         for i, level in enumerate(self.levels):
             if len(level) <= MAX_BUCKETS:
                 break
             if i + 1 == len(self.levels):
                 self.levels.append([])
             self.levels[i + 1].append(self._merge(level.pop(0), level.pop(0)))
+            top = i + 1
+        # The levels above the last one that got a bucket are as they were; that one has grown at its end.
+        self._known = min(self._known, sum(len(level) for level in self.levels[top:]) - 1)
         changed = False
         while self._cut_found():
             self._drop_oldest()
