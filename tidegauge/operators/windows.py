@@ -121,14 +121,18 @@ def trailing_threshold(
 def trailing_alert_rate(alerts: DataFrame, by: Sequence[str], seconds: int = 60) -> DataFrame:
     """Alerts in the trailing ``seconds`` of event time at each alert, itself included.
 
-    Alerts are counted per instant first, then summed over a short range inside time chunks.
+    Alerts are counted per instant first. Inside time chunks an instant adds its count when it comes and takes it
+    back when it leaves the window, so a running total gives the trailing one, however many instants a window has.
     """
     width = seconds * 1_000_000
     counted = alerts.groupBy(*by, "ts_us").agg(F.count(F.lit(1)).alias("_n"))
-    frame = Window.partitionBy(*by, "_chunk").orderBy("ts_us").rangeBetween(-width, 0)
     rows = with_halo(counted, "ts_us", 10 * width, width)
-    rows = rows.withColumn("alerts_trailing", F.sum("_n").over(frame)).filter("_core")
-    return rows.select(*by, "ts_us", F.col("_n").alias("alerts_now"), "alerts_trailing")
+    comes = F.struct(F.col("ts_us").alias("_at"), F.col("_n").alias("_step"), F.col("_core").alias("_shown"))
+    leaves = F.struct((F.col("ts_us") + width + 1).alias("_at"), (-F.col("_n")).alias("_step"), F.lit(False).alias("_shown"))
+    steps = rows.select(*by, "_chunk", "ts_us", "_n", F.explode(F.array(comes, leaves)).alias("_s")).select(*by, "_chunk", "ts_us", "_n", "_s.*")
+    frame = Window.partitionBy(*by, "_chunk").orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    steps = steps.withColumn("alerts_trailing", F.sum("_step").over(frame)).filter("_shown")
+    return steps.select(*by, "ts_us", F.col("_n").alias("alerts_now"), "alerts_trailing")
 
 
 def alert_rate_summary(rates: DataFrame, by: Sequence[str], cap: float) -> DataFrame:
