@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +22,8 @@ PANE_CHUNK = 256
 ACTION_CHUNK_US = 600_000_000
 #: Positions of one range in which versions are put in order.
 VERSION_RANGE = 1_000_000
+#: Positions of one range whose rows meet the versions that look back on them.
+VERSION_ROWS = 20_000
 
 
 def long_form(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -88,6 +93,103 @@ def reference_profile(scored: DataFrame, cfg: DriftConfig, features: Sequence[st
     )
 
 
+def _wide(columns: Sequence[str]) -> list[Column]:
+    """Columns as doubles, and a number whose bits say which of them are null (pandas has NaN for both)."""
+    nulls = " + ".join(f"IF({c} IS NULL, {1 << i}, 0)" for i, c in enumerate(columns))
+    return [*[F.col(c).cast("double").alias(c) for c in columns], F.expr(f"CAST({nulls} AS INT)").alias("_nulls")]
+
+
+def _matrix(pdf: pd.DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Values of ``_wide`` rows, and where they are null."""
+    nulls = (pdf["_nulls"].to_numpy()[:, None] >> np.arange(len(columns))) & 1
+    return np.column_stack([pdf[c].to_numpy(float) for c in columns]), nulls.astype(bool)
+
+
+def _bins_of(values: np.ndarray, null: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """``distance.bin_of`` for a matrix of rows and features; ``edges``: one row of edges a feature."""
+    passed = np.zeros(values.shape, dtype=np.int64)
+    for i in range(BINS + 1):
+        passed += values >= edges[:, i]
+    inside = ~null & ~np.isnan(values) & ~(values < edges[:, 0]) & ~(values > edges[:, BINS])
+    return np.where(inside, np.minimum(passed, BINS), 0)
+
+
+def _deciles(ordered: np.ndarray) -> np.ndarray:
+    """Interpolated as the built-in percentile does it; rows in order, one column a feature."""
+    out = np.empty((len(DECILES), ordered.shape[1]))
+    for i, p in enumerate(DECILES):
+        at = (len(ordered) - 1) * p
+        low, high = math.floor(at), math.ceil(at)
+        a, b = ordered[low], ordered[high]
+        with np.errstate(invalid="ignore"):
+            out[i] = a if low == high else np.where(a == b, a, (high - at) * a + (at - low) * b)
+    return out
+
+
+BUILT_SCHEMA = (
+    "stream_id string, profile_id int, feature string, edges array<double>, ref_perc array<double>, n long, "
+    "mean double, std double, at_u long, to_u long"
+)
+
+
+def _built_profiles(rows: DataFrame, versions: DataFrame, kept: int, columns: Sequence[str]) -> DataFrame:
+    """Profiles of the versions of each range of positions, as ``build_profile`` gives them: a version's window is cut
+    out of its range's rows, so rows are neither repeated nor shuffled by version."""
+    width = len(columns)
+
+    def one(values: np.ndarray, null: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Edges, size, mean and spread a feature."""
+        if not null.any():
+            quantiles, n = _deciles(np.sort(values, axis=0)), np.full(width, len(values))
+            mean, std = values.mean(axis=0), values.std(axis=0)
+        else:
+            quantiles, mean, std = np.full((len(DECILES), width), np.nan), np.full(width, np.nan), np.full(width, np.nan)
+            n = (~null).sum(axis=0)
+            for k in np.flatnonzero(n):
+                known = values[~null[:, k], k]
+                quantiles[:, k] = _deciles(np.sort(known)[:, None])[:, 0]
+                mean[k], std[k] = known.mean(), known.std()
+        edges = quantiles.T.copy()
+        edges[:, 0] -= D.EDGE_PAD
+        edges[:, BINS] += D.EDGE_PAD
+        return edges, n, mean, std + 1e-9
+
+    def build(key: tuple[Any, ...], pdf: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("u")
+        u = pdf["u"].to_numpy()
+        values, null = _matrix(pdf, columns)
+        found: list[tuple] = []
+        for at in asked["at_u"].to_numpy():
+            a, b = np.searchsorted(u, [at - kept, at], side="right")
+            edges, n, mean, std = one(values[a:b], null[a:b])
+            bins = _bins_of(values[a:b], null[a:b], edges) + (BINS + 1) * np.arange(width)
+            counts = np.bincount(bins.ravel(), minlength=(BINS + 1) * width).reshape(width, BINS + 1)[:, 1:]
+            shares = counts / np.maximum(1, counts.sum(axis=1, keepdims=True)).astype(float)
+            found.append((edges, np.clip(shares, D.SHARE_FLOOR, 1.0), n, mean, std))
+        def laid(i: int) -> np.ndarray:
+            return np.concatenate([f[i] for f in found]) if found else np.empty(0)
+        each = asked.loc[asked.index.repeat(width)]
+        return pd.DataFrame(
+            {
+                "stream_id": each["stream_id"].to_numpy(), "profile_id": each["profile_id"].to_numpy(), "feature": list(columns) * len(asked),
+                "edges": list(laid(0)), "ref_perc": list(laid(1)), "n": laid(2).astype(np.int64), "mean": laid(3), "std": laid(4),
+                "at_u": each["at_u"].to_numpy(), "to_u": each["to_u"].astype("Int64").to_numpy(dtype=object, na_value=None),
+            }
+        )
+
+    place = ["stream_id", "_chunk"]
+    table = rows.groupBy(*place).cogroup(versions.groupBy(*place)).applyInPandas(build, BUILT_SCHEMA)
+    # What is NaN comes back from pandas as null.
+    nan = F.lit(float("nan"))
+    some = F.col("n") > 0
+    return table.withColumns(
+        {
+            "edges": F.when(some, F.transform("edges", lambda e: F.coalesce(e, nan))).otherwise(F.transform("edges", lambda e: F.lit(None).cast("double"))),
+            "mean": F.when(some, F.coalesce("mean", nan)), "std": F.when(some, F.coalesce("std", nan)),
+        }
+    )
+
+
 def refreshed_profiles(
     scored: DataFrame, base: DataFrame, refreshes: DataFrame, cfg: DriftConfig, features: Sequence[str]
 ) -> DataFrame:
@@ -118,13 +220,12 @@ def refreshed_profiles(
     versions = versions.withColumn("profile_id", (F.coalesce("_held", F.lit(0)) + F.col("_n")).cast("int")).drop("_held")
     versions = stage(versions, "versions")
     kept = min(cfg.window_size, cfg.reference_events)
-    # A version draws on the last `kept` rows, which lie in its own or the preceding range.
-    slot = F.floor(F.col("at_u") / kept)
-    near = versions.select("stream_id", "profile_id", "at_u", F.explode(F.array(slot - 1, slot)).alias("_slot"))
-    rows = current.withColumn("_slot", F.floor(F.col("u") / kept)).join(hinted(near), ["stream_id", "_slot"])
-    rows = rows.filter((F.col("u") <= F.col("at_u")) & (F.col("u") > F.col("at_u") - kept))
-    keys = ["stream_id", "profile_id"]
-    built = build_profile(long_form(rows, keys, [*features, SCORE]), keys).join(versions.select(*keys, "at_u", "to_u"), keys)
+    # A version draws on the last `kept` rows, which its range of positions carries as a halo.
+    size = max(VERSION_ROWS, kept)
+    wanted = versions.select("stream_id", "profile_id", "at_u", "to_u", F.floor(F.col("at_u") / size).cast("long").alias("_chunk"))
+    places = hinted(stage(wanted.select("stream_id", "_chunk").distinct(), "version-places"))
+    rows = with_halo(current.select("stream_id", "u", *_wide([*features, SCORE])), "u", size, kept).join(places, ["stream_id", "_chunk"], "left_semi")
+    built = _built_profiles(rows, wanted, kept, [*features, SCORE])
     later = built.select(
         "stream_id", "feature", "edges", "ref_perc", "n", "mean", "std", "profile_id",
         F.col("at_u").alias("from_u"), "to_u",
@@ -134,41 +235,24 @@ def refreshed_profiles(
     return opened.unionByName(later)
 
 
-def _with_versions(rows: DataFrame, profile: DataFrame, cfg: DriftConfig) -> DataFrame:
-    """Rows with the profile version(s) whose windows they fall in: the one in force, and later
-    ones that take over within a window.
-
-    An interval join by ranges of one window of positions: a version meets the rows of the ranges that its
-    evaluations look back on, and no others.
-    """
-    one = profile.filter(F.col("feature") == SCORE).select("stream_id", "profile_id", "from_u", "to_u")
-    if one.filter(F.col("to_u").isNotNull() | (F.col("from_u") > 0)).isEmpty():
-        return rows.withColumn("profile_id", F.lit(0))
-    window = cfg.window_size
-    ends = rows.groupBy("stream_id").agg(F.max("u").alias("_last"))
-    last = F.coalesce("to_u", "_last")
-    # Evaluations of a version lie in (from_u, to_u]; each looks back on one window of rows.
-    low = F.greatest(F.lit(1), F.col("from_u") + 2 - window)
-    ranges = one.join(small(ends), "stream_id").filter(last >= low)
-    first_range, last_range = F.floor(low / window).cast("long"), F.floor(last / window).cast("long")
-    spread = stage(
-        ranges.select("stream_id", "profile_id", low.alias("_low"), last.alias("_high"), F.explode(F.sequence(first_range, last_range)).alias("_range")),
-        "version-ranges",
-    )
-    ranged = rows.withColumn("_range", F.floor(F.col("u") / window).cast("long"))
-    met = ranged.join(hinted(spread), ["stream_id", "_range"])
-    return met.filter(F.col("u").between(F.col("_low"), F.col("_high"))).drop("_range", "_low", "_high")
+def _single_version(profile: DataFrame) -> bool:
+    """Whether every stream has its first version only, in force throughout."""
+    return profile.filter(F.col("feature") == SCORE).filter(F.col("to_u").isNotNull() | (F.col("from_u") > 0)).isEmpty()
 
 
 def pane_stats(scored: DataFrame, profile: DataFrame, cfg: DriftConfig, features: Sequence[str]) -> DataFrame:
     """Binned counts and sums per (stream, profile version, pane, feature).
 
-    Columns turn into rows, meet the stored profile (broadcast if its size allows) and are
-    pre-aggregated per pane on the map side, so the shuffle carries summaries only.
+    With one version a stream, columns turn into rows, meet the stored profile (broadcast if its size allows) and are
+    pre-aggregated per pane on the map side, so the shuffle carries summaries only. With more versions, each meets
+    the ranges of positions that its evaluations look back on.
     """
-    pane = math.gcd(cfg.window_size, cfg.interval)
     rows = scored.filter(F.col("t") > cfg.reference_events).withColumn("u", F.col("t") - cfg.reference_events)
-    long = long_form(_with_versions(rows, profile, cfg), ["stream_id", "u", "profile_id"], [*features, SCORE])
+    if not _single_version(profile):
+        return _version_panes(rows, profile, cfg, [*features, SCORE])
+    pane = math.gcd(cfg.window_size, cfg.interval)
+    rows = rows.withColumn("profile_id", F.lit(0))
+    long = long_form(rows, ["stream_id", "u", "profile_id"], [*features, SCORE])
     edges = profile.select("stream_id", "feature", "profile_id", "from_u", "to_u", "edges")
     keys = ["stream_id", "profile_id", "from_u", "to_u", "pane", "feature"]
     binned = long.join(hinted(edges), ["stream_id", "profile_id", "feature"]).withColumns(
@@ -177,6 +261,80 @@ def pane_stats(scored: DataFrame, profile: DataFrame, cfg: DriftConfig, features
     return binned.groupBy(*keys).agg(*bin_counts(), F.sum("value").alias("total"), F.count(F.lit(1)).alias("rows"))
 
 
+PANE_SCHEMA = (
+    "stream_id string, profile_id int, from_u long, to_u long, pane long, feature string, "
+    + ", ".join(f"{b} long" for b in count_names()) + ", total double, rows long, _known long"
+)
+
+
+def _version_panes(rows: DataFrame, profile: DataFrame, cfg: DriftConfig, columns: Sequence[str]) -> DataFrame:
+    """``pane_stats`` where streams have several versions.
+
+    Evaluations of a version lie in (from_u, to_u], at multiples of the interval, and each looks back on one window
+    of rows. A version without an evaluation has no panes; the others are cut out of the ranges of positions
+    they reach into, so rows are shuffled once, whatever the number of versions.
+    """
+    pane = math.gcd(cfg.window_size, cfg.interval)
+    window, interval, width = cfg.window_size, cfg.interval, len(columns)
+    size = window * max(1, VERSION_ROWS // window)
+    spans = small(rows.groupBy("stream_id").agg(F.min("u").alias("_start"), F.max("u").alias("_last")))
+    first = (F.floor(F.col("from_u") / interval) + 1) * interval
+    last = F.floor(F.least(F.coalesce("to_u", "_last"), F.col("_last")) / interval) * interval
+    low = F.greatest(F.col("_start"), first + 1 - window).cast("long")
+    due = profile.join(spans, "stream_id").filter(first <= last).withColumns({"_low": low, "_high": last.cast("long")})
+    ranges = F.sequence(F.floor((F.col("_low") - 1) / size).cast("long"), F.floor((F.col("_high") - 1) / size).cast("long"))
+    due = due.filter("_low <= _high").select("stream_id", "profile_id", "feature", "from_u", "to_u", "edges", "_low", "_high", F.explode(ranges).alias("_chunk"))
+    due = stage(due, "version-ranges")
+    numbers = {c: i for i, c in enumerate(columns)}
+
+    def count(key: tuple[Any, ...], pdf: pd.DataFrame, versions: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("u")
+        u = pdf["u"].to_numpy()
+        values, null = _matrix(pdf, columns)
+        panes = -(-u // pane)
+        heads, tables = [], []
+        versions = versions.assign(_place=versions["feature"].map(numbers)).sort_values(["profile_id", "_place"])
+        ids = versions["profile_id"].to_numpy()
+        starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if len(ids) else []
+        for start, stop in zip(starts, [*starts[1:], len(ids)], strict=True):
+            v = versions.iloc[start:stop]
+            at = v["_place"].to_numpy()
+            a, b = np.searchsorted(u, [v["_low"].iloc[0], v["_high"].iloc[0] + 1])
+            if a == b:
+                continue
+            x, gone, mine = values[a:b][:, at], null[a:b][:, at], panes[a:b]
+            bins = _bins_of(x, gone, np.stack(v["edges"].to_list()).astype(float))
+            cuts = np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]])
+            row = np.repeat(np.arange(len(cuts)), np.diff(np.r_[cuts, len(mine)]))
+            flat = (row[:, None] * len(at) + np.arange(len(at))) * (BINS + 1) + bins
+            n = np.bincount(flat.ravel(), minlength=len(cuts) * len(at) * (BINS + 1)).reshape(-1, BINS + 1)
+            total = np.add.reduceat(np.where(gone, 0.0, x), cuts, axis=0).ravel()
+            known = np.add.reduceat((~gone).astype(np.int64), cuts, axis=0).ravel()
+            full = np.repeat(np.diff(np.r_[cuts, len(mine)]), len(at))
+            heads.append((ids[start], v["from_u"].iloc[0], v["to_u"].iloc[0], np.repeat(mine[cuts], len(at)), np.tile(v["feature"].to_numpy(), len(cuts))))
+            tables.append((n, total, known, full))
+        sizes = [len(t[1]) for t in tables]
+
+        def spread(i: int) -> np.ndarray:
+            return np.repeat(np.array([h[i] for h in heads], dtype=float if i == 2 else np.int64), sizes)
+
+        def laid(parts: list) -> np.ndarray:
+            return np.concatenate(parts) if parts else np.empty(0, dtype=np.int64)
+
+        n = np.concatenate([t[0] for t in tables]) if tables else np.empty((0, BINS + 1), dtype=np.int64)
+        out = {"stream_id": [key[0]] * sum(sizes), "profile_id": spread(0), "from_u": spread(1), "to_u": pd.array(spread(2), dtype="Int64") if sizes else [],
+               "pane": laid([h[3] for h in heads]), "feature": laid([h[4] for h in heads])}
+        out |= {b: n[:, i + 1] for i, b in enumerate(count_names())}
+        return pd.DataFrame(out | {"total": laid([t[1] for t in tables]), "rows": laid([t[3] for t in tables]), "_known": laid([t[2] for t in tables])})
+
+    place = ["stream_id", "_chunk"]
+    ranged = rows.select("stream_id", "u", *_wide(columns), F.floor((F.col("u") - 1) / size).cast("long").alias("_chunk"))
+    table = ranged.groupBy(*place).cogroup(due.groupBy(*place)).applyInPandas(count, PANE_SCHEMA)
+    # What is NaN comes back from pandas as null.
+    total = F.when(F.col("_known") > 0, F.coalesce("total", F.lit(float("nan"))))
+    return table.withColumn("total", total).drop("_known")
+
+
 def windowed_distances(panes: DataFrame, profile: DataFrame, cfg: DriftConfig) -> DataFrame:
     """Distances of the sliding window against the profile at every evaluation tick ``u``."""
     pane = math.gcd(cfg.window_size, cfg.interval)
