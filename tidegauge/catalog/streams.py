@@ -38,7 +38,7 @@ def _replayed(spark: SparkSession, rows: DataFrame, run: Callable[[DataFrame], N
     """Write rows as replay files, one arrival after another, and run a stream over them after each."""
     source = new_path(spark, "replay")
     for part in _arrivals(rows):
-        part.select(_wire(part).alias("e")).select("e.*").coalesce(2).write.mode("append").json(source)
+        part.select(_wire(part).alias("e")).select("e.*").write.mode("append").json(source)
         run(replay_stream(spark, source))
 
 
@@ -149,7 +149,7 @@ def _monitored(spark: SparkSession, sf: str, name: str, edges=ARRIVALS, controls
         run, base, source = I.run(spark, sf), new_path(spark, "monitor"), new_path(spark, "scored")
         rows = run.scored.select("stream_id", "event_id", "ts_us", "entity_id", "merchant_category", "country", "channel", "score", *FEATURES)
         for part in _arrivals(rows, edges):
-            part.coalesce(2).write.mode("append").parquet(source)
+            part.write.mode("append").parquet(source)
             stream = spark.readStream.schema(rows.schema).parquet(source)
             monitor.catch_up(spark, stream, base, I.CONFIG, run.profile, controls)
         return base

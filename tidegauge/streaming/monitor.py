@@ -13,6 +13,8 @@ predecessor left (last positions, a tail of one window, profile versions in forc
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from heapq import merge
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -171,6 +173,35 @@ class Indexer:
         return whole
 
 
+#: Columns that the summaries of a kind fill, and flags that are set where they are decided.
+_ALL = ["stream_id", "t", "kind", "batch_id"]
+_COLUMNS = {
+    BLOCK: [*_ALL, "n", "mean", "squares"],
+    EVALUATION: [*_ALL, "u", "profile_id", "psi", "ks", "ks_critical", "mean_shift_z", "score_psi", "score_ks", "score_ks_critical"],
+    TICK: [*_ALL, "ts_us", "event_id", "n_history", "proposal", "over_mark", "under_mark", "frozen"],
+    MARK: _ALL,
+}
+_FLAGS = {EVALUATION: "adwin_detected", TICK: "drift_active"}
+#: Decisions that leave a stream's task at once.
+DECISION_ROWS = 20_000
+
+
+def _ordered(batches: Iterator[pd.DataFrame]) -> Iterator[Any]:
+    """Summaries of a stream by position and kind. Each kind is held with its own columns only and put in order by
+    itself; the kinds are merged as they are read."""
+    parts: dict[int, list[pd.DataFrame]] = {kind: [] for kind in _COLUMNS}
+    for pdf in batches:
+        for kind, columns in _COLUMNS.items():
+            parts[kind].append(pdf.loc[pdf["kind"] == kind, columns])
+    runs = []
+    for kind, held in parts.items():
+        table = pd.concat(held, ignore_index=True) if held else pd.DataFrame(columns=_COLUMNS[kind])
+        held.clear()
+        table = table.sort_values("t", kind="stable", ignore_index=True)
+        runs.append((table.assign(**{_FLAGS[kind]: False}) if kind in _FLAGS else table).itertuples(index=False))
+    return merge(*runs, key=lambda row: (row.t, row.kind))
+
+
 class Decisions(StatefulProcessor):
     """Drift and threshold state of one stream, advanced by its summaries in order.
 
@@ -207,8 +238,7 @@ class Decisions(StatefulProcessor):
         folds, flag_t, flag_active = self._load()
         changed_at = -1
         out = []
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["t", "kind"])
-        for row in pdf.assign(adwin_detected=False, drift_active=False).itertuples(index=False):
+        for row in _ordered(rows):
             decision = dict.fromkeys(DECISION) | {"stream_id": row.stream_id, "t": row.t, "kind": row.kind, "batch_id": row.batch_id}
             if row.kind == BLOCK:
                 if folds["window"].add(float(row.n), float(row.mean), float(row.squares)):
@@ -223,6 +253,9 @@ class Decisions(StatefulProcessor):
                 done = dict(zip(control.CONTROL_COLUMNS, folds["threshold"].advance(row._replace(drift_active=active)), strict=True))
                 decision |= {"threshold": done["threshold"], "changed": done["changed"]}
             out.append(decision)
+            if len(out) == DECISION_ROWS:
+                yield pd.DataFrame(out, columns=list(DECISION))
+                out = []
         self._store(folds, flag_t, flag_active)
         yield pd.DataFrame(out, columns=list(DECISION))
 
