@@ -12,23 +12,26 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from tidegauge.config import FeatureConfig
 
-ITEM = T.StructType(
-    [
-        T.StructField("ts_us", T.LongType()),
-        T.StructField("event_id", T.StringType()),
-        T.StructField("amount", T.DoubleType()),
-        T.StructField("merchant_id", T.StringType()),
-        T.StructField("country", T.StringType()),
-    ]
-)
-FIELDS = [f.name for f in ITEM]
-
-
-def features_of(rows: pd.DataFrame, start: int, cfg: FeatureConfig) -> dict[str, np.ndarray]:
-    """Window features of rows[start:] of one entity, given in order."""
-    ts = rows["ts_us"].to_numpy()
-    amount = rows["amount"].to_numpy(dtype=float)
-    merchant, country = rows["merchant_id"].to_numpy(), rows["country"].to_numpy()
+FIELDS = ("ts_us", "event_id", "amount", "merchant_id", "country")
+#: An entity's window as one value, column by column: read and written in one message each.
+WINDOW = "ts_us array<bigint>, event_id array<string>, amount array<double>, merchant_id array<string>, country array<string>"
+TYPES = {"ts_us": np.int64, "event_id": object, "amount": float, "merchant_id": object, "country": object}
+
+
+def _in_order(ts: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Stable order by time, then id; ids are compared only where times are equal."""
+    order = np.argsort(ts, kind="stable")
+    ordered = ts[order]
+    if len(ts) > 1 and (ordered[1:] == ordered[:-1]).any():
+        order = pd.DataFrame({"ts": ts, "id": ids}).sort_values(["ts", "id"], kind="stable").index.to_numpy()
+    return order
+
+
+def features_of(rows: dict[str, np.ndarray], start: int, cfg: FeatureConfig) -> dict[str, np.ndarray]:
+    """Window features of rows[start:] of one entity, given in order as columns."""
+    ts = rows["ts_us"]
+    amount = rows["amount"].astype(float)
+    merchant, country = rows["merchant_id"], rows["country"]
     at = np.arange(start, len(ts))
     first = np.searchsorted(ts, ts[at] - cfg.window_seconds * 1_000_000, side="left")
     first = np.maximum(first, at - (cfg.max_events - 1))
@@ -59,25 +62,30 @@ class EntityWindows(StatefulProcessor):
         self.cfg, self.columns = cfg, columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.window = handle.getListState("window", ITEM)
+        self.window = handle.getValueState("window", WINDOW)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows), ignore_index=True).sort_values(["ts_us", "event_id"], ignore_index=True)
-        kept = pd.DataFrame(list(self.window.get()) if self.window.exists() else [], columns=FIELDS)
-        whole = pd.concat([kept, new[FIELDS]], ignore_index=True) if len(kept) else new[FIELDS]
+        batches = list(rows)
+        new = batches[0] if len(batches) == 1 else pd.concat(batches, ignore_index=True)
+        new = new.iloc[_in_order(new["ts_us"].to_numpy(), new["event_id"].to_numpy())]
+        window = self.window.get()
+        held = len(window[0]) if window is not None else 0
+        whole = {f: new[f].to_numpy() for f in FIELDS}
+        if held:
+            whole = {f: np.concatenate([np.array(x, dtype=TYPES[f]), whole[f]]) for f, x in zip(FIELDS, window, strict=True)}
         # Rows of a late batch take their place among the kept ones.
-        order = whole.reset_index().sort_values(["ts_us", "event_id"], kind="stable")
-        late = len(kept) > 0 and not order["index"].is_monotonic_increasing
+        order = _in_order(whole["ts_us"], whole["event_id"])
+        late = held > 0 and bool((np.diff(order) < 0).any())
         if late:
-            whole = order[FIELDS].reset_index(drop=True)
-            at = np.flatnonzero(order["index"].to_numpy() >= len(kept))
+            whole = {f: x[order] for f, x in whole.items()}
+            at = np.flatnonzero(order >= held)
             features = {n: v[at] for n, v in features_of(whole, 0, self.cfg).items()}
         else:
-            features = features_of(whole, len(kept), self.cfg)
-        horizon = whole["ts_us"].iloc[-1] - self.cfg.window_seconds * 1_000_000
-        keep = whole[whole["ts_us"] >= horizon].tail(self.cfg.max_events)
-        self.window.put([tuple(r) for r in keep.itertuples(index=False)])
-        yield new[self.columns].assign(**{n: features[n] for n in self.cfg.enabled})
+            features = features_of(whole, held, self.cfg)
+        horizon = whole["ts_us"][-1] - self.cfg.window_seconds * 1_000_000
+        first = max(int(np.searchsorted(whole["ts_us"], horizon, side="left")), len(whole["ts_us"]) - self.cfg.max_events)
+        self.window.update(tuple(whole[f][first:].tolist() for f in FIELDS))
+        yield pd.DataFrame({c: new[c].to_numpy() for c in self.columns} | {n: features[n] for n in self.cfg.enabled})
 
     def close(self) -> None:
         pass
