@@ -214,3 +214,23 @@ def test_run_with_several_streams_keeps_them_apart(spark, sf):
     short = ScoringRun(one.limit(50), cfg)
     assert short.scored.isEmpty() and short.output.filter("status = 'warming_up'").count() == 50
     assert isinstance(EngineConfig(FeatureConfig(), ModelConfig(), DriftConfig(), ControlConfig()).dedupe, bool)
+
+
+def test_window_report_sorts_no_rows(spark):
+    """Windows are hash aggregates, whose memory follows their number and not that of the rows."""
+    rows = spark.range(1, 401).selectExpr("id AS idx", "id * 10 AS ts_us", "cast(id % 7 AS double) AS x", "0 AS label")
+    found = windows.window_psi(rows, ["x"], None, "label", 100, 50, 50)
+    assert "SortAggregate" not in found._jdf.queryExecution().toString()
+    assert sorted((r.window_id, r.start_us, r.end_us) for r in found.collect()) == [(w, 1010 + 500 * w, 1500 + 500 * w) for w in range(6)]
+
+
+def test_trailing_alerts_by_brute_force(spark):
+    rng = np.random.default_rng(11)
+    at = sorted(int(x) for x in rng.integers(0, 60, 300) * 1_000_000 + rng.integers(0, 2, 300))
+    got = windows.trailing_alert_rate(spark.createDataFrame([("a", t) for t in at], "k string, ts_us long"), ["k"], 3).collect()
+    assert sorted((r.ts_us, r.alerts_now, r.alerts_trailing) for r in got) == [(t, at.count(t), sum(t - 3_000_000 <= x <= t for x in at)) for t in sorted(set(at))]
+
+
+def test_trailing_alerts_use_running_totals(spark):
+    rows = windows.trailing_alert_rate(spark.createDataFrame([("a", 1)], "k string, ts_us long"), ["k"], 3)
+    assert "RangeFrame, unboundedpreceding$()" in rows._jdf.queryExecution().toString()

@@ -77,7 +77,7 @@ def window_psi(
     profile = stage(binned(reference).groupBy(*by).agg(*counts("r")), "profile")
     windows = binned(count_windows(indexed, reference_size, size, step)).groupBy(*by, "window_id").agg(
         F.min("idx").alias("_first"), F.max("idx").alias("_last"), F.count(F.lit(1)).alias("_n"),
-        F.min(F.struct("idx", "ts_us")).alias("_start"), F.max(F.struct("idx", "ts_us")).alias("_end"),
+        F.min_by("ts_us", "idx").alias("_start"), F.max_by("ts_us", "idx").alias("_end"),  # structs would have the rows sorted
         F.avg(F.col(label).cast("double")).alias("label_share"), *counts("c"),
     ).filter(F.col("_n") == size)
     joined = windows.join(hinted(profile), by) if by else windows.crossJoin(F.broadcast(profile))
@@ -89,7 +89,7 @@ def window_psi(
     every = [distance(k) for k in range(len(columns))]
     return joined.select(
         *by, "window_id", (F.col("_first") - 1).alias("start_idx"), F.col("_last").alias("end_idx"),
-        F.col("_start.ts_us").alias("start_us"), F.col("_end.ts_us").alias("end_us"),
+        F.col("_start").alias("start_us"), F.col("_end").alias("end_us"),
         (F.col("label_share") >= 0.5).cast("int").alias("true_drift"), (F.greatest(*every) if len(every) > 1 else every[0]).alias("max_psi"),
     )
 
