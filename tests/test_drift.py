@@ -9,7 +9,7 @@ import pytest
 
 from tests.naive import edges_of, ks_frozen, psi_frozen
 from tidegauge.config import ControlConfig, DriftConfig, EngineConfig, FeatureConfig, ModelConfig
-from tidegauge.operators import adwin, drift, profile
+from tidegauge.operators import adwin, drift, profile, windows
 from tidegauge.plans.scoring import ScoringRun
 
 BASE = DriftConfig(
