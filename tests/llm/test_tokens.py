@@ -27,3 +27,16 @@ def test_ids_equal_those_of_the_whole_text(name, parts, folds, stretch, monkeypa
         some = texts[a : a + 500]
         wanted = [e.ids for e in theirs.encode_batch_fast(some, add_special_tokens=False)]
         assert [x.tolist() for x in ours.ids(some)] == wanted
+
+
+def test_words_that_differ_in_capitals_are_merged_once_by_the_shorter_way(monkeypatch):
+    """New words of a folding tokenizer are encoded in small letters, cut at blanks, without the normalizer."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ours, theirs, learned = tokens.PartEncoder(path, tokens.WORDS, True), Tokenizer.from_file(path), []
+    joined = ours._joined
+    monkeypatch.setattr(ours, "_joined", lambda parts, glue, out, by: (learned.extend(parts if by is ours.cutter else []), joined(parts, glue, out, by)))
+    assert ours.cutter is not ours.joined
+    text = "ÉTÉ été Été zyxq ZYXQ, Zyxq. " + "Y" * 100 + " ÀÖØÞß straße"
+    for some in (text, text.swapcase(), "zyXQ " + text):
+        assert ours.ids([some])[0].tolist() == theirs.encode(some, add_special_tokens=False).ids
+    assert len(learned) == len(set(learned)) and learned.count("zyxq") == 1 and learned.count("été") == 1
