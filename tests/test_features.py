@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tests.naive import naive_features
 from tidegauge.config import FEATURES, FeatureConfig
@@ -75,3 +76,36 @@ def test_hot_entity_spreads_over_slices(spark):
     largest = sliced.groupBy("entity_id", "_chunk").count().agg({"count": "max"}).first()[0]
     assert largest < 200
     assert sliced.filter("_core").count() == 3000
+
+
+def test_windows_are_summed_in_batches_without_arrays(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i, t in enumerate(np.sort(rng.integers(0, 60, 400)).tolist()):
+        amount = None if i % 37 == 0 else float(rng.normal()) * 10 ** float(rng.integers(0, 6))
+        entity = None if i % 11 == 0 else f"x{i % 3}"
+        rows.append((f"e{i:03d}" if i % 50 else None, t * 500_000, entity, amount, None if i % 5 == 0 else f"m{i % 4}", None if i % 13 == 0 else "US"))
+    df = frame(spark, rows)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for cap in (3, 9, 500):
+            cfg = FeatureConfig(window_seconds=8, max_events=cap)
+            found = features.entity_features(df, cfg)
+            plan = found._jdf.queryExecution().toString()
+            assert "collect_list" not in plan and "Window" not in plan
+            arrays = features.window_contents(df, cfg)
+            n, total = F.size("window"), F.expr("aggregate(window, 0.0D, (a, x) -> a + x.amount)")
+            mean = F.when(n > 0, total / n).otherwise(0.0)
+            want = arrays.withColumns({"n": n, "total": total, "mean": mean}).select(
+                "*",
+                F.expr("aggregate(window, 0.0D, (a, x) -> a + (x.amount - mean) * (x.amount - mean))").alias("squares"),
+                F.expr("size(array_distinct(transform(window, x -> x.merchant_id)))").alias("merchants"),
+                F.expr("size(array_distinct(transform(window, x -> x.country)))").alias("countries"),
+            )
+            std = F.when(F.col("n") > 0, F.sqrt(F.col("squares") / F.col("n"))).otherwise(0.0)
+            want = want.select("event_id", "ts_us", "entity_id", F.col("n").cast("double"), "total", "mean", std, F.col("merchants").cast("double"), F.col("countries").cast("double"))
+            got = found.select("event_id", "ts_us", "entity_id", "cnt_5m", "amt_sum_5m", "amt_mean_5m", "amt_std_5m", "uniq_merchant_5m", "uniq_country_5m")
+            assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, want.collect())))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidegauge.config import FeatureConfig
 from tidegauge.operators.ordering import with_halo, with_previous
@@ -65,28 +70,120 @@ def entity_features(events: DataFrame, cfg: FeatureConfig) -> DataFrame:
     return _exact(_sliced(source, cfg), cfg).select(*events.columns, *cfg.enabled)
 
 
+def _codes(column: pa.ChunkedArray) -> np.ndarray:
+    """A number for each distinct value; nulls are one value."""
+    return column.combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+
+
+def _sizes(first: np.ndarray, ts_us: np.ndarray, span_us: int, most: int) -> np.ndarray:
+    """Number of rows before each one that its window holds; ``first`` is where the row's slice begins."""
+    sizes = np.zeros(len(ts_us), np.int64)
+    open_ = np.arange(len(ts_us))
+    for back in range(1, most + 1):
+        open_ = open_[open_ - back >= first[open_]]
+        open_ = open_[ts_us[open_ - back] >= ts_us[open_] - span_us]
+        if not len(open_):
+            break
+        sizes[open_] = back
+    return sizes
+
+
+def _same_before(slices: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Place of the last row before each one with its slice and value, -1 if none."""
+    order = np.lexsort((codes, slices))
+    same = (slices[order][1:] == slices[order][:-1]) & (codes[order][1:] == codes[order][:-1])
+    out = np.full(len(codes), -1, np.int64)
+    out[order[1:][same]] = order[:-1][same]
+    return out
+
+
+def _window_columns(table: pa.Table, span_us: int, most: int) -> dict[str, pa.Array]:
+    """Sums over the windows of rows in order of slices, time and id.
+
+    Values are added from the oldest on, for all rows at once, one step back at a time.
+    """
+    keys = np.stack([_codes(table[c]) for c in (*KEYS, "_chunk")])
+    new = np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)]
+    slices = np.cumsum(new)
+    rows = np.arange(len(new))
+    sizes = _sizes(np.flatnonzero(new)[slices - 1], table["ts_us"].to_numpy(), span_us, most)
+    null = table["amount"].is_null().to_numpy()
+    amount = np.where(null, 0.0, table["amount"].fill_null(0.0).to_numpy())
+    gone = np.concatenate([[0], np.cumsum(null)])
+    gone = gone[rows] > gone[rows - sizes]  # a sum with a null is null
+    same = [_same_before(slices, _codes(table[c])) for c in ("merchant_id", "country")]
+
+    order = np.argsort(sizes, kind="stable")
+    starts, n = (rows - sizes)[order], sizes[order]
+    total, squares, kinds = np.zeros(len(rows)), np.zeros(len(rows)), np.zeros((2, len(rows)), np.int64)
+    steps = [(back, int(np.searchsorted(n, back))) for back in range(int(n[-1]), 0, -1)]
+    with np.errstate(invalid="ignore", over="ignore"):
+        for back, a in steps:
+            at = order[a:] - back
+            total[a:] += amount[at]
+            for kind, before in zip(kinds, same):
+                kind[a:] += before[at] < starts[a:]
+        mean = total / np.maximum(1, n)
+        for back, a in steps:
+            off = amount[order[a:] - back] - mean[a:]
+            squares[a:] += off * off
+
+    def laid(x: np.ndarray, mask: np.ndarray | None = None) -> pa.Array:
+        out = np.empty_like(x)
+        out[order] = x
+        return pa.array(out, mask=mask)
+
+    first_us = table["ts_us"].to_numpy()[rows - sizes]
+    return {
+        "_n": pa.array(sizes), "_total": laid(total, gone), "_squares": laid(squares, gone), "_merchants": laid(kinds[0]),
+        "_countries": laid(kinds[1]), "_first_us": pa.array(first_us),
+    }
+
+
+WINDOW_COLUMNS = "_n long, _total double, _squares double, _merchants long, _countries long, _first_us long"
+
+
+def _windows(sliced: DataFrame, cfg: FeatureConfig) -> DataFrame:
+    """``sliced`` with its windows' sums: slices are dealt and ordered by Spark, and a task carries from batch to batch as
+    many rows as a window may hold."""
+    span_us, most = cfg.window_seconds * US, max(0, cfg.max_events - 1)
+    kept = [c for c in sliced.columns if c not in ("_chunk", "_core")]
+    needed = [*KEYS, "_chunk", "ts_us", "amount", "merchant_id", "country"]
+    extra = StructType.fromDDL(WINDOW_COLUMNS)
+    schema = StructType([*sliced.select(*kept).schema.fields, *extra.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch.select(needed)])
+            table = table.set_column(needed.index("amount"), "amount", table["amount"].cast(pa.float64()))
+            carried = 0 if held is None else held.num_rows
+            table = table if held is None else pa.concat_tables([held, table])
+            found = _window_columns(table, span_us, most)
+            held = table.slice(max(0, table.num_rows - most))
+            columns = [batch.column(c) for c in kept] + [x.slice(carried) for x in found.values()]
+            out = pa.RecordBatch.from_arrays(columns, names=[*kept, *found])
+            yield out.filter(batch.column("_core"))
+
+    place = [*KEYS, "_chunk"]
+    dealt = sliced.repartition(*place).sortWithinPartitions(*place, "ts_us", "event_id")
+    return dealt.mapInArrow(run, schema)
+
+
 def _exact(sliced: DataFrame, cfg: FeatureConfig) -> DataFrame:
-    rows = _contents(sliced, cfg)
-    win = F.col("window")
-    count = F.size(win).cast("double")
-    total = F.aggregate(win, F.lit(0.0), lambda a, x: a + x["amount"])
-    rows = rows.select("*", count.alias("cnt_5m"), total.alias("amt_sum_5m"))
+    """The features of ``_contents`` without its arrays."""
+    rows = _windows(sliced, cfg).withColumns({"cnt_5m": F.col("_n").cast("double"), "amt_sum_5m": F.col("_total")})
     some = F.col("cnt_5m") > 0
-    rows = rows.withColumn(
-        "amt_mean_5m", F.when(some, F.col("amt_sum_5m") / F.col("cnt_5m")).otherwise(F.lit(0.0))
-    )
-    squares = F.aggregate(
-        win,
-        F.lit(0.0),
-        lambda a, x: a + (x["amount"] - F.col("amt_mean_5m")) * (x["amount"] - F.col("amt_mean_5m")),
-    )
     return rows.withColumns(
         {
-            "amt_std_5m": F.when(some, F.sqrt(squares / F.col("cnt_5m"))).otherwise(F.lit(0.0)),
-            "uniq_merchant_5m": F.size(F.array_distinct(F.transform(win, lambda x: x["merchant_id"]))).cast("double"),
-            "uniq_country_5m": F.size(F.array_distinct(F.transform(win, lambda x: x["country"]))).cast("double"),
+            "amt_mean_5m": F.when(some, F.col("amt_sum_5m") / F.col("cnt_5m")).otherwise(F.lit(0.0)),
+            "amt_std_5m": F.when(some, F.sqrt(F.col("_squares") / F.col("cnt_5m"))).otherwise(F.lit(0.0)),
+            "uniq_merchant_5m": F.col("_merchants").cast("double"),
+            "uniq_country_5m": F.col("_countries").cast("double"),
             "time_since_last": _since_last(cfg),
-            "rate_per_min": _rate(F.col("cnt_5m"), F.get(win, F.lit(0))["ts_us"]),
+            "rate_per_min": _rate(F.col("cnt_5m"), F.col("_first_us")),
         }
     )
 
