@@ -40,3 +40,26 @@ def test_words_that_differ_in_capitals_are_merged_once_by_the_shorter_way(monkey
     for some in (text, text.swapcase(), "zyXQ " + text):
         assert ours.ids([some])[0].tolist() == theirs.encode(some, add_special_tokens=False).ids
     assert len(learned) == len(set(learned)) and learned.count("zyxq") == 1 and learned.count("été") == 1
+
+
+def test_known_parts_are_neither_cut_nor_merged_again_and_texts_go_in_bounded_groups(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ours, theirs = tokens.PartEncoder(path, tokens.WORDS, True), Tokenizer.from_file(path)
+    monkeypatch.setattr(tokens, "STRETCH", 60)
+    monkeypatch.setattr(tokens, "REMEMBERED", 40)
+    often = "Often, often used; don't forget (it)."
+    sizes, inner = [], ours._ids
+    monkeypatch.setattr(ours, "_ids", lambda some: (sizes.append(sum(map(len, some))), inner(some))[1])
+    rng = random.Random(7)
+    rare = ["".join(rng.choice("abcdefghij") for _ in range(9)) for _ in range(400)]
+    for a in range(0, len(rare), 4):
+        some = [often, " ".join(rare[a : a + 4]), "", often]
+        assert [x.tolist() for x in ours.ids(some)] == [theirs.encode(x, add_special_tokens=False).ids for x in some]
+    assert max(sizes) <= 60 and len(ours.places) <= 2 * 40
+
+    class Uncalled:
+        def findall(self, text):
+            raise AssertionError("cut again")
+
+    monkeypatch.setattr(ours, "parts", Uncalled())
+    assert ours.ids([often])[0].tolist() == theirs.encode(often, add_special_tokens=False).ids
