@@ -171,6 +171,43 @@ def test_line_dedup(spark, rows, monkeypatch):
         assert r.n_lines == len(text.split("\n")) and r.item == "clash"
 
 
+def test_lines_are_known_by_sparks_hash(spark):
+    texts = ["one line\n  Übung macht\t\n\n\x0bx\r\n", "one line", "", " \n ", None, "日本 \U0001f600"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    signed = line_dedup.signed_lines(docs, "doc_id", "text", 5, 4, 3).collect()
+    assert Counter(r.item for r in signed) == Counter(r.item for r in line_dedup.lines_of(docs, "text").collect())
+    assert {(r.id, r.no) for r in signed} == {(0, 0), (0, 1), (0, 3), (1, 0), (5, 0)}
+    assert all(r.bands is None or len(r.bands) == 4 for r in signed)
+    assert {r.item for r in signed if r.bands} == {r.item for r in signed}
+
+
+def test_items_given_twice_are_no_candidates(spark):
+    rows = [(1, 10), (1, 10), (2, 20), (3, 20), (3, 20), (4, 30), (5, 40), (6, 40), (7, 40)]
+    got = minhash.leaders(spark.createDataFrame(rows, "item long, h long")).collect()
+    assert {r.item: r.leaders for r in got} == {2: [2], 3: [2], 5: [5], 6: [5], 7: [5]}
+
+
+def test_unlike_lines_seldom_meet():
+    bands, rows = minhash.choose_bands(line_dedup.THRESHOLD, line_dedup.RECALL, line_dedup.HASHES)
+    assert 1 - (1 - line_dedup.THRESHOLD**rows) ** bands >= line_dedup.RECALL
+    assert bands * 0.1**rows < 2e-5  # lines that share a tenth of their runs
+
+
+@pytest.mark.parametrize("at_once", [1 << 16, 50])
+def test_pairs_are_compared_together(at_once):
+    rng = random.Random(3)
+    lines = []
+    for _ in range(40):
+        line = prose(rng, rng.randint(1, 30))
+        lines += [line, line[: len(line) * rng.randint(7, 10) // 10], line + "x" * rng.randint(0, 9), line[:3] or "y"]
+    sets = line_dedup.sets_of_runs(lines, 5)
+    own = [runs(x) for x in lines]
+    assert [len(x) for x in sets] == [len(x) for x in own]
+    one, two = np.array(list(itertools.combinations(range(len(lines)), 2))).T
+    got = minhash.linked_pairs(sets, one, two, 0.8, at_once)
+    assert got.tolist() == [alike(own[a], own[b]) for a, b in zip(one, two)] and 20 < got.sum() < len(got)
+
+
 def test_empty_tables(empty):
     assert exact_dedup.exact_dedup(empty).collect() == []
     assert ngram_join.ngram_join(empty).collect() == []

@@ -33,6 +33,8 @@ HASHES = 160
 #: Items and set elements in a block of a group.
 BLOCK_ITEMS = 512
 BLOCK_ELEMENTS = 1_000_000
+#: Items of a group up to which its pairs are compared one by one, together with those of other groups.
+SMALL_GROUP = 8
 
 #: Buckets (16 bytes each) whose leaders are broadcast to their members; more are joined by a shuffle.
 BROADCAST_BUCKETS = 1_000_000
@@ -100,7 +102,7 @@ def leaders(bands: DataFrame) -> DataFrame:
     with their members again (Spark splits such a join where one bucket is large).
     """
     buckets = bands.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("item").alias("leader"), F.max("item").alias("other"))
-    shared = Scratch(bands.sparkSession, "buckets").stage(buckets.filter("n > 1"), "shared")
+    shared = Scratch(bands.sparkSession, "buckets").stage(buckets.filter("leader < other"), "shared")  # an item may be given twice
     pairs = shared.filter("n = 2").select(F.explode(F.array("leader", "other")).alias("item"), "leader")
     members = bands.join(hinted(shared.filter("n > 2").select("h", "leader"), BROADCAST_BUCKETS), "h").select("item", "leader")
     return pairs.unionByName(members).groupBy("item").agg(F.sort_array(F.collect_set("leader")).alias("leaders"))
@@ -117,13 +119,14 @@ def link_groups(items: DataFrame, sets_of: Callable[[list[str]], list[np.ndarray
     member = items.select("item", "leaders", "weight", F.explode("leaders").alias("leader"))
     sizes = member.groupBy("leader").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("elements"))
     parts = F.ceil(F.greatest(F.col("n") / BLOCK_ITEMS, F.col("elements") / BLOCK_ELEMENTS, F.lit(1.0))).cast("int")
-    sizes = sizes.filter("n > 1").select("leader", parts.alias("parts"))
-    placed = member.select("item", "leader").join(sizes, "leader").withColumn("part", F.pmod(F.xxhash64("item"), F.col("parts")).cast("int"))
+    cut = Scratch(items.sparkSession, "groups").stage(sizes.select("leader", parts.alias("parts")).filter("parts > 1"), "cut")
+    rows = items.select("item", "leaders", "copies", F.col(column).alias("text"), F.explode("leaders").alias("leader"))
+    rows = rows.join(hinted(cut), "leader", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("item"), F.col("parts")).cast("int"))
     # A block meets itself and every other block once.
-    others = F.sequence(F.lit(0), F.col("parts") - 1)
-    placed = placed.select("item", "leader", "part", F.explode(others).alias("with_part"))
-    placed = placed.select("item", "leader", "part", F.least("part", "with_part").alias("one"), F.greatest("part", "with_part").alias("two"))
-    rows = placed.join(items.select("item", "leaders", "copies", F.col(column).alias("text")), "item")
+    rows = rows.withColumn("with_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.withColumns({"one": F.least("part", "with_part"), "two": F.greatest("part", "with_part")})
+    rows = rows.select("leader", "one", "two", "item", "part", "leaders", "copies", "text")
     group = ["leader", "one", "two"]
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,27 +160,58 @@ def links_in(table: pa.Table, starts: list[int], sets_of, threshold: float) -> p
     sets = sets_of(table["text"].to_pylist())
     items, parts, leader, copies = (table[c].to_numpy() for c in ("item", "part", "leader", "copies"))
     across = table["one"].to_numpy() != table["two"].to_numpy()
-    leaders = table["leaders"].to_pylist()
+    leaders = [set(x) for x in table["leaders"].to_pylist()]
+    small = [(a, b) for a, b in zip(starts[:-1], starts[1:]) if 1 < b - a <= SMALL_GROUP]
+    tried = [
+        (x, y)
+        for a, b in small
+        for x in range(a, b - 1)
+        for y in range(x + 1, b)
+        if not (across[a] and parts[x] == parts[y]) and min(leaders[x] & leaders[y]) == leader[a]
+    ]
+    one, two = np.array(tried, np.int64).reshape(-1, 2).T
+    alike = linked_pairs(sets, one, two, threshold)
+    one, two = one[alike], two[alike]
     out: list[tuple[int, int | None, int, int]] = []
+    ends = np.searchsorted(one, [b for _, b in small])
+    for (a, b), i, j in zip(small, [0, *ends[:-1].tolist()], ends.tolist()):
+        if j > i:
+            out += _counted(items[a:b].tolist(), copies[a:b], one[i:j] - a, two[i:j] - a)
     for a, b in zip(starts[:-1], starts[1:]):
-        if b - a == 2:  # by far the most
-            shared = len(np.intersect1d(sets[a], sets[a + 1], assume_unique=True))
-            apart = across[a] and parts[a] == parts[a + 1]
-            if shared and not apart and shared >= threshold * (len(sets[a]) + len(sets[a + 1]) - shared) - 1e-9:
-                if min(set(leaders[a]) & set(leaders[a + 1])) == leader[a]:
-                    one, two = int(items[a]), int(items[a + 1])
-                    out += [(one, None, 1, int(copies[a + 1])), (two, None, 1, int(copies[a])), (two, one, 0, 0)]
-        elif b - a > 2:
+        if b - a > SMALL_GROUP:
             own = int(leader[a])
             i, j = _linked(sets[a:b], parts[a:b] if across[a] else None, threshold)
             if len(i):
-                lists = {k: set(leaders[a + k]) for k in {*i.tolist(), *j.tolist()}}
-                mine = np.array([min(lists[x] & lists[y]) == own for x, y in zip(i.tolist(), j.tolist())], bool)
+                mine = np.array([min(leaders[a + x] & leaders[a + y]) == own for x, y in zip(i.tolist(), j.tolist())], bool)
                 out += _counted(items[a:b].tolist(), copies[a:b], i[mine], j[mine])
     columns = list(zip(*out)) if out else [[], [], [], []]
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["item", "other", "links", "copies"])
 
 
+def linked_pairs(sets: list[np.ndarray], one: np.ndarray, two: np.ndarray, threshold: float, at_once: int = 1 << 16) -> np.ndarray:
+    """Which of the pairs of sets ``one[i]``, ``two[i]`` are linked.
+
+    The elements of many pairs are sorted together, by pair and the first 52 bits; one that is there twice is shared.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    less, more = np.minimum(sizes[one], sizes[two]), np.maximum(sizes[one], sizes[two])
+    tried = np.flatnonzero((less > 0) & (less >= threshold * more - 1e-9))  # no set shares more than all it has
+    both, shared = less + more, np.zeros(len(one), np.int64)
+    ends = np.cumsum(both[tried])
+    a = 0
+    while a < len(tried):
+        b = min(a + 4096, max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + at_once, "right"))))
+        some = tried[a:b]
+        elements = np.concatenate([sets[k] for k in np.stack([one[some], two[some]], axis=1).ravel().tolist()])
+        elements = elements.view(np.uint64) >> np.uint64(12)
+        elements |= np.repeat(np.arange(b - a, dtype=np.uint64) << np.uint64(52), both[some])
+        elements.sort()
+        twice = elements[1:][elements[1:] == elements[:-1]]
+        shared[some] = np.bincount((twice >> np.uint64(52)).astype(np.int64), minlength=b - a)
+        a = b
+    return (shared > 0) & (shared >= threshold * (both - shared) - 1e-9)
+
+
 def _linked(sets: list[np.ndarray], parts: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs i < j of linked sets; only pairs of different parts where ``parts`` is given."""
     sizes = np.array([len(s) for s in sets], np.int64)
