@@ -34,6 +34,16 @@ def test_numbers_as_text_are_accepted_and_null_device_is_not(spark):
     assert sorted(r.reason for r in dead.collect()) == ["device_type_missing", "device_type_unknown", "malformed"]
 
 
+def test_a_broker_value_is_parsed_once_whatever_the_rules(spark):
+    """The filters on the reason must not hold the parser: they would run it for every field of every rule."""
+    df = spark.range(4).selectExpr("concat('{\"event_id\":\"', id, '\"') AS value")
+    for part in events.parse_events(df):
+        plan = part._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json(") == 1 and plan.count("jsonObjectKeys(") == 1
+    good, dead = events.parse_events(df)
+    assert good.isEmpty() and [r.reason for r in dead.collect()] == ["malformed"] * 4
+
+
 def test_minimal_request_log_gets_defaults(spark, tmp_path):
     path = tmp_path / "r.csv"
     path.write_text("timestamp,status_code,latency_ms,ground_truth_drift,fixed_alert,adaptive_alert\n1.5,200,3.25,1,0,1\n")
