@@ -1,15 +1,19 @@
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
 from tests.naive import naive_features
 from tidegauge.catalog import inputs as I
+from tidegauge.catalog import streams  # noqa: F401  registers its queries
+from tidegauge.catalog.queries import QUERIES
 from tidegauge.config import FEATURES, FeatureConfig
 from tidegauge.operators.features import entity_features
 from tidegauge.plans.scoring import ScoringRun
 from tidegauge.sources.events import parse_events, replay_stream
-from tidegauge.streaming import ingest, monitor
+from tidegauge.streaming import entity_state, ingest, monitor
 
 CFG = I.SMALL_CONFIG
 
@@ -174,3 +178,40 @@ def test_monitor_starts_from_the_state_of_another(spark, sf, run, tmp_path):
     assert after.drift_learned > before.drift_learned > 0
     first = spark.read.parquet(f"{two}/decisions").filter(F.col("kind") == monitor.TICK).orderBy("t").first()
     assert first.threshold == before.threshold_threshold != CFG.control.initial_threshold
+
+
+def _table(spark, path, rows, files):
+    """Events as a table of ``files`` files that all span the whole time."""
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    spark.createDataFrame(rows, schema).repartition(files, "event_id").write.parquet(f"{path}/events.parquet")
+
+
+def test_stream_query_takes_the_files_of_an_arrival_together(spark, tmp_path):
+    """Files that several tasks write side by side share their time; taken one after another, later ones miss windows."""
+    start = datetime(2024, 1, 1)
+    rows = [
+        (i, start + timedelta(hours=7 * (i // 2)), (None, 1, 2)[i % 3], "view", None if i % 11 == 0 else float(i % 13), f'{{"k": {i % 40}}}')
+        for i in range(180)
+    ]
+    _table(spark, tmp_path, rows, 3)
+    found = spark.read.parquet(f"{tmp_path}/events.parquet")
+    assert found.rdd.getNumPartitions() > 1
+    got, want = (
+        {r.event_id: tuple(r)[1:] for r in QUERIES[q](spark, str(tmp_path)).collect()} for q in ("st1_stream_features", "w1_entity_features")
+    )
+    assert len(got) == 180 and got == want
+
+
+def test_entities_of_a_group_keep_windows_of_their_own(spark, tmp_path, monkeypatch):
+    """Rows, kept and late ones, of many entities in one call, and state that is bounded by cap and window."""
+    monkeypatch.setattr(entity_state, "GROUPS", 2)
+    ingest.use_state_store(spark)
+    schema = "event_id string, ts double, entity_id string, amount double, merchant_id string, merchant_category string, country string, channel string, device_type string, drift_tag string"
+    rows = [(f"e{i:03d}", 1000.0 + i // 3, f"x{i % 7}", float(10 + i % 9), f"m{i % 4}", "c", ("US", "IN", "CA")[i % 3], "web", "ios", None) for i in range(210)]
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    for part in (rows[:70], rows[70:140], rows[140:]):
+        spark.createDataFrame(part, schema).write.mode("append").json(source)
+        stream = ingest.feature_stream(replay_stream(spark, source, files_per_trigger=None), FeatureConfig(window_seconds=20, max_events=6), "1 hour")
+        ingest.write_table(stream, out, state).awaitTermination()
+    want = naive_features([(r[0], int(r[1] * 1e6), r[2], r[3], r[4], r[6]) for r in rows], 20, 6)
+    assert feature_rows(spark.read.parquet(out)) == want

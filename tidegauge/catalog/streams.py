@@ -35,11 +35,13 @@ def _arrivals(rows: DataFrame, edges=ARRIVALS) -> list[DataFrame]:
 
 
 def _replayed(spark: SparkSession, rows: DataFrame, run: Callable[[DataFrame], None]) -> None:
-    """Write rows as replay files, one arrival after another, and run a stream over them after each."""
+    """Write rows as replay files, one arrival after another, and run a stream over them after each.
+
+    The files of an arrival are written side by side and share its time, so they are one batch."""
     source = new_path(spark, "replay")
     for part in _arrivals(rows):
         part.select(_wire(part).alias("e")).select("e.*").write.mode("append").json(source)
-        run(replay_stream(spark, source))
+        run(replay_stream(spark, source, files_per_trigger=None))
 
 
 class Interrupted(Exception):

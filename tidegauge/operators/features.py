@@ -97,7 +97,7 @@ def _same_before(slices: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _window_columns(table: pa.Table, span_us: int, most: int) -> dict[str, pa.Array]:
+def window_columns(table: pa.Table, span_us: int, most: int) -> dict[str, pa.Array]:
     """Sums over the windows of rows in order of slices, time and id.
 
     Values are added from the oldest on, for all rows at once, one step back at a time.
@@ -161,7 +161,7 @@ def _windows(sliced: DataFrame, cfg: FeatureConfig) -> DataFrame:
             table = table.set_column(needed.index("amount"), "amount", table["amount"].cast(pa.float64()))
             carried = 0 if held is None else held.num_rows
             table = table if held is None else pa.concat_tables([held, table])
-            found = _window_columns(table, span_us, most)
+            found = window_columns(table, span_us, most)
             held = table.slice(max(0, table.num_rows - most))
             columns = [batch.column(c) for c in kept] + [x.slice(carried) for x in found.values()]
             out = pa.RecordBatch.from_arrays(columns, names=[*kept, *found])
